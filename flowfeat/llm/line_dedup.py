@@ -34,9 +34,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Work: one shuffle of (key hash, id) pairs of long lines only, counts pre-aggregated on the map side so that a line
     held by a third of all documents arrives as a few partial counts; the join back is one that Spark splits on skew.
     """
-    src = docs.select(F.struct(*docs.columns).alias("__row"), F.col(id_col).alias("__id"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1).alias("__lines"))
+    own = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
+    src = docs.select(F.struct(*own).alias("__row"), F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    lines = F.split(F.coalesce(F.col("__text"), F.lit("")), "\n", -1)
     held = (
-        src.select("__id", F.explode("__lines").alias("__line"))
+        src.select("__id", F.explode(lines).alias("__line"))
         .select("__id", _hashed(line_key(F.col("__line")), min_chars).alias("__h"))
         .filter(F.col("__h").isNotNull())
         .select("__id", F.col("__h.a").alias("__a"), F.col("__h.b").alias("__b"))
@@ -51,8 +53,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .agg(F.collect_list(F.struct(F.col("__a").alias("a"), F.col("__b").alias("b"))).alias("__drop"))
     )
     kept = F.filter("__lines", lambda x: ~F.coalesce(F.array_contains(F.col("__drop"), _hashed(line_key(x), min_chars)), F.lit(False)))
-    out = src.join(drops, F.col("__id").eqNullSafe(F.col("__of")), "left").withColumn("__kept", F.when(F.col("__drop").isNull(), F.col("__lines")).otherwise(kept))
-    own = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
+    out = src.join(drops, F.col("__id").eqNullSafe(F.col("__of")), "left").withColumn("__lines", lines).withColumn("__kept", F.when(F.col("__drop").isNull(), F.col("__lines")).otherwise(kept))
     return out.select(
         *[F.col("__row")[c].alias(c) for c in own],
         F.array_join("__kept", "\n").alias(text_col),
