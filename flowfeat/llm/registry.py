@@ -1,7 +1,8 @@
 """Queries of this subpackage and the SQL of those that SQL can state."""
 
 from flowfeat.llm.line_dedup import OP5_SQL, op5_line_dedup
+from flowfeat.llm.token_counts import op9_token_counts
 from flowfeat.llm.url_filter import OP3_SQL, op3_url_filter
 
-QUERIES = {"op3_url_filter": op3_url_filter, "op5_line_dedup": op5_line_dedup}
+QUERIES = {"op3_url_filter": op3_url_filter, "op5_line_dedup": op5_line_dedup, "op9_token_counts": op9_token_counts}
 ORACLES = {"op3_url_filter": OP3_SQL, "op5_line_dedup": OP5_SQL}
