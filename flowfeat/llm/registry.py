@@ -1,8 +1,16 @@
 """Queries of this subpackage and the SQL of those that SQL can state."""
 
+from flowfeat.llm.language_id import op10_language_id
 from flowfeat.llm.line_dedup import OP5_SQL, op5_line_dedup
+from flowfeat.llm.packing import op8_best_fit_packing
 from flowfeat.llm.token_counts import op9_token_counts
 from flowfeat.llm.url_filter import OP3_SQL, op3_url_filter
 
-QUERIES = {"op3_url_filter": op3_url_filter, "op5_line_dedup": op5_line_dedup, "op9_token_counts": op9_token_counts}
+QUERIES = {
+    "op3_url_filter": op3_url_filter,
+    "op5_line_dedup": op5_line_dedup,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_token_counts": op9_token_counts,
+    "op10_language_id": op10_language_id,
+}
 ORACLES = {"op3_url_filter": OP3_SQL, "op5_line_dedup": OP5_SQL}
