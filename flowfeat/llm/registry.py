@@ -2,11 +2,13 @@
 
 from flowfeat.llm.language_id import op10_language_id
 from flowfeat.llm.line_dedup import OP5_SQL, op5_line_dedup
+from flowfeat.llm.ngram_join import op1_ngram_jaccard_join
 from flowfeat.llm.packing import op8_best_fit_packing
 from flowfeat.llm.token_counts import op9_token_counts
 from flowfeat.llm.url_filter import OP3_SQL, op3_url_filter
 
 QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_url_filter": op3_url_filter,
     "op5_line_dedup": op5_line_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
