@@ -6,10 +6,12 @@ from flowfeat.llm.ngram_join import op1_ngram_jaccard_join
 from flowfeat.llm.packing import op8_best_fit_packing
 from flowfeat.llm.token_counts import op9_token_counts
 from flowfeat.llm.url_filter import OP3_SQL, op3_url_filter
+from flowfeat.llm.vector_dedup import op4_vector_dedup
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_url_filter": op3_url_filter,
+    "op4_vector_dedup": op4_vector_dedup,
     "op5_line_dedup": op5_line_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_counts": op9_token_counts,
