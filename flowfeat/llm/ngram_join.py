@@ -141,9 +141,10 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     depth = prefix_length(similarity, trees, LONGEST, recall)
     signed = cut(signatures(docs, id_col, text_col, size, trees, depth).dropDuplicates(["id", "cls"]), "signed")
     classes = cut(signed.filter("n > 0").groupBy("cls").agg(F.min("id").alias("id"), F.count("*").alias("mult"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
-    placed = classes.select("id", "mult", "n", "keys", F.posexplode("keys").alias("tree", "key"))
-    shared = cut(placed.select("tree", "key", "n").groupBy("tree", "key").agg(F.count("*").alias("c"), F.sum("n").alias("w")).filter("c > 1").select("tree", "key", "w"), "nodes")
-    met = cut(placed.join(shared, ["tree", "key"]).select("tree", "key", "w", "id", "mult", "keys"), "met")
+    placed = classes.select("id", "n", F.posexplode("keys").alias("tree", "key"))
+    shared = cut(placed.groupBy("tree", "key").agg(F.count("*").alias("c"), F.sum("n").alias("w")).filter("c > 1").select("tree", "key", "w"), "nodes")
+    places = cut(placed.join(shared, ["tree", "key"]).select("tree", "key", "w", "id"), "places")
+    met = cut(places.join(classes.select("id", "mult", "keys"), "id"), "met")  # all keys of a row only once it meets another
     same = [F.when((F.lit(i) < F.col("tree")) & (F.min(F.col("keys")[i]) == F.max(F.col("keys")[i])), True) for i in range(trees)]
     fresh = met.groupBy("tree", "key").agg(F.coalesce(*same, F.lit(False)).alias("again")).filter("NOT again").select("tree", "key")
     cells = cut(into_cells(met.join(fresh, ["tree", "key"]), ["tree", "key"], "w", block), "cells")
