@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from flowfeat.llm._graph import by_cell, cell_starts, components, into_cells, roots
 from flowfeat.llm._spark import cut, table
 
-COSINE, CODES, SAMPLE, RECALL, BLOCK = 0.93, 24, 20_000, 1.0, 1_500
+COSINE, CODES, SAMPLE, RECALL, BLOCK = 0.93, 24, 20_000, 0.999, 1_500
+#: Least share of the squared reach that the traversal goes through, and rows of the sample whose own links may raise it.
+LEAST, PROBE = 0.12, 4_000
 
 
 def codebook(x: np.ndarray, codes: int, rounds: int = 12) -> np.ndarray:
@@ -38,29 +40,43 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)[None], 0)
 
 
-def traversal(u: np.ndarray, books: tuple[np.ndarray, np.ndarray], reach: float, recall: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cells that each unit vector visits: (row, first code, second code).
+def bounds(u: np.ndarray, books: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """Per half the squared distance that a vector of each code must have at least from each row.
 
-    Multi-sequence order: cells by the sum of the squared distances that a vector of the cell must have at least from
-    the row in either half. A vector whose nearest centre is c lies beyond the plane between c and the row's own
-    nearest centre, so half the difference of squared distances over the distance of the centres bounds it from below. A row
-    stops at the first cell whose bound passes ``recall`` times the squared ``reach``; at recall 1 no pair within reach is lost.
+    A vector whose nearest centre is c lies beyond the plane between c and the row's own nearest centre, so half the
+    difference of squared distances over the distance of the centres bounds its distance from below.
     """
-    low = []
+    out = []
     for half, book in zip((u[:, : u.shape[1] // 2], u[:, u.shape[1] // 2 :]), books):
         d = nearest(half, book)
         own = d.argmin(1)
         gap = np.sqrt(nearest(book, book))
-        away = (d - d[np.arange(len(d)), own][:, None]) / np.maximum(2 * gap[own], 1e-12)
-        low.append(np.maximum(away, 0) ** 2)
-    limit = recall * reach * reach + 1e-9
-    first, second = low
+        out.append(np.maximum((d - d[np.arange(len(d)), own][:, None]) / np.maximum(2 * gap[own], 1e-12), 0) ** 2)
+    return out
+
+
+def depth(u: np.ndarray, labels: np.ndarray, books: tuple[np.ndarray, np.ndarray], cosine: float, recall: float) -> float:
+    """How far the traversal must go: the bound under which the cells of ``recall`` of the linked pairs among rows u lie, and a quarter more.
+
+    It is never under ``LEAST`` of the squared reach. All of the squared reach would find every pair, as the bounds are exact;
+    but two vectors differ in all directions at once, and hardly ever by their whole distance across one border.
+    """
+    first, second = bounds(u, books)
+    own = [nearest(h, k).argmin(1) for h, k in zip((u[:, : u.shape[1] // 2], u[:, u.shape[1] // 2 :]), books)]
+    a, b = np.nonzero((u @ u.T >= cosine) & (labels[:, None] == labels[None]))
+    far = first[a, own[0][b]] + second[a, own[1][b]]
+    reach = 2 - 2 * cosine
+    return float(min(reach, max(LEAST * reach, 1.25 * np.quantile(far, recall) if len(far) else 0))) + 1e-9
+
+
+def traversal(u: np.ndarray, books: tuple[np.ndarray, np.ndarray], limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells that each unit vector visits: (row, first code, second code), in multi-sequence order, nearest first, up to the limit."""
+    first, second = bounds(u, books)
     rows, a, b = [], [], []
     order1, order2 = np.argsort(first, axis=1), np.argsort(second, axis=1)
     s1, s2 = np.take_along_axis(first, order1, 1), np.take_along_axis(second, order2, 1)
     for i in range(s1.shape[1]):
-        inside = s1[:, i][:, None] + s2 <= limit
-        r, j = np.nonzero(inside)
+        r, j = np.nonzero(s1[:, i][:, None] + s2 <= limit)
         if not len(r):
             break
         rows.append(r)
@@ -76,7 +92,7 @@ def _units(v: np.ndarray) -> np.ndarray:
 def verify(rows: pa.Table, cosine: float) -> pa.Table:
     """Directed links in whole cells: per visitor with links (id, links counted with copies, least id it reaches)."""
     ids, mult, home, side, near, far = (rows.column(c).to_numpy() for c in ("id", "mult", "home", "side", "near", "far"))
-    v = _units(rows.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1))
+    v = _units(rows.column("v").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(len(ids), -1))
     starts = np.append(cell_starts(rows, CELL), len(ids))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for i, j in zip(starts[:-1].tolist(), starts[1:].tolist()):
@@ -107,12 +123,13 @@ def vector_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     once. Ids are integers; rows with a null id are left out, and of rows that repeat an id the first vector counts.
 
     The index: each half of the unit vectors has its own codebook, fitted on at most ``sample`` vectors of least hash,
-    and a cell is a pair of codes under a label. Each vector lives in one cell and visits those that can hold a vector
-    within reach, so each directed link is found once. Crowded cells are split into pairs of blocks.
+    and a cell is a pair of codes under a label. Each vector lives in one cell and visits the nearest ones until the sample's
+    links are found with the target recall; every visited vector is compared exactly, and each directed link once. Links
+    missed from one side only are not mended. Crowded cells are split into pairs of blocks.
     """
     finite = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(1e150)))
     whole = F.col(vector_col).isNotNull() & (F.size(vector_col) > 1) & F.coalesce(finite, F.lit(False)) & F.exists(vector_col, lambda x: F.abs(x) > 0) & F.col(label_col).isNotNull()
-    rows = vectors.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.when(whole, F.col(label_col).cast("long")).alias("label"), F.when(whole, F.col(vector_col).cast("array<double>")).alias("v")).dropDuplicates(["id"])
+    rows = vectors.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.when(whole, F.col(label_col).cast("long")).alias("label"), F.when(whole, F.col(vector_col)).alias("v")).dropDuplicates(["id"])
     rows = cut(rows.withColumn("h", F.xxhash64("label", "v")), "vectors")
     top = rows.filter("v IS NOT NULL").groupBy(F.size("v").alias("size")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "size").first()
     size = top["size"] if top else 2
@@ -121,20 +138,20 @@ def vector_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     groups = cut(live.groupBy("label", "h", "v").agg(F.min("id").alias("id"), F.count("*").alias("mult")), "distinct-vectors")
     n = groups.count()
     share = min(1.0, 1.2 * sample / max(n, 1) + 1e-9)
-    limit = int(-(1 << 63) + share * ((1 << 64) - 1025))
-    drawn = groups.filter(F.col("h") <= F.lit(limit)).select("h", "v").toPandas().sort_values("h").head(sample)
-    x = _units(np.array(drawn["v"].tolist()).reshape(-1, size)) if len(drawn) else np.zeros((0, size))
+    most = int(-(1 << 63) + share * ((1 << 64) - 1025))
+    drawn = groups.filter(F.col("h") <= F.lit(most)).select("h", "label", "v").toPandas().sort_values("h").head(sample)
+    x = _units(np.array(drawn["v"].tolist(), np.float64).reshape(-1, size)) if len(drawn) else np.zeros((0, size))
     books = (codebook(x[:, : size // 2], codes), codebook(x[:, size // 2 :], codes))
-    reach = float(np.sqrt(2 - 2 * cosine))
+    limit = depth(x[:PROBE], drawn["label"].to_numpy()[:PROBE], books, cosine, recall) if len(x) else 0.0
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            v = b.column("v").flatten().to_numpy().reshape(b.num_rows, -1)
+            v = b.column("v").flatten().to_numpy().astype(np.float64).reshape(b.num_rows, -1)
             u = _units(v)
             own = [nearest(h, k).argmin(1) for h, k in zip((u[:, : size // 2], u[:, size // 2 :]), books)]
-            r, first, second = traversal(u, books, reach, recall)
+            r, first, second = traversal(u, books, limit)
             home = (first == own[0][r]) & (second == own[1][r])
             yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(r)) for c in ("id", "label", "mult")] + [pa.array(first, pa.int32()), pa.array(second, pa.int32()), pa.array(home)], names=["id", "label", "mult", "a", "b", "home"])
 
