@@ -1,4 +1,6 @@
 """All queries of the library outside the text-preparation subpackage."""
 
-QUERIES = {}
-ORACLES = {}
+from flowfeat.plans import scalars  # noqa: F401
+from flowfeat.plans._base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
