@@ -1,0 +1,23 @@
+"""Clipping of polygon rings."""
+
+from __future__ import annotations
+
+import numpy as np
+
+
+def clip_area(ring: np.ndarray, x0: float, y0: float, x1: float, y1: float) -> float:
+    """Area of a polygon ring inside a box: the ring is cut at each side of the box in turn."""
+    p = ring
+    for axis, bound, keep in ((0, x0, 1), (0, x1, -1), (1, y0, 1), (1, y1, -1)):
+        if not len(p):
+            return 0.0
+        q = np.roll(p, -1, axis=0)
+        a, b = keep * (p[:, axis] - bound), keep * (q[:, axis] - bound)
+        cross = (a >= 0) != (b >= 0)
+        t = np.where(cross, a / np.where(cross, a - b, 1), 0)[:, None]
+        points = np.stack([np.where((a >= 0)[:, None], p, np.nan), np.where(cross[:, None], p + t * (q - p), np.nan)], axis=1).reshape(-1, 2)
+        p = points[~np.isnan(points[:, 0])]
+    if len(p) < 3:
+        return 0.0
+    x, y = p[:, 0], p[:, 1]
+    return abs(float(x @ np.roll(y, -1) - y @ np.roll(x, -1))) / 2
