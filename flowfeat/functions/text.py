@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Latin letters with marks and their bases.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
@@ -27,7 +28,7 @@ def normalize_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(fold(c), "[^a-z0-9]+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_text_unicode(s: pd.Series) -> pd.Series:
     """H1 for any script: full compatibility decomposition, in Arrow batches."""
     plain = s.fillna("").map(lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower())

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowfeat.functions.clip import clip_area
 from flowfeat.operators.graph import components
@@ -196,7 +197,7 @@ def flatten_results(results: DataFrame, site: str) -> DataFrame:
 # polygons
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def clipped_area(ring: pd.Series, x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
     """clip_area for columns of rings (arrays of [x, y]) and boxes, in Arrow batches."""
     return pd.Series([clip_area(np.array([list(q) for q in r], float).reshape(-1, 2), *box) for r, *box in zip(ring, x0, y0, x1, y1)])
