@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowfeat.llm._spark import cut
+from flowfeat.llm._text import release
+
 
 
 def into_cells(rows: DataFrame, bucket: list[str], weight: str, block: int) -> DataFrame:
@@ -41,6 +42,7 @@ def by_cell(rows: DataFrame, cell: list[str], work: Callable[[pa.Table], pa.Tabl
                 waiting = here.slice(int(starts[-1])).combine_chunks().to_batches()
         if waiting:
             yield from work(pa.Table.from_batches(waiting)).to_batches()
+        release()
 
     return rows.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(task, schema)
 
@@ -71,26 +73,3 @@ def roots(n: int, a: np.ndarray, b: np.ndarray, rank: np.ndarray) -> np.ndarray:
         if (new == label).all():
             return order[label[place]]
         label = new
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the least node reachable over edges (a, b). Nodes without edges are not in it.
-
-    Large-star and small-star steps in turn: each hangs neighbours on the least node known, so paths shrink by half or more
-    a round. Every round is one written table; a hub with many neighbours is a skewed key of a join that Spark splits.
-    """
-    def star(pairs: DataFrame) -> DataFrame:
-        low = pairs.groupBy("a").agg(F.min("b").alias("__m")).select(F.col("a").alias("__u"), F.least("a", "__m").alias("m"))
-        return pairs.join(low, F.col("a") == F.col("__u"))
-
-    now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    before = None
-    while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
-            return now.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
-        before = state
-        both = now.union(now.select("b", "a"))
-        large = star(both).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = star(large)
-        now = cut(small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", "m")).filter("a <> b").distinct(), "edges")

@@ -1,37 +1,6 @@
-"""Reading tables and cutting lineage through the cluster's shared folder."""
+"""Reading tables, and cutting lineage through the cluster's shared folder."""
 
-from __future__ import annotations
+from flowfeat.sources.bindings import table
+from flowfeat.sources.shared import cut, shared_dir
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; in local mode, where it is unset, a temporary one."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not (own := _local.get(id(spark.sparkContext))):
-        own = _local[id(spark.sparkContext)] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    return own
-
-
-_local: dict[int, str] = {}
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: later jobs start from files, not from its plan.
-
-    The files outlive lost executors, unlike cached blocks or local checkpoints.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["cut", "shared_dir", "table"]

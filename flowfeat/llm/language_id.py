@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowfeat.llm._spark import table
-from flowfeat.llm._text import slices, word_points
+from flowfeat.llm._text import slices
 
 ORDER, SAMPLE, SAMPLE_BYTES, MIN_COUNT = 3, 600, 20_000, 2
 UNKNOWN = "und"
@@ -118,7 +118,6 @@ def code_lengths(trees: Trees, texts: list[bytes]) -> np.ndarray:
 
 def predict(trees: Trees, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     """Language of least code length, or ``und`` for a text that is null or has no letter, and its posterior share."""
-    is_word, _ = word_points()
     data = [(t or "").encode("utf-8", "replace") for t in texts]
     bits = code_lengths(trees, data)
     best = bits.argmin(1)

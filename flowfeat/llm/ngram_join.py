@@ -9,11 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowfeat.llm._graph import by_cell, cell_starts, components, into_cells, roots
+from flowfeat.llm._graph import by_cell, cell_starts, into_cells, roots
 from flowfeat.llm._spark import cut, table
+from flowfeat.operators.graph import components
 from flowfeat.llm._text import mix, shingles, slices
 
-SIZE, SIMILARITY, TREES, LONGEST, RECALL, BLOCK = 5, 0.8, 16, 8, 0.9995, 200_000
+SIZE, SIMILARITY, TREES, LONGEST, RECALL, BLOCK, LEAST = 5, 0.8, 16, 8, 0.9995, 200_000, 100
+# BLOCK: shingles of a block; a text counts as LEAST at least, so a cell has 2 * BLOCK / LEAST rows at most.
 
 
 def prefix_length(similarity: float, trees: int, longest: int, recall: float) -> int:
@@ -86,8 +88,10 @@ def verify(rows: pa.Table, size: int, similarity: float) -> pa.Table:
         ok = ids[i + a] != ids[i + b]
         if near[i] != far[i]:
             ok &= side[i + a] != side[i + b]
-        ok &= (keys[i + a] == keys[i + b]).argmax(1) == tree[i]
         a, b = a[ok], b[ok]
+        for t in range(int(tree[i])):  # pairs that meet in an earlier tree count there
+            ok = keys[i + a, t] != keys[i + b, t]
+            a, b = a[ok], b[ok]
         n = np.zeros(j - i, np.int64)
         np.add.at(n, a, mult[i + b])
         np.add.at(n, b, mult[i + a])
@@ -115,11 +119,15 @@ def _links(h: np.ndarray, off: np.ndarray, similarity: float) -> tuple[np.ndarra
         block = np.zeros((m, width), np.float32)
         block[row[i:j], col[i:j] - c] = 1
         shared += block @ block.T
-    a, b = np.nonzero(np.triu(shared, 1))
-    both = shared[a, b].astype(np.float64)
-    # the same comparison as |A and B| / |A or B| >= similarity, in exact arithmetic up to one rounding
-    ok = both >= similarity * (size[a] + size[b] - both) - 1e-9
-    return a[ok], b[ok]
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for r in range(0, m, 256):  # a few rows at a time: memory stays near the one matrix
+        both = shared[r : r + 256].astype(np.float64)
+        # |A and B| >= similarity * |A or B|, in exact arithmetic up to one rounding
+        hit = both >= similarity * (size[r : r + 256, None] + size[None] - both) - 1e-9
+        hit &= np.arange(m)[None] > np.arange(r, r + len(both))[:, None]
+        a, b = np.nonzero(hit)
+        found.append((a + r, b))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
 CELL = ["tree", "key", "near", "far"]
@@ -142,7 +150,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     signed = cut(signatures(docs, id_col, text_col, size, trees, depth).dropDuplicates(["id", "cls"]), "signed")
     classes = cut(signed.filter("n > 0").groupBy("cls").agg(F.min("id").alias("id"), F.count("*").alias("mult"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
     placed = classes.select("id", "n", F.posexplode("keys").alias("tree", "key"))
-    shared = cut(placed.groupBy("tree", "key").agg(F.count("*").alias("c"), F.sum("n").alias("w")).filter("c > 1").select("tree", "key", "w"), "nodes")
+    shared = cut(placed.groupBy("tree", "key").agg(F.count("*").alias("c"), F.sum(F.greatest("n", F.lit(LEAST))).alias("w")).filter("c > 1").select("tree", "key", "w"), "nodes")
     places = cut(placed.join(shared, ["tree", "key"]).select("tree", "key", "w", "id"), "places")
     met = cut(places.join(classes.select("id", "mult", "keys"), "id"), "met")  # all keys of a row only once it meets another
     same = [F.when((F.lit(i) < F.col("tree")) & (F.min(F.col("keys")[i]) == F.max(F.col("keys")[i])), True) for i in range(trees)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pandas as pd
@@ -16,7 +16,7 @@ from flowfeat.llm._spark import cut, table
 from flowfeat.llm._text import flat, runs, slices, span_hashes
 from flowfeat.llm.token_counts import kinds, vocabulary
 
-LENGTH, END, GROUP, ROUNDS, KNOWN = 2048, 0, 4_000, 4, 1_000_000
+LENGTH, END, GROUP, ROUNDS, KNOWN = 2048, 0, 4_000, 4, 500_000
 
 # token ids
 
@@ -33,11 +33,9 @@ class Encoder:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        ids, merges, _ = vocabulary(path)
+        self.path = path
+        ids, merges, self.added = vocabulary(path)
         order = [ids[a + b] for a, b in sorted(merges, key=merges.get)]
         if order != sorted(order):
             raise ValueError("ids of merged tokens must rise in the order of merges")
@@ -45,6 +43,12 @@ class Encoder:
         self.stop = ids[b"\0"]
         self.forget()
 
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def forget(self) -> None:
         self.hashes, self.starts, self.sizes, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 

@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowfeat.llm._graph import by_cell, cell_starts, components, into_cells, roots
+from flowfeat.llm._graph import by_cell, cell_starts, into_cells, roots
 from flowfeat.llm._spark import cut, table
+from flowfeat.operators.graph import components
 
 COSINE, CODES, SAMPLE, RECALL, BLOCK = 0.93, 24, 20_000, 0.999, 1_500
 #: Least share of the squared reach that the traversal goes through, and rows of the sample whose own links may raise it.
