@@ -156,6 +156,38 @@ def stream_network(links: DataFrame, basin: str, stream: Column) -> DataFrame:
     return counts.join(hand, basin, "left")
 
 
+def strahler(links: DataFrame, basin: str, stream: Column) -> DataFrame:
+    """I16: largest Strahler order of each basin's streams.
+
+    A cell's order is over k exactly if it, or a cell upstream, has two inflows of order k or more. So the cells of each order
+    are all cells downstream of such junctions, found by doubling jumps: rounds follow the order and the logarithm of the
+    longest path, not the path.
+    """
+    from flowfeat.sources.shared import cut
+
+    key = lambda r, c: F.concat_ws(":", F.col(basin).cast("string"), r.cast("string"), c.cast("string"))
+    cells = links.filter(stream).select(basin, key(F.col("row"), F.col("col")).alias("id"), F.when(F.col("down").isNotNull(), key(F.col("down.row"), F.col("down.col"))).alias("to"))
+    cells = cut(cells.join(cells.select(F.col("id").alias("to"), F.lit(True).alias("__in")), "to", "left").select(basin, "id", F.when(F.col("__in"), F.col("to")).alias("to")), "streams")
+    jumps = [cells.filter("to IS NOT NULL").select("id", "to")]
+    while not jumps[-1].isEmpty():
+        last = jumps[-1]
+        jumps.append(cut(last.join(last.select(F.col("id").alias("to"), F.col("to").alias("__n")), "to").select("id", F.col("__n").alias("to")), "jumps"))
+    at_least, orders = cells.select("id"), [cells.select(basin, F.lit(1).alias("order"))]
+    while True:
+        heads = cells.join(at_least, "id").filter("to IS NOT NULL").groupBy(F.col("to").alias("id")).agg(F.count("*").alias("n")).filter("n >= 2").select("id")
+        marked = cut(heads, "heads")
+        if marked.isEmpty():
+            break
+        for j in jumps[:-1]:
+            marked = marked.union(marked.join(j, "id").select(F.col("to").alias("id"))).distinct()
+        at_least = cut(marked, "orders")
+        orders.append(cells.join(at_least, "id").select(basin, F.lit(len(orders) + 1).alias("order")))
+    out = orders[0]
+    for o in orders[1:]:
+        out = out.union(o)
+    return out.groupBy(basin).agg(F.max("order").alias("strahler"))
+
+
 def topographic_indices(cells: DataFrame, basin: str, area: Column, hand: Column) -> DataFrame:
     """Mean wetness index ln(a / tan s), height above stream stats, hypsometric integral, confinement (share under 5 above the stream), flow quantiles."""
     s = F.tan(F.radians(F.greatest(F.col("slope"), F.lit(0.1))))

@@ -175,3 +175,21 @@ def fit_and_score(train: DataFrame, test: DataFrame, families: dict[str, list[st
         scored = model.transform(ready(test)).agg(F.count("*").alias("n"), F.round(F.avg((F.col("prediction") == F.col("y")).cast("int")), 6).alias("accuracy")).select(F.lit(v).alias("variant"), "n", "accuracy", by.alias("importance"))
         out = scored if out is None else out.unionByName(scored)
     return out
+
+
+def score_with_overlay(train: DataFrame, test: DataFrame, cols: list[str], label: str, threshold: float, trees: int = 10, depth: int = 5) -> DataFrame:
+    """Test rows with p_low, p_medium, p_high of a forest fitted on train, the likeliest class, and HIGH where p_high passes the threshold."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    from flowfeat.functions.levels import apply_overlay, argmax_label
+
+    put = VectorAssembler(inputCols=cols, outputCol="__features")
+    fill = {c: F.coalesce(F.col(c).cast("double"), F.lit(-9999.0)) for c in cols}
+    index = F.when(F.col(label) == "LOW", 0.0).when(F.col(label) == "MEDIUM", 1.0).otherwise(2.0)
+    model = RandomForestClassifier(labelCol="__y", featuresCol="__features", numTrees=trees, maxDepth=depth, seed=1).fit(put.transform(train.withColumns(fill).withColumn("__y", index)))
+    out = model.transform(put.transform(test.withColumns(fill))).withColumn("__p", vector_to_array("probability"))
+    p = [F.col("__p")[i] for i in range(3)]
+    base = argmax_label(p)
+    return out.select(*test.columns, *[F.round(x, 6).alias(f"p_{c.lower()}") for x, c in zip(p, CLASSES)], base.alias("base"), apply_overlay(base, p[2], threshold).alias("predicted"))

@@ -104,6 +104,11 @@ def i16(spark, d):
     return B.stream_network(B.downstream_links(raster(spark, d), "basin"), "basin", F.col("code") % 4 == 0)
 
 
+@query("i16_strahler")
+def i16b(spark, d):
+    return B.strahler(B.downstream_links(raster(spark, d), "basin"), "basin", F.col("code") % 4 != 0)
+
+
 @query("i17_topographic", f"WITH {CELLS}, h AS (SELECT *, clay * 3 + 1 AS area, elevation % 40 AS hand FROM cells) SELECT basin, round(avg(ln(area / tan(radians(greatest(slope, 0.1))))), 4) AS twi, round(avg(hand), 4) AS hand_mean, round(quantile_cont(hand, 0.9), 4) AS hand_p90, round((avg(elevation) - min(elevation)) / (max(elevation) - min(elevation)), 6) AS hypsometric, {SH('hand < 5')} AS confinement, " + ", ".join(f"round(quantile_cont(area, {p}), 4) AS flow_p{int(p * 100)}" for p in (0.5, 0.9, 0.99)) + " FROM h GROUP BY 1")
 def i17(spark, d):
     return B.topographic_indices(cells(spark, d), "basin", F.col("clay") * 3 + 1, F.col("elevation") % 40)

@@ -148,6 +148,15 @@ def k19(spark, d):
     return E.fit_and_score(rows.filter("split = 'train'"), rows.filter("split = 'test'"), families, "bucket", ["full", "history_only", "weather_only"])
 
 
+@query("k20_batch_scoring")
+def k20(spark, d):
+    from flowfeat.operators.history import recent_history, temporal_split
+
+    rows = temporal_split(recent_history(obs(spark, d)), 0.2, 0.0).filter("bucket IS NOT NULL").withColumn("month", F.month("date"))
+    cols = ["n_365", "high_365", "mean_rank_365", "month", "price"]
+    return E.score_with_overlay(rows.filter("split = 'train'"), rows.filter("split = 'test'"), cols, "bucket", 0.35).select("observation_id", "bucket", "p_low", "p_medium", "p_high", "base", "predicted")
+
+
 # profiles
 
 COVER = ["rank", "bucket", "price", "level", "grp", "status"]
@@ -265,9 +274,15 @@ def d28(spark, d):
     return P.grouping_counts(table(spark, d, "documents"), ["lang", "source"])
 
 
-@query("e14_derived_features", f"WITH {OBS}, w AS (SELECT l_suppkey AS target, CAST(l_shipdate AS DATE) AS date, sum(l_quantity) AS precipitation FROM lineitem GROUP BY 1, 2), y AS (SELECT target, year(date) AS year, sum(precipitation) AS annual FROM w GROUP BY 1, 2) SELECT w.target, w.date, round(precipitation / (annual / 52.1775), 6) AS week_ratio, round(precipitation / (annual / 12), 6) AS month_ratio, round(precipitation * annual, 6) AS product, round(annual / (annual + 1000), 6) AS confidence FROM w JOIN y ON w.target = y.target AND year(w.date) = y.year WHERE annual > 0")
+@query("e14_derived_features", f"""WITH {OBS}, w AS (SELECT l_suppkey AS target, CAST(l_shipdate AS DATE) AS date, sum(l_quantity) AS precipitation FROM lineitem GROUP BY 1, 2), y AS (SELECT target, year(date) AS year, sum(precipitation) AS annual, count(*) AS n FROM w GROUP BY 1, 2),
+  f AS (SELECT w.target, w.date, precipitation AS p, annual AS a, n, precipitation / annual AS s FROM w JOIN y ON w.target = y.target AND year(w.date) = y.year WHERE annual > 0)
+  SELECT target, date, round(p / (a / 52.1775), 6) AS week_ratio, round(p / (a / 12), 6) AS month_ratio, round(p * a, 6) AS product, round(a / (a + 1000), 6) AS confidence, round(n / (n + 20.0), 6) AS history_confidence, round(s - 1.0::DOUBLE / n, 6) AS lift,
+         round((CASE WHEN s > 0 THEN -s * ln(s) ELSE 0 END + CASE WHEN s < 1 THEN -(1 - s) * ln(1 - s) ELSE 0 END) / ln(2), 6) AS entropy FROM f""")
 def e14(spark, d):
     w = wx(spark, d).select("target", "date", "precipitation", F.year("date").alias("year"))
-    y = w.groupBy("target", "year").agg(F.sum("precipitation").alias("annual"))
-    p, a = F.col("precipitation"), F.col("annual")
-    return w.join(y, ["target", "year"]).filter("annual > 0").select("target", "date", levels.safe_ratio(p, a / 52.1775).alias("week_ratio"), levels.safe_ratio(p, a / 12).alias("month_ratio"), levels.safe_product(p, a).alias("product"), levels.confidence(a, 1000.0).alias("confidence"))
+    y = w.groupBy("target", "year").agg(F.sum("precipitation").alias("annual"), F.count("*").alias("n"))
+    p, a, n = F.col("precipitation"), F.col("annual"), F.col("n")
+    return w.join(y, ["target", "year"]).filter("annual > 0").select(
+        "target", "date", levels.safe_ratio(p, a / 52.1775).alias("week_ratio"), levels.safe_ratio(p, a / 12).alias("month_ratio"), levels.safe_product(p, a).alias("product"), levels.confidence(a, 1000.0).alias("confidence"),
+        levels.confidence(n, 20.0).alias("history_confidence"), F.round(p / a - F.lit(1.0) / n, 6).alias("lift"), levels.entropy([p / a, 1 - p / a]).alias("entropy"),
+    )

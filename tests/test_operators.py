@@ -128,6 +128,15 @@ def test_patches_and_streams(spark):
     assert (s["stream_cells"], s["sources"], s["junctions"]) == (3, 1, 0) and s["drained_cells"] == 12
 
 
+def test_strahler_orders(spark):
+    # two sources meet, their stream meets a third source (order stays 2), then an equal second-order stream (order 3)
+    to = {1: 3, 2: 3, 3: 5, 4: 5, 5: 9, 6: 8, 7: 8, 8: 9, 9: 10, 10: None}
+    down = "struct<row:long,col:long>"
+    rows = [(1, k, 0, (v, 0) if v else None) for k, v in to.items()] + [(2, 1, 0, (2, 0)), (2, 2, 0, None)]
+    links = spark.createDataFrame(rows, f"b long, row long, col long, down {down}")
+    assert dict(map(tuple, B.strahler(links, "b", F.lit(True)).collect())) == {1: 3, 2: 1}
+
+
 def test_clip_area():
     import numpy as np
 
