@@ -21,7 +21,7 @@ def i5(spark, d):
     return B.class_fractions(cells(spark, d), "basin", "code", list(range(10)), "valid")
 
 
-@query("i6_lithology", f"WITH {CELLS}, c AS (SELECT basin, code, count(*) AS n FROM cells GROUP BY 1, 2), s AS (SELECT basin, sum(n) FILTER (code IN (0, 1)) / sum(n)::DOUBLE AS carbonate, sum(n) FILTER (code IN (2, 3, 4)) / sum(n)::DOUBLE AS clastic FROM c GROUP BY 1), d AS (SELECT basin, code AS dominant FROM (SELECT *, row_number() OVER (PARTITION BY basin ORDER BY n DESC, code) AS k FROM c) WHERE k = 1) SELECT basin, round(coalesce(carbonate, 0), 6) AS carbonate, round(coalesce(clastic, 0), 6) AS clastic, dominant, CASE WHEN carbonate >= 0.3 THEN 1.0 WHEN carbonate >= 0.1 THEN 0.5 ELSE 0.0 END AS karst_step FROM s JOIN d USING (basin)")
+@query("i6_lithology", f"WITH {CELLS}, c AS (SELECT basin, code, count(*) AS n FROM cells GROUP BY 1, 2), s AS (SELECT basin, sum(n) FILTER (code IN (0, 1)) / sum(n)::DOUBLE AS carbonate, sum(n) FILTER (code IN (2, 3, 4)) / sum(n)::DOUBLE AS clastic FROM c GROUP BY 1), d AS (SELECT basin, code AS dominant FROM (SELECT *, row_number() OVER (PARTITION BY basin ORDER BY n DESC, code) AS k FROM c) WHERE k = 1) SELECT basin, round(coalesce(carbonate, 0), 6) AS carbonate, round(coalesce(clastic, 0), 6) AS clastic, dominant, CASE WHEN carbonate >= 0.3 THEN 1.0 WHEN carbonate >= 0.1 THEN 0.5 ELSE 0.0 END::DOUBLE AS karst_step FROM s JOIN d USING (basin)")
 def i6(spark, d):
     return B.lithology(cells(spark, d), "basin", "code", {"carbonate": [0, 1], "clastic": [2, 3, 4]}, "carbonate")
 

@@ -71,7 +71,7 @@ def a13(spark, d):
 
 @query("b6_quality_label", f"""WITH n AS (SELECT doc_id, {norm('text')} AS n, doc_id % 11 = 0 AS nodate, CASE WHEN doc_id % 3 = 0 THEN true WHEN doc_id % 3 = 1 THEN false END AS down, CASE WHEN doc_id % 50 = 7 THEN 'invalid' END AS over FROM documents),
   h AS (SELECT *, contains(n, 'license') OR contains(n, 'version') AS bad, contains(n, 'the') OR contains(n, 'eau') AS good FROM n), l AS (SELECT *, CASE WHEN over IS NOT NULL THEN over WHEN nodate THEN 'uncertain' WHEN bad THEN 'invalid' WHEN down THEN 'valid' WHEN down IS NOT NULL THEN CASE WHEN good THEN 'valid' ELSE 'invalid' END ELSE CASE WHEN good THEN 'valid' ELSE 'uncertain' END END AS label FROM h)
-  SELECT doc_id, label, CASE label WHEN 'valid' THEN 1.0 WHEN 'uncertain' THEN 0.5 ELSE 0.0 END AS score, array_to_string(list_filter([CASE WHEN over IS NOT NULL THEN 'manual_override' END, CASE WHEN nodate THEN 'missing_date' END, CASE WHEN bad THEN 'invalid_comment' END, CASE WHEN down THEN 'descended' END, CASE WHEN good THEN 'hydrology_comment' END], lambda x: x IS NOT NULL), ',') AS reasons FROM l""")
+  SELECT doc_id, label, CASE label WHEN 'valid' THEN 1.0 WHEN 'uncertain' THEN 0.5 ELSE 0.0 END::DOUBLE AS score, array_to_string(list_filter([CASE WHEN over IS NOT NULL THEN 'manual_override' END, CASE WHEN nodate THEN 'missing_date' END, CASE WHEN bad THEN 'invalid_comment' END, CASE WHEN down THEN 'descended' END, CASE WHEN good THEN 'hydrology_comment' END], lambda x: x IS NOT NULL), ',') AS reasons FROM l""")
 def b6(spark, d):
     k = F.col("doc_id")
     q = C.quality_label(F.when(k % 11 != 0, F.lit(1)), F.when(k % 3 == 0, True).when(k % 3 == 1, False), F.when(k % 50 == 7, "invalid"), F.col("text"), ["license", "version"], ["the", "eau"])

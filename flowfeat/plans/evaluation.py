@@ -198,7 +198,7 @@ def d16(spark, d):
     return P.label_crosstab(obs(spark, d), "date", "bucket")
 
 
-@query("d17_same_day_conflicts", f"WITH {OBS}, g AS (SELECT count(*) AS n, count(DISTINCT bucket) AS k FROM obs WHERE bucket IS NOT NULL GROUP BY grp, date) SELECT count(*) AS groups, count(*) FILTER (k > 1) AS conflicting, sum(CASE WHEN k > 1 THEN n ELSE 0 END) AS rows_involved FROM g")
+@query("d17_same_day_conflicts", f"WITH {OBS}, g AS (SELECT count(*) AS n, count(DISTINCT bucket) AS k FROM obs WHERE bucket IS NOT NULL GROUP BY grp, date) SELECT count(*) AS groups, count(*) FILTER (k > 1) AS conflicting, sum(CASE WHEN k > 1 THEN n ELSE 0 END)::BIGINT AS rows_involved FROM g")
 def d17(spark, d):
     return P.same_day_conflicts(obs(spark, d), ["grp", "date"], "bucket")
 

@@ -253,7 +253,7 @@ def h23(spark, d):
     return table(spark, d, "events").select("event_id", text.parse_osm_tags(made).alias("m")).select("event_id", F.col("m")["k"].alias("k"), F.col("m")["kind"].alias("kind"))
 
 
-@query("h24_numbers_times", "SELECT p_partkey, p_size + 0.5 AS number, (60 * (p_size % 9) + p_partkey % 60)::INT AS minutes FROM part")
+@query("h24_numbers_times", "SELECT p_partkey, (p_size + 0.5)::DOUBLE AS number, (60 * (p_size % 9) + p_partkey % 60)::INT AS minutes FROM part")
 def h24(spark, d):
     s, k = F.col("p_size"), F.col("p_partkey")
     number = F.concat(F.lit("env. "), s.cast("string"), F.lit(",5 m"))

@@ -66,7 +66,7 @@ def frame(n):
     return f"OVER (PARTITION BY target ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
 
 
-@query("e2_trailing_stats", f"WITH {WX} SELECT target, date, coalesce(max(temp) {frame(7)}, 0) AS temp_max_7, sum(CASE WHEN temp >= 0.1 THEN 1 ELSE 0 END) {frame(7)} AS temp_wet_7, round(avg(temp) {frame(7)}, 4) AS temp_mean_7, round(sum(greatest(temp, 0)) {frame(7)}, 4) AS temp_positive_7 FROM wx")
+@query("e2_trailing_stats", f"WITH {WX} SELECT target, date, coalesce(max(temp) {frame(7)}, 0) AS temp_max_7, (sum(CASE WHEN temp >= 0.1 THEN 1 ELSE 0 END) {frame(7)})::BIGINT AS temp_wet_7, round(avg(temp) {frame(7)}, 4) AS temp_mean_7, round(sum(greatest(temp, 0)) {frame(7)}, 4) AS temp_positive_7 FROM wx")
 def e2(spark, d):
     return S.trailing_features(wx(spark, d), ["target"], "date", {}, {"temp": [7]}).select("target", "date", "temp_max_7", "temp_wet_7", "temp_mean_7", "temp_positive_7")
 
