@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowfeat.llm._spark import table
-from flowfeat.llm._text import slices
+from flowfeat.llm._text import release, slices
 
 ORDER, SAMPLE, SAMPLE_BYTES, MIN_COUNT = 3, 600, 20_000, 2
 UNKNOWN = "und"
@@ -172,7 +172,9 @@ def language_id(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Trees:
     """Trees from the documents whose crc32(id as text) mod 4 is not 2."""
-    return train(sample(docs.filter(F.crc32(F.col(id_col).cast("string")) % 4 != 2), id_col, text_col, lang_col) or {UNKNOWN: [b" "]})
+    trees = train(sample(docs.filter(F.crc32(F.col(id_col).cast("string")) % 4 != 2), id_col, text_col, lang_col) or {UNKNOWN: [b" "]})
+    release()
+    return trees
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

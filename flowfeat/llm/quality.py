@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowfeat.llm._spark import table
-from flowfeat.llm._text import flat, mix, runs, slices, span_hashes, word_points
+from flowfeat.llm._text import flat, mix, release, runs, slices, span_hashes, word_points
 
 BUCKETS, SAMPLE, SAMPLE_CHARS, SMOOTH, COST, ROUNDS, THRESHOLD = 1 << 18, 5_000, 20_000, 1.0, 0.1, 12, 0.3
 LONGEST_SHAPE = 4
@@ -165,7 +165,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter((F.length("text") <= most_chars))
     rows = texts.join(F.broadcast(drawn), "id").select("id", "text", "y").collect()  # at most sample ids were drawn
     rows = sorted({(r["id"], r["text"], r["y"]) for r in rows})[:sample]
-    return train([r[1] for r in rows], [r[2] for r in rows])
+    model = train([r[1] for r in rows], [r[2] for r in rows])
+    release()
+    return model
 
 
 def quality_scores(docs: DataFrame, model: Scorer, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
