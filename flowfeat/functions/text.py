@@ -103,7 +103,7 @@ def parse_cotation(c: Column) -> Column:
 
 def administrative_tokens(c: Column) -> Column:
     """Parts between commas and semicolons, trimmed, distinct in order."""
-    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "[,;]"), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "[,;]"), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def normalize_country(c: Column, codes: dict[str, str]) -> Column:

@@ -176,7 +176,7 @@ def d5(spark, d):
     return c.groupBy("conv_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n\n")).alias("md5"))
 
 
-@query("k1_temporal_split", f"WITH {OBS}, r AS (SELECT observation_id, row_number() OVER (ORDER BY date, observation_id) - 1 AS k, count(*) OVER () AS n FROM obs) SELECT observation_id, CASE WHEN k >= n - floor(n * 0.2) THEN 'test' WHEN k >= n - floor(n * 0.2) - floor(n * 0.1) THEN 'calibration' ELSE 'train' END AS split FROM r")
+@query("k1_temporal_split", f"WITH {OBS}, r AS (SELECT observation_id, row_number() OVER (ORDER BY date, observation_id) - 1 AS k, count(*) OVER () AS n FROM obs) SELECT observation_id, CASE WHEN k >= n - floor(n * 0.2::DOUBLE) THEN 'test' WHEN k >= n - floor(n * 0.2::DOUBLE) - floor(n * 0.1::DOUBLE) THEN 'calibration' ELSE 'train' END AS split FROM r")
 def k1(spark, d):
     return H.temporal_split(obs(spark, d), 0.2, 0.1).select("observation_id", "split")
 
@@ -184,7 +184,7 @@ def k1(spark, d):
 UNIT = "('0x' || substr(sha1('{seed}:' || {key}), 1, 12))::BIGINT::DOUBLE / 281474976710655"
 
 
-@query("k2_cold_site_split", f"WITH {OBS}, s AS (SELECT site, count(*) AS n, {UNIT.format(seed='7', key='site')} AS u FROM obs GROUP BY 1), b AS (SELECT site, coalesce(sum(n) OVER (ORDER BY u, site ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, sum(n) OVER () AS t FROM s) SELECT observation_id, CASE WHEN b < t * 0.2 THEN 'test' WHEN b < t * (0.2 + 0.1) THEN 'calibration' ELSE 'train' END AS split FROM obs JOIN b USING (site)")
+@query("k2_cold_site_split", f"WITH {OBS}, s AS (SELECT site, count(*) AS n, {UNIT.format(seed='7', key='site')} AS u FROM obs GROUP BY 1), b AS (SELECT site, coalesce(sum(n) OVER (ORDER BY u, site ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, sum(n) OVER () AS t FROM s) SELECT observation_id, CASE WHEN b < t * 0.2::DOUBLE THEN 'test' WHEN b < t * (0.2::DOUBLE + 0.1::DOUBLE) THEN 'calibration' ELSE 'train' END AS split FROM obs JOIN b USING (site)")
 def k2(spark, d):
     return H.cold_entity_split(obs(spark, d), text.stable_unit("7", F.col("site")), 0.2, 0.1).select("observation_id", "split")
 
