@@ -233,6 +233,42 @@ def test_verbatim_leaks_are_found(spark, duck):
     assert want <= got and len(got - want) <= 2
 
 
+@pytest.mark.parametrize("n_items", [40, 400])
+def test_verbatim_items_of_every_length_are_found(spark, small, n_items):
+    from flowfeat.llm.decontaminate import contamination
+
+    rng = np.random.default_rng(3)
+    vocabulary = sorted({w for t in small["text"] if t for w in t.split() if w.isalpha()})
+    items = [(i, " ".join(rng.choice(vocabulary, 1 + i % 40)) if i % 40 else f"lone{i}x") for i in range(n_items)]
+    hosts = [t.split() for t in small["text"] if t and 300 < len(t) < 4000]
+    texts = []
+    for _, t in items:
+        host = hosts[rng.integers(len(hosts))]
+        at = int(rng.integers(len(host)))
+        texts.append(" ".join([*host[:at], t, *host[at:]]))
+    got = {(r["doc_id"], r["item_id"]): r for r in contamination(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"), sample=20).collect()}
+    assert [i for i, _ in items if (i, i) not in got] == []
+    assert all(got[i, i]["share"] == 1 and got[i, i]["kind"] == "copy" for i, _ in items)
+
+
+def test_short_items_with_replaced_words_are_found(spark, small):
+    from flowfeat.llm.decontaminate import contamination
+
+    rng = np.random.default_rng(4)
+    vocabulary = sorted({w for t in small["text"] if t for w in t.split() if w.isalpha()})
+    hosts = [t.split() for t in small["text"] if t and 300 < len(t) < 4000]
+    items, texts = [], []
+    for i in range(120):
+        item = [str(w) for w in rng.choice(vocabulary, 8 + i % 24)]
+        near = [f"zz{i}" if k == len(item) // 2 else w for k, w in enumerate(item)]
+        host = hosts[rng.integers(len(hosts))]
+        at = int(rng.integers(len(host)))
+        items.append((i, " ".join(item)))
+        texts.append(" ".join([*host[:at], *near, *host[at:]]))
+    got = {(r["doc_id"], r["item_id"]) for r in contamination(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"), sample=20).collect()}
+    assert sum((i, i) in got for i in range(120)) >= 118
+
+
 # 7: licenses
 
 
