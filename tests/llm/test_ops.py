@@ -251,6 +251,34 @@ def test_verbatim_items_of_every_length_are_found(spark, small, n_items):
     assert all(got[i, i]["share"] == 1 and got[i, i]["kind"] == "copy" for i, _ in items)
 
 
+def test_axes_come_from_all_passages(spark, monkeypatch):
+    from flowfeat.llm import decontaminate as D
+
+    monkeypatch.setattr(D, "EXTRA", 0)
+    rng = np.random.default_rng(6)
+    common = [f"w{k}" for k in range(60)]
+    texts = [" ".join(rng.choice(common, 90)) for _ in range(500)] + [" ".join(f"rare{k}" for k in rng.permutation(32)) for _ in range(60)] + [None, ""]
+    items = spark.createDataFrame([(1, " ".join(rng.choice(common, 40)))], "item_id long, text string")
+    rows = D.word_buckets(docs(spark, texts), items.select("text"), "text")
+    idf = D.inverse_frequency(rows)
+    got = D.latent_terms(rows, idf, 8) / idf[:, None]
+    n_words = {True: 40, False: sum(len(t.split()) for t in texts if t)}
+    gram = np.zeros((D.BUCKETS, 8))
+    a = []
+    for t, item in [*((t, False) for t in texts if t), *((r["text"], True) for r in items.collect())]:
+        h, off = D.words([t])
+        b = D.buckets(h)
+        for s, e in zip(*D.passages(h, off, 32, 8 if item else 32)):
+            row = np.bincount(b[s:e], minlength=D.BUCKETS) * idf
+            a.append(row / np.linalg.norm(row) * (1 if item else np.sqrt(n_words[True] / n_words[False])))
+    a = np.array(a)
+    q = np.linalg.qr(np.random.default_rng(5).standard_normal((D.BUCKETS, 8), np.float32))[0].astype(float)
+    for k in range(D.POWER + 1):
+        gram = a.T @ (a @ q)
+        q = np.linalg.qr(gram)[0] if k < D.POWER else q
+    assert np.abs(got @ got.T @ q - q).max() < 1e-3  # the same space
+
+
 def test_short_items_with_replaced_words_are_found(spark, small):
     from flowfeat.llm.decontaminate import contamination
 
