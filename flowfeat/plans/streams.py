@@ -13,13 +13,30 @@ from flowfeat.sources.shared import cut, shared_dir
 from flowfeat.streaming import activity as A
 
 
+PER_FILE = 250_000
+
+
 def source(spark: SparkSession, d: str, parts: int = 4) -> DataFrame:
     """The events in order of time, as a folder of files that a stream reads one by one."""
-    e = ev(spark, d)
+    return replayed(spark, ev(spark, d), parts)
+
+
+def replayed(spark: SparkSession, e: DataFrame, parts: int = 4, per_file: int = PER_FILE) -> DataFrame:
+    """All rows of e as a stream: ``parts`` windows of equal length from the first to the last time, rows without a time in the first.
+
+    Each window is written by ranges of time in files of at most ``per_file`` rows, so batches grow in number, not in size.
+    """
     path = f"{shared_dir(spark)}/events-{uuid.uuid4().hex}"
-    for k, (a, b) in enumerate(zip([0, 8, 16, 24][:parts], [8, 16, 24, 99])):
-        day = F.datediff("ts", F.lit("2024-01-01"))
-        e.filter((day >= a) & (day < b)).coalesce(1).write.mode("append").parquet(path)
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = e.agg(F.min(at), F.max(at)).first()
+    width = ((high or 0) - (low or 0)) // parts + 1
+    part = F.coalesce(F.floor((at - F.lit(low or 0)) / F.lit(width)), F.lit(0))
+    sizes = {r["part"]: r["n"] for r in e.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
+    for k in sorted(sizes):
+        rows = e.filter(part == k).repartitionByRange(-(-sizes[k] // per_file), "ts").sortWithinPartitions("ts")
+        rows.write.mode("append").option("maxRecordsPerFile", per_file).parquet(path)
+    if not sizes:
+        e.write.parquet(path)
     return A.read_events(spark, path, e.schema)
 
 

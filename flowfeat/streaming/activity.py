@@ -29,15 +29,25 @@ def read_events(spark: SparkSession, path: str, schema, per_batch: int = 1) -> D
 
 
 def detect_new(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One key's step: the first batch fills the seen list silently, later unseen markers come out; the list holds the newest ``SEEN``."""
+    """One key's step: the first batch fills the seen list silently, later unseen markers come out; the list holds the newest ``SEEN``.
+
+    Arrow batches are taken one by one; what is held besides is the seen list, the newest ``SEEN`` rows and the step's new
+    markers. Of a marker that several Arrow batches of a step repeat, the row that is read first comes out.
+    """
     seeded = state.exists
     seen: list[str] = list(state.get[0]) if seeded else []
-    rows = pd.concat(list(batches)).sort_values(["ts", "marker"]).drop_duplicates("marker")
-    known = set(seen)
-    new = rows[~rows["marker"].isin(known)]
-    state.update(([*seen, *new["marker"]][-SEEN:],))
-    out = new if seeded else new.iloc[:0]
-    yield out.assign(key=key[0])[["key", "marker", "ts"]]
+    known, done = set(seen), set()
+    newest = None
+    for rows in batches:
+        rows = rows.sort_values(["ts", "marker"]).drop_duplicates("marker")
+        new = rows[~rows["marker"].isin(known)]
+        newest = new if newest is None else pd.concat([newest, new])
+        newest = newest.sort_values(["ts", "marker"]).drop_duplicates("marker", keep="first").tail(SEEN)
+        if seeded:
+            new = new[~new["marker"].isin(done)]
+            done.update(new["marker"])
+            yield new.assign(key=key[0])[["key", "marker", "ts"]]
+    state.update(([*seen, *([] if newest is None else newest["marker"])][-SEEN:],))
 
 
 def new_items(events: DataFrame, key: str, marker: str) -> DataFrame:

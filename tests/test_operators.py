@@ -162,3 +162,36 @@ def test_first_sync_seeds_silently(spark, tmp_path):
     s = A.new_items(A.read_events(spark, src, spark.createDataFrame([], schema).schema), "user_id", "event_id")
     s.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
     assert sorted(r["marker"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["12", "21"]
+
+
+def test_streams_hold_all_events(spark):
+    from flowfeat.plans.streams import replayed, run
+
+    days = ["2023-06-01", "2024-01-03", None, "2024-02-01", "2025-09-09"]
+    e = spark.createDataFrame([(i, days[i % 5]) for i in range(50)], "event_id long, ts string").withColumn("ts", F.to_timestamp_ntz("ts"))
+    got = run(spark, replayed(spark, e, per_file=7), "all-events").select("event_id", F.input_file_name().alias("f")).collect()
+    assert sorted(r["event_id"] for r in got) == list(range(50))
+    assert run(spark, replayed(spark, e.limit(0)), "no-events").count() == 0
+
+
+def test_new_items_fold_batches():
+    import pandas as pd
+
+    from flowfeat.streaming.activity import detect_new
+
+    class State:
+        exists, get = True, (["m1"],)
+
+        def update(self, x):
+            self.get = x
+
+    def batches():
+        for k in range(40):
+            assert k < 2 or got, "nothing came out before all batches were read"
+            yield pd.DataFrame({"marker": [f"m{k}", f"m{k + 1}"], "ts": pd.to_datetime(["2024-01-01", "2024-01-02"]) + pd.Timedelta(days=k)})
+
+    state, got = State(), []
+    for out in detect_new(("u",), batches(), state):
+        got += out["marker"].tolist()
+    assert sorted(got) == sorted(f"m{k}" for k in range(41) if k != 1)
+    assert state.get[0][-1] == "m40" and len(state.get[0]) <= 50
