@@ -159,21 +159,28 @@ def nearby(catalog: DataFrame, lat: float, lon: float, km: float) -> DataFrame:
     box = F.col("lat").between(lat - dlat, lat + dlat)
     if abs(lat) + dlat < 89:
         dlon = dlat / math.cos(math.radians(abs(lat) + dlat))
-        box = box & F.col("lon").between(lon - dlon, lon + dlon)
+        box = box & (F.abs(F.pmod(F.col("lon") - lon + 180, F.lit(360.0)) - 180) <= dlon)
     return catalog.filter(box).withColumn("km", geo.haversine(F.col("lat"), F.col("lon"), F.lit(lat), F.lit(lon))).filter(F.col("km") <= km)
 
 
 def near_pairs(a: DataFrame, b: DataFrame, km: float, ident: str) -> DataFrame:
-    """C15 of two tables: pairs within a distance. Points meet by cells of the distance's height; the second table goes to its own and the cells around.
+    """C15 of two tables: pairs within a distance, all around the globe. Points meet by cells of the distance's height; the second table goes to all cells that the circle around a point may touch.
 
-    East-west neighbours span as many cells as the distance has degrees at the cell row's far edge, so no pair is lost up to 85 degrees.
+    Each row of cells is cut into as many as are at least as wide as the distance at its edge towards the pole, so they wrap at the
+    180th meridian, and the rows at the poles have few. A circle's longitudes are bounded by the sine rule; one with a pole in it has all.
     """
-    step = km / 111.0
-    cell = lambda lat, lon: (F.floor(F.col(lat) / step).alias("cy"), F.floor(F.col(lon) / step).alias("cx"))
-    left = a.select(F.col(ident).alias("a"), F.col("lat").alias("alat"), F.col("lon").alias("alon"), *cell("lat", "lon"))
-    wide = F.ceil(1.02 / F.cos(F.radians(F.least(F.lit(85.0), F.abs(F.col("lat")) + step)))).cast("int")
-    right = b.select(F.col(ident).alias("b"), F.col("lat").alias("blat"), F.col("lon").alias("blon"), F.explode(F.sequence(F.lit(-1), F.lit(1))).alias("dy"), F.sequence(-wide, wide).alias("w"))
-    right = right.select("b", "blat", "blon", (F.floor(F.col("blat") / step) + F.col("dy")).alias("cy"), F.explode("w").alias("dx")).withColumn("cx", F.floor(F.col("blon") / step) + F.col("dx")).drop("dx")
+    step, turn = km / 111.0, km / geo.EARTH_KM
+    row = lambda lat: F.floor(F.col(lat) / step)
+    edge = F.least(F.lit(90.0), F.greatest(F.abs(F.col("cy") * step), F.abs((F.col("cy") + 1) * step)))
+    around = F.greatest(F.lit(1), F.floor(360.0 / step * F.cos(F.radians(edge)))).cast("long")
+    at = lambda lon: F.floor((lon + 180) / 360 * F.col("n"))
+    left = a.select(F.col(ident).alias("a"), F.col("lat").alias("alat"), F.col("lon").alias("alon"), row("lat").alias("cy")).withColumn("n", around).withColumn("cx", F.pmod(at(F.col("alon")), F.col("n"))).drop("n")
+    near_pole = F.radians(F.abs(F.col("blat"))) + turn >= 1.5707
+    wide = F.when(near_pole, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.lit(min(turn, 1.5707))) / F.cos(F.radians("blat"))))) * 1.0001 + 1e-9)
+    right = b.select(F.col(ident).alias("b"), F.col("lat").alias("blat"), F.col("lon").alias("blon"), F.explode(F.sequence(row("lat") - 1, row("lat") + 1)).alias("cy"))
+    right = right.withColumns({"n": around, "wide": wide}).withColumns({"west": at(F.col("blon") - F.col("wide")), "east": at(F.col("blon") + F.col("wide"))})
+    cells = F.when(F.col("east") - F.col("west") + 1 >= F.col("n"), F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).otherwise(F.sequence("west", "east"))
+    right = right.select("b", "blat", "blon", "cy", "n", F.explode(cells).alias("x")).select("b", "blat", "blon", "cy", F.pmod("x", F.col("n")).alias("cx"))
     out = left.join(right, ["cy", "cx"]).withColumn("km", geo.haversine(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon")))
     return out.filter(F.col("km") <= km).select("a", "b", "km")
 

@@ -195,3 +195,21 @@ def test_new_items_fold_batches():
         got += out["marker"].tolist()
     assert sorted(got) == sorted(f"m{k}" for k in range(41) if k != 1)
     assert state.get[0][-1] == "m40" and len(state.get[0]) <= 50
+
+
+def test_near_pairs_at_the_date_line_and_the_poles(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    lat = np.concatenate((rng.uniform(-90, 90, 300), rng.uniform(84, 90, 60), rng.uniform(-90, -84, 60), rng.uniform(-40, 40, 80), [90, -90]))
+    lon = np.concatenate((rng.uniform(-180, 180, 420), np.tile([179.5, -179.5], 40) + rng.uniform(-0.5, 0.5, 80), [0, 180]))
+    rows = [(i, float(y), float(x)) for i, (y, x) in enumerate(zip(lat, lon))]
+    p = spark.createDataFrame(rows, "id long, lat double, lon double")
+    y, x = np.radians(lat), np.radians(lon)
+    h = np.sin((y[:, None] - y) / 2) ** 2 + np.cos(y)[:, None] * np.cos(y) * np.sin((x[:, None] - x) / 2) ** 2
+    far = 12742.0 * np.arcsin(np.sqrt(np.minimum(h, 1)))
+    for km in (400.0, 3000.0):
+        got = [(r["a"], r["b"]) for r in C.near_pairs(p.filter("id % 2 = 0"), p.filter("id % 2 = 1"), km, "id").collect()]
+        assert sorted(got) == [(i, j) for i, j in np.argwhere(far <= km).tolist() if i % 2 == 0 and j % 2 == 1]
+    edge = 12742.0 * np.arcsin(np.sqrt(np.sin(np.radians(lat - 10) / 2) ** 2 + np.cos(y) * np.cos(np.radians(10)) * np.sin(np.radians(lon - 179) / 2) ** 2))
+    assert sorted(r["id"] for r in C.nearby(p, 10.0, 179.0, 900.0).collect()) == np.flatnonzero(edge <= 900).tolist()
