@@ -14,8 +14,8 @@ from flowfeat.llm._spark import cut, table
 from flowfeat.operators.graph import components
 
 COSINE, CODES, SAMPLE, RECALL, BLOCK = 0.93, 24, 20_000, 0.999, 1_500
-#: Least share of the squared reach that the traversal goes through, and rows of the sample whose own links may raise it.
-LEAST, PROBE = 0.12, 4_000
+#: Rows of the sample whose links among all rows set the traversal's depth, links that must lie beyond it at least for that, and steps of the squared reach.
+PROBE, BEYOND, BINS = 4_000, 10, 4_096
 
 
 def codebook(x: np.ndarray, codes: int, rounds: int = 12) -> np.ndarray:
@@ -56,18 +56,29 @@ def bounds(u: np.ndarray, books: tuple[np.ndarray, np.ndarray]) -> list[np.ndarr
     return out
 
 
-def depth(u: np.ndarray, labels: np.ndarray, books: tuple[np.ndarray, np.ndarray], cosine: float, recall: float) -> float:
-    """How far the traversal must go: the bound under which the cells of ``recall`` of the linked pairs among rows u lie, and a quarter more.
+def link_bounds(u: np.ndarray, labels: np.ndarray, ids: np.ndarray, probe: tuple[np.ndarray, np.ndarray, np.ndarray], books: tuple[np.ndarray, np.ndarray], cosine: float) -> np.ndarray:
+    """Counts, by step of the squared reach, of the bounds at which the probe's unit vectors (vectors, labels, ids) would visit the cells of rows u that they link with; no row links with itself."""
+    p, p_labels, p_ids = probe
+    first, second = bounds(p, books)
+    own = [nearest(h, k).argmin(1) for h, k in zip((u[:, : u.shape[1] // 2], u[:, u.shape[1] // 2 :]), books)]
+    total = np.zeros(BINS, np.int64)
+    for i in range(0, len(u), 512):
+        a, b = np.nonzero((p @ u[i : i + 512].T >= cosine) & (p_labels[:, None] == labels[None, i : i + 512]) & (p_ids[:, None] != ids[None, i : i + 512]))
+        far = first[a, own[0][i + b]] + second[a, own[1][i + b]]
+        total += np.bincount(np.minimum(far / (2 - 2 * cosine) * BINS, BINS - 1).astype(np.int64), minlength=BINS)
+    return total
+
 
-    It is never under ``LEAST`` of the squared reach. All of the squared reach would find every pair, as the bounds are exact;
-    but two vectors differ in all directions at once, and hardly ever by their whole distance across one border.
+def depth(counts: np.ndarray, cosine: float, recall: float) -> float:
+    """How far the traversal must go: the bound under which the cells of ``recall`` of the counted links lie, and a quarter more.
+
+    With so few links that fewer than ``BEYOND`` would lie beyond it, it is all of the squared reach, which finds every pair, as the bounds are exact.
     """
-    first, second = bounds(u, books)
-    own = [nearest(h, k).argmin(1) for h, k in zip((u[:, : u.shape[1] // 2], u[:, u.shape[1] // 2 :]), books)]
-    a, b = np.nonzero((u @ u.T >= cosine) & (labels[:, None] == labels[None]))
-    far = first[a, own[0][b]] + second[a, own[1][b]]
-    reach = 2 - 2 * cosine
-    return float(min(reach, max(LEAST * reach, 1.25 * np.quantile(far, recall) if len(far) else 0))) + 1e-9
+    reach, n = 2 - 2 * cosine, int(counts.sum())
+    if n * (1 - recall) < BEYOND:
+        return reach + 1e-9
+    k = int(np.searchsorted(np.cumsum(counts), recall * n))
+    return min(reach, 1.25 * (k + 1) / BINS * reach) + 1e-9
 
 
 def traversal(u: np.ndarray, books: tuple[np.ndarray, np.ndarray], limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,8 +135,8 @@ def vector_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     once. Ids are integers; rows with a null id are left out, and of rows that repeat an id the first vector counts.
 
     The index: each half of the unit vectors has its own codebook, fitted on at most ``sample`` vectors of least hash,
-    and a cell is a pair of codes under a label. Each vector lives in one cell and visits the nearest ones until the sample's
-    links are found with the target recall; every visited vector is compared exactly, and each directed link once. Links
+    and a cell is a pair of codes under a label. Each vector lives in one cell and visits the nearest ones until the links of
+    ``PROBE`` of the sample with all rows are found with the target recall; every visited vector is compared exactly, and each directed link once. Links
     missed from one side only are not mended. Crowded cells are split into pairs of blocks.
     """
     finite = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(1e150)))
@@ -140,10 +151,27 @@ def vector_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     n = groups.count()
     share = min(1.0, 1.2 * sample / max(n, 1) + 1e-9)
     most = int(-(1 << 63) + share * ((1 << 64) - 1025))
-    drawn = groups.filter(F.col("h") <= F.lit(most)).select("h", "label", "v").toPandas().sort_values("h").head(sample)
+    drawn = groups.filter(F.col("h") <= F.lit(most)).select("h", "label", "v", "id").toPandas().sort_values("h").head(sample)
     x = _units(np.array(drawn["v"].tolist(), np.float64).reshape(-1, size)) if len(drawn) else np.zeros((0, size))
     books = (codebook(x[:, : size // 2], codes), codebook(x[:, size // 2 :], codes))
-    limit = depth(x[:PROBE], drawn["label"].to_numpy()[:PROBE], books, cosine, recall) if len(x) else 0.0
+    probe = (x[:PROBE], drawn["label"].to_numpy()[:PROBE], drawn["id"].to_numpy()[:PROBE])
+
+    def links_of_probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BINS, np.int64)
+        for b in batches:
+            if b.num_rows:
+                u = _units(b.column("v").flatten().to_numpy().astype(np.float64).reshape(b.num_rows, -1))
+                total += link_bounds(u, b.column("label").to_numpy(), b.column("id").to_numpy(), held.value, books, cosine)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], names=["bin", "n"])
+
+    counts = np.zeros(BINS, np.int64)
+    if len(x):
+        held = vectors.sparkSession.sparkContext.broadcast(probe)
+        for r in groups.select("id", "label", "v").mapInArrow(links_of_probe, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
+            counts[r["bin"]] = r["n"]
+        held.destroy()
+    limit = depth(counts, cosine, recall)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

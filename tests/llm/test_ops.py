@@ -210,6 +210,23 @@ def test_line_dedup_edges(spark):
     assert line_dedup(twice.union(twice).union(twice)).filter("n_dropped > 0").isEmpty()  # four documents, however often
 
 
+def test_few_links_are_all_found(spark):
+    from flowfeat.llm.vector_dedup import vector_dedup
+
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((4000, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    side = rng.standard_normal((300, 16))
+    side -= (side * x[:300]).sum(1)[:, None] * x[:300]
+    y = 0.94 * x[:300] + np.sqrt(1 - 0.94**2) * side / np.linalg.norm(side, axis=1)[:, None]
+    v = np.concatenate((x, y))
+    df = spark.createDataFrame([(i, 1, r.tolist()) for i, r in enumerate(v)], "vec_id long, label long, embedding array<double>")
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    want = (u @ u.T >= 0.93).sum(1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in vector_dedup(df).collect()}
+    assert [got[i] for i in range(len(v))] == want.tolist()
+
+
 # 6: decontamination
 
 
