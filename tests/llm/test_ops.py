@@ -238,10 +238,10 @@ def test_decontamination(spark, small):
     para = item.replace("stand", "rest").replace("long", "thin").replace("cold", "icy")
     texts = [*clean, clean[0] + " " + item.upper() + " " + clean[1], clean[2] + "\n" + para + "\n" + clean[3], None, "", item]
     bench = spark.createDataFrame([(7, item), (8, "too short"), (9, None), (None, item)], "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]): r["kind"] for r in contamination(docs(spark, texts).withColumn("share", F.lit(0)), bench, sample=20).collect()}
+    got = {(r["doc_id"], r["item_id"]): r["kind"] for r in contamination(docs(spark, texts).withColumn("share", F.lit(0)), bench).collect()}
     assert got == {(40, 7): "copy", (41, 7): "copy", (44, 7): "copy"}
-    assert contamination(docs(spark, []), bench, sample=20).count() == 0
-    assert contamination(docs(spark, texts[:3]), bench.limit(0), sample=20).count() == 0
+    assert contamination(docs(spark, []), bench).count() == 0
+    assert contamination(docs(spark, texts[:3]), bench.limit(0)).count() == 0
 
 
 def test_verbatim_leaks_are_found(spark, duck):
@@ -263,37 +263,103 @@ def test_verbatim_items_of_every_length_are_found(spark, small, n_items):
         host = hosts[rng.integers(len(hosts))]
         at = int(rng.integers(len(host)))
         texts.append(" ".join([*host[:at], t, *host[at:]]))
-    got = {(r["doc_id"], r["item_id"]): r for r in contamination(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"), sample=20).collect()}
+    got = {(r["doc_id"], r["item_id"]): r for r in contamination(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert [i for i, _ in items if (i, i) not in got] == []
     assert all(got[i, i]["share"] == 1 and got[i, i]["kind"] == "copy" for i, _ in items)
 
 
-def test_axes_come_from_all_passages(spark, monkeypatch):
+def test_axes_come_from_all_passages(spark):
+    """The sketch holds every passage of every document, and its axes span what the passages span."""
     from flowfeat.llm import decontaminate as D
 
-    monkeypatch.setattr(D, "EXTRA", 0)
     rng = np.random.default_rng(6)
-    common = [f"w{k}" for k in range(60)]
-    texts = [" ".join(rng.choice(common, 90)) for _ in range(500)] + [" ".join(f"rare{k}" for k in rng.permutation(32)) for _ in range(60)] + [None, ""]
-    items = spark.createDataFrame([(1, " ".join(rng.choice(common, 40)))], "item_id long, text string")
-    rows = D.word_buckets(docs(spark, texts), items.select("text"), "text")
-    idf = D.inverse_frequency(rows)
-    got = D.latent_terms(rows, idf, 8) / idf[:, None]
-    n_words = {True: 40, False: sum(len(t.split()) for t in texts if t)}
-    gram = np.zeros((D.BUCKETS, 8))
-    a = []
-    for t, item in [*((t, False) for t in texts if t), *((r["text"], True) for r in items.collect())]:
-        h, off = D.words([t])
-        b = D.buckets(h)
-        for s, e in zip(*D.passages(h, off, 32, 8 if item else 32)):
-            row = np.bincount(b[s:e], minlength=D.BUCKETS) * idf
-            a.append(row / np.linalg.norm(row) * (1 if item else np.sqrt(n_words[True] / n_words[False])))
-    a = np.array(a)
-    q = np.linalg.qr(np.random.default_rng(5).standard_normal((D.BUCKETS, 8), np.float32))[0].astype(float)
-    for k in range(D.POWER + 1):
-        gram = a.T @ (a @ q)
-        q = np.linalg.qr(gram)[0] if k < D.POWER else q
-    assert np.abs(got @ got.T @ q - q).max() < 1e-3  # the same space
+    topics = [[f"w{k}x{j}" for j in range(12)] for k in range(5)]
+    texts = [" ".join(rng.choice(topics[i % 5], 90)) for i in range(300)] + ["other words only", None, ""]
+    items = [" ".join(t) for t in topics]
+    vocabulary = np.unique(D.words(items)[0])
+    rows = D.coded(docs(spark, texts), "doc_id", "text", vocabulary)
+    known = D.statistics(rows, len(vocabulary), 96)
+    plain = [[w for w in (t or "").split()] for t in texts]
+    of = {w: int(D.to_codes(D.words([w])[0], vocabulary, D.low_bits(vocabulary))[0]) for t in topics for w in t}
+    assert known.documents == len(texts) and known.occurrences.sum() == sum(map(len, plain)) and known.occurrences[0] == 3
+    for w, k in of.items():
+        assert known.occurrences[k] == sum(t.count(w) for t in plain) and known.holding[k] == sum(w in t for t in plain)
+    seeds = {r["id"]: r["seed"] for r in rows.collect()}
+    sketch = np.zeros_like(known.sketch)
+    for i, t in enumerate(plain):
+        for j in range(0, len(t), 32):
+            h = int(D.mix(D.mix(np.array([seeds[i]]).view(np.uint64)) + np.uint64(j))[0])
+            for w in t[j : j + 32]:
+                if of.get(w):
+                    sketch[h % 96, of[w] - 1] += 1 if h >> 40 & 1 else -1
+    assert (sketch == known.sketch).all()
+    idf = np.ones(len(vocabulary))
+    axes = D.unit(D.latent_terms(np.zeros_like(sketch), known.sketch, 1.0, idf, 5).astype(float))
+    own, other = [axes[[of[w] - 1 for w in t]].mean(0) for t in topics], range(5)
+    near = D.unit(np.array(own)) @ D.unit(np.array(own)).T
+    assert np.abs(near[~np.eye(5, dtype=bool)]).max() < 0.35 and all((axes[[of[w] - 1 for w in topics[k]]] @ D.unit(np.array(own))[k]).min() > 0.8 for k in other)
+
+
+def test_candidates_are_those_of_all_pairs(spark, small, duck):
+    """The bound by rare words leaves no candidate out: all passages against all items by dense products give the same."""
+    from flowfeat.llm import decontaminate as D
+
+    bench = [t for (t,) in duck.sql("SELECT text FROM benchmark ORDER BY item_id").fetchall()]
+    texts = [t for t in small["text"] if t][:120] + [bench[3] + " " + bench[5], " ".join(bench[7].split()[::2])]
+    vocabulary = np.unique(D.words(bench)[0])
+    known = D.statistics(D.coded(docs(spark, texts), "doc_id", "text", vocabulary), len(vocabulary), 288)
+    p = D.probes(list(range(len(bench))), bench, vocabulary, known, 96)
+    h, off = D.words(texts)
+    codes = D.to_codes(h, vocabulary, D.low_bits(vocabulary))
+    n_found = 0
+    for c in p.classes:
+        _, start, end = D.passages(off, c.size, c.step)
+        v = D.passage_vectors(codes, start, end, p.terms)
+        want = set()
+        for k, i in enumerate(c.items.tolist()):
+            own = slice(c.own[k], c.own[k + 1])
+            near = v @ c.vectors[own].T >= c.limit
+            words_of = set(p.words[i])
+            for s in np.flatnonzero(near.any(1)).tolist():
+                weight = sum(p.idf[x] for x in codes[start[s] : end[s]].tolist() if x in words_of)
+                if (near[s] & (weight >= D.OVERLAP * c.mass[own])).any():
+                    want.add((int(start[s]), i))
+        got = {(int(s), int(i)) for s, _, i in zip(*D.candidates(codes, off, c, p))}
+        assert got == want
+        n_found += len(want)
+    assert n_found > 10
+
+
+def test_paraphrases_are_found(spark, small, duck):
+    from flowfeat.llm.decontaminate import contamination
+
+    rng = np.random.default_rng(8)
+    bench = [(i, t) for i, t in duck.sql("SELECT item_id, text FROM benchmark").fetchall() if len(t.split()) >= 20][:60]
+    hosts = [t.split() for t in small["text"] if t and 300 < len(t) < 4000]
+    texts = []
+    for k, (_, t) in enumerate(bench):
+        last = max(t.rstrip(" .?!\n").rfind(c) for c in ".?!\n") + 1
+        body, answer = t[:last].split(), t[last:].split()
+        near = [f"qq{rng.integers(10**6)}" if rng.random() < 0.36 else w for w in body]
+        host = hosts[rng.integers(len(hosts))]
+        at = int(rng.integers(len(host)))
+        texts.append(" ".join([*host[:at], *near, *answer, *host[at:]]))
+    got = {(r["doc_id"], r["item_id"]): r for r in contamination(docs(spark, texts), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    found = [got[k, i]["kind"] for k, (i, _) in enumerate(bench) if (k, i) in got]
+    assert len(found) == len(bench) >= 30 and found.count("paraphrase") >= 5
+    assert len(got) - len(found) <= 2  # items that the hosts hold themselves
+
+
+def test_decontamination_edges(spark):
+    """Repeated rows give repeated rows, a null id stays, and a very long text is searched to its end."""
+    from flowfeat.llm.decontaminate import contamination
+
+    item = "Seven quiet painters carried the copper ladder across a frozen harbour before any sailor woke that morning."
+    long = "lorem ipsum dolor sit amet " * 200_000 + item
+    rows = [(1, item), (1, item), (None, item), (2, long)]
+    bench = spark.createDataFrame([(7, item), (7, item)], "item_id long, text string").withColumn("doc_id", F.lit(0))
+    got = contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert sorted((r["doc_id"] or 0, r["first_word"]) for r in got) == [(0, 0), (1, 0), (1, 0), (2, 1_000_000)]
 
 
 def test_short_items_with_replaced_words_are_found(spark, small):
@@ -310,7 +376,7 @@ def test_short_items_with_replaced_words_are_found(spark, small):
         at = int(rng.integers(len(host)))
         items.append((i, " ".join(item)))
         texts.append(" ".join([*host[:at], *near, *host[at:]]))
-    got = {(r["doc_id"], r["item_id"]) for r in contamination(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"), sample=20).collect()}
+    got = {(r["doc_id"], r["item_id"]) for r in contamination(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert sum((i, i) in got for i in range(120)) >= 118
 
 
