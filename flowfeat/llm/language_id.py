@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from flowfeat.llm._spark import table
 from flowfeat.llm._text import release, slices
 
-ORDER, SAMPLE, SAMPLE_BYTES, MIN_COUNT = 3, 600, 20_000, 2
+ORDER, SAMPLE, MIN_COUNT, ROWS = 3, 600, 2, 2_048
 UNKNOWN = "und"
 
 
@@ -31,60 +31,68 @@ class Trees(NamedTuple):
     bits: np.ndarray
 
 
-def _grams(data: np.ndarray, first: np.ndarray, n: int, base: int) -> np.ndarray:
-    """Packed n-grams that lie within one text."""
-    at = np.arange(n - 1, len(data))
-    at = at[at - first[at] >= n - 1]
-    g = np.zeros(len(at), np.int64)
-    for k in range(n):
-        g = g * base + data[at - (n - 1) + k]
-    return g
+def grams(texts: list[bytes], order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each n from 1 to order + 1 the distinct n-grams that lie within one text, each packed in a number, and their counts."""
+    data = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64)
+    size = np.array([len(t) for t in texts], np.int64)
+    inside = np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size)
+    out, packed = [], np.zeros(len(data), np.int64)
+    for n in range(order + 1):
+        packed = data if n == 0 else (np.concatenate((np.zeros(1, np.int64), packed[:-1])) << 8) + data
+        out.append(np.unique(packed[inside >= n], return_counts=True))
+    return out
 
 
-def train(texts: dict[str, list[bytes]], order: int = ORDER, min_count: int = MIN_COUNT) -> Trees:
-    """Context trees from sample texts of each language: counts per context of 0 to ``order`` bytes.
+def build(counts: dict[str, list[tuple[np.ndarray, np.ndarray]]], order: int = ORDER, min_count: int = MIN_COUNT) -> Trees:
+    """Context trees of each language from the counts of its 1-grams to (order + 1)-grams.
 
     Escape (method C): after a context with n symbols of d kinds an unseen one costs d / (n + d), and then what the
-    shorter context without its seen symbols gives; the last resort is uniform.
+    shorter context without its seen symbols gives; the last resort is uniform. Rows of contexts are made ``ROWS`` at a time.
     """
-    names = sorted(texts)
+    names = sorted(counts)
     seen = np.zeros(256, bool)
-    for parts in texts.values():
-        seen[np.unique(np.frombuffer(b"".join(parts), np.uint8))] = True
+    for of in counts.values():
+        seen[of[0][0]] = True
     classes = np.where(seen, np.cumsum(seen), 0).astype(np.int64)
     base = int(seen.sum()) + 1
-    streams = []
-    for name in names:
-        parts = [p for p in texts[name] if p]
-        data = classes[np.frombuffer(b"".join(parts), np.uint8)]
-        starts = np.cumsum([0, *map(len, parts)])[:-1]
-        streams.append((data, np.repeat(starts, [len(p) for p in parts])))
-    # contexts of each length that some language has seen often enough, each with its longer ones below it
+
+    def in_classes(g: np.ndarray, n: int) -> np.ndarray:
+        return sum((classes[g >> (8 * k) & 255] * base**k for k in range(n)), np.zeros(len(g), np.int64))
+
+    coded = {x: [(in_classes(g, n + 1), c) for n, (g, c) in enumerate(counts[x])] for x in names}
+    # contexts of each length that are seen often enough, each with its longer ones below it
     contexts = [np.zeros(1, np.int64)]
     for n in range(1, order + 1):
-        both = np.concatenate([_grams(d, f, n, base) for d, f in streams])
-        keys, count = np.unique(both, return_counts=True)
-        keys = keys[count >= min_count]
+        keys, back = np.unique(np.concatenate([coded[x][n - 1][0] for x in names]), return_inverse=True)
+        keys = keys[np.bincount(back, np.concatenate([coded[x][n - 1][1] for x in names]), minlength=len(keys)) >= min_count]
         contexts.append(keys[np.isin(keys % base ** (n - 1), contexts[-1])] if n > 1 else keys)
     number = np.cumsum([0, *map(len, contexts)])
     bits = np.zeros((number[-1], base, len(names)), np.float32)
-    for j, (data, first) in enumerate(streams):
+    for j, name in enumerate(names):
         shorter = np.full((1, base), 1.0 / base)
         for n in range(order + 1):
-            keys = contexts[n]
-            p = np.repeat(shorter, 1, axis=0) if n == 0 else shorter[np.searchsorted(contexts[n - 1], keys % base ** (n - 1))]
-            count = np.zeros((len(keys), base))
-            g, c = np.unique(_grams(data, first, n + 1, base), return_counts=True)
-            at = np.searchsorted(keys, g // base)
-            ok = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == g // base)
-            count[at[ok], g[ok] % base] = c[ok]
-            total, kinds = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True)
-            rest = np.where(count > 0, 0, p)
-            left = rest.sum(1, keepdims=True)
-            escape = np.where(left > 0, kinds / np.maximum(total + kinds, 1), 0)
-            here = np.where(count > 0, count / np.maximum(total + np.where(left > 0, kinds, 0), 1), escape * rest / np.maximum(left, 1e-300))
-            shorter = np.where(total > 0, here, p)
-            bits[number[n] : number[n + 1], :, j] = -np.log2(np.maximum(shorter, 1e-30))
+            keys, (g, c) = contexts[n], coded[name][n]
+            order_ = np.argsort(g)
+            g, c = g[order_], c[order_]
+            up = np.searchsorted(contexts[n - 1], keys % base ** (n - 1)) if n else np.zeros(1, np.int64)
+            here = np.zeros((len(keys), base)) if n < order else None
+            for i in range(0, len(keys), ROWS):
+                some, p = keys[i : i + ROWS], shorter[up[i : i + ROWS]]
+                lo, hi = np.searchsorted(g, (some[0] * base, (some[-1] + 1) * base))
+                at = np.minimum(np.searchsorted(some, g[lo:hi] // base), len(some) - 1)
+                ok = some[at] == g[lo:hi] // base
+                count = np.zeros((len(some), base))
+                count[at[ok], g[lo:hi][ok] % base] = c[lo:hi][ok]
+                total, kinds = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True)
+                rest = np.where(count > 0, 0, p)
+                left = rest.sum(1, keepdims=True)
+                escape = np.where(left > 0, kinds / np.maximum(total + kinds, 1), 0)
+                q = np.where(count > 0, count / np.maximum(total + np.where(left > 0, kinds, 0), 1), escape * rest / np.maximum(left, 1e-300))
+                q = np.where(total > 0, q, p)
+                bits[number[n] + i : number[n] + i + len(some), :, j] = -np.log2(np.maximum(q, 1e-30))
+                if here is not None:
+                    here[i : i + len(some)] = q
+            shorter = here
     # steps[k]: from the context of the k bytes nearest and the byte before them to the longest kept context
     steps = []
     for k in range(order):
@@ -95,6 +103,11 @@ def train(texts: dict[str, list[bytes]], order: int = ORDER, min_count: int = MI
     return Trees(names, classes, steps, bits)
 
 
+def train(texts: dict[str, list[bytes]], order: int = ORDER, min_count: int = MIN_COUNT) -> Trees:
+    """Context trees from texts at hand."""
+    return build({k: grams(v, order) for k, v in texts.items()}, order, min_count)
+
+
 def code_lengths(trees: Trees, texts: list[bytes]) -> np.ndarray:
     """Bits of each text under each language."""
     out = np.zeros((len(texts), len(trees.languages)))
@@ -126,24 +139,36 @@ def predict(trees: Trees, texts: list[str | None]) -> tuple[list[str], np.ndarra
     return [trees.languages[b] if f else UNKNOWN for b, f in zip(best, found)], np.where(found, score, 0.0)
 
 
-def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> dict[str, list[bytes]]:
-    """Whole texts for training: per language the ``per_language`` rows of least hash among those of up to ``most_bytes`` bytes.
+def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = SAMPLE) -> DataFrame:
+    """(lang, text) of about ``per_language`` whole texts of each language for training, of any length.
 
-    What reaches the driver is bounded by the number of languages times per_language times most_bytes.
+    A row is drawn if the hash of its id and text is below the share asked for, so rows that repeat an id and text are drawn
+    together and count once.
     """
-    ok = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.octet_length(text_col) <= most_bytes))
-    # the smallest hashes of each language by partial aggregation, then their texts
-    hashed = ok.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), text_col).alias("h"))
-    counts = {r["lang"]: r["n"] for r in hashed.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    # hashes are uniform: rows below this limit are somewhat more than asked for, and the least of them are kept
-    limit = {k: -(1 << 63) + min((1 << 64) - 1, (1 << 64) * (13 * per_language // 10 + 20) // n) for k, n in counts.items()}
-    if not limit:
-        return {}
-    bound = F.element_at(F.create_map(*[F.lit(x) for k, v in limit.items() for x in (k, v)]), F.col("lang"))
-    got: dict[str, list[tuple]] = {}
-    for r in hashed.filter(F.col("h") <= bound).collect():
-        got.setdefault(r["lang"], []).append((r["h"], r["text"]))
-    return {k: [t.encode() for _, t in sorted(v)[:per_language]] for k, v in got.items()}
+    hashed = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), text_col).alias("h"))
+    sizes = hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()  # a row for each language
+    bound = {r["lang"]: -(1 << 63) + min((1 << 64) - 1, (1 << 64) * per_language // max(r["n"], 1)) for r in sizes}
+    if not bound:
+        return hashed.select("lang", "text")
+    below = F.element_at(F.create_map(*[F.lit(x) for k, v in bound.items() for x in (k, v)]), F.col("lang"))
+    return hashed.filter(F.col("h") <= below).groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
+
+
+def counted(texts: DataFrame, order: int = ORDER) -> dict[str, list[tuple[np.ndarray, np.ndarray]]]:
+    """n-gram counts of each language's texts, counted in tasks and added up by Spark; no text reaches the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            langs, data = b.column("lang").to_pylist(), [t.encode("utf-8", "replace") for t in b.column("text").to_pylist()]
+            for lang in sorted(set(langs)):
+                for n, (g, c) in enumerate(grams([t for k, t in zip(langs, data) if k == lang], order)):
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(np.full(len(g), n, np.int32)), pa.array(g), pa.array(c.astype(np.int64))], names=["lang", "n", "gram", "c"])
+        release()
+
+    got = texts.mapInArrow(count, "lang string, n int, gram long, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")).toArrow()
+    lang, n, gram, c = got.column("lang").combine_chunks().dictionary_encode(), *(got.column(k).to_numpy() for k in ("n", "gram", "c"))
+    at = lang.indices.to_numpy()
+    return {x: [(gram[some], c[some]) for k in range(order + 1) for some in [(at == i) & (n == k)]] for i, x in enumerate(lang.dictionary.to_pylist())}
 
 
 def language_id(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,9 +195,10 @@ def language_id(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col:
     return docs.select(*[F.col(f"`{f.name}`") for f in own]).mapInArrow(judge, f"{schema}, lang_pred string, score double")
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Trees:
-    """Trees from the documents whose crc32(id as text) mod 4 is not 2."""
-    trees = train(sample(docs.filter(F.crc32(F.col(id_col).cast("string")) % 4 != 2), id_col, text_col, lang_col) or {UNKNOWN: [b" "]})
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE) -> Trees:
+    """Trees from about ``per_language`` texts of each language, of the documents whose crc32(id as text) mod 4 is not 2."""
+    drawn = sample(docs.filter(F.crc32(F.col(id_col).cast("string")) % 4 != 2), id_col, text_col, lang_col, per_language)
+    trees = build(counted(drawn) or {UNKNOWN: grams([b" "], ORDER)})
     release()
     return trees
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from flowfeat.llm._spark import table
 from flowfeat.llm._text import flat, mix, release, runs, slices, span_hashes, word_points
 
-BUCKETS, SAMPLE, SAMPLE_CHARS, SMOOTH, COST, ROUNDS, THRESHOLD = 1 << 18, 5_000, 20_000, 1.0, 0.1, 12, 0.3
+BUCKETS, SAMPLE, SMOOTH, COST, ROUNDS, THRESHOLD = 1 << 18, 5_000, 1.0, 0.1, 12, 0.3
 LONGEST_SHAPE = 4
 
 
@@ -127,15 +127,18 @@ class Scorer(NamedTuple):
 
 
 def train(texts: list[str | None], labels: list[int], buckets: int = BUCKETS) -> Scorer:
-    """Log-count ratios of indicators, hinge-loss weights on 4 of 5 texts, the logistic curve on the fifth."""
-    y = np.array(labels)
+    """A model of texts at hand."""
     parts = [features(texts[i:j], buckets) for i, j in slices(texts)]
     x = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
-    off = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts])))) if parts else np.zeros(1, np.int64)
-    if len(set(labels)) < 2:
-        return Scorer(np.zeros(buckets), np.zeros(buckets), 0.0, 0.0, 30.0 if labels and labels[0] else -30.0 if labels else 0.0)
+    return solve(x, np.concatenate(([0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts])))) if parts else np.zeros(1, np.int64), np.array(labels, np.int64), buckets)
+
+
+def solve(x: np.ndarray, off: np.ndarray, y: np.ndarray, buckets: int = BUCKETS) -> Scorer:
+    """Log-count ratios of indicators, hinge-loss weights on 4 of 5 texts, the logistic curve on the fifth."""
+    if len(set(y.tolist())) < 2:
+        return Scorer(np.zeros(buckets), np.zeros(buckets), 0.0, 0.0, 30.0 if len(y) and y[0] else -30.0 if len(y) else 0.0)
     aside = np.arange(len(y)) % 5 == 4
-    text = np.repeat(np.arange(len(y)), np.diff(off))
+    text = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(off))
     use = ~aside[text]
     p, q = (SMOOTH + np.bincount(x[use & (y[text] == k)], minlength=buckets) for k in (1, 0))
     scale = np.log((p / p.sum()) / (q / q.sum()))
@@ -155,17 +158,30 @@ def score(model: Scorer, texts: list[str | None]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(model.slope * m + model.shift, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, most_chars: int = SAMPLE_CHARS) -> Scorer:
-    """A model from whole texts of at most ``sample`` labelled rows, those of least hash of the id, longer texts left out.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, buckets: int = BUCKETS) -> Scorer:
+    """A model from whole texts, of any length, of at most ``sample`` labelled rows, those of least hash of the id.
 
-    What reaches the driver is bounded by sample times most_chars. An id with several labels counts with its largest; null
-    and other labels are void. Without both labels in the sample every score is the same.
+    Features are made in tasks; the driver gets their numbers only, at most ``buckets`` for each of the rows. An id with several labels
+    counts with its largest, one with several texts with that of least hash; null and other labels are void. Without both labels in the sample every
+    score is the same.
     """
     drawn = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter((F.length("text") <= most_chars))
-    rows = texts.join(F.broadcast(drawn), "id").select("id", "text", "y").collect()  # at most sample ids were drawn
-    rows = sorted({(r["id"], r["text"], r["y"]) for r in rows})[:sample]
-    model = train([r[1] for r in rows], [r[2] for r in rows])
+
+    def indicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            for i, j in slices(texts):
+                x, off = features(texts[i:j], buckets)
+                yield pa.RecordBatch.from_arrays([b.column("h").slice(i, j - i), b.column("y").slice(i, j - i), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(x.astype(np.int32)))], names=["h", "y", "x"])
+
+    texts = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    one = texts.join(F.broadcast(drawn), "id").groupBy("id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text"))  # at most sample ids were drawn
+    rows = one.select(F.xxhash64("id").alias("h"), "y", "text").mapInArrow(indicate, "h long, y int, x array<int>").toArrow().sort_by("h").combine_chunks()
+    if not rows.num_rows:
+        return solve(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64), buckets)
+    x = rows.column("x").combine_chunks()
+    off = np.concatenate(([0], np.cumsum(x.value_lengths().to_numpy())))
+    model = solve(x.flatten().to_numpy(), off, rows.column("y").to_numpy().astype(np.int64), buckets)
     release()
     return model
 

@@ -126,6 +126,29 @@ def test_quality_edges(spark):
     assert Q.train([], []).bias == 0 and 0 <= Q.score(Q.train(["a"], [1]), ["b"])[0] <= 1
 
 
+def test_quality_learns_from_long_and_repeated_texts(spark):
+    """A training text of any length counts whole and once, and scores equal a plain computation of the model."""
+    from flowfeat.llm import quality as Q
+
+    good, bad = "calm clear river stones " * 3_000 + "goldenword", "BUY!! now!! cheap 999 "
+    rows = [(i, good) for i in range(6)] + [(i, bad * (i + 1)) for i in range(6, 12)] + [(6, bad * 7)] * 50 + [(None, good), (20, None)]
+    labels = spark.createDataFrame([(i, int(i < 6)) for i in range(12)] + [(3, None), (20, 1), (None, 1)], "doc_id long, quality int")
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("quality", F.lit(9))
+    model = Q.fit(frame.drop("quality"), labels)
+    texts = dict(rows)
+    ids = [r["id"] for r in spark.createDataFrame([(i,) for i in range(12)], "id long").orderBy(F.xxhash64("id")).collect()]
+    want = Q.train([texts[i] for i in ids], [int(i < 6) for i in ids])
+    assert np.allclose(model.scaled, want.scaled) and abs(model.bias - want.bias) < 1e-9
+    x, _ = Q.features(["goldenword"])
+    assert (model.scale[x] > 0).any()  # the last word of a text of 70,000 characters has told
+    probe = ["calm river", bad, "", "goldenword " + bad]
+    for t, got in zip(probe, Q.score(model, probe)):
+        f = sorted(set(Q.features([t])[0].tolist()))
+        norm = np.sqrt(sum(model.scale[k] ** 2 for k in f)) or 1e-9
+        m = sum(model.scaled[k] for k in f) / norm + model.bias
+        assert abs(got - 1 / (1 + np.exp(-(model.slope * m + model.shift)))) < 1e-9
+
+
 def test_dual_descent_meets_the_optimum():
     from flowfeat.llm.quality import descend
 
@@ -456,6 +479,18 @@ def test_language_learns(spark):
     assert len(got) == 1000 and (held["lang_pred"] == held["lang"]).mean() > 0.95 and got["score"].between(0, 1).all()
 
 
+def test_language_learns_from_long_and_repeated_texts(spark):
+    """Training texts of any length count whole; a text that fills most rows counts once."""
+    from flowfeat.llm.language_id import counted, grams, sample
+
+    rows = [(1, "x" * 50_000 + "zq", "a")] + [(2, "hello there", "b")] * 3000 + [(3, None, "a"), (4, "word", None), (None, "null id", "b")]
+    got = counted(sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang", 10))
+    assert set(got) == {"a", "b"}
+    for k, texts in (("a", [b"x" * 50_000 + b"zq"]), ("b", [b"hello there", b"null id"])):
+        for (g, c), (g2, c2) in zip(got[k], grams(texts, 3)):
+            assert dict(zip(g.tolist(), c.tolist())) == dict(zip(g2.tolist(), c2.tolist()))
+
+
 def test_language_edges(spark):
     from flowfeat.llm.language_id import language_id, train
 
