@@ -31,21 +31,21 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty line and comes out empty. Rows that repeat an id count as one document and lose the same lines; rows with
     a null id count together as one document, which is never the largest unless alone. An empty table gives an empty table.
 
-    Work: one shuffle of (key hash, id) pairs of long lines only, counts pre-aggregated on the map side so that a line
-    held by a third of all documents arrives as a few partial counts; the join back is one that Spark splits on skew.
+    Work: one shuffle of (key hash, id) pairs of long lines only, written once and read twice; counts are pre-aggregated on the map side so
+    that a line held by a third of all documents arrives as a few partial counts; the join back is one that Spark splits on skew.
     """
     own = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
     src = docs.select(F.struct(*own).alias("__row"), F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     lines = F.split(F.coalesce(F.col("__text"), F.lit("")), "\n", -1)
-    held = (
+    held = cut(
         src.select("__id", F.explode(lines).alias("__line"))
         .select("__id", _hashed(line_key(F.col("__line")), min_chars).alias("__h"))
         .filter(F.col("__h").isNotNull())
         .select("__id", F.col("__h.a").alias("__a"), F.col("__h.b").alias("__b"))
-        .groupBy("__a", "__b", "__id")
-        .agg(F.lit(1).alias("__one"))
+        .distinct(),
+        "held-lines",
     )
-    common = cut(held.groupBy("__a", "__b").agg(F.count("__one").alias("__n"), F.max("__id").alias("__last")).filter(F.col("__n") >= min_docs).select("__a", "__b", "__last"), "common-lines")
+    common = cut(held.groupBy("__a", "__b").agg(F.count("*").alias("__n"), F.max("__id").alias("__last")).filter(F.col("__n") >= min_docs).select("__a", "__b", "__last"), "common-lines")
     drops = (
         held.join(common, ["__a", "__b"])
         .filter(~F.col("__id").eqNullSafe(F.col("__last")))

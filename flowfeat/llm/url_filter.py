@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowfeat.llm._spark import table
+from flowfeat.llm._spark import cut, table
 
 FOREVER = "9999-12-31 00:00:00"
 HOST = r"^(?i:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)"
@@ -17,11 +17,20 @@ def url_host(url: Column) -> Column:
     return F.coalesce(F.rtrim(F.lower(F.regexp_extract(url, HOST, 1)), F.lit(".")), F.lit(""))
 
 
-def url_keys(host: Column, path: Column) -> Column:
-    """All list keys that match a URL: its host, the host's parent domains, and host with each leading part of its path."""
+def path_parts(path: Column) -> Column:
+    return F.filter(F.split(path, "/"), lambda x: x != "")
+
+
+def url_keys(host: Column, path: Column, labels_most: int, parts_most: int) -> Column:
+    """All list keys that can match a URL: its host, the host's parent domains, and host with each leading part of its path.
+
+    ``labels_most`` and ``parts_most``: labels of the longest domain entry and path parts of the longest prefix entry; longer keys match
+    none, and all of them would take the square of a long URL.
+    """
     labels = F.split(host, r"\.")
-    parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    domains = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.concat(F.lit("domain:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+    parts = F.slice(path_parts(path), 1, parts_most) if parts_most else F.array().cast("array<string>")
+    first, last = F.greatest(F.lit(1), F.size(labels) - labels_most + 1), F.greatest(F.size(labels) - 1, F.lit(1))
+    domains = F.when(first <= last, F.transform(F.sequence(first, last), lambda i: F.concat(F.lit("domain:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))).otherwise(F.array().cast("array<string>"))
     prefixes = F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.lit("prefix:"), host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")))).otherwise(F.array().cast("array<string>"))
     return F.when(host != "", F.array_distinct(F.concat(F.array(F.concat(F.lit("host:"), host)), domains, prefixes)))
 
@@ -44,12 +53,17 @@ def url_filter(captures: DataFrame, entries: DataFrame, id_col: str = "page_id",
     The as-of rule is an equi-join on the list key with the interval that holds the fetch time; intervals of a key do
     not overlap, so a capture meets each key once at most. Only ids, keys and times are shuffled; a host with a
     third of all captures is a skewed key of a plain join, which Spark splits. Null, empty or relative URLs and null
-    times match nothing and are not blocked. Repeated rows give one row. An empty list blocks nothing.
+    times match nothing and are not blocked. Repeated rows give one row. An empty list blocks nothing. Columns other than the three
+    named ones are not looked at.
     """
+    spans = cut(validity(entries), "spans")
+    longest = spans.agg(
+        F.max(F.when(F.col("__key").startswith("domain:"), F.size(F.split("__key", r"\.")))).alias("labels"),
+        F.max(F.when(F.col("__key").startswith("prefix:"), F.size(path_parts(F.col("__key"))) - 1)).alias("parts"),
+    ).first()
     base = captures.select(F.col(id_col).alias("__id"), F.col(url_col).alias("__url"), F.col(time_col).cast("timestamp").alias("__at"))
     host, path = url_host(F.col("__url")), F.coalesce(F.regexp_extract("__url", PATH, 1), F.lit(""))
-    keyed = base.withColumns({"__host": host, "__path": path}).select("__id", "__url", "__host", "__at", F.explode_outer(url_keys(F.col("__host"), F.col("__path"))).alias("__key"))
-    spans = validity(entries)
+    keyed = base.withColumns({"__host": host, "__path": path}).select("__id", "__url", "__host", "__at", F.explode_outer(url_keys(F.col("__host"), F.col("__path"), longest["labels"] or 0, longest["parts"] or 0)).alias("__key"))
     hit = keyed.join(spans, (keyed["__key"] == spans["__key"]) & (keyed["__at"] >= F.col("valid_from")) & (keyed["__at"] < F.col("valid_to")), "left")
     rules = F.array_sort(F.collect_set(F.when(F.col("valid_from").isNotNull(), keyed["__key"])))
     return (

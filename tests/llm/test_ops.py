@@ -182,6 +182,19 @@ def test_url_intervals(spark):
     assert url_filter(caps.limit(0), ent).count() == 0 and url_filter(caps, ent.limit(0)).filter("blocked").isEmpty()
 
 
+def test_url_edges(spark):
+    """Long URLs take no square of their length; clashing columns and repeated rows; entries of any depth match."""
+    from flowfeat.llm.url_filter import url_filter
+
+    long_path = "http://deep.org/" + "/".join(f"p{i}" for i in range(30_000))
+    long_host = "http://" + ".".join(["a"] * 20_000) + ".org/x"
+    rows = [(1, long_path), (2, long_host), (3, "http://x.y.z.deep.org/q"), (3, "http://x.y.z.deep.org/q")]
+    caps = spark.createDataFrame(rows, "page_id long, url string").withColumns({"fetched_at": F.to_timestamp(F.lit("2024-03-01")), "host": F.lit(1), "kind": F.lit(2), "valid_to": F.lit(3), "__key": F.lit(4)})
+    ent = spark.createDataFrame([("prefix", "deep.org/p0/p1/p2", "add"), ("prefix", "deep.org/p0/p2", "add"), ("domain", "a.a.org", "add"), ("domain", "z.deep.org", "add"), ("domain", "y.z.deep.org", "add")], "kind string, pattern string, action string").withColumns({"effective_at": F.to_timestamp(F.lit("2024-01-01")), "url": F.lit("own")})
+    got = {r["page_id"]: r["rules"] for r in url_filter(caps, ent).collect()}
+    assert got == {1: ["prefix:deep.org/p0/p1/p2"], 2: ["domain:a.a.org"], 3: ["domain:y.z.deep.org", "domain:z.deep.org"]}
+
+
 def test_native_plans(spark):
     for name in ("op3_url_filter", "op5_line_dedup"):
         plan = registry.QUERIES[name](spark, f"{DATA}/sf0.001")._jdf.queryExecution().toString()
@@ -233,6 +246,20 @@ def test_line_dedup_edges(spark):
     assert line_dedup(twice.union(twice).union(twice)).filter("n_dropped > 0").isEmpty()  # four documents, however often
 
 
+def test_line_dedup_nulls_and_long_texts(spark):
+    from flowfeat.llm.line_dedup import line_dedup
+
+    common = "this very long line stands in many documents of the corpus"
+    long = "\n".join([f"a line of its own, number {i}, which is long enough to count" for i in range(30_000)] + [common])
+    rows = [(None, common), (None, common + "\nshort"), (1, common), (2, common), (3, common), (4, long), (4, None), (5, "")]
+    got = line_dedup(spark.createDataFrame(rows, "doc_id long, text string").withColumns({"n_lines": F.lit("own"), "source": F.lit("s")})).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r["doc_id"]].append((r["n_lines"], r["n_dropped"], r["text"]))
+    assert sorted(by[None]) == [(1, 1, ""), (2, 1, "short")] and by[1] == by[2] == by[3] == [(1, 1, "")]
+    assert sorted((a, b) for a, b, _ in by[4]) == [(1, 0), (30_001, 0)] and by[5] == [(1, 0, "")]
+
+
 def test_few_links_are_all_found(spark):
     from flowfeat.llm.vector_dedup import vector_dedup
 
