@@ -16,7 +16,7 @@ from flowfeat.llm._spark import cut, table
 from flowfeat.llm._text import flat, runs, slices, span_hashes
 from flowfeat.llm.token_counts import kinds, vocabulary
 
-LENGTH, END, GROUP, ROUNDS, KNOWN = 2048, 0, 4_000, 4, 500_000
+LENGTH, END, GROUP, SHARES, KNOWN = 2048, 0, 4_000, 12, 500_000
 
 # token ids
 
@@ -171,19 +171,26 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 # packing
 
 
-def lower_bound(sizes: np.ndarray, room: int) -> int:
-    """The largest of the bounds that dual feasible functions give for the number of bins.
+def lower_bound(sizes: np.ndarray, room: int, times: np.ndarray | None = None) -> int:
+    """The largest of the bounds that dual feasible functions give for the number of bins of sizes, each there ``times`` times.
 
     For each threshold k <= room / 2: sizes over room - k count as a whole bin, those under k as nothing, others as they are.
-    With k = 0 this is the total over the room; sums over sizes that are sorted make all k quick.
+    With k = 0 this is the total over the room; sums over sizes that are sorted make all k quick. A second family, for k from 1 to
+    ``SHARES``, rounds sizes down to the k + 1 shares of the room that they pass, of which a bin has k: it tells how many sizes over
+    a third, a fourth and so on meet in a bin.
     """
     if not len(sizes):
         return 0
-    s = np.sort(sizes)
-    total = np.concatenate(([0], np.cumsum(s)))
+    order = np.argsort(sizes, kind="stable")
+    s, n = sizes[order], np.ones(len(sizes), np.int64) if times is None else times[order]
+    number, total = (np.concatenate(([0], np.cumsum(x))) for x in (n, s * n))
     k = np.unique(np.concatenate(([0], s[s <= room // 2])))
     low, high = np.searchsorted(s, k, "left"), np.searchsorted(s, room - k, "right")
-    return int(np.max((len(s) - high) + -(-(total[high] - total[np.minimum(low, high)]) // room)))
+    best = int(np.max((number[-1] - number[high]) + -(-(total[high] - total[np.minimum(low, high)]) // room)))
+    for k in range(1, SHARES + 1):
+        value = np.where((k + 1) * s % room == 0, k * s, (k + 1) * s // room * room)
+        best = max(best, -(-int((value * n).sum()) // (k * room)))
+    return best
 
 
 def best_fit(sizes: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
@@ -224,43 +231,55 @@ def _packer(r: int, names: list[str], length: int) -> Callable[[pd.DataFrame], p
     return packed
 
 
-def pack(items: DataFrame, length: int = LENGTH, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
-    """items (``length`` <= the room, any other columns) with ``sequence_id`` and ``offset``.
+def pack(items: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
+    """items (``length`` from 1 to the room, any other columns) with ``sequence_id`` and ``offset``, which replace own columns of these names.
 
     Items are dealt by hash into partitions of about ``group`` and each is packed best-fit decreasing. Dual feasible
     functions bound each partition's number of bins from below: where the bound is met, the packing is certified and
     done. Of a partition with a gap the bins that are full stay; the items of the others are dealt anew, together
-    with those of other partitions with gaps, into fewer partitions, for ``rounds`` rounds at most or until one partition is left.
-    Each round is written to the shared folder. Every item gets one place; no group is larger than a few times ``group``,
-    however sizes are distributed. An empty table gives an empty table. Lengths must be 1 to ``length``.
+    with those of other partitions with gaps, into fewer partitions, until none is left, one partition holds all, or a round
+    needs no fewer bins than the one before, which then stands. ``certificate`` tells what remains of the gap.
+
+    Every item is numbered where it is written first, and dealt by that number: repeated rows, and rows with null ids, are items of their own
+    and spread evenly, so no group is larger than a few times ``group``. Each round is written to the shared folder. An empty table gives an
+    empty table.
     """
-    spark = items.sparkSession
-    todo, done = items, []
-    for r in range(rounds):
-        n = todo.count()
+    fields = [f for f in items.schema if f.name not in ("sequence_id", "offset")]
+    names = [f.name for f in fields]
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    todo = cut(items.select(*[F.col(f"`{c}`") for c in names], F.monotonically_increasing_id().alias("__row")), "items")
+    n, bins, before, done, r = todo.count(), None, None, [], 0
+    while True:
         parts = max(1, -(-n // group))
-        last = r == rounds - 1 or parts == 1
-        schema = [f for f in todo.schema if f.name not in ("sequence_id", "offset")]
-        names = [f.name for f in schema]
-
-        kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-        dealt = todo.select(*names, F.pmod(F.xxhash64(*[c for c in names if c != "input_ids"], F.lit(r)), F.lit(parts)).cast("int").alias("__part"))
-        got = cut(dealt.groupBy("__part").applyInPandas(_packer(r, names, length), f"{kind}, sequence_id long, offset long, __open boolean"), f"packed-{r}")
-        if last:
-            done.append(got.drop("__open"))
+        dealt = todo.withColumn("__part", F.pmod(F.xxhash64("__row", F.lit(r)), F.lit(parts)).cast("int"))
+        got = cut(dealt.groupBy("__part").applyInPandas(_packer(r, [*names, "__row"], length), f"{kind}, __row long, sequence_id long, offset long, __open boolean"), f"packed-{r}")
+        first = (F.col("offset") == 0).cast("long")
+        now = got.agg(F.sum(first).alias("bins"), F.sum(F.col("__open").cast("long")).alias("n"), F.sum(F.when(F.col("__open"), first)).alias("open_bins")).first()
+        if before is not None and now["bins"] >= bins:
+            done.append(before)  # nothing gained
+            break
+        done.append(got.filter("NOT __open"))
+        if not now["n"]:
             break
-        done.append(got.filter("NOT __open").drop("__open"))
-        todo = got.filter("__open").drop("__open")
-        if todo.isEmpty():
+        if parts == 1:
+            done.append(got.filter("__open"))
             break
+        before, bins, n, r = got.filter("__open"), now["open_bins"], now["n"], r + 1
+        todo = before.drop("sequence_id", "offset", "__open")
     out = done[0]
     for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+        out = out.union(d)
+    return out.drop("__row", "__open")
+
+
+def certificate(packed: DataFrame, length: int = LENGTH) -> DataFrame:
+    """One row: ``n_items``, ``n_sequences``, ``lower_bound`` (no packing of these lengths has fewer sequences) and ``gap``."""
+    sizes = packed.groupBy("length").agg(F.count("*").alias("n"), F.sum((F.col("offset") == 0).cast("long")).alias("first")).collect()  # a row for each length
+    bins, least = sum(r["first"] for r in sizes), lower_bound(np.array([r["length"] for r in sizes], np.int64), length, np.array([r["n"] for r in sizes], np.int64))
+    return packed.sparkSession.createDataFrame([(sum(r["n"] for r in sizes), bins, least, bins - least)], "n_items long, n_sequences long, lower_bound long, gap long")
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    cut_up = cut(pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")), "pieces")
-    return pack(cut_up).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack(pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

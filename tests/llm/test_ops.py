@@ -481,7 +481,7 @@ def test_packing(spark, small):
 
     texts = ODD + small["text"].tolist()
     t = library()
-    cut = pieces(docs(spark, texts), bpe(), keep_ids=True)
+    cut = pieces(docs(spark, texts), bpe(), keep_ids=True).withColumns({"offset": F.lit("own"), "text": F.lit("own")})
     out = pack(cut, group=50).toPandas()
     for i, x in enumerate(texts):
         ids = [*t.encode(x or "", add_special_tokens=False).ids, 0]
@@ -497,6 +497,57 @@ def test_packing(spark, small):
     assert lower_bound(sizes, 10) == 5 and best_fit(sizes, 10)[0].max() + 1 == 5
 
 
+def test_packing_of_repeated_rows_is_certified(spark):
+    """One row repeated over most of the table spreads over many groups; the certificate holds against a plain bound."""
+    from flowfeat.llm import packing as P
+
+    rows = [(1, 0, 700)] * 5_000 + [(None, 0, 700)] * 500 + [(i, 0, 1 + i * 37 % 2048) for i in range(3_000)]
+    items = spark.createDataFrame(rows, "doc_id long, piece int, length long")
+    got = P.pack(items, group=500)
+    out = got.toPandas()
+    assert Counter(zip(out["doc_id"].fillna(-1), out["length"])) == Counter((-1 if i is None else i, n) for i, _, n in rows)
+    out = out.sort_values(["sequence_id", "offset"])
+    assert (out.groupby("sequence_id")["length"].cumsum() - out["length"] == out["offset"]).all() and out.groupby("sequence_id")["length"].sum().max() <= 2048
+    part = out["sequence_id"].to_numpy() >> 24
+    assert max(Counter(part.tolist()).values()) < 1_000
+    c = P.certificate(got).first()
+    sizes = out["length"].to_numpy()
+    plain = max((sizes > 2048 - k).sum() + -(-sizes[(sizes >= k) & (sizes <= 2048 - k)].sum() // 2048) for k in range(1025))
+    assert c["n_items"] == len(rows) and c["n_sequences"] == out["sequence_id"].nunique() and c["lower_bound"] >= plain
+    assert 0 <= c["gap"] == c["n_sequences"] - c["lower_bound"] <= 0.02 * c["lower_bound"]
+
+
+def test_lower_bounds_hold():
+    """Against the best packing of small cases, found by trying all."""
+    from flowfeat.llm.packing import best_fit, lower_bound
+
+    def least(sizes, room):
+        best = len(sizes)
+
+        def place(i, bins):
+            nonlocal best
+            if len(bins) >= best:
+                return
+            if i == len(sizes):
+                best = len(bins)
+                return
+            for b in range(len(bins)):
+                if bins[b] + sizes[i] <= room:
+                    place(i + 1, [*bins[:b], bins[b] + sizes[i], *bins[b + 1 :]])
+            place(i + 1, [*bins, sizes[i]])
+
+        place(0, [])
+        return best
+
+    rng, met = np.random.default_rng(2), 0
+    for _ in range(150):
+        sizes = rng.integers(1, 13, 7)
+        best, low = least(sorted(sizes.tolist(), reverse=True), 12), lower_bound(sizes, 12)
+        assert low <= best <= best_fit(sizes, 12)[0].max() + 1
+        met += low == best
+    assert met > 130 and lower_bound(np.array([5, 7]), 12, np.array([3, 2])) == lower_bound(np.array([5, 5, 5, 7, 7]), 12)
+
+
 # 10: language
 
 
