@@ -48,7 +48,7 @@ def stage_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def stage_pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(cut(pieces(docs, public_tokenizers.path("byte_bpe_50k.json")), "pieces")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack(pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 STAGES = [
