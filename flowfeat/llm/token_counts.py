@@ -16,7 +16,7 @@ from tokenizers.pre_tokenizers import ByteLevel
 from flowfeat.llm._spark import table
 from flowfeat.llm._text import flat, slices
 
-LIMIT, CHUNK, MAX_CELLS, FEW = 512, 128, 1 << 25, 64
+LIMIT, CHUNK, MAX_CELLS, FEW, WEIGHT_BITS = 512, 128, 1 << 25, 64, 8
 #: Modes of the splitter: after a break; in a run of letters, digits or other signs; in white space with its last character kept back; after an apostrophe, and after the first letter of 're, 've, 'll.
 START, LETTERS, DIGITS, SIGNS, SPACE, QUOTE, QUOTE_2 = range(7)
 KINDS = {LETTERS: 0, DIGITS: 1, SIGNS: 3}
@@ -114,6 +114,7 @@ class Transducer:
         self.fits: dict[int, bool] = {}
         self.fed = lru_cache(1 << 16)(self._fed)
         self.max_cells, self.column, self.symbols, self.held = max_cells, np.full(SPECIAL + 1, -1, np.int32), [], []
+        self.bits, self.kind = WEIGHT_BITS, np.int32  # a cell holds the next state, and the change of the count in its low bits
         self.reset()
 
     # words
@@ -234,7 +235,7 @@ class Transducer:
         if len(self.fits) > 1 << 20:
             self.fits.clear()
             self.seen.clear()  # self.same stays: what it names must not change while states live
-        self.cell = np.full((1024, max(64, len(self.symbols) + 16)), -1, np.int32)
+        self.cell = np.full((1024, max(64, len(self.symbols) + 16)), -1, self.kind)
         self.last = np.zeros(1024, np.int64)
         self.id((START, self.EMPTY, b""))
         used = np.unique(np.concatenate([np.zeros(1, np.int64), *self.held]))
@@ -257,16 +258,22 @@ class Transducer:
             self.column[x] = len(self.symbols)
             self.symbols.append(int(x))
         if (more := len(self.symbols) - self.cell.shape[1]) > 0:
-            self.cell = np.concatenate((self.cell, np.full((len(self.cell), more + 32), -1, np.int32)), axis=1)
+            self.cell = np.concatenate((self.cell, np.full((len(self.cell), more + 32), -1, self.kind)), axis=1)
         return self.column[symbols]
 
     def compile(self, state: int, column: int) -> None:
         x = self.symbols[column]
         after, n = ((START, self.EMPTY, b""), self.finish(self.states[state]) + 1) if x == SPECIAL else self.step(self.states[state], x >> 8, bytes([x & 255]))
-        if not -128 <= n < 128:
-            raise OverflowError("weight of a transition")
+        while not -(1 << self.bits - 1) <= n < 1 << self.bits - 1:
+            self.widen()
         to = self.id(after)  # may move the tables
-        self.cell[state, column] = to * 256 + n + 128
+        self.cell[state, column] = (to << self.bits) + n + (1 << self.bits - 1)
+
+    def widen(self) -> None:
+        """Twice the bits for changes of the count, in wider cells."""
+        known, old, self.bits, self.kind = self.cell >= 0, self.bits, 2 * self.bits, np.int64
+        cell = self.cell.astype(np.int64)
+        self.cell = np.where(known, (cell >> old << self.bits) + (cell & (1 << old) - 1) - (1 << old - 1) + (1 << self.bits - 1), -1)
 
     def run(self, columns: np.ndarray, start: np.ndarray, length: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Exit state and count of many stretches, all of them one symbol further at a time."""
@@ -284,8 +291,8 @@ class Transducer:
                 for s in np.unique(state[:n][miss] * 4096 + x[miss]).tolist():
                     self.compile(s >> 12, s & 4095)
                 got = self.cell[state[:n], x]
-            state[:n] = got >> 8
-            count[:n] += (got & 255) - 128
+            state[:n] = got >> self.bits
+            count[:n] += (got & (1 << self.bits) - 1) - (1 << self.bits - 1)
         self.held = [a for a in self.held if a is not state]
         back = np.argsort(order)
         return state[back], count[back]
@@ -312,9 +319,11 @@ class Transducer:
         """Tokens of each text, by a prefix scan over the maps of its chunks.
 
         A chunk maps its entry state to (exit state, count). Where white space follows another character the state is
-        the same whatever came before, so behind its first such place a chunk's map is constant. All these constant parts
-        run at once; then the parts before them, entered by the exit of the chunk before. A chunk without such a place
-        hands its exit on, and the next one runs in the next round.
+        the same whatever came before, so behind its first such place a chunk's map is constant; all these parts run at once.
+        Maps of chunks without such a place are tabled for the states that can come in: the true one where it is known, else START and
+        what the chunk before gives, until nothing new comes in. For any text that is soon, as a state forgets what is some tokens
+        behind, or repeats itself with the text. The tables are then composed in pairs, so that after k rounds each spans
+        2 ** k chunks. Last run the parts before the first such place, which what comes before has now been told.
         """
         if not texts:
             return np.zeros(0, np.int64)
@@ -337,18 +346,45 @@ class Transducer:
         tails = np.flatnonzero(has)
         ends, total[tails] = self.run(columns, middle[tails], end[tails] - middle[tails], np.zeros(len(tails), np.int64))
         exit_[tails] = ends
-        ready = np.flatnonzero(head | np.concatenate(([False], has[:-1])))
-        while len(ready):
-            ends, n = self.run(columns, begin[ready], middle[ready] - begin[ready], np.where(head[ready], 0, exit_[ready - 1]))
-            total[ready] += n + np.where(has[ready], self.last[ends], 0)  # what white space ends at the constant part's start
-            open_ = ~has[ready]
-            exit_[ready[open_]] = ends[open_]
-            ready = ready[open_] + 1
-            ready = ready[ready < len(begin)]
-            ready = ready[~head[ready]]
+        self.open_chunks(columns, begin, end, has, head, exit_, total)
+        entry = np.where(head[tails], 0, exit_[tails - 1])
+        ends, n = self.run(columns, begin[tails], middle[tails] - begin[tails], entry)
+        total[tails] += n + self.last[ends]  # with what white space ends at the constant part's start
         self.held = []
         return np.add.reduceat(total, first[:-1]) + self.last[exit_[first[1:] - 1]]
 
+    def open_chunks(self, columns: np.ndarray, begin: np.ndarray, end: np.ndarray, has: np.ndarray, head: np.ndarray, exit_: np.ndarray, total: np.ndarray) -> None:
+        """Sets the exit of each stretch of chunks without a constant part, at its last chunk, and its count, at its first."""
+        opened = np.flatnonzero(~has)
+        if not len(opened):
+            return
+        inner = ~has & ~head & np.concatenate(([False], ~has[:-1]))  # those that follow another one
+        key = lambda c, state: c << 32 | state
+        chunk, entry = opened, np.where(head[opened] | inner[opened], 0, exit_[opened - 1])
+        of, came, left, count = (np.zeros(0, np.int64) for _ in range(4))
+        while len(chunk):  # rows of the tables: chunk, entry, exit, count
+            self.held = [exit_, came, left, entry]
+            to, n = self.run(columns, begin[chunk], end[chunk] - begin[chunk], entry)
+            of, came, left, count = (np.concatenate(x) for x in ((of, chunk), (came, entry), (left, to), (count, n)))
+            goes = chunk + 1 < len(begin)
+            goes[goes] = inner[chunk[goes] + 1]
+            new = np.setdiff1d(key(chunk[goes] + 1, to[goes]), key(of, came))
+            chunk, entry = new >> 32, new & 0xFFFFFFFF
+        self.held = [exit_]
+        known = key(of, came)
+        order = np.argsort(known)
+        goes = of + 1 < len(begin)
+        goes[goes] = inner[of[goes] + 1]
+        then = np.arange(len(of))
+        then[goes] = order[np.searchsorted(known[order], key(of[goes] + 1, left[goes]))]
+        span = np.where(goes, count, 0)
+        while (then[then] != then).any():
+            span, then = span + span[then], then[then]
+        starts = opened[~inner[opened]]
+        row = order[np.searchsorted(known[order], key(starts, np.where(head[starts], 0, exit_[starts - 1])))]
+        total[starts] = span[row] + count[then[row]]
+        exit_[of[then[row]]] = left[then[row]]
+
 
 @cache
 def transducer(path: str) -> Transducer:

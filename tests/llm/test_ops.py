@@ -476,6 +476,41 @@ def test_tables_start_anew():
     assert Transducer(bpe(), max_cells=20_000).counts(texts).tolist() == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
 
 
+def test_texts_without_white_space():
+    """Long unbroken texts: the composed maps give the library's counts, in rounds that do not grow with the length."""
+    from flowfeat.llm import token_counts as T
+
+    rng = np.random.default_rng(5)
+    t, machine = library(), T.Transducer(bpe())
+    make = lambda signs, n: "".join(rng.choice(list(signs), n))
+    texts = ["a" * 20_000, "abc" * 7_000, make("abcdefghijklmnopqrstuvwxyz", 5_000), make("ACGT", 20_000), "=" * 20_011, "'" * 9_000, " " * 20_001, make("0123456789+/Zz", 4_000), make("\u4e00\u4e8c\u4e09\u7684", 9_000), "ab's " * 300 + "x" * 5_000 + " end"]
+    rounds, run = [], machine.run
+    machine.run = lambda *a: (rounds.append(1), run(*a))[1]
+    assert machine.counts(texts).tolist() == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
+    assert len(rounds) < 60
+    short = len(rounds)
+    machine.counts([x * 10 for x in texts])
+    assert len(rounds) - short < 60
+
+
+def test_wide_weights(monkeypatch):
+    from flowfeat.llm import token_counts as T
+
+    monkeypatch.setattr(T, "WEIGHT_BITS", 1)
+    machine, t = T.Transducer(bpe()), library()
+    texts = ["the heron stood by the water", "=" * 300, "antidisestablishmentarianism " * 9]
+    assert machine.counts(texts).tolist() == [len(t.encode(x, add_special_tokens=False).ids) for x in texts] and machine.bits > 1
+
+
+def test_token_counts_edges(spark):
+    from flowfeat.llm.token_counts import token_counts
+
+    assert token_counts(docs(spark, []), bpe()).count() == 0
+    twice = spark.createDataFrame([(1, "one two"), (1, "one two"), (None, "three")], "doc_id long, text string").withColumns({"n_bytes": F.lit("own"), "id": F.lit("own")})
+    got = sorted((r["doc_id"] or 0, r["n_bytes"], r["n_tokens"]) for r in token_counts(twice, bpe()).collect())
+    assert got == [(0, 5, len(library().encode("three").ids)), (1, 7, 2), (1, 7, 2)]
+
+
 def test_packing(spark, small):
     from flowfeat.llm.packing import best_fit, lower_bound, pack, pieces
 
