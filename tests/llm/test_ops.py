@@ -452,6 +452,84 @@ def test_license_scan(spark):
     assert license_scan(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Released under the BSD License.", []),
+        ("Released under the new License", []),
+        ("Licensed under CC BY 3.0.", []),
+        ("Licensed under CC BY-ND 4.0.", ["CC-BY-ND-4.0 line"]),
+        ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2.0 line"]),
+        ("Released under the terms of the MIT School License agreement", []),
+        ("It is under the GNU Lesser General Public License, version 2.1 or later. Fine.", ["LGPL-2.1 line"]),
+        ("the GNU General Public License, version 2.5 does not exist", []),
+        ("Licensed under CC BY 4.0. 2024 was a good year", ["CC-BY-4.0 line"]),
+        ("Licensed under the Apache License, Version 2.0.\nReleased under the MIT License.", ["Apache-2.0 line", "MIT line"]),
+        ("CC BY NC 4.0 under CC BY-SA 4.0 and under the GNU Affero General Public License, version 3", ["AGPL-3.0 line", "CC-BY-SA-4.0 line"]),
+    ],
+)
+def test_license_lines(text, want):
+    from flowfeat.llm import license_scan as L
+
+    made = L.Template.of(L.TEMPLATES, L.NEEDS)
+    for t in (text, f"Some words before. {text}", text.upper() + "\nand after"):
+        assert sorted(m[0] for m in L.apart(sorted(L.scan([t], made, L.COVERAGE)[0], key=lambda m: (-m[4], -m[1], m[0])))) == want
+
+
+def test_every_license_is_told_from_the_others():
+    """Each template, alone and inside other text, is named as itself, also with a tenth of the words outside its needs replaced."""
+    from flowfeat.llm import license_scan as L
+
+    made = L.Template.of(L.TEMPLATES, L.NEEDS)
+    rng = np.random.default_rng(1)
+    for name, text in L.TEMPLATES.items():
+        plain = re.findall(r"[^\W_]+", text.lower())
+        keep = {w for x in L.NEEDS.get(name, []) for w in re.findall(r"[^\W_]+", x.lower())}
+        changed = [w if w in keep or rng.random() > 0.1 else f"zz{i}" for i, w in enumerate(plain)] if len(plain) > L.LINE_WORDS else plain
+        for t in (text, "zz " * 100 + text + " yy" * 50, " ".join(changed)):
+            found = L.apart(sorted(L.scan([t], made, L.COVERAGE)[0], key=lambda m: (-m[4], -m[1], m[0])))
+            assert [m[0] for m in found] == [name]
+
+
+def test_coverage_against_brute_force():
+    """Coverage of planted passages equals the longest common subsequence with the whole text, by plain dynamic programming."""
+    from flowfeat.llm import license_scan as L
+
+    rng = np.random.default_rng(4)
+    names = ["MIT grant", "ISC grant", "GPL-3.0 notice", "Unlicense", "BSD-2-Clause conditions"]
+    made = L.Template.of({k: L.TEMPLATES[k] for k in names}, {})
+    for k in range(40):
+        t = made[k % 5]
+        words = re.findall(r"[^\W_]+", L.TEMPLATES[t.name].lower())
+        near = []
+        for i, w in enumerate(words):
+            x = rng.random()
+            near += [f"q{i}"] if x < 0.08 else [] if x < 0.12 else [w, "and"] if x < 0.16 else [w]
+        text = " ".join([*rng.choice(["one", "of", "the", "two"], rng.integers(0, 300)), *near, *rng.choice(["three", "software", "four"], rng.integers(0, 300))])
+        h = L.hashes(text)
+        row = [0] * (len(h) + 1)
+        for a in t.words:
+            diagonal = 0
+            for j, b in enumerate(h, 1):
+                diagonal, row[j] = row[j], diagonal + 1 if a == b else max(row[j], row[j - 1])
+        best = row[-1]
+        got = [m for m in L.scan([text], [t], L.COVERAGE)[0]]
+        assert bool(got) == (best >= L.COVERAGE * len(t.words)) or abs(best - L.COVERAGE * len(t.words)) <= 3
+        if got:
+            assert 0 <= best - got[0][4] <= 3  # patience is no longest subsequence: words of chance may fit better
+            assert got[0][1] == got[0][4] / len(t.words)
+
+
+def test_license_scan_edges(spark):
+    from flowfeat.llm.license_scan import TEMPLATES, license_scan
+
+    long = "filler words here " * 100_000 + TEMPLATES["ISC"]
+    rows = [(1, "under the MIT License"), (1, "under the MIT License"), (None, "under CC0 1.0"), (2, long)]
+    got = sorted((r["doc_id"] or 0, r["license"]) for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string").withColumns({"coverage": F.lit("own"), "id": F.lit("own")})).collect())
+    assert got == [(0, "CC0-1.0 line"), (1, "MIT line"), (1, "MIT line"), (2, "ISC")]
+    assert license_scan(spark.createDataFrame(rows[:1], "doc_id long, text string"), {"void": "...", "own": "the MIT License"}).first()["licenses"] == ["own"]
+
+
 # 8, 9: tokens
 
 ODD = ["", None, "a", "it's they're can't 'sfoo x's's 've''ll  a \n\n b\t\tc   ", "<|endoftext|>", "a<|endoftext|> b  <|endoftext|>", "'", "x'r y'l", "　　é 日本 🙂 \0 z", "ab " * 3000, "a" * 5000, " " * 700 + "x"]
