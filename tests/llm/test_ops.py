@@ -204,29 +204,63 @@ def test_native_plans(spark):
 # 4: vectors
 
 
+def brute_cosines(rows: list[tuple]) -> dict:
+    """id -> ids linked: equal labels and lengths, cosine of .93 or more, by plain loops."""
+    ok = [(i, np.array(v, float) / np.abs(np.array(v, float)).max(), l) for i, v, l in rows if l is not None and v and None not in v and np.isfinite(v).all() and any(v)]
+    links = {i: set() for i, _, _ in rows}
+    for i, a, la in ok:
+        for j, b, lb in ok:
+            if i != j and la == lb and len(a) == len(b) and a @ b / np.sqrt((a @ a) * (b @ b)) >= 0.93:
+                links[i].add(j)
+    return links
+
+
 def test_vector_dedup_is_exact(spark):
     from flowfeat.llm.vector_dedup import vector_dedup
 
     rng = np.random.default_rng(3)
     base = rng.normal(size=(40, 16))
-    rows = [(i, [float(x) for x in base[i % 40] + rng.normal(0, 0.12, 16) * (i >= 40)], i % 3 if i % 17 else None) for i in range(240)]
-    rows += [(900, rows[1][1], rows[1][2]), (901, rows[1][1], rows[1][2]), (902, None, 1), (903, [0.0] * 16, 1), (904, [float("nan")] * 16, 1), (905, [1.0, None] + [0.0] * 14, 1), (906, [1.0] * 5, 1)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({"id": F.lit(0), "v": F.lit("x"), "h": F.lit(1)})
-    ok = [(i, np.array(v), l) for i, v, l in rows if l is not None and v is not None and len(v) == 16 and None not in v and np.isfinite(v).all() and any(v)]
-    links = defaultdict(set)
-    for i, a, la in ok:
-        for j, b, lb in ok:
-            if i != j and la == lb and a @ b / np.sqrt((a @ a) * (b @ b)) >= 0.93:
-                links[i].add(j)
+    rows = [(i, [float(x) for x in base[i % 40] + rng.normal(0, 0.12, 16) * (i >= 40)], f"l{i % 3}" if i % 17 else None) for i in range(240)]
+    rows += [(900, rows[1][1], rows[1][2]), (901, rows[1][1], rows[1][2]), (902, None, "l1"), (903, [0.0] * 16, "l1"), (904, [float("nan")] * 16, "l1"), (905, [1.0, None] + [0.0] * 14, "l1"), (906, [], "l1"), (907, [float("inf")] + [0.0] * 15, "l1")]
+    rows += [(910 + k, [(1.0 + k / 9) * 1e200, 2e200, -1e199], "l1") for k in range(5)] + [(920 + k, [s], "l2") for k, s in enumerate((2.0, 1e-200, -3.0, 5.0))] + [(930 + k, [float(x) for x in rng.normal(1, 0.3, 40)], "l0") for k in range(12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").withColumns({"id": F.lit(0), "v": F.lit("x"), "h": F.lit(1), "size": F.lit("own")})
+    links = brute_cosines(rows)
+    assert len(links[910]) >= 3 and len(links[920]) == 2 and sum(map(len, (links[k] for k in range(930, 942)))) > 4
     comp = {r[0]: r[0] for r in rows}
     while True:
         new = {i: min([comp[i], *[comp[j] for j in links[i]]]) for i in comp}
         if new == comp:
             break
         comp = new
-    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vector_dedup(df, codes=6, block=20).collect()}
-    assert got == {i: (len(links[i]), comp[i], comp[i] == i) for i in comp}
+    for more in ({"codes": 6, "block": 20}, {"recall": 1.0}):
+        got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vector_dedup(df, **more).collect()}
+        assert got == {i: (len(links[i]), comp[i], comp[i] == i) for i in comp}
     assert vector_dedup(df.limit(0)).count() == 0
+    twice = spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.0], 1), (3, [0.0, 1.0], 1), (None, [1.0, 0.0], 1)], "vec_id long, embedding array<double>, label int")
+    assert sorted(r["n_links"] for r in vector_dedup(twice).collect()) == [0, 1, 1]  # the repeated id counts with one of its vectors
+
+
+@pytest.mark.parametrize("dims, floor", [(16, 0.99), (32, 0.99), (64, 0.99)])
+def test_vector_recall(spark, dims, floor):
+    """Links of the vectors whose id is divisible by 50, with all: made near the threshold, where cells part them most, and told at both ends."""
+    from flowfeat.llm.vector_dedup import vector_dedup
+
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(6_000, dims))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    side = rng.normal(size=x.shape)
+    side -= (side * x).sum(1)[:, None] * x
+    side /= np.sqrt((side * side).sum(1))[:, None]
+    c = rng.uniform(0.931, 0.96, (6_000, 1))
+    both = np.stack((x, c * x + np.sqrt(1 - c * c) * side), 1).reshape(-1, dims)
+    df = spark.createDataFrame([(i, 1, v) for i, v in enumerate(both.tolist())], "vec_id long, label int, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in vector_dedup(df).collect()}
+    near = both @ both.T >= 0.93
+    want = near.sum(1) - 1
+    asked = np.arange(0, len(both), 50)
+    assert sum(min(got[i], want[i]) for i in asked.tolist()) >= floor * want[asked].sum() and all(got[i] <= want[i] for i in got)
+    if want.max() == 1:  # a pair is missed at both ends or at none
+        assert all(got[i] == got[i ^ 1] for i in got)
 
 
 # 5: lines
