@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowfeat.functions import geo, text
+from flowfeat.sources.shared import cut
 
 
 # pages
@@ -235,14 +236,41 @@ def match_by_name(reports: DataFrame, catalog: DataFrame, ident: str, name: str,
 def match_by_tokens(left: DataFrame, right: DataFrame, ident: str, tokens: str, department: str, least: float = 0.45, margin: float = 0.05, bonus: float = 0.25) -> DataFrame:
     """For each left row the right row with the largest Dice overlap of distinct words (a bonus within the department), if high enough and clearly ahead.
 
-    Rows meet by shared words: words are exploded, joined and counted, no pair without a shared word is looked at.
+    Only scores from least - margin on can decide, so words are put in order of their number of rows, rarest first, and rows meet by the first
+    words that any pair of such a score must share: two texts with an overlap of t share one of their first n - ceil(t n / (2 - t)) + 1 words,
+    whatever the other's length. What is left after the last shared word bounds a pair's overlap; the few pairs that may reach it
+    are compared whole. Rows of one side with the same words and department are compared once.
     """
-    each = lambda df, p: df.select(F.col(ident).alias(f"{p}"), F.col(department).alias(f"{p}_dep"), F.size(F.array_distinct(tokens)).alias(f"{p}_n"), F.explode(F.array_distinct(tokens)).alias("w"))
-    shared = each(left, "l").join(each(right, "r"), "w").groupBy("l", "r", "l_n", "r_n", "l_dep", "r_dep").agg(F.count("*").alias("c"))
-    score = 2.0 * F.col("c") / (F.col("l_n") + F.col("r_n")) + F.when(F.col("l_dep").eqNullSafe(F.col("r_dep")), bonus).otherwise(0.0)
+    dep, words, sides, every = "__dep", "__t", [], []
+    for side, df in enumerate((left, right)):
+        rows = df.select(F.col(ident).alias("__id"), F.col(department).alias(dep), F.array_sort(F.array_distinct(tokens)).alias(words)).filter(F.size(words) > 0)
+        every.append(cut(rows, "worded"))
+        sides.append(cut(every[side].groupBy(dep, words).agg(F.min("__id").alias("__rep"), F.count("*").alias("__many")).withColumn("__side", F.lit(side)), "worded-once"))
+    both = sides[0].union(sides[1])
+    each = both.select("__side", "__rep", dep, F.size(words).alias("__n"), F.explode(words).alias("w"))
+    rare = each.join(each.groupBy("w").agg(F.count("*").alias("__f")), "w").groupBy("__side", "__rep", dep, "__n").agg(F.array_sort(F.collect_list(F.struct("__f", "w"))).alias("__o"))
+    rare = cut(rare, "rare-words")
+
+    def pairs(t: float, within: bool) -> DataFrame:
+        first = F.col("__n") - F.greatest(F.lit(1), F.ceil(F.lit(t) * F.col("__n") / F.lit(2 - t) - F.lit(1e-9))) + 1
+        some = rare.select("__side", "__rep", dep, "__n", F.posexplode(F.slice("__o", F.lit(1), first.cast("int"))).alias("__k", "__x"))
+        l, r = (some.filter(F.col("__side") == k).select(F.col("__rep").alias(p), F.col(dep).alias(f"{p}_dep"), F.col("__n").alias(f"{p}_n"), F.col("__k").alias(f"{p}_k"), F.col("__x.w").alias(f"{p}_w")) for k, p in ((0, "l"), (1, "r")))
+        here = F.col("l_dep").eqNullSafe(F.col("r_dep"))
+        fit = (2 * F.least("l_n", "r_n") >= (F.lit(t) - 1e-9) * (F.col("l_n") + F.col("r_n"))) & (here if within else ~here)
+        met = l.join(r, (F.col("l_w") == F.col("r_w")) & fit).groupBy("l", "r", "l_n", "r_n").agg(F.count("*").alias("c"), F.max("l_k").alias("i"), F.max("r_k").alias("j"))
+        most = F.col("c") + F.least(F.col("l_n") - 1 - F.col("i"), F.col("r_n") - 1 - F.col("j"))
+        return met.filter(2 * most >= (F.lit(t) - 1e-9) * (F.col("l_n") + F.col("r_n"))).select("l", "r", F.lit(bonus if within else 0.0).alias("plus"))
+
+    found = cut(pairs(least - margin, False).union(pairs(max(least - margin - bonus, 0.0), True)), "worded-pairs")
+    words_of = lambda k, p: sides[k].select(F.col("__rep").alias(p), F.col(words).alias(f"{p}_t"), F.col("__many").alias(f"{p}_many"))
+    whole = found.join(words_of(0, "l"), "l").join(words_of(1, "r"), "r")
+    score = 2.0 * F.size(F.array_intersect("l_t", "r_t")) / (F.size("l_t") + F.size("r_t")) + F.col("plus")
     w = Window.partitionBy("l").orderBy(F.desc("score"), "r")
-    ranked = shared.withColumn("score", score).withColumns({"k": F.row_number().over(w), "next": F.lead("score").over(w)})
-    return ranked.filter((F.col("k") == 1) & (F.col("score") >= least) & (F.col("next").isNull() | (F.col("score") - F.col("next") >= margin))).select(F.col("l").alias(ident), F.col("r").alias("match"), F.round("score", 6).alias("score"))
+    ranked = whole.select("l", "r", "r_many", score.alias("score")).withColumns({"k": F.row_number().over(w), "next": F.lead("score").over(w)})
+    next_ = F.when(F.col("r_many") > 1, F.col("score")).otherwise(F.col("next"))  # a right row with the same words is as good
+    best = ranked.filter((F.col("k") == 1) & (F.col("score") >= least) & (next_.isNull() | (F.col("score") - next_ >= margin)))
+    told = sides[0].join(best, F.col("__rep") == F.col("l")).select(F.col(dep).alias("d"), F.col(words).alias("t"), "r", "score")
+    return every[0].join(told, F.col(dep).eqNullSafe(F.col("d")) & (F.col(words) == F.col("t"))).select(F.col("__id").alias(ident), F.col("r").alias("match"), F.round("score", 6).alias("score"))
 
 
 def dup_score(left: DataFrame, right: DataFrame, on: list[str], ident: str, tokens: str, bucket: str) -> DataFrame:
