@@ -3,28 +3,51 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Latin letters with marks and their bases.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
-# Words that names are compared without.
-STOP_WORDS = ["de", "du", "des", "la", "le", "les", "l", "d", "et", "canyon", "ravin", "ruisseau", "torrent", "rio", "partie"]
-# Phrases that tell a water level, first match wins.
-SIGNAL_PHRASES = [("CRUE", ["en crue", "crue"]), ("TRES_GROS", ["tres gros debit", "enorme"]), ("GROS", ["gros debit", "beaucoup d eau"]), ("CORRECT", ["debit correct", "bon debit"]), ("FILET", ["filet d eau", "petit debit"]), ("SEC", ["a sec", "sec"])]
+
+
+def _plain_letters() -> tuple[str, str]:
+    """Characters that compatibility decomposition without its marks turns into one small letter or digit, and what they become."""
+    found = [(chr(i), x) for i in range(0x80, 0x10000) if not 0xD800 <= i < 0xE000 and chr(i).lower() == chr(i) for x in ["".join(c for c in unicodedata.normalize("NFKD", chr(i)) if not unicodedata.combining(c)).lower()] if len(x) == 1 and x.isascii() and x.isalnum()]
+    return "".join(c for c, _ in found), "".join(x for _, x in found)
+
+
+ACCENTED, PLAIN = _plain_letters()
+# Words that comments are compared without.
+STOP_WORDS = ["le", "la", "les", "de", "du", "des", "un", "une", "and", "the", "a", "to", "of", "et", "en"]
+# Labels of water levels with rank, confidence and phrases; the first label with a phrase in the text wins.
+TEXT_SIGNALS = [
+    ("CRUE", 5.0, 0.95, ["crue", "en crue", "flood", "flooded", "spate"]),
+    ("TRES_GROS", 4.0, 0.9, ["tres gros", "tgd", "trop d eau", "trop d'eau", "dangerous water", "very high water"]),
+    ("GROS", 3.0, 0.85, ["gros debit", "gros débit", "gd", "beaucoup d eau", "beaucoup d'eau", "high water", "strong flow", "grosse eau", "debit fort", "débit fort"]),
+    ("FILET", 1.0, 0.8, ["filet", "petit debit", "petit débit", "peu d eau", "peu d'eau", "low water", "little water", "faible debit", "faible débit"]),
+    ("SEC", 0.0, 0.9, ["sec", "a sec", "à sec", "asseche", "asséché", "dry", "no water", "pas d eau", "pas d'eau"]),
+    ("CORRECT", 2.0, 0.65, ["debit correct", "débit correct", "niveau correct", "normal", "nice flow", "good flow", "bon debit", "bon débit"]),
+]
+
+
+def plain(text: str) -> str:
+    """normalize_text of a literal."""
+    t = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower()
+    return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in t).split())
 
 
 def fold(c: Column) -> Column:
-    """Lower case without Latin accents."""
-    return F.translate(F.lower(F.coalesce(c, F.lit(""))), ACCENTED, PLAIN)
+    """Lower case without marks on letters."""
+    return F.regexp_replace(F.translate(F.lower(F.coalesce(c, F.lit(""))), ACCENTED, PLAIN), r"\p{M}+", "")
 
 
 def normalize_text(c: Column) -> Column:
-    """H1: accents stripped, lower case, anything but a-z and 0-9 is one space, trimmed; null is empty. Native form, for Latin text."""
+    """H1: accents stripped, lower case, anything but a-z and 0-9 is one space, trimmed; null is empty.
+
+    Native form: of compatibility decomposition it knows the characters that become one letter or digit, not those that become several.
+    """
     return F.trim(F.regexp_replace(fold(c), "[^a-z0-9]+", " "))
 
 
@@ -122,38 +145,109 @@ def useful_shuttle(c: Column, useless: tuple[str, ...] = ("", "neant", "non", "a
     return ~normalize_text(c).isin(*useless)
 
 
-def text_signal(c: Column, phrases: list[tuple[str, list[str]]] = SIGNAL_PHRASES) -> Column:
-    """The first label of which a phrase is a substring of the normalised text."""
+def text_signal(c: Column, signals: list[tuple[str, float, float, list[str]]] = TEXT_SIGNALS) -> Column:
+    """Struct (label, rank, confidence, pattern) of the first label, and its first phrase, that is a substring of the normalised text; else null."""
     n = normalize_text(c)
-    out = F.lit(None).cast("string")
-    for label, found in reversed(phrases):
-        hit = F.lit(False)
-        for p in found:
-            hit = hit | n.contains(p)
-        out = F.when(hit, label).otherwise(out)
+    kind = "struct<label:string,rank:double,confidence:double,pattern:string>"
+    out = F.lit(None).cast(kind)
+    for label, rank, confidence, phrases in reversed(signals):
+        for p in reversed(phrases):
+            out = F.when(n.contains(plain(p)), F.struct(F.lit(label).alias("label"), F.lit(rank).alias("rank"), F.lit(confidence).alias("confidence"), F.lit(p).alias("pattern"))).otherwise(out)
     return out
 
 
-# Abbreviations of flow and their ranks.
+# Abbreviations of flow with their ranks, what signs behind them change, and phrases with rank, confidence and pattern.
 ABBREVIATIONS = {"pd": 1.0, "dc": 2.0, "gd": 3.0, "tgd": 4.0}
-
-
-def text_target_signal(c: Column, strict: bool = False) -> Column:
-    """Struct (target, n) from flow abbreviations with signs, e.g. "dc+", "pd++" or "pd/dc", by weighted mean.
-
-    One sign moves the rank by .25, two signs by .4. Mentions right before
-    "veut dire", "signifie" or "entendez" explain a term and don't count. ``strict`` also leaves out negated ones ("pas de gd").
-    """
-    low = fold(c)
-    low = F.regexp_replace(low, r"\b(tgd|gd|dc|pd)\b(?=\s*(?:entendez|veut dire|signifie))", " ")
-    if strict:
-        low = F.regexp_replace(low, r"\b(?:pas|jamais)\s+(?:de\s+|un\s+)?(tgd|gd|dc|pd)\b", " ")
-    found = F.regexp_extract_all(low, F.lit(r"\b((?:tgd|gd|dc|pd)(?:\+\+|--|\+|-)?)(?![a-z0-9])"), 1)
+SIGNS = {"--": -0.35, "-": -0.18, "": 0.0, "+-": 0.0, "+": 0.22, "++": 0.38, "+++": 0.50}
+PHRASES = [
+    ("debit_correct_plus", 2.22, 0.88, r"\bdebit correct\s*\+"),
+    ("debit_correct_minus", 1.85, 0.88, r"\bdebit correct\s*-"),
+    ("gros_debit_plus", 3.25, 0.88, r"\bgros debit\s*\+"),
+    ("gros_debit_minus", 2.85, 0.88, r"\bgros debit\s*-"),
+    ("tres_gros_plus", 4.22, 0.88, r"\btres gros\s*\+"),
+    ("tres_gros_minus", 3.82, 0.88, r"\btres gros\s*-"),
+    ("correct_to_gros", 2.50, 0.82, r"\b(?:correct\s*/\s*gros|correct a gros|debit correct\s*/\s*gros debit)\b"),
+    ("petit_to_correct", 1.50, 0.78, r"\b(?:petit debit\s*/\s*debit correct|petit debit a debit correct)\b"),
+    ("gros_to_tres_gros", 3.50, 0.82, r"\b(?:gros\s*/\s*tres gros|gros a tres gros|gros debit\s*/\s*tres gros)\b"),
+    ("sec", 0.0, 0.86, r"\b(?:a sec|asseche|assechee|dry|pas d eau|sans eau|rien ne coule)\b"),
+    ("filet", 1.0, 0.82, r"\b(?:petit filet|filet d eau|goutte a goutte)\b"),
+    ("petit_debit", 1.25, 0.72, r"\b(?:petit debit|faible debit|debit faible|peu d eau|quasi pas d eau|manque d eau)\b"),
+    ("debit_correct", 2.0, 0.78, r"\b(?:debit correct|niveau correct|debit normal|debit ok|bon debit|debit sympa|debit agreable)\b"),
+    ("correct_plus_context", 2.45, 0.60, r"\b(?:bon gros debit|beau debit|bien en eau|plein d eau|beaucoup d eau|ca pousse un peu)\b"),
+    ("gros_debit", 3.0, 0.75, r"\b(?:gros debit|debit fort|grosse eau|gros volume|ca pousse fort|ca brasse|mouvements d eau|drossage|machine a laver)\b"),
+    ("tres_gros", 4.0, 0.80, r"\b(?:tres gros|trop d eau|trop gros|enorme debit|debit enorme|tres haut|too much water|troppa acqua|mucha agua)\b"),
+    ("crue_current", 5.0, 0.86, r"\b(?:en crue|crue en cours|flooded|spate)\b"),
+    ("impraticable", 4.5, 0.76, r"\b(?:impraticable|impassable|infranchissable|infaisable|pas faisable|non praticable)\b"),
+]
+ONE = r"(?:pd|dc|gd|tgd)\s*(?:[+-]\s*){0,3}"
+MENTION = rf"(?<![a-z0-9])({ONE}(?:/\s*{ONE}){{0,3}})(?![a-z0-9])"
+NEGATED = r"\b(?:pas|ne mets pas|je ne mets pas|pas en|plus en)\s+(?:pd|dc|gd|tgd)\b"
+EXPLAINED = r"(?!\s*(?:entendez|veut dire|signifie)\b)"
+SIGNAL = "struct<source:string,signal:string,text:string,rank:double,low:double,high:double,confidence:double,specificity:int>"
+
+
+def _mentions(n: Column) -> Column:
+    """Structs (before, text) of the abbreviations, alone or in ranges, each with the 24 characters before it."""
+    parts = F.split(F.regexp_replace(n, MENTION, "\u0001$1\u0002"), "\u0001")
+    start = F.struct(F.right(parts[0], F.lit(24)).alias("tail"), F.array().cast("array<struct<before:string,text:string>>").alias("got"))
+
+    def add(acc: Column, part: Column) -> Column:
+        said = F.substring_index(part, "\u0002", 1)
+        return F.struct(F.right(F.concat(acc["tail"], F.translate(part, "\u0002", "")), F.lit(24)).alias("tail"), F.concat(acc["got"], F.array(F.struct(acc["tail"].alias("before"), said.alias("text")))).alias("got"))
+
+    return F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), start, add)["got"]
+
+
+def _measured(text: Column, selected: Column) -> Column:
+    """An abbreviation or range as a signal: the mean of its ranks, or the selected rank if it lies within a range."""
     ranks = F.create_map(*[F.lit(x) for k, v in ABBREVIATIONS.items() for x in (k, v)])
-    signs = F.create_map(*[F.lit(x) for k, v in {"": 0.0, "+": 0.25, "-": -0.25, "++": 0.4, "--": -0.4}.items() for x in (k, v)])
-    values = F.transform(found, lambda x: F.element_at(ranks, F.regexp_extract(x, "^[a-z]+", 0)) + F.element_at(signs, F.regexp_extract(x, r"[+-]*$", 0)))
-    n = F.size(values)
-    return F.struct(F.when(n > 0, F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / n).alias("target"), n.alias("n"))
+    signs = F.create_map(*[F.lit(x) for k, v in SIGNS.items() for x in (k, v)])
+    parts = F.regexp_extract_all(text, F.lit(r"((?:pd|dc|gd|tgd)\s*[+-]{0,3})"), 1)
+    word, sign = lambda x: F.regexp_extract(x, "^[a-z]+", 0), lambda x: F.regexp_replace(x, "[^+-]", "")
+    each = F.transform(parts, lambda x: F.greatest(F.lit(0.0), F.least(F.lit(5.0), F.element_at(ranks, word(x)) + F.coalesce(F.element_at(signs, sign(x)), F.lit(0.0)))))
+    mean = F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / F.size(each)
+    ranged, signed = F.size(parts) > 1, F.exists(parts, lambda x: sign(x) != "")
+    rank = F.when(ranged & (selected >= F.array_min(each)) & (selected <= F.array_max(each)), selected).otherwise(mean)
+    return F.struct(
+        F.lit("abbreviation").alias("source"),
+        F.array_join(F.transform(parts, lambda x: F.concat(F.upper(word(x)), sign(x))), "/").alias("signal"),
+        F.trim(text).alias("text"),
+        F.round(rank, 6).alias("rank"),
+        F.round(F.array_min(each), 6).alias("low"),
+        F.round(F.array_max(each), 6).alias("high"),
+        F.when(ranged | signed, 0.95).otherwise(0.86).alias("confidence"),
+        F.when(ranged, 3).when(signed, 2).otherwise(1).alias("specificity"),
+    ).cast(SIGNAL)
+
+
+def _phrase(name: str, rank: float, confidence: float) -> Callable[[Column], Column]:
+    of = lambda v, k: F.lit(v).alias(k)
+    return lambda x: F.struct(of("phrase", "source"), of(name, "signal"), F.trim(x).alias("text"), of(rank, "rank"), of(rank, "low"), of(rank, "high"), of(confidence, "confidence"), of(0, "specificity")).cast(SIGNAL)
+
+
+def text_target_signal(c: Column, selected: Column | None = None) -> Column:
+    """Struct (matches, best, target) of what a comment says about the flow.
+
+    Matches are abbreviations (PD, DC, GD, TGD) with signs and in ranges, but for negated ones ("pas GD"), and 18 phrases; a correct flow that
+    is being explained ("debit correct veut dire") does not count. The same words count once. ``best`` has the highest
+    confidence, then specificity, then the rank nearest to the selected one, then comes first; ``target`` is the mean of ranks weighted by confidence.
+    """
+    selected = F.lit(None).cast("double") if selected is None else selected.cast("double")
+    low = F.replace(F.replace(fold(c), F.lit("++"), F.lit(" ++ ")), F.lit("--"), F.lit(" -- "))
+    n = F.trim(F.regexp_replace(low, r"[^a-z0-9+\-/]+", " "))
+    said = F.transform(F.filter(_mentions(n), lambda x: ~F.concat(x["before"], x["text"]).rlike(NEGATED)), lambda x: _measured(x["text"], selected))
+    found = [said]
+    for name, rank, confidence, pattern in PHRASES:
+        words = F.regexp_extract_all(n, F.lit(f"({pattern}{EXPLAINED if name == 'debit_correct' else ''})"), 1)
+        found.append(F.transform(words, _phrase(name, rank, confidence)))
+    each = F.array_distinct(F.concat(*found))
+    weight = F.aggregate(each, F.lit(0.0), lambda a, x: a + x["confidence"])
+    mean = F.aggregate(each, F.lit(0.0), lambda a, x: a + x["rank"] * x["confidence"]) / weight
+    off = lambda x: F.coalesce(F.abs(x["rank"] - selected), F.lit(0.0))
+    key = lambda x: F.struct(-x["confidence"], -x["specificity"], off(x))
+    best = F.aggregate(each, F.lit(None).cast(SIGNAL), lambda a, x: F.when(a.isNull() | (key(x) < key(a)), x).otherwise(a))
+    ordered = F.transform(F.array_sort(F.transform(each, lambda x: F.struct((-x["confidence"]).alias("a"), (-x["specificity"]).alias("b"), x["signal"].alias("c"), x.alias("x")))), lambda y: y["x"])
+    return F.struct(ordered.alias("matches"), best.alias("best"), F.when(F.size(each) > 0, F.round(mean, 6)).alias("target"))
 
 
 def agreement_category(delta: Column) -> Column:
@@ -206,18 +300,24 @@ def token_count(c: Column) -> Column:
     return F.size(tokens(normalize_text(c)))
 
 
-# Words that place a point on a watercourse.
-UPSTREAM = ["amont", "haut", "haute", "superieur", "superieure", "depart", "entree"]
-DOWNSTREAM = ["aval", "bas", "basse", "inferieur", "inferieure", "arrivee", "sortie"]
+# Words that place a point on a watercourse, and words that tell of several branches.
+UPSTREAM = ["amont", "haut", "haute", "upper", "upstream", "sup", "superieur", "integrale", "integral", "complete", "complet"]
+DOWNSTREAM = ["aval", "bas", "basse", "lower", "downstream", "inf", "inferieur"]
+BRANCHES = ["alternative", "alternatif", "affluent", "partie", "parte", "option", "variant", "variante", "branch", "branca", "rio", "ribeira", "torrent", "amont", "aval", "superieur", "inferieur", "sup", "inf", "integrel", "integrale", "guadajana", "palomas"]
 
 
 def label_hint(c: Column) -> Column:
     """Upstream, downstream, ambiguous (both) or unknown, by the words of a label."""
-    t = tokens(normalize_text(c))
+    t = tokens(normalize_for_search(c))
     up, down = F.arrays_overlap(t, F.lit(UPSTREAM)), F.arrays_overlap(t, F.lit(DOWNSTREAM))
     return F.when(up & down, "ambiguous").when(up, "upstream").when(down, "downstream").otherwise("unknown")
 
 
+def branch_hint(labels: Column) -> Column:
+    """Whether one of the labels has a word that tells of several branches; nulls have none."""
+    return F.exists(F.coalesce(labels, F.array().cast("array<string>")), lambda x: F.arrays_overlap(tokens(normalize_for_search(x)), F.lit(BRANCHES)))
+
+
 def keyword_flags(c: Column, groups: dict[str, list[str]]) -> dict[str, Column]:
     """For each name, whether one of its phrases is a substring of the normalised text."""
     n = normalize_text(c)

@@ -8,7 +8,7 @@ from flowfeat.functions import dates, geo, levels, text
 from flowfeat.plans._base import query
 from flowfeat.sources.bindings import CAT, CELLS, OBS, PRED, cat, cells, obs, pred, table
 
-FOLD = f"translate(lower(coalesce({{}}, '')), '{text.ACCENTED}', '{text.PLAIN}')"
+FOLD = f"regexp_replace(translate(lower(coalesce({{}}, '')), '{text.ACCENTED}', '{text.PLAIN}'), '\\p{{{{M}}}}+', '', 'g')"
 
 
 def norm(c: str) -> str:
@@ -125,12 +125,9 @@ def h3(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), text.normalize_name(F.concat("p_name", F.lit(" & ("), "p_brand", F.lit(") Été"))).alias("name"))
 
 
-STOP = ["the", "of", "and", "de", "la"]
-
-
-@query("h4_compact_tokens", f"SELECT doc_id, len(list_filter({toks('text')}, lambda x: x NOT IN ('the', 'of', 'and', 'de', 'la'))) AS n FROM documents")
+@query("h4_compact_tokens", f"SELECT doc_id, len(list_filter({toks('text')}, lambda x: x NOT IN ('le', 'la', 'les', 'de', 'du', 'des', 'un', 'une', 'and', 'the', 'a', 'to', 'of', 'et', 'en'))) AS n FROM documents")
 def h4(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(text.compact_tokens(text.normalize_text(F.col("text")), STOP)).cast("long").alias("n"))
+    return table(spark, d, "documents").select("doc_id", F.size(text.compact_tokens(text.normalize_text(F.col("text")))).cast("long").alias("n"))
 
 
 @query("h5_token_overlap", f"""WITH v AS (SELECT a.conv_id, {toks('a.text')} AS x, {toks('b.text')} AS y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1),
@@ -193,19 +190,40 @@ def h13(spark, d):
     return cat(spark, d).select("id", text.normalized_interest(F.col("interest") - 1).alias("interest"), text.useful_shuttle(F.when(F.col("id") % 4 == 0, "Non").otherwise(F.col("name"))).alias("shuttle"))
 
 
-@query("h14_text_signal", f"WITH n AS (SELECT doc_id, {norm('text')} AS n FROM documents) SELECT doc_id, CASE WHEN contains(n, 'eau') THEN 'GROS' WHEN contains(n, 'the') OR contains(n, 'und') THEN 'CORRECT' WHEN contains(n, 'que') THEN 'SEC' END AS signal FROM n")
-def h14(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.text_signal(F.col("text"), [("GROS", ["eau"]), ("CORRECT", ["the", "und"]), ("SEC", ["que"])]).alias("signal"))
-
-
-SIGNALS = ["dc+", "gd", "pd--", "tgd-", "rien"]
+COMMENTS = ["Niveau correct, un peu de débit fort ensuite", "DRY: à sec", "Trop d'eau!", "crue passée", "petit débit", "rien", None, "Second normal"]
 
 
-@query("h15_text_target_signal", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = o_custkey % 5 AND o_orderkey % 5 < 4 THEN v[o_orderkey % 5 + 1] WHEN o_orderkey % 5 = 4 THEN v[o_custkey % 5 + 1] WHEN o_custkey % 5 = 4 THEN v[o_orderkey % 5 + 1] ELSE round((v[o_orderkey % 5 + 1] + v[o_custkey % 5 + 1]) / 2, 6) END AS target FROM (SELECT *, [2.25, 3.0, 0.6, 3.75, NULL]::DOUBLE[] AS v FROM orders)")
+@query("h14_text_signal", """SELECT o_orderkey, c[1] AS label, c[2]::DOUBLE AS rank, c[3]::DOUBLE AS confidence, c[4] AS pattern FROM (SELECT o_orderkey,
+  [['GROS', '3', '0.85', 'debit fort'], ['SEC', '0', '0.9', 'sec'], ['TRES_GROS', '4', '0.9', 'trop d eau'], ['CRUE', '5', '0.95', 'crue'], ['FILET', '1', '0.8', 'petit debit'], NULL, NULL, ['SEC', '0', '0.9', 'sec']][o_orderkey % 8 + 1] AS c FROM orders)""")
+def h14(spark, d):
+    s = text.text_signal(F.element_at(F.array(*map(F.lit, COMMENTS)), (F.col("o_orderkey") % 8 + 1).cast("int")))
+    return table(spark, d, "orders").select("o_orderkey", s.alias("s")).select("o_orderkey", "s.label", "s.rank", "s.confidence", "s.pattern")
+
+
+FIRST = ["DC+", "PD/dc", "pas GD", "tgd--", "Débit correct +", "rien", "débit correct veut dire DC", "gros à très gros", "dc+++", "pas de gd"]
+SECOND = ["à sec", "beau débit", "", "en crue", "GD / TGD+", "dc+"]
+# what each comment says: source, signal, text, rank, low, high, confidence, specificity, whether it is a range
+SAID = """f(k, source, signal, text, rank, low, high, confidence, specificity, pos) AS (VALUES
+    (0, 'abbreviation', 'DC+', 'dc+', 2.22, 2.22, 2.22, .95, 2, 1), (1, 'abbreviation', 'PD/DC', 'pd/dc', 1.5, 1, 2, .95, 3, 1), (3, 'abbreviation', 'TGD--', 'tgd --', 3.65, 3.65, 3.65, .95, 2, 1),
+    (4, 'phrase', 'debit_correct_plus', 'debit correct +', 2.22, 2.22, 2.22, .88, 0, 101), (4, 'phrase', 'debit_correct', 'debit correct', 2, 2, 2, .78, 0, 113), (6, 'abbreviation', 'DC', 'dc', 2, 2, 2, .86, 1, 1),
+    (7, 'phrase', 'gros_to_tres_gros', 'gros a tres gros', 3.5, 3.5, 3.5, .82, 0, 109), (7, 'phrase', 'tres_gros', 'tres gros', 4, 4, 4, .8, 0, 116), (8, 'abbreviation', 'DC++', 'dc ++ +', 2.38, 2.38, 2.38, .95, 2, 1), (9, 'abbreviation', 'GD', 'gd', 3, 3, 3, .86, 1, 1)),
+  g(k, source, signal, text, rank, low, high, confidence, specificity, pos) AS (VALUES
+    (0, 'phrase', 'sec', 'a sec', 0, 0, 0, .86, 0, 110), (1, 'phrase', 'correct_plus_context', 'beau debit', 2.45, 2.45, 2.45, .6, 0, 114), (3, 'phrase', 'crue_current', 'en crue', 5, 5, 5, .86, 0, 117),
+    (4, 'abbreviation', 'GD/TGD+', 'gd / tgd+', 3.61, 3, 4.22, .95, 3, 2), (5, 'abbreviation', 'DC+', 'dc+', 2.22, 2.22, 2.22, .95, 2, 2))"""
+
+
+@query("h15_text_target_signal", f"""WITH {SAID}, o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 > 0 THEN (o_orderkey % 6)::DOUBLE END AS selected, o_orderkey % 10 AS a, o_custkey % 6 AS b FROM orders),
+  m AS (SELECT o_orderkey, selected, f.* FROM o JOIN f ON k = a UNION ALL SELECT o_orderkey, selected, g.* FROM o JOIN g ON k = b),
+  u AS (SELECT o_orderkey, selected, source, signal, text, confidence::DOUBLE AS confidence, specificity, CASE WHEN specificity = 3 AND selected BETWEEN low AND high THEN selected ELSE rank::DOUBLE END AS rank, min(pos) AS pos FROM m GROUP BY ALL),
+  r AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY confidence DESC, specificity DESC, coalesce(abs(rank - selected), 0), pos) AS k FROM u)
+  SELECT o_orderkey, count(signal) AS n, string_agg(signal, ' ' ORDER BY confidence DESC, specificity DESC, signal) AS signals, max(signal) FILTER (k = 1) AS best, max(rank) FILTER (k = 1) AS best_rank, round(sum(rank * confidence) / sum(confidence), 6) AS target FROM o LEFT JOIN r USING (o_orderkey) GROUP BY 1""")
 def h15(spark, d):
-    word = lambda k: F.element_at(F.lit(SIGNALS), (F.col(k) % 5 + 1).cast("int"))
-    s = text.text_target_signal(F.concat(F.lit("Débit: "), word("o_orderkey"), F.lit(" puis "), word("o_custkey"), F.lit(". ")))
-    return table(spark, d, "orders").select("o_orderkey", F.round(s["target"], 6).alias("target"))
+    pick = lambda words, k: F.element_at(F.lit(words), (F.col(k) % len(words) + 1).cast("int"))
+    comment = F.concat(pick(FIRST, "o_orderkey"), F.lit(" puis encore une longue marche ensemble, "), pick(SECOND, "o_custkey"), F.lit("."))
+    k = F.col("o_orderkey")
+    s = text.text_target_signal(comment, F.when(k % 7 > 0, k % 6))
+    rows = table(spark, d, "orders").select("o_orderkey", s.alias("s"))
+    return rows.select("o_orderkey", F.size("s.matches").cast("long").alias("n"), F.nullif(F.array_join("s.matches.signal", " "), F.lit("")).alias("signals"), F.col("s.best.signal").alias("best"), F.col("s.best.rank").alias("best_rank"), "s.target")
 
 
 @query("h16_agreement", f"WITH {PRED} SELECT observation_id, CASE WHEN abs(score - rank) <= 0.25 THEN 'exact' WHEN abs(score - rank) <= 0.75 THEN 'close' WHEN abs(score - rank) <= 1.25 THEN 'one_level' ELSE 'conflict' END AS agreement FROM pred")
@@ -266,10 +284,11 @@ def h25(spark, d):
     return table(spark, d, "documents").select("doc_id", text.token_count(F.col("text")).cast("long").alias("n"))
 
 
-@query("h26_label_hint", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'upstream' WHEN 1 THEN 'downstream' WHEN 2 THEN 'ambiguous' ELSE 'unknown' END AS hint FROM part")
+@query("h26_label_hint", "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'upstream' WHEN 1 THEN 'downstream' WHEN 2 THEN 'ambiguous' WHEN 4 THEN 'upstream' ELSE 'unknown' END AS hint, p_partkey % 6 IN (0, 1, 4, 5) AS branches FROM part")
 def h26(spark, d):
-    label = F.element_at(F.lit(["Pont Amont", "Sortie (aval)", "Haut / Bas", "Parking"]), (F.col("p_partkey") % 4 + 1).cast("int"))
-    return table(spark, d, "part").select("p_partkey", text.label_hint(F.concat(label, F.lit(" "), "p_brand")).alias("hint"))
+    label = F.element_at(F.array(*map(F.lit, ["Pont Amont", "Sortie (aval)", "Haut / Bas", "Hautes Gorges", "Intégrale", "Variante 2"])), (F.col("p_partkey") % 6 + 1).cast("int"))
+    both = F.concat(label, F.lit(" "), "p_brand")
+    return table(spark, d, "part").select("p_partkey", text.label_hint(both).alias("hint"), text.branch_hint(F.array(F.lit(None).cast("string"), both)).alias("branches"))
 
 
 @query("e5_spatial_ratios", f"WITH {CELLS} SELECT basin, row, col, CASE WHEN abs((slope - 3) * 1.7) >= 1e-9 THEN round(elevation / ((slope - 3) * 1.7), 6) END AS ratio FROM cells")

@@ -3,6 +3,8 @@
 import datetime as dt
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from flowfeat.functions import dates, levels, text
@@ -82,11 +84,44 @@ def test_text_helpers(spark):
     assert r["n"] == "ete a l echelle" and r["u"] == ["a", "b"] and tuple(r["c"]) == (3, 2, 3)
 
 
-def test_signal_explanations_do_not_count(spark):
-    df = spark.createDataFrame([("pd signifie petit",), ("pas de gd",), ("dc+ / gd",)], "t string")
-    plain = [r["s"]["target"] for r in df.select(text.text_target_signal(F.col("t")).alias("s")).collect()]
-    strict = [r["s"]["target"] for r in df.select(text.text_target_signal(F.col("t"), strict=True).alias("s")).collect()]
-    assert plain == [None, 3.0, 2.625] and strict == [None, None, 2.625]
+@pytest.mark.parametrize(
+    "comment, selected, signals, target",
+    [
+        (None, None, [], None),
+        ("", 2.0, [], None),
+        ("pas GD", None, [], None),
+        ("je ne mets pas DC, mais PD", None, [], None),  # 24 characters before a mention are looked at
+        ("pas de gd", None, ["GD"], 3.0),
+        ("PD-", None, ["PD-"], 0.82),
+        ("TGD+++", None, ["TGD++"], 4.38),
+        ("DC+-", None, ["DC+-"], 2.0),
+        ("dc / gd", None, ["DC/GD"], 2.5),
+        ("dc / gd", 2.8, ["DC/GD"], 2.8),
+        ("dc / gd", 3.5, ["DC/GD"], 2.5),
+        ("xdc dcx", None, [], None),
+        ("débit correct signifie", None, [], None),
+        ("Débit correct", None, ["debit_correct"], 2.0),
+        ("bon gros débit", None, ["gros_debit", "correct_plus_context"], round((3.0 * 0.75 + 2.45 * 0.6) / 1.35, 6)),
+        ("DC et DC encore", None, ["DC"], 2.0),
+        ("à sec, impraticable", None, ["sec", "impraticable"], round((0 * 0.86 + 4.5 * 0.76) / 1.62, 6)),
+    ],
+)
+def test_text_target_signal(spark, comment, selected, signals, target):
+    df = spark.createDataFrame([(comment, selected)], "t string, s double")
+    r = df.select(text.text_target_signal(F.col("t"), F.col("s")).alias("x")).first()["x"]
+    assert [m["signal"] for m in r["matches"]] == signals and r["target"] == target
+    assert (r["best"]["signal"] if r["best"] else None) == (signals[0] if signals else None)
+
+
+def test_best_signal_is_the_nearest(spark):
+    df = spark.createDataFrame([(s,) for s in (1.0, 3.0, None)], "s double").select(text.text_target_signal(F.lit("PD puis GD"), F.col("s")).alias("x"))
+    assert [r["x"]["best"]["signal"] for r in df.collect()] == ["PD", "GD", "PD"]
+
+
+def test_folding(spark):
+    t = "Šumava ŽÁR Ő ½ ﬂ １２ e\u0301té Œuvre"
+    r = spark.createDataFrame([(t,)], "t string").select(text.normalize_text(F.col("t")).alias("a"), text.normalize_text_unicode(F.col("t")).alias("b")).first()
+    assert r["a"] == "sumava zar o 12 ete uvre" and r["b"] == "sumava zar o 1 2 fl 12 ete uvre"
 
 
 def test_null_fails_an_active_range(spark):
