@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CLASSES = ["LOW", "MEDIUM", "HIGH"]
 
@@ -14,17 +15,36 @@ def day(c: str) -> Column:
     return F.unix_date(F.to_date(c))
 
 
+def timed(obs: DataFrame, time: str) -> bool:
+    """Whether a time has an hour: rows of one day then see those before them on that day."""
+    return isinstance(obs.schema[time].dataType, (T.TimestampType, T.TimestampNTZType))
+
+
+def micros(c: str) -> Column:
+    return F.unix_micros(F.col(c).cast("timestamp"))
+
+
 def counts_before(obs: DataFrame, key: list[str], time: str, flags: dict[str, Column]) -> DataFrame:
     """obs with sums of the flags over rows of the same key strictly before the row's time; rows of the same time don't see each other.
 
-    Rows are first summed by (key, time), so the window runs over one row per key and time: at the global level over one row per
-    distinct time, and a hot key costs its distinct times, not its rows.
+    Rows are first summed by (key, time), then by (key, day), so the window over all days runs over one row per key and day: at the global
+    level over one row per distinct day, and a hot key costs its distinct days, not its rows. Times with an hour add what the key
+    has before them on their own day, in a window for each key and day.
     """
-    per = obs.groupBy(*key, time).agg(*[F.sum(c.cast("long")).alias(n) for n, c in flags.items()])
-    w = (Window.partitionBy(*key) if key else Window.partitionBy()).orderBy(day(time)).rangeBetween(Window.unboundedPreceding, -1)
-    before = per.select(*[F.col(k).alias(f"__{k}") for k in key], F.col(time).alias("__t"), *[F.coalesce(F.sum(n).over(w), F.lit(0)).alias(n) for n in flags])
-    on = [obs[k].eqNullSafe(before[f"__{k}"]) for k in key] + [obs[time] == before["__t"]]
-    return obs.join(before, reduce(lambda a, b: a & b, on), "left").drop("__t", *[f"__{k}" for k in key])
+    null_safe = lambda df, other, p: [df[k].eqNullSafe(other[f"{p}{k}"]) for k in key]
+    per = obs.groupBy(*key, time).agg(*[F.sum(c.cast("long")).alias(n) for n, c in flags.items()]).withColumn("__d", day(time))
+    w = (Window.partitionBy(*key) if key else Window.partitionBy()).orderBy("__d").rangeBetween(Window.unboundedPreceding, -1)
+    sums = lambda over: [F.coalesce(F.sum(n).over(over), F.lit(0)).alias(n) for n in flags]
+    if timed(obs, time):
+        inner = Window.partitionBy(*key, "__d").orderBy(micros(time)).rangeBetween(Window.unboundedPreceding, -1)
+        days = per.groupBy(*key, "__d").agg(*[F.sum(n).alias(n) for n in flags])
+        days = days.select(*[F.col(k).alias(f"__w{k}") for k in key], F.col("__d").alias("__wd"), *[c.alias(f"__w{n}") for n, c in zip(flags, sums(w))])
+        here = per.select(*key, "__d", time, *sums(inner))
+        per_time = here.join(days, reduce(lambda x, y: x & y, [*null_safe(here, days, "__w"), here["__d"] == days["__wd"]]))
+        before = per_time.select(*[F.col(k).alias(f"__{k}") for k in key], F.col(time).alias("__t"), *[(F.col(n) + F.col(f"__w{n}")).alias(n) for n in flags])
+    else:
+        before = per.select(*[F.col(k).alias(f"__{k}") for k in key], F.col(time).alias("__t"), *sums(w))
+    return obs.join(before, reduce(lambda x, y: x & y, [*null_safe(obs, before, "__"), obs[time] == before["__t"]]), "left").drop("__t", *[f"__{k}" for k in key])
 
 
 def class_flags(bucket: str, prefix: str) -> dict[str, Column]:
@@ -73,25 +93,36 @@ def seasonal_priors(obs: DataFrame, period: str, time: str = "date", bucket: str
 
 
 def recent_history(obs: DataFrame, key: str = "site", time: str = "date", days: tuple[int, ...] = (30, 90, 365)) -> DataFrame:
-    """Over labelled rows of the last N days before the row's day: count, share of HIGH, and the mean rank of a year."""
+    """Over labelled rows from N days before the row's day up to the row's time: count, share of HIGH (0 if none), and the mean rank of a year.
+
+    Sums by day go into a window of days; times with an hour add the rows before them on their own day.
+    """
     per = obs.filter("bucket IS NOT NULL").groupBy(key, time).agg(F.count("*").alias("n"), F.sum((F.col("bucket") == "HIGH").cast("long")).alias("h"), F.sum("rank").alias("r"))
-    slots = obs.select(key, time).distinct().join(per, [key, time], "left")
+    slots = obs.select(key, time).distinct().join(per, [key, time], "left").withColumn("__d", day(time))
+    whole = slots.groupBy(key, "__d").agg(*[F.sum(x).alias(x) for x in "nhr"])
+    over = lambda x, w: F.coalesce(F.sum(x).over(w), F.lit(0))
+    window = {d: Window.partitionBy(key).orderBy("__d").rangeBetween(-d, -1) for d in days}
+    whole = whole.select(key, "__d", *[over(x, window[d]).alias(f"__{x}{d}") for d in days for x in "nhr"])
+    inner = Window.partitionBy(key, "__d").orderBy(micros(time)).rangeBetween(Window.unboundedPreceding, -1)
+    slots = slots.select(key, time, "__d", *[(over(x, inner) if timed(obs, time) else F.lit(0)).alias(f"__{x}") for x in "nhr"])
     cols = []
     for d in days:
-        w = Window.partitionBy(key).orderBy(day(time)).rangeBetween(-d, -1)
-        n = F.coalesce(F.sum("n").over(w), F.lit(0))
-        cols += [n.alias(f"n_{d}"), F.when(n > 0, F.round(F.sum("h").over(w) / n, 6)).alias(f"high_{d}")]
+        n, h, r = (F.col(f"__{x}{d}") + F.col(f"__{x}") for x in "nhr")
+        cols += [n.alias(f"n_{d}"), F.when(n > 0, F.round(h / n, 6)).otherwise(0.0).alias(f"high_{d}")]
         if d == 365:
-            cols.append(F.when(n > 0, F.round(F.sum("r").over(w) / n, 6)).alias("mean_rank_365"))
-    return obs.join(slots.select(key, time, *cols), [key, time], "left")
+            cols.append(F.when(n > 0, F.round(r / n, 6)).alias("mean_rank_365"))
+    return obs.join(slots.join(whole, [key, "__d"]).select(key, time, *cols), [key, time], "left")
 
 
 def last_observation(obs: DataFrame, key: str = "site", time: str = "date", ident: str = "observation_id") -> DataFrame:
-    """Days since and rank of the last labelled row before; of one day the one with the largest id."""
-    per = obs.groupBy(key, time).agg(F.max(F.when(F.col("rank").isNotNull(), F.struct(time, ident, "rank"))).alias("__last"))
-    w = Window.partitionBy(key).orderBy(day(time)).rangeBetween(Window.unboundedPreceding, -1)
-    before = per.select(key, time, F.max("__last").over(w).alias("__b"))
-    return obs.join(before, [key, time], "left").withColumns({"days_since": F.datediff(F.col(time), F.col(f"__b.{time}")), "last_rank": F.col("__b.rank")}).drop("__b")
+    """Days since and rank of the last labelled row before; of one time the one with the largest id."""
+    per = obs.groupBy(key, time).agg(F.max(F.when(F.col("rank").isNotNull(), F.struct(time, ident, "rank"))).alias("__last")).withColumn("__d", day(time))
+    w = Window.partitionBy(key).orderBy("__d").rangeBetween(Window.unboundedPreceding, -1)
+    before = per.groupBy(key, "__d").agg(F.max("__last").alias("__last")).select(key, "__d", F.max("__last").over(w).alias("__b"))
+    inner = Window.partitionBy(key, "__d").orderBy(micros(time)).rangeBetween(Window.unboundedPreceding, -1)
+    here = per.select(key, "__d", time, (F.max("__last").over(inner) if timed(obs, time) else F.lit(None).cast(per.schema["__last"].dataType)).alias("__h"))
+    known = here.join(before, [key, "__d"]).select(key, time, F.coalesce("__h", "__b").alias("__b"))
+    return obs.join(known, [key, time], "left").withColumns({"days_since": F.datediff(F.col(time), F.col(f"__b.{time}")), "last_rank": F.col("__b.rank")}).drop("__b")
 
 
 def serving_features(obs: DataFrame, requests: DataFrame, key: str = "site", time: str = "date") -> DataFrame:
@@ -111,31 +142,101 @@ def recent_snapshot(obs: DataFrame, reference: str, key: str = "site", time: str
     return obs.groupBy(key).agg(*cols)
 
 
-def prior_snapshot(obs: DataFrame) -> DataFrame:
+LOW = [c.lower() for c in CLASSES]
+
+
+def class_counts() -> list[Column]:
+    return [F.sum(F.coalesce((F.col("bucket") == c), F.lit(False)).cast("long")).alias(c.lower()) for c in CLASSES]
+
+
+def shares(own: str, base: str, strength: float) -> list[Column]:
+    """Columns p_low, p_medium, p_high from counts and the shares of the level above."""
+    total = sum((F.col(f"{own}{x}") for x in LOW), F.lit(0)) + strength
+    return [((F.col(f"{own}{c}") + strength * F.col(f"{base}{c}")) / total).alias(f"p_{c}") for c in LOW]
+
+
+def site_context(obs: DataFrame) -> DataFrame:
+    """A site's group and supergroup: those of its first row by (date, id)."""
+    return obs.groupBy("site").agg(F.min_by(F.struct("grp", "sup"), F.struct("date", "observation_id")).alias("__c")).select("site", "__c.grp", "__c.sup")
+
+
+def prior_snapshot(obs: DataFrame, signals: dict[str, Column] | None = None) -> DataFrame:
     """Final counts and smoothed shares by level in one table (level, key): global, supergroup (30), group (20), site (10).
 
-    A site's group and supergroup are those of its first row by (date, id).
+    Signals are counted over all rows, labelled or not: ``<signal>_n`` and ``<signal>_ratio``, and at sites ``<signal>_flag`` from two on
+    and ``atypical``, if any flag is set. A site's group and supergroup are those of its first row.
     """
-    n = [F.sum(F.coalesce((F.col("bucket") == c), F.lit(False)).cast("long")).alias(c.lower()) for c in CLASSES]
-    low = [c.lower() for c in CLASSES]
-    site = obs.groupBy("site").agg(F.min_by(F.struct("grp", "sup"), F.struct("date", "observation_id")).alias("__c"), *n).select("site", "__c.grp", "__c.sup", *low)
-    share = lambda own, base, s: [((F.col(f"{own}{c}") + s * F.col(f"{base}{c}")) / (sum((F.col(f"{own}{x}") for x in low), F.lit(0)) + s)).alias(f"p_{c}") for c in low]
-    total = obs.agg(*n)
-    t = sum((F.col(c) for c in low), F.lit(0))
-    glob = total.select(F.lit("global").alias("level"), F.lit(None).cast("long").alias("key"), *low, *[F.when(t > 0, F.col(c) / t).otherwise(1.0 / 3).alias(f"p_{c}") for c in low])
-    up = glob.select(*[F.col(f"p_{c}").alias(f"b_{c}") for c in low])  # one row
-    sup = obs.groupBy("sup").agg(*n).crossJoin(F.broadcast(up))
-    sup = sup.select(F.lit("supergroup").alias("level"), F.col("sup").cast("long").alias("key"), *low, *share("", "b_", 30.0))
-    grp = obs.groupBy("grp", "sup").agg(*n).join(sup.select(F.col("key").alias("sup"), *[F.col(f"p_{c}").alias(f"b_{c}") for c in low]), "sup")
-    grp = grp.select(F.lit("group").alias("level"), F.col("grp").cast("long").alias("key"), *low, *share("", "b_", 20.0))
-    own = site.join(grp.select(F.col("key").alias("grp"), *[F.col(f"p_{c}").alias(f"b_{c}") for c in low]), "grp")
-    own = own.select(F.lit("site").alias("level"), F.col("site").cast("long").alias("key"), *low, *share("", "b_", 10.0))
+    signals = signals or {}
+    seen = [F.count("*").alias("rows"), *[F.sum(F.coalesce(c, F.lit(False)).cast("long")).alias(f"{n}_n") for n, c in signals.items()]]
+    n, kept = [*class_counts(), *seen], [*LOW, "rows", *[f"{x}_n" for x in signals]]
+
+    def put(df: DataFrame, level: str, key: str | None, p: list[Column]) -> DataFrame:
+        site = level == "site"
+        flags = [(F.col(f"{x}_n") >= 2 if site else F.lit(None).cast("boolean")).alias(f"{x}_flag") for x in signals]
+        any_flag = reduce(lambda x, y: x | y, [F.col(f"{x}_n") >= 2 for x in signals], F.lit(False)) if site else F.lit(None).cast("boolean")
+        ratio = [F.round(F.col(f"{x}_n") / F.col("rows"), 6).alias(f"{x}_ratio") for x in signals]
+        return df.select(F.lit(level).alias("level"), F.col(key).cast("long").alias("key") if key else F.lit(None).cast("long").alias("key"), *kept, *p, *ratio, *flags, *([any_flag.alias("atypical")] if signals else []))
+
+    base = lambda df, key: df.select(F.col("key").alias(key), *[F.col(f"p_{c}").alias(f"b_{c}") for c in LOW])
+    t = sum((F.col(c) for c in LOW), F.lit(0))
+    glob = put(obs.agg(*n), "global", None, [F.when(t > 0, F.col(c) / t).otherwise(1.0 / 3).alias(f"p_{c}") for c in LOW])
+    sup = put(obs.groupBy("sup").agg(*n).crossJoin(F.broadcast(base(glob, "__none").drop("__none"))), "supergroup", "sup", shares("", "b_", 30.0))  # one row
+    grp = put(obs.groupBy("grp", "sup").agg(*n).join(base(sup, "sup"), "sup"), "group", "grp", shares("", "b_", 20.0))
+    own = put(obs.groupBy("site").agg(*n).join(site_context(obs), "site").join(base(grp, "grp"), "grp"), "site", "site", shares("", "b_", 10.0))
     return glob.unionByName(sup).unionByName(grp).unionByName(own)
 
 
-def temporal_snapshot(obs: DataFrame, key: str, period: Column) -> DataFrame:
-    """Per entity and month or season: class counts, mean rank and last date."""
-    return obs.filter("bucket IS NOT NULL").groupBy(F.col(key), period.alias("period")).agg(F.count("*").alias("n"), *[F.sum((F.col("bucket") == c).cast("long")).alias(c.lower()) for c in CLASSES], F.round(F.avg("rank"), 6).alias("mean_rank"), F.max("date").alias("last_date"))
+def temporal_snapshot(obs: DataFrame, period: Column, periods: list) -> DataFrame:
+    """(level, key, period): class counts over labelled rows, shares smoothed towards the level above in the same period (supergroup 20, group
+    15, site 8), and at sites the mean rank. Every entity has all ``periods``; a group's supergroup is that of its smallest site."""
+    rows = obs.filter("bucket IS NOT NULL AND rank IS NOT NULL").withColumn("period", period)
+    every = F.explode(F.array(*map(F.lit, periods))).alias("period")
+    context = site_context(obs)
+
+    def dense(key: str, entities: DataFrame, *more: Column) -> DataFrame:
+        n = rows.groupBy(F.col(key).alias("__k"), "period").agg(*class_counts(), *more)
+        out = entities.select("*", every)
+        out = out.join(n.withColumnRenamed("period", "__p"), (F.col(key) == F.col("__k")) & (F.col("period") == F.col("__p")), "left").drop("__k", "__p")
+        return out.fillna(0, LOW)
+
+    def rest(df: DataFrame, level: str, key: str | None) -> DataFrame:
+        mean = F.when(sum((F.col(c) for c in LOW), F.lit(0)) > 0, F.round(F.col("__rank"), 6)) if level == "site" else F.lit(None).cast("double")
+        return df.select(F.lit(level).alias("level"), F.col(key).cast("long").alias("key") if key else F.lit(None).cast("long").alias("key"), "period", *LOW, *[f"p_{c}" for c in LOW], mean.alias("mean_rank"))
+
+    t = sum((F.col(c) for c in LOW), F.lit(0))
+    n = rows.groupBy(F.col("period").alias("__p")).agg(*class_counts())
+    glob = obs.sparkSession.range(1).select(every).join(n, F.col("period") == F.col("__p"), "left").drop("__p").fillna(0, LOW).select("period", *LOW, *[F.when(t > 0, F.col(c) / t).otherwise(1.0 / 3).alias(f"p_{c}") for c in LOW])
+    up = lambda df, key: df.select(*([key] if key else []), "period", *[F.col(f"p_{c}").alias(f"b_{c}") for c in LOW])
+    sup = dense("sup", obs.select("sup").distinct()).join(up(glob, None), "period")
+    sup = sup.select("sup", "period", *LOW, *shares("", "b_", 20.0))
+    parent = context.groupBy("grp").agg(F.min_by("sup", "site").alias("sup"))
+    grp = dense("grp", parent).join(up(sup, "sup"), ["sup", "period"])
+    grp = grp.select("grp", "period", *LOW, *shares("", "b_", 15.0))
+    own = dense("site", context, F.avg("rank").alias("__rank")).join(up(grp, "grp"), ["grp", "period"])
+    own = own.select("site", "period", *LOW, *shares("", "b_", 8.0), "__rank")
+    return rest(glob, "global", None).unionByName(rest(sup, "supergroup", "sup")).unionByName(rest(grp, "group", "grp")).unionByName(rest(own, "site", "site"))
+
+
+def reference_snapshot(obs: DataFrame, days: tuple[int, ...] = (30, 90, 365)) -> DataFrame:
+    """(level, key) at the latest labelled date: counts and shares of HIGH of the last N days, that date included, and at sites the mean rank
+    of a year, and date and rank of the last labelled row (of one day the one with the smallest id)."""
+    ok = F.col("bucket").isNotNull() & F.col("rank").isNotNull()
+    ref = obs.filter(ok).agg(F.max("date").alias("__ref"))
+    rows = obs.crossJoin(F.broadcast(ref))  # one row
+    cols = []
+    for d in days:
+        inside = ok & (F.col("date") >= F.date_sub("__ref", d))
+        n = F.sum(inside.cast("long"))
+        cols += [n.alias(f"n_{d}"), F.when(n > 0, F.round(F.sum((inside & (F.col("bucket") == "HIGH")).cast("long")) / n, 6)).otherwise(0.0).alias(f"high_{d}")]
+    year = ok & (F.col("date") >= F.date_sub("__ref", max(days)))
+    last = F.max(F.when(ok, F.struct("date", (-F.col("observation_id")).alias("i"), "rank")))
+    out = None
+    for level, key in (("supergroup", "sup"), ("group", "grp"), ("site", "site")):
+        site = level == "site"
+        per = rows.groupBy(F.col(key).cast("long").alias("key")).agg(*cols, F.round(F.avg(F.when(year, F.col("rank"))), 6).alias("r"), last.alias("l"))
+        told = per.select(F.lit(level).alias("level"), "key", *[f"{x}_{d}" for d in days for x in ("n", "high")], *[(c if site else F.lit(None).cast(k)).alias(x) for c, k, x in ((F.col("r"), "double", f"mean_rank_{max(days)}"), (F.col("l.date"), "date", "last_date"), (F.col("l.rank"), "int", "last_rank"))])
+        out = told if out is None else out.unionByName(told)
+    return out
 
 
 def resolve_lookup(rows: DataFrame, layers: list[tuple[str, DataFrame, str]], value: str, default: float) -> DataFrame:

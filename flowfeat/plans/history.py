@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from flowfeat.functions import levels, text
 from flowfeat.operators import history as H
 from flowfeat.plans._base import query
-from flowfeat.sources.bindings import OBS, obs
+from flowfeat.sources.bindings import OBS, obs, table
 
 BEFORE = "OVER (PARTITION BY {key} ORDER BY date RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING)"
 
@@ -64,7 +64,7 @@ def recent(n):
 
 
 RECENT = ", ".join(recent(n) for n in (30, 90, 365))
-RECENT_OUT = ", ".join(f"n_{n}, CASE WHEN n_{n} > 0 THEN round(h_{n} / n_{n}::DOUBLE, 6) END AS high_{n}" for n in (30, 90, 365)) + ", CASE WHEN n_365 > 0 THEN round(r_365 / n_365::DOUBLE, 6) END AS mean_rank_365"
+RECENT_OUT = ", ".join(f"n_{n}, CASE WHEN n_{n} > 0 THEN round(h_{n} / n_{n}::DOUBLE, 6) ELSE 0 END AS high_{n}" for n in (30, 90, 365)) + ", CASE WHEN n_365 > 0 THEN round(r_365 / n_365::DOUBLE, 6) END AS mean_rank_365"
 RECENT_COLS = [f"{k}_{n}" for n in (30, 90, 365) for k in ("n", "high")] + ["mean_rank_365"]
 
 
@@ -101,19 +101,94 @@ def snap(own, base, s):
 N3 = ", ".join(f"count(*) FILTER (bucket = '{c}') AS {c.lower()}" for c in H.CLASSES)
 
 
-@query("d8_prior_snapshot", f"""WITH {OBS}, g AS (SELECT {N3} FROM obs), gp AS (SELECT *, low / (low + medium + high)::DOUBLE AS p_low, medium / (low + medium + high)::DOUBLE AS p_medium, high / (low + medium + high)::DOUBLE AS p_high FROM g),
-  s AS (SELECT sup, {N3} FROM obs GROUP BY 1), sp AS (SELECT s.*, {snap('s', 'gp', 30)} FROM s, gp),
-  m AS (SELECT grp, sup, {N3} FROM obs GROUP BY 1, 2), mp AS (SELECT m.*, {snap('m', 'sp', 20)} FROM m JOIN sp USING (sup)),
-  c AS (SELECT site, min(grp) AS grp, {N3} FROM obs GROUP BY 1), cp AS (SELECT c.*, {snap('c', 'mp', 10)} FROM c JOIN mp USING (grp)),
-  u AS (SELECT 'global' AS level, NULL::BIGINT AS key, low, medium, high, p_low, p_medium, p_high FROM gp UNION ALL SELECT 'supergroup', sup, low, medium, high, p_low, p_medium, p_high FROM sp UNION ALL SELECT 'group', grp, low, medium, high, p_low, p_medium, p_high FROM mp UNION ALL SELECT 'site', site, low, medium, high, p_low, p_medium, p_high FROM cp)
-  SELECT level, key, low, medium, high, round(p_low, 6) AS p_low, round(p_medium, 6) AS p_medium, round(p_high, 6) AS p_high FROM u""")
+SIGNALS = "count(*) AS rows, count(*) FILTER (status = 'P') AS partial_n, count(*) FILTER (price > 300000) AS large_n"
+
+
+@query("d8_prior_snapshot", f"""WITH {OBS}, g AS (SELECT {N3}, {SIGNALS} FROM obs), gp AS (SELECT *, low / (low + medium + high)::DOUBLE AS p_low, medium / (low + medium + high)::DOUBLE AS p_medium, high / (low + medium + high)::DOUBLE AS p_high FROM g),
+  s AS (SELECT sup, {N3}, {SIGNALS} FROM obs GROUP BY 1), sp AS (SELECT s.*, {snap('s', 'gp', 30)} FROM s, gp),
+  m AS (SELECT grp, sup, {N3}, {SIGNALS} FROM obs GROUP BY 1, 2), mp AS (SELECT m.*, {snap('m', 'sp', 20)} FROM m JOIN sp USING (sup)),
+  c AS (SELECT site, min(grp) AS grp, {N3}, {SIGNALS} FROM obs GROUP BY 1), cp AS (SELECT c.*, {snap('c', 'mp', 10)} FROM c JOIN mp USING (grp)),
+  u AS (SELECT 'global' AS level, NULL::BIGINT AS key, * FROM gp UNION ALL BY NAME SELECT 'supergroup' AS level, sup AS key, * EXCLUDE (sup) FROM sp UNION ALL BY NAME SELECT 'group' AS level, grp AS key, * EXCLUDE (grp, sup) FROM mp UNION ALL BY NAME SELECT 'site' AS level, site AS key, * EXCLUDE (site, grp) FROM cp)
+  SELECT level, key, low, medium, high, rows, partial_n, large_n, round(p_low, 6) AS p_low, round(p_medium, 6) AS p_medium, round(p_high, 6) AS p_high, round(partial_n / rows::DOUBLE, 6) AS partial_ratio, round(large_n / rows::DOUBLE, 6) AS large_ratio,
+    CASE WHEN level = 'site' THEN partial_n >= 2 END AS partial_flag, CASE WHEN level = 'site' THEN large_n >= 2 END AS large_flag, CASE WHEN level = 'site' THEN partial_n >= 2 OR large_n >= 2 END AS atypical FROM u""")
 def d8(spark, d):
-    return H.prior_snapshot(obs(spark, d)).select("level", "key", "low", "medium", "high", *[F.round(f"p_{c}", 6).alias(f"p_{c}") for c in ("low", "medium", "high")])
+    out = H.prior_snapshot(obs(spark, d), {"partial": F.col("status") == "P", "large": F.col("price") > 300000})
+    return out.withColumns({f"p_{c}": F.round(f"p_{c}", 6) for c in ("low", "medium", "high")})
+
+
+def periods_sql(period, names):
+    base = lambda own, b, s: ", ".join(f"({own}.{c} + {s} * {b}.p_{c}) / ({own}.low + {own}.medium + {own}.high + {s})::DOUBLE AS p_{c}" for c in ("low", "medium", "high"))
+    fill = "coalesce(low, 0) AS low, coalesce(medium, 0) AS medium, coalesce(high, 0) AS high"
+    of = lambda k, more="": f"(SELECT {k}, p, {N3}{more} FROM l GROUP BY 1, 2)"
+    return f"""WITH {OBS}, t AS (SELECT unnest({names}) AS p), l AS (SELECT *, {period} AS p FROM obs WHERE bucket IS NOT NULL AND rank IS NOT NULL),
+  ctx AS (SELECT site, arg_min(grp, struct_pack(d := date, i := observation_id)) AS grp, arg_min(sup, struct_pack(d := date, i := observation_id)) AS sup FROM obs GROUP BY 1),
+  g0 AS (SELECT t.p, {fill} FROM t LEFT JOIN (SELECT p, {N3} FROM l GROUP BY 1) x USING (p)), g AS (SELECT *, {", ".join(f"CASE WHEN low + medium + high > 0 THEN {c} / (low + medium + high)::DOUBLE ELSE 1 / 3.0::DOUBLE END AS p_{c}" for c in ("low", "medium", "high"))} FROM g0),
+  s0 AS (SELECT e.sup, t.p, {fill} FROM (SELECT DISTINCT sup FROM obs) e CROSS JOIN t LEFT JOIN {of('sup')} x ON x.sup = e.sup AND x.p = t.p), s AS (SELECT a.*, {base('a', 'g', 20)} FROM s0 a JOIN g USING (p)),
+  m0 AS (SELECT e.grp, e.sup, t.p, {fill} FROM (SELECT grp, arg_min(sup, site) AS sup FROM ctx GROUP BY 1) e CROSS JOIN t LEFT JOIN {of('grp')} x ON x.grp = e.grp AND x.p = t.p), m AS (SELECT a.*, {base('a', 's', 15)} FROM m0 a JOIN s ON s.sup = a.sup AND s.p = a.p),
+  c0 AS (SELECT e.site, e.grp, t.p, {fill}, r FROM ctx e CROSS JOIN t LEFT JOIN {of('site', ', avg(rank) AS r')} x ON x.site = e.site AND x.p = t.p), c AS (SELECT a.*, {base('a', 'm', 8)} FROM c0 a JOIN m ON m.grp = a.grp AND m.p = a.p),
+  u AS (SELECT 'global' AS level, NULL::BIGINT AS key, p, low, medium, high, p_low, p_medium, p_high, NULL::DOUBLE AS r FROM g UNION ALL SELECT 'supergroup', sup, p, low, medium, high, p_low, p_medium, p_high, NULL FROM s UNION ALL SELECT 'group', grp, p, low, medium, high, p_low, p_medium, p_high, NULL FROM m UNION ALL SELECT 'site', site, p, low, medium, high, p_low, p_medium, p_high, r FROM c)
+  SELECT level, key, p AS period, low, medium, high, round(p_low, 6) AS p_low, round(p_medium, 6) AS p_medium, round(p_high, 6) AS p_high, round(r, 6) AS mean_rank FROM u"""
 
 
-@query("d9_temporal_snapshot", f"WITH {OBS} SELECT grp, month(date)::INT AS period, count(*) AS n, {N3}, round(avg(rank), 6) AS mean_rank, max(date) AS last_date FROM obs WHERE bucket IS NOT NULL GROUP BY 1, 2")
+ROUNDED = {f"p_{c}": F.round for c in ("low", "medium", "high")}
+
+
+@query("d9_temporal_snapshot", periods_sql("month(date)::INT", "range(1, 13)::INT[]"))
 def d9(spark, d):
-    return H.temporal_snapshot(obs(spark, d), "grp", F.month("date"))
+    return H.temporal_snapshot(obs(spark, d), F.month("date"), list(range(1, 13))).withColumns({k: f(k, 6) for k, f in ROUNDED.items()})
+
+
+@query("d9_season_snapshot", periods_sql(SEASON, "['DJF', 'MAM', 'JJA', 'SON']"))
+def d9b(spark, d):
+    return H.temporal_snapshot(obs(spark, d), levels.season(F.col("date")), ["DJF", "MAM", "JJA", "SON"]).withColumns({k: f(k, 6) for k, f in ROUNDED.items()})
+
+
+def reference_sql(level, key):
+    inside = lambda n: f"bucket IS NOT NULL AND rank IS NOT NULL AND date >= ref - {n}"
+    sums = ", ".join(f"count(*) FILTER ({inside(n)}) AS n_{n}, CASE WHEN count(*) FILTER ({inside(n)}) > 0 THEN round(count(*) FILTER ({inside(n)} AND bucket = 'HIGH') / count(*) FILTER ({inside(n)})::DOUBLE, 6) ELSE 0 END AS high_{n}" for n in (30, 90, 365))
+    site = level == "site"
+    more = (f"round(avg(rank) FILTER ({inside(365)}), 6)", "max(date) FILTER (bucket IS NOT NULL AND rank IS NOT NULL)", "arg_max(rank, struct_pack(d := date, i := -observation_id)) FILTER (bucket IS NOT NULL AND rank IS NOT NULL)") if site else ("NULL::DOUBLE", "NULL::DATE", "NULL::INT")
+    return f"SELECT '{level}' AS level, {key}::BIGINT AS key, {sums}, {more[0]} AS mean_rank_365, {more[1]} AS last_date, {more[2]} AS last_rank FROM obs, r GROUP BY {key}"
+
+
+@query("d9_reference_snapshot", f"WITH {OBS}, r AS (SELECT max(date) AS ref FROM obs WHERE bucket IS NOT NULL AND rank IS NOT NULL) " + " UNION ALL ".join(reference_sql(*x) for x in (("supergroup", "sup"), ("group", "grp"), ("site", "site"))))
+def d9c(spark, d):
+    return H.reference_snapshot(obs(spark, d))
+
+
+MOMENTS = """moments AS (SELECT event_id AS observation_id, user_id AS site, user_id % 25 AS grp, user_id % 5 AS sup, ts AS date, ['LOW', 'MEDIUM', 'HIGH', 'HIGH', NULL][event_id % 5 + 1] AS bucket, [1, 2, 3, 4, NULL][event_id % 5 + 1]::INT AS rank FROM events)"""
+
+
+def moments(spark, d):
+    k = F.col("event_id") % 5
+    return table(spark, d, "events").select(
+        F.col("event_id").alias("observation_id"), F.col("user_id").alias("site"), (F.col("user_id") % 25).alias("grp"), (F.col("user_id") % 5).alias("sup"), F.col("ts").alias("date"),
+        F.when(k == 0, "LOW").when(k == 1, "MEDIUM").when(k < 4, "HIGH").alias("bucket"), F.when(k < 4, k + 1).cast("int").alias("rank"),
+    )
+
+
+def intraday_chain():
+    out = chain(None, (30, 20, 10)).replace("FROM obs)", "FROM moments)")
+    return out.replace("INTERVAL 1 DAY PRECEDING", "INTERVAL 1 MICROSECOND PRECEDING")
+
+
+@query("e8_intraday_priors", f"WITH {MOMENTS}{intraday_chain()} SELECT observation_id, {PICK} FROM p_own")
+def e8i(spark, d):
+    out = H.causal_priors(moments(spark, d))
+    return out.select("observation_id", *[F.round(f"{n}_{p}{c}", 6).alias(f"{n}_{p}{c}") if p else F.col(f"{n}_{c}") for n in ("global", "supergroup", "group", "site") for c in ("low", "medium", "high") for p in ("", "p_")])
+
+
+INTRADAY = ", ".join(f"(SELECT count(bucket) FROM moments b WHERE b.site = a.site AND b.date < a.date AND b.date >= date_trunc('day', a.date) - INTERVAL {n} DAY) AS n_{n}, (SELECT count(*) FROM moments b WHERE b.site = a.site AND bucket = 'HIGH' AND b.date < a.date AND b.date >= date_trunc('day', a.date) - INTERVAL {n} DAY) AS h_{n}, (SELECT sum(rank) FROM moments b WHERE b.site = a.site AND b.date < a.date AND b.date >= date_trunc('day', a.date) - INTERVAL {n} DAY) AS r_{n}" for n in (7, 365))
+
+
+@query("e11_intraday_history", f"WITH {MOMENTS}, c AS (SELECT a.observation_id, {INTRADAY} FROM moments a) SELECT observation_id, n_7, CASE WHEN n_7 > 0 THEN round(h_7 / n_7::DOUBLE, 6) ELSE 0 END AS high_7, n_365, CASE WHEN n_365 > 0 THEN round(h_365 / n_365::DOUBLE, 6) ELSE 0 END AS high_365, CASE WHEN n_365 > 0 THEN round(r_365 / n_365::DOUBLE, 6) END AS mean_rank_365 FROM c")
+def e11i(spark, d):
+    return H.recent_history(moments(spark, d), days=(7, 365)).select("observation_id", "n_7", "high_7", "n_365", "high_365", "mean_rank_365")
+
+
+@query("e12_intraday_last", f"WITH {MOMENTS}, l AS (SELECT site, date, max(struct_pack(i := observation_id, r := rank)) AS m FROM moments WHERE rank IS NOT NULL GROUP BY 1, 2) SELECT o.observation_id, (o.date::DATE - l.date::DATE)::INT AS days_since, l.m.r AS last_rank FROM moments o ASOF LEFT JOIN l ON o.site = l.site AND o.date > l.date")
+def e12i(spark, d):
+    return H.last_observation(moments(spark, d)).select("observation_id", "days_since", "last_rank")
 
 
 @query("c13_layered_lookup", f"WITH {OBS}, s AS (SELECT sup, round(avg(price), 4) AS v FROM obs GROUP BY 1), g AS (SELECT grp, round(avg(price), 4) AS v FROM obs WHERE grp % 2 = 0 GROUP BY 1), c AS (SELECT site, round(avg(price), 4) AS v FROM obs WHERE site % 10 = 3 GROUP BY 1) SELECT observation_id, coalesce(c.v, g.v, s.v, 0) AS v, CASE WHEN c.v IS NOT NULL THEN 'canyon' WHEN g.v IS NOT NULL THEN 'massif' WHEN s.v IS NOT NULL THEN 'region' ELSE 'defaults' END AS source FROM obs LEFT JOIN s USING (sup) LEFT JOIN g USING (grp) LEFT JOIN c USING (site)")
