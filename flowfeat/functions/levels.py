@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -131,6 +133,54 @@ def entropy(p: list[Column]) -> Column:
     return F.round(sum((F.when(x > 0, -x * F.log(x)).otherwise(0.0) for x in p), F.lit(0.0)) / math.log(len(p)), 6)
 
 
+def history_confidence(n: Column, strength: float) -> Column:
+    """N / (n + strength), 0 for no count."""
+    return F.when(n > 0, F.round(n / (n + F.lit(strength)), 6)).otherwise(0.0)
+
+
+def prior_entropy(p: list[Column]) -> Column:
+    """Entropy of the positive ones of k shares, scaled to sum to 1, over ln k; null if none is positive."""
+    import math
+
+    some = F.filter(F.array(*p), lambda x: x > 0)
+    total = F.aggregate(some, F.lit(0.0), lambda a, x: a + x)
+    return F.when(total > 0, F.round(F.aggregate(some, F.lit(0.0), lambda a, x: a - x / total * F.log(x / total)) / math.log(len(p)), 6))
+
+
+def derived_features(c: Callable[[str], Column]) -> dict[str, Column]:
+    """The 19 derived columns of an observation. ``c`` gives the input columns by name; values that are not finite count as null."""
+
+    def v(name: str) -> Column:
+        x = c(name).cast("double")
+        return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+
+    week, month = v("mean_annual_precip") / 52.1775, v("mean_annual_precip") / 12
+    area = F.coalesce(F.when(v("basin_area") != 0, v("basin_area")), v("upstream_area"))
+    snow = v("snowfall_14d")
+    lift = lambda a, b: F.round(v(a) - v(b), 6)
+    return {
+        "precip_7d_weekly_climatology_ratio": safe_ratio(v("precip_7d"), week),
+        "precip_30d_monthly_climatology_ratio": safe_ratio(v("precip_30d"), month),
+        "api_93_monthly_climatology_ratio": safe_ratio(v("api_93"), month),
+        "runoff_precip_7d_signal": safe_product(v("precip_7d"), v("runoff_potential")),
+        "runoff_precip_30d_signal": safe_product(v("precip_30d"), v("runoff_potential")),
+        "flash_flood_7d_signal": safe_product(v("max_precip_7d"), v("flashiness")),
+        "basin_precip_volume_30d_proxy": safe_product(v("precip_30d"), area),
+        "rain_on_snow_7d_signal": safe_product(v("rain_7d"), snow),
+        "snowmelt_degree_day_14d_signal": safe_product(v("degree_days_14d"), snow),
+        "high_elevation_snowmelt_signal": safe_product(v("degree_days_14d") * snow, v("fraction_above_1500m")),
+        "site_history_confidence": history_confidence(v("site_count"), 10.0),
+        "group_history_confidence": history_confidence(v("group_count"), 20.0),
+        "supergroup_history_confidence": history_confidence(v("supergroup_count"), 30.0),
+        "site_high_prior_lift": lift("site_p_high", "group_p_high"),
+        "site_low_prior_lift": lift("site_p_low", "group_p_low"),
+        "group_high_prior_lift": lift("group_p_high", "supergroup_p_high"),
+        "supergroup_high_prior_lift": F.round(v("supergroup_p_high") - F.coalesce(v("global_p_high"), F.lit(0.0)), 6),
+        "site_prior_entropy": prior_entropy([v("site_p_low"), v("site_p_medium"), v("site_p_high")]),
+        "high_low_prior_spread": lift("site_p_high", "site_p_low"),
+    }
+
+
 def season(d: Column) -> Column:
     """DJF, MAM, JJA or SON."""
     m = F.month(d)

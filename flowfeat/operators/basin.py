@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from flowfeat.functions.clip import clip_area
 from flowfeat.operators.graph import components
 
 
@@ -139,16 +136,18 @@ def stream_network(links: DataFrame, basin: str, stream: Column) -> DataFrame:
     links: (basin, row, col, elevation, down). The cell that a cell drains to is found by doubling jumps: log2 of the longest path rounds.
     """
     key = lambda r, c: F.concat_ws(":", F.col(basin).cast("string"), r.cast("string"), c.cast("string"))
-    from flowfeat.sources.shared import cut
+    from flowfeat.sources.shared import cut, drop
 
     nodes = cut(links.select(basin, key(F.col("row"), F.col("col")).alias("id"), key(F.col("down.row"), F.col("down.col")).alias("to"), F.col("down").isNull().alias("pit"), "elevation", stream.alias("stream")), "nodes")
     into = nodes.filter("stream AND NOT pit").groupBy(F.col("to").alias("id")).agg(F.count("*").alias("inflow"))
     s = nodes.filter("stream").join(into, "id", "left").withColumn("inflow", F.coalesce("inflow", F.lit(0)))
     counts = s.groupBy(basin).agg(F.count("*").alias("stream_cells"), F.sum((F.col("inflow") == 0).cast("long")).alias("sources"), F.sum((F.col("inflow") >= 2).cast("long")).alias("junctions"), F.sum((F.col("inflow") != 1).cast("long")).alias("links"))
-    jump = nodes.select("id", F.when(F.col("stream") | F.col("pit"), F.col("id")).otherwise(F.col("to")).alias("at"))
+    jump, nxt = nodes.select("id", F.when(F.col("stream") | F.col("pit"), F.col("id")).otherwise(F.col("to")).alias("at")), None
     while True:
-        nxt = cut(jump.join(jump.select(F.col("id").alias("at"), F.col("at").alias("__n")), "at", "left").select("id", F.coalesce("__n", "at").alias("at"), (F.coalesce("__n", "at") != F.col("at")).alias("moved")), "jumps")
+        last, nxt = nxt, cut(jump.join(jump.select(F.col("id").alias("at"), F.col("at").alias("__n")), "at", "left").select("id", F.coalesce("__n", "at").alias("at"), (F.coalesce("__n", "at") != F.col("at")).alias("moved")), "jumps")
         jump = nxt.select("id", "at")
+        if last is not None:
+            drop(last)
         if nxt.filter("moved").isEmpty():
             break
     ends = nodes.filter("stream").select(F.col("id").alias("at"), F.col("elevation").alias("base"))
@@ -229,10 +228,26 @@ def flatten_results(results: DataFrame, site: str) -> DataFrame:
 # polygons
 
 
-@F.pandas_udf(T.DoubleType())
-def clipped_area(ring: pd.Series, x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
-    """clip_area for columns of rings (arrays of [x, y]) and boxes, in Arrow batches."""
-    return pd.Series([clip_area(np.array([list(q) for q in r], float).reshape(-1, 2), *box) for r, *box in zip(ring, x0, y0, x1, y1)])
+def clipped_area(ring: Column | str, x0: Column | str, y0: Column | str, x1: Column | str, y1: Column | str) -> Column:
+    """Area of a polygon ring, an array of [x, y], inside a box.
+
+    Each edge adds, with the sign of its direction, the area below it inside the box: over the part of the edge between x0 and x1 the
+    mean of its height, held between y0 and y1, times the part's width.
+    """
+    ring, x0, y0, x1, y1 = (F.col(c) if isinstance(c, str) else c for c in (ring, x0, y0, x1, y1))
+    below = lambda y: F.when(y <= y0, 0.0).when(y <= y1, (y - y0) * (y - y0) / 2).otherwise((y1 - y0) * (y1 - y0) / 2 + (y - y1) * (y1 - y0))
+
+    def edge(p: Column, q: Column) -> Column:
+        xa, ya, xb, yb = p[0], p[1], q[0], q[1]
+        lo, hi = F.greatest(F.least(xa, xb), x0), F.least(F.greatest(xa, xb), x1)
+        at = lambda x: ya + (x - xa) * (yb - ya) / (xb - xa)
+        s, e = at(lo), at(hi)
+        flat = F.least(F.greatest((s + e) / 2, y0), y1) - y0
+        mean = F.when(F.abs(e - s) < 1e-9, flat).otherwise((below(e) - below(s)) / (e - s))
+        return F.when(hi > lo, F.signum(xb - xa) * (hi - lo) * mean).otherwise(0.0)
+
+    edges = F.zip_with(ring, F.concat(F.slice(ring, F.lit(2), F.size(ring)), F.slice(ring, F.lit(1), F.lit(1))), edge)
+    return F.abs(F.aggregate(edges, F.lit(0.0), lambda total, x: total + x))
 
 
 def weighted_cells(polygons: DataFrame, ident: str, ring: str, resolution: float, least: float = 0.005, most: int = 64) -> DataFrame:
@@ -241,7 +256,7 @@ def weighted_cells(polygons: DataFrame, ident: str, ring: str, resolution: float
     grid = lambda a: F.sequence(F.floor(F.array_min(a) / resolution - 0.5), F.ceil(F.array_max(a) / resolution + 0.5))
     cells = polygons.withColumn("ix", F.explode(grid(xs))).withColumn("iy", F.explode(grid(ys)))
     r = resolution
-    cells = cells.withColumn("area", clipped_area(ring, (F.col("ix") - 0.5) * r, (F.col("iy") - 0.5) * r, (F.col("ix") + 0.5) * r, (F.col("iy") + 0.5) * r)).filter("area > 0")
+    cells = cells.withColumn("area", clipped_area(ring, (F.col("ix") - 0.5) * r, (F.col("iy") - 0.5) * r, (F.col("ix") + 0.5) * r, (F.col("iy") + 0.5) * r)).filter("area > 1e-12")
     share_of = F.col("area") / F.sum("area").over(Window.partitionBy(ident))
     top = cells.withColumn("w", share_of).withColumn("k", F.row_number().over(Window.partitionBy(ident).orderBy(F.desc("w"), "ix", "iy"))).filter(((F.col("w") >= least) & (F.col("k") <= most)) | (F.col("k") == 1))
     return top.withColumn("weight", F.round(F.col("w") / F.sum("w").over(Window.partitionBy(ident)), 6)).select(ident, "ix", "iy", "weight")

@@ -38,15 +38,49 @@ def track_summary(points: DataFrame, track: str, kind: str, lat: str, lon: str)
 # rules
 
 
-def quality_label(date: Column, descended: Column, override: Column, comment: Column, invalid: list[str], tree: list[str]) -> Column:
-    """Struct (label, score, reasons). An override decides; then a missing date, an invalid comment, a descent; an undescended row needs one of the ``tree`` words."""
+def quality_label(date: Column, descended: Column, comment: Column, action: Column, why: Column, invalid: list[str], strong: list[str], weak: list[str], hydrology: dict[str, str], current: dict[str, str]) -> Column:
+    """Struct (label, score, reasons) of an observation.
+
+    An override (its action and why) decides; then a missing date; then comments with one of the ``invalid`` phrases, unless it was descended. Descended
+    rows are valid. Undescended ones, and those where that isn't known, go by their comment: patterns that speak of ``hydrology`` or of a
+    ``current`` observation, and ``strong`` and ``weak`` words of other matters. Names of patterns, phrases and words become reasons.
+    """
     n = text.normalize_text(comment)
-    has = lambda ps: F.array_compact(F.array(*[F.when(n.contains(p), p) for p in ps]))
-    bad, good = has(invalid), has(tree)
-    label = F.when(override.isNotNull(), override).when(date.isNull(), "uncertain").when(F.size(bad) > 0, "invalid").when(descended, "valid").when(descended.isNotNull(), F.when(F.size(good) > 0, "valid").otherwise("invalid")).otherwise(F.when(F.size(good) > 0, "valid").otherwise("uncertain"))
-    reasons = F.array_compact(F.array(F.when(override.isNotNull(), "manual_override"), F.when(date.isNull(), "missing_date"), F.when(F.size(bad) > 0, "invalid_comment"), F.when(descended, "descended"), F.when(F.size(good) > 0, "hydrology_comment")))
-    score = F.when(label == "valid", 1.0).when(label == "uncertain", 0.5).otherwise(0.0)
-    return F.struct(label.alias("label"), score.alias("score"), reasons.alias("reasons"))
+    hits = lambda items: F.array_compact(F.array(*[F.when(n.rlike(p), name) for name, p in items.items()])) if items else F.array().cast("array<string>")
+    word = lambda ws: {w: rf"\b{w}\b" for w in sorted(ws)}
+    bad = F.array_compact(F.array(*[F.when(n.contains(p), p) for p in invalid])) if invalid else F.array().cast("array<string>")
+    s, w, h, c = hits(word(strong)), hits(word(weak)), hits(hydrology), hits(current)
+    some = lambda x: F.size(x) > 0
+    said = lambda tag, x: F.transform(x, lambda v: F.concat(F.lit(tag + ":"), v))
+    told = lambda *parts: F.concat(*[F.array(F.lit(p)) if isinstance(p, str) else p for p in parts])
+    row = lambda label, *parts: F.struct((F.lit(label) if isinstance(label, str) else label).alias("label"), told(*parts).alias("reasons"))
+    signal = said("hydrology_signal", h)
+    down = row("valid", "descended", signal, F.when(some(s) | some(w), F.array(F.lit("descended_with_non_hydro_context"))).otherwise(F.array().cast("array<string>")))
+    not_down = (
+        F.when(n == "", row("valid", "non_descended_without_comment_but_level_selected"))
+        .when(some(h) & (some(c) | ~some(s)), row("valid", signal, "non_descended_hydrology_observation"))
+        .when(some(h), row("uncertain", signal, said("context_only", s), "mixed_hydrology_and_logistics"))
+        .when(some(s), row("invalid", said("non_hydro_info", s)))
+        .when(some(w), row("uncertain", said("context_only", w), "non_descended_context_without_hydrology_signal"))
+        .otherwise(row("uncertain", "non_descended_ambiguous_comment"))
+    )
+    unknown = (
+        F.when(some(h) & some(c), row("valid", signal, "hydrology_observation_without_status"))
+        .when(some(h) & (some(s) | some(w)), row("uncertain", signal, "mixed_hydrology_and_logistics"))
+        .when(some(h), row("valid", signal, "default_hydrology_valid"))
+        .when(some(s), row("invalid", said("non_hydro_info", s)))
+        .otherwise(row("valid", "default_valid"))
+    )
+    out = (
+        F.when(action.isNotNull(), row(action, F.array(F.concat(F.lit("manual_override:"), F.coalesce(why, F.lit("unspecified"))))))
+        .when(date.isNull(), row("uncertain", "missing_parsed_date"))
+        .when(some(bad) & ~F.coalesce(descended, F.lit(False)), row("invalid", said("explicit_invalid", bad)))
+        .when(descended, down)
+        .when(descended.isNotNull(), not_down)
+        .otherwise(unknown)
+    )
+    score = F.when(out["label"] == "valid", 1.0).when(out["label"] == "uncertain", 0.5).otherwise(0.0)
+    return F.struct(out["label"].alias("label"), score.alias("score"), out["reasons"].alias("reasons"))
 
 
 def match_rules(df: DataFrame, rules: list[dict], default: str) -> DataFrame:
@@ -119,9 +153,10 @@ def relevance(name: Column, full: Column, other: Column, query: str) -> Column:
     return out
 
 
-def sorted_nulls_last(df: DataFrame, by: list[tuple[str, bool]], k: int) -> DataFrame:
-    """the first k rows by several fields (name, ascending); nulls come last in both directions."""
-    return df.orderBy(*[F.col(c).asc_nulls_last() if up else F.col(c).desc_nulls_last() for c, up in by]).limit(k)
+def sorted_nulls_last(df: DataFrame, by: list[tuple[str, bool]], k: int | None = None) -> DataFrame:
+    """rows, or the first k of them, by several fields (name, ascending); nulls come last in both directions."""
+    out = df.orderBy(*[F.col(c).asc_nulls_last() if up else F.col(c).desc_nulls_last() for c, up in by])
+    return out if k is None else out.limit(k)
 
 
 def difficulty_key(parts: list[Column]) -> Column:
@@ -132,17 +167,37 @@ def difficulty_key(parts: list[Column]) -> Column:
     return F.when(ok, F.sort_array(F.array(*parts), asc=False))
 
 
-def facets(catalog: DataFrame, dims: list[str]) -> DataFrame:
-    """Distinct values of each dimension with counts, (dimension, value) sorted by the reader."""
-    return catalog.select(F.explode(F.array(*[F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value")) for c in dims])).alias("x")).filter("x.value IS NOT NULL").groupBy("x.dimension", "x.value").agg(F.count("*").alias("n"))
+def facets(matches: DataFrame, countries: str, subdivisions: str, country: str | None = None) -> DataFrame:
+    """(dimension, value) of rows that match a query: their countries, whichever is chosen, and subdivisions of the rows in the chosen country, there only.
+
+    ``countries`` is an array, ``subdivisions`` one of structs (country, name); countries compare without case. Without a country all subdivisions count.
+    """
+    chosen = F.lit(country).cast("string")
+    there = matches if country is None else matches.filter(F.exists(countries, lambda x: F.lower(x) == F.lower(chosen)))
+    names = F.transform(F.filter(subdivisions, lambda x: chosen.isNull() | (F.lower(x["country"]) == F.lower(chosen))), lambda x: x["name"])
+    one = lambda df, name, values: df.select(F.lit(name).alias("dimension"), F.explode(values).alias("value")).filter("value IS NOT NULL").distinct()
+    return one(matches, "country", F.col(countries)).union(one(there, "subdivision", names))
 
 
 def infer_subdivision_country(df: DataFrame, ident: str, countries: str, subdivisions: str) -> DataFrame:
-    """Which country a subdivision belongs to, learnt from rows of one country, where that is unambiguous; others get the row's sole country or none."""
-    one = df.filter(F.size(countries) == 1).select(F.col(countries)[0].alias("country"), F.explode(subdivisions).alias("sub")).distinct()
-    known = one.groupBy("sub").agg(F.count("*").alias("n"), F.min("country").alias("known")).filter("n = 1").select("sub", "known")
-    rows = df.select(ident, countries, F.explode(subdivisions).alias("sub")).join(known, "sub", "left")
-    return rows.select(ident, "sub", F.coalesce("known", F.when(F.size(countries) == 1, F.col(countries)[0])).alias("country"))
+    """(id, sub, country): which of a row's countries each of its subdivisions belongs to.
+
+    Rows of one country have all of theirs there, and teach where a subdivision lies if all such rows agree. In rows of several countries, what is not
+    known goes to the only country that got none, or, if there are as many of both, one to each in order; else it stays out.
+    """
+    rows = df.select(F.col(ident).alias("__id"), F.array_distinct(countries).alias("__c"), F.array_distinct(subdivisions).alias("__s"))
+    one = rows.filter(F.size("__c") == 1).select(F.col("__c")[0].alias("__country"), F.explode("__s").alias("__sub")).select("__country", text.normalize_for_search(F.col("__sub")).alias("__key")).distinct()
+    known = one.groupBy("__key").agg(F.count("*").alias("__n"), F.min("__country").alias("__known")).filter(F.col("__n") == 1).select("__key", "__known")
+    each = rows.filter(F.size("__c") > 0).select("__id", "__c", F.posexplode("__s").alias("__pos", "__sub")).withColumn("__key", text.normalize_for_search(F.col("__sub"))).join(known, "__key", "left")
+    here = F.filter("__c", lambda x: F.lower(x) == F.lower("__known"))
+    each = each.withColumn("__in", F.when(F.size("__c") == 1, F.col("__c")[0]).otherwise(F.get(here, F.lit(0))))
+    whole = each.groupBy("__id", "__c").agg(F.array_sort(F.collect_list(F.struct(F.col("__pos").alias("pos"), F.col("__sub").alias("sub"), F.col("__in").alias("country")))).alias("__l"))
+    told, rest = F.filter("__l", lambda x: x["country"].isNotNull()), F.filter("__l", lambda x: x["country"].isNull())
+    free = F.filter("__c", lambda c: ~F.exists("__l", lambda x: x["country"].eqNullSafe(c)))
+    pair = lambda x, c: F.struct(x["pos"].alias("pos"), x["sub"].alias("sub"), c.alias("country"))
+    alone = F.transform(rest, lambda x: pair(x, free[0]))
+    more = F.when(F.size(free) == 1, alone).when(F.size(rest) == F.size(free), F.zip_with(rest, free, pair)).otherwise(F.slice(rest, 1, 0))
+    return whole.select(F.col("__id").alias(ident), F.explode(F.concat(told, more)).alias("__x")).select(ident, F.col("__x.sub").alias("sub"), F.col("__x.country").alias("country"))
 
 
 def filter_feed(items: DataFrame, matching: DataFrame, ident: str, order: list[Column], limit: int) -> DataFrame:
@@ -290,14 +345,57 @@ def diagnose(cases: DataFrame, entries: DataFrame, case: str, site: str) -> Data
 # candidates of a site
 
 
-def rank_candidates(points: DataFrame, site: str, value: str, distance: str, kind: str, priority: dict[str, int]) -> DataFrame:
-    """score = 100 * value / the site's largest + 10 for the best kind - distance / 100; ranked by score, distance, kind, value."""
-    kinds = F.create_map(*[F.lit(x) for k, v in priority.items() for x in (k, v)])
-    place = F.coalesce(F.element_at(kinds, F.col(kind)), F.lit(len(priority)))
-    top = F.max(value).over(Window.partitionBy(site))
-    score = F.round(100 * F.when(top > 0, F.col(value) / top).otherwise(0.0) + F.when(place == 0, 10).otherwise(0) - F.col(distance) / 100, 6)
-    out = points.withColumns({"score": score, "__k": place})
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy(site).orderBy(F.desc("score"), distance, "__k", value, "id"))).drop("__k")
+# The order of kinds of points, and what each adds to a candidate's score.
+KINDS = ["ENTREE", "SORTIE", "PARKING_AMONT", "PARKING_AVAL", "POINT_REMARQUABLE"]
+BONUS = {"ENTREE": 6.0, "SORTIE": 5.0, "PARKING_AVAL": 3.0, "POINT_REMARQUABLE": 2.0, "PARKING_AMONT": 1.0, "REVIEW_GPS": 10.0}
+
+
+def rank_candidates(points: DataFrame, site: str, ident: str, area: str, distance: str, jump: str, kind: str) -> DataFrame:
+    """Points with ``score``, ``verdict``, ``reasons``, ``relative`` (area over the site's largest) and ``rank`` among the site's points with an area.
+
+    The score is 100 * relative plus a bonus by kind, less penalties for the snap distance (m), the jump of the area by snapping, and areas that are small
+    in themselves or against the largest. Rank is by score, distance, kind, area, and then id.
+    """
+    a, k = F.col(area), F.col(kind)
+    rel = a / F.greatest(F.max(a).over(Window.partitionBy(site)), F.lit(1e-9))
+    far, step = F.col(distance), F.col(jump)
+    bonus = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in BONUS.items() for x in kv]), k), F.lit(0.0))
+    small = F.when(a < 0.01, 120.0).when(a < 0.05, 30.0).otherwise(0.0)
+    low = F.when(rel < 0.05, 200.0).when(rel < 0.20, 60.0).when(rel < 0.50, 15.0).otherwise(0.0)
+    jumped = F.when(step >= 100, 35.0).when(step >= 20, 18.0).when(step >= 10, 10.0).otherwise(0.0)
+    unlikely = (k == "PARKING_AMONT") & (rel < 0.20)
+    score = F.least(rel, F.lit(1.25)) * 100 + bonus - F.coalesce(F.least(far / 5, F.lit(40.0)), F.lit(0.0)) - jumped - small - low - F.when(unlikely, 30.0).otherwise(0.0)
+    reasons = F.array_compact(
+        F.array(
+            F.when(far > 80, "long_snap_distance").when(far > 30, "moderate_snap_distance"),
+            F.when(step >= 100, "very_large_upa_jump_after_snap").when(step >= 20, "large_upa_jump_after_snap").when(step >= 10, "moderate_upa_jump_after_snap"),
+            F.when(a < 0.01, "tiny_absolute_upa").when(a < 0.05, "small_absolute_upa"),
+            F.when(rel < 0.05, "upa_far_below_best_candidate").when(rel < 0.20, "upa_much_lower_than_best_candidate").when(rel < 0.50, "upa_lower_than_best_candidate").otherwise("upa_close_to_best_candidate"),
+            F.when(unlikely, "upstream_parking_unlikely_hydrologic_proxy"),
+            F.when((k == "PARKING_AVAL") & (rel >= 0.75), "downstream_parking_plausible_proxy"),
+            F.when(k == "ENTREE", "topo_entry_point"),
+            F.when(k == "SORTIE", "topo_exit_point"),
+        )
+    )
+    near = F.coalesce(far, F.lit(0.0))
+    verdict = F.when(a.isNull(), "invalid").when((a < 0.01) | (rel < 0.05), "off_channel").when((step >= 20) & (near > 50), "uncertain").when((rel >= 0.75) & (near <= 80), "good_proxy").otherwise("possible_proxy")
+    ok = a.isNotNull()
+    out = points.withColumns({"score": F.when(ok, F.round(score, 3)), "verdict": verdict, "reasons": F.when(ok, reasons).otherwise(F.array().cast("array<string>")), "relative": F.when(ok, F.round(rel, 6))})
+    place = F.when(F.array_position(F.lit(KINDS), k) > 0, F.array_position(F.lit(KINDS), k)).otherwise(100)
+    # a score of exactly 0 counts as none and goes last
+    order = [ok.desc(), F.when(F.col("score") == 0, float("inf")).otherwise(-F.col("score")), F.coalesce(far, F.lit(float("inf"))), place, F.desc(area), F.col(ident)]
+    return out.withColumn("rank", F.when(ok, F.row_number().over(Window.partitionBy(site).orderBy(*order))))
+
+
+def pick_candidates(ranked: DataFrame, site: str, ident: str, kind: str, forced: str) -> DataFrame:
+    """Per site ``suggested`` (the first by rank that is not forced and not off channel, else the first), ``strict`` (the best kind, then rank) and
+    ``best``: the forced point where there is one, if it has an area, else the suggested one."""
+    place = F.when(F.array_position(F.lit(KINDS), F.col(kind)) > 0, F.array_position(F.lit(KINDS), F.col(kind))).otherwise(100)
+    ok, by_review = F.col("rank").isNotNull(), F.coalesce(F.col(forced), F.lit(False))
+    auto = F.when(ok & ~by_review, F.struct((F.col("verdict") == "off_channel").alias("a"), "rank"))
+    out = ranked.groupBy(site).agg(F.min_by(ident, auto).alias("suggested"), F.min_by(ident, F.when(ok, F.struct(place, "rank"))).alias("strict"), F.min(F.when(by_review, F.struct(ident, ok.alias("ok")))).alias("__f"))
+    best = F.when(F.col("__f").isNull(), F.col("suggested")).when(F.col("__f.ok"), F.col(f"__f.{ident}"))
+    return out.select(site, "suggested", "strict", best.alias("best"))
 
 
 def select_candidate(points: DataFrame, site: str, value: str, distance: str, strategy: str, threshold: float = 0.0, strict: bool = False) -> DataFrame:

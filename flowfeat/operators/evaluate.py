@@ -154,7 +154,20 @@ def run_comparison(runs: DataFrame) -> DataFrame:
 
 
 #: Families of features that an ablation keeps.
-VARIANTS = {"full": ["history", "weather", "physical"], "no_site_history": ["weather", "physical"], "history_only": ["history"], "weather_only": ["weather"], "physical_only": ["physical"]}
+VARIANTS = {
+    "full": ["site_history", "history", "weather", "physical"],
+    "no_site_history": ["history", "weather", "physical"],
+    "no_lookup_history": ["site_history", "weather", "physical"],
+    "history_only": ["site_history", "history"],
+    "weather_only": ["weather"],
+    "physical_only": ["physical"],
+    "physical_weather_no_history": ["physical", "weather"],
+}
+
+
+def class_index(label: str) -> Column:
+    """Null for labels that are none of the classes: such rows are neither learnt from nor counted."""
+    return F.when(F.col(label) == "LOW", 0.0).when(F.col(label) == "MEDIUM", 1.0).when(F.col(label) == "HIGH", 2.0)
 
 
 def fit_and_score(train: DataFrame, test: DataFrame, families: dict[str, list[str]], label: str, variants: list[str], trees: int = 10, depth: int = 5):
@@ -162,7 +175,8 @@ def fit_and_score(train: DataFrame, test: DataFrame, families: dict[str, list[st
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    index = F.when(F.col(label) == "LOW", 0.0).when(F.col(label) == "MEDIUM", 1.0).otherwise(2.0)
+    index = class_index(label)
+    train, test = (df.filter(index.isNotNull()) for df in (train, test))
     out = None
     for v in variants:
         cols = [c for f in VARIANTS[v] for c in families.get(f, [])]
@@ -187,7 +201,8 @@ def score_with_overlay(train: DataFrame, test: DataFrame, cols: list[str], label
 
     put = VectorAssembler(inputCols=cols, outputCol="__features")
     fill = {c: F.coalesce(F.col(c).cast("double"), F.lit(-9999.0)) for c in cols}
-    index = F.when(F.col(label) == "LOW", 0.0).when(F.col(label) == "MEDIUM", 1.0).otherwise(2.0)
+    index = class_index(label)
+    train = train.filter(index.isNotNull())
     model = RandomForestClassifier(labelCol="__y", featuresCol="__features", numTrees=trees, maxDepth=depth, seed=1).fit(put.transform(train.withColumns(fill).withColumn("__y", index)))
     out = model.transform(put.transform(test.withColumns(fill))).withColumn("__p", vector_to_array("probability"))
     p = [F.col("__p")[i] for i in range(3)]

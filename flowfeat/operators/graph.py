@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowfeat.sources.shared import cut
+from flowfeat.sources.shared import cut, drop
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -29,4 +29,5 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.union(now.select("b", "a"))
         large = star(both).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = star(large)
-        now = cut(small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", "m")).filter("a <> b").distinct(), "edges")
+        last, now = now, cut(small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", "m")).filter("a <> b").distinct(), "edges")
+        drop(last)

@@ -74,6 +74,13 @@ def fill_missing(base: DataFrame, extra: DataFrame, key: str, cols: list[str]) -
     return joined.select(*rest, *filled, changed.alias("changed"))
 
 
+def add_absent(points: DataFrame, extra: DataFrame, key: str, kind: str) -> DataFrame:
+    """Points and those extra ones whose kind the key has none of; ``change`` names what was added. Of one kind the extra point that comes first in the order of its columns is added."""
+    rest = [c for c in extra.columns if c not in (key, kind)]
+    new = extra.join(points.select(key, kind).distinct(), [key, kind], "left_anti").groupBy(key, kind).agg(F.min(F.struct(*rest)).alias("__p")).select(key, kind, *[F.col(f"__p.{c}") for c in rest])
+    return points.withColumn("change", F.lit(None).cast("string")).unionByName(new.withColumn("change", F.concat(F.lit("point:"), F.col(kind))))
+
+
 def overlay_merge(base: DataFrame, app: DataFrame, overlay: DataFrame, key: str, cols: list[str]) -> DataFrame:
     """Base and app rows; the overlay's values replace theirs; ``error`` names id collisions and overlays of unknown rows."""
     rows = base.withColumn("__s", F.lit("base")).unionByName(app.withColumn("__s", F.lit("app")))

@@ -119,11 +119,23 @@ def strong_correlations(df: DataFrame, cols: list[str], least: float, shared: in
     return rows.filter((F.abs("r") >= least) & (F.col("n") >= shared)).withColumn("r", F.round("r", 6))
 
 
-def signal_summary(df: DataFrame, keys: list[str], rank: str, delta: Column, text: str, ident: str) -> DataFrame:
-    """Count, mean rank, mean difference and the three examples with the smallest ids, per key."""
-    few = F.slice(F.array_sort(F.collect_list(F.when(F.col("__k") <= 3, F.struct(ident, text)))), 1, 3)
-    ranked = df.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(ident)))
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.avg(rank), 6).alias("mean_rank"), F.round(F.avg(delta), 6).alias("mean_delta"), F.transform(few, lambda x: x[text]).alias("examples"))
+def signal_summary(df: DataFrame, keys: list[str], rank: str, delta: Column, text: str, ident: str, counts: dict[str, str]) -> DataFrame:
+    """Count, mean rank, mean difference, maps of counts by the values of other columns, and the three examples with the smallest ids, per key.
+
+    Examples are chosen by id alone, so texts are joined to three ids a key and a hot key's texts never meet in one task.
+    """
+    from functools import reduce
+
+    same = lambda a, b: reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[f"__{k}"]) for k in keys])
+    named = lambda g: g.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in g.columns if c not in keys])
+    first = df.select(*keys, ident).withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(ident))).filter(F.col("__k") <= 3)
+    few = first.join(df.select(F.col(ident).alias("__i"), F.col(text).alias("__t")), F.col(ident) == F.col("__i")).groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list(F.struct(ident, "__t"))), 1, 3).alias("__few"))
+    out = df.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.avg(rank), 6).alias("mean_rank"), F.round(F.avg(delta), 6).alias("mean_delta"))
+    parts = [few.select(*keys, F.transform("__few", lambda x: x["__t"]).alias("examples"))]
+    parts += [df.groupBy(*keys, F.col(c).cast("string").alias("__v")).agg(F.count("*").alias("__n")).filter(F.col("__v").isNotNull()).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("__v", "__n"))).alias(name)) for name, c in counts.items()]
+    for p in map(named, parts):
+        out = out.join(p, same(out, p), "left").drop(*[f"__{k}" for k in keys])
+    return out
 
 
 def stage_profile(runs: DataFrame, stages: str, status: str) -> DataFrame:
@@ -131,13 +143,15 @@ def stage_profile(runs: DataFrame, stages: str, status: str) -> DataFrame:
     return runs.select(F.explode(stages).alias("stage", "seconds"), status).groupBy("stage").agg(F.count("*").alias("n"), F.round(F.sum("seconds"), 4).alias("total"), F.round(F.avg("seconds"), 6).alias("mean"), F.max("seconds").alias("max"), F.sum((F.col(status) == "error").cast("long")).alias("errors"))
 
 
-def user_rollup(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """Activity of a user in two sources (key, ts, url): counts, latest time and its url, and which sources know the user."""
-    part = lambda df, n: df.groupBy(key).agg(F.count("*").alias(f"n_{n}"), F.max(F.struct("ts", "url")).alias(f"l_{n}"))
-    both = part(a, "a").join(part(b, "b"), key, "full")
-    last = F.greatest("l_a", "l_b")
+def user_rollup(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
+    """Activity of a user in two sources (name, ts, url): ``key`` (the name trimmed, in lower case), its first spelling, counts, latest time and its
+    url, and which sources know the user. Of one time the smallest url is first and the largest last."""
+    of = lambda df: df.select(F.lower(F.trim(name)).alias("key"), F.trim(name).alias("spelling"), "ts", "url")
+    part = lambda df, n: of(df).groupBy("key").agg(F.count("*").alias(f"n_{n}"), F.min(F.struct("ts", "url", "spelling")).alias(f"f_{n}"), F.max(F.struct("ts", "url")).alias(f"l_{n}"))
+    both = part(a, "a").join(part(b, "b"), "key", "full")
+    first, last = F.least("f_a", "f_b"), F.greatest("l_a", "l_b")
     label = F.when(F.col("n_a").isNotNull() & F.col("n_b").isNotNull(), "both").when(F.col("n_a").isNotNull(), "a").otherwise("b")
-    return both.select(key, F.coalesce("n_a", F.lit(0)).alias("n_a"), F.coalesce("n_b", F.lit(0)).alias("n_b"), last["ts"].alias("last_at"), last["url"].alias("last_url"), label.alias("sources"))
+    return both.select("key", first["spelling"].alias("spelling"), F.coalesce("n_a", F.lit(0)).alias("n_a"), F.coalesce("n_b", F.lit(0)).alias("n_b"), last["ts"].alias("last_at"), last["url"].alias("last_url"), label.alias("sources"))
 
 
 def validate_rows(df: DataFrame, rules: dict[str, Column], ident: str, examples: int = 3) -> DataFrame:

@@ -73,17 +73,50 @@ def decayed_sum(value: str, key: list[str], order: str, decay: float, n: int) ->
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc * decay + x)
 
 
-def hourly_features(events: DataFrame, key: list[str], ts: str, value: str, hours: list[int]) -> DataFrame:
-    """E6, C6, J9 in batch: sums over the half-open hours (t - h, t], the last time before with a value, and the count."""
+HOUR = 3_600_000_000
+
+
+def hourly_sums(events: DataFrame, key: list[str], ts: str, value: str, hours: list[int]) -> DataFrame:
+    """C6, J9 in batch: sums and counts over the half-open hours (t - h, t] up to each row's time."""
     at = F.unix_micros(F.col(ts).cast("timestamp"))
     out = {}
     for h in hours:
-        w = Window.partitionBy(*key).orderBy(at).rangeBetween(-(h * 3_600_000_000 - 1), 0)
+        w = Window.partitionBy(*key).orderBy(at).rangeBetween(-(h * HOUR - 1), 0)
         out[f"sum_{h}h"] = F.round(F.sum(value).over(w), 4)
         out[f"n_{h}h"] = F.count("*").over(w)
     return events.withColumns(out)
 
 
+def _best_sum(h: int) -> Column:
+    """The largest sum of up to h rows in a line among those of ``__week`` within h hours of ``__at``."""
+    near = F.filter("__week", lambda x: x["__at"] > F.col("__at") - h * HOUR)
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, y: a + y["__v"])
+    sums = F.transform(near, lambda x, i: total(F.slice(near, F.greatest(F.lit(1), i - h + 2), F.least(i + 1, F.lit(h)))))
+    return F.round(F.greatest(F.lit(0.0), F.array_max(sums)), 3)
+
+
+def hourly_features(events: DataFrame, key: list[str], ts: str, value: str, hours: tuple[int, ...] = (6, 12, 24, 48, 72, 168), best: tuple[int, ...] = (1, 3, 6, 12), over: tuple[float, ...] = (1.0, 5.0, 10.0), decay: float = 0.85) -> DataFrame:
+    """At each row's time t, nulls counting as 0: ``sum_<h>h`` over (t - h, t]; ``best_<h>h``, the largest sum of up to h rows in a line within (t - h, t],
+    at least 0; ``hours_since_<v>``, whole hours since the last row up to t with at least v; ``api``, a sum over the last 168 h in which each row
+    multiplies what was before by ``decay``. Rows of one time are taken in order of value.
+
+    The only lists held are a row's own 168 hours.
+    """
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    w = lambda h: Window.partitionBy(*key).orderBy(at).rangeBetween(-(h * HOUR - 1), 0)
+    v = F.coalesce(F.col(value), F.lit(0.0))
+    rows = events.withColumns({"__at": at, "__v": v})
+    out = {f"sum_{h}h": F.round(F.sum("__v").over(w(h)), 3) for h in hours}
+    last = Window.partitionBy(*key).orderBy(at).rangeBetween(Window.unboundedPreceding, 0)
+    for t in over:
+        out[f"hours_since_{t:g}"] = F.floor((F.col("__at") - F.max(F.when(F.col("__v") >= t, F.col("__at"))).over(last)) / HOUR).cast("long")
+    out["__week"] = F.array_sort(F.collect_list(F.struct("__at", "__v")).over(w(168)))
+    rows = rows.withColumns(out)
+    more = {f"best_{h}h": _best_sum(h) for h in best}
+    more["api"] = F.round(F.aggregate("__week", F.lit(0.0), lambda a, x: a * decay + x["__v"]), 3)
+    return rows.withColumns(more).drop("__at", "__v", "__week")
+
+
 def grid_daily(grid: DataFrame, rows: DataFrame, cell: str = "cell", basin: str = "basin") -> DataFrame:
     """A basin's cells with their daily rows."""
     return grid.join(rows.withColumnRenamed("target", cell), cell)
@@ -157,13 +190,13 @@ def monthly_windows(windows: DataFrame, key: list[str], ids: str, last: str, sta
     return m.groupBy(*key, "month").agg(F.array_sort(F.collect_set(ids)).alias("ids"))
 
 
-def rain_summary(series: DataFrame, key: list[str], ts: str, value: str, now: str) -> DataFrame:
-    """Sums of the last 24, 48, 72 rows up to now and of the first 24, 48 after it, and the largest of the last 72."""
+def rain_summary(series: DataFrame, key: list[str], ts: str, value: str, chance: str, now: str) -> DataFrame:
+    """Sums of the last 24, 48, 72 rows up to now and of the first 24, 48 after it, the largest of the last 72, and the highest chance of the next 24."""
     past = F.col(ts) <= F.to_timestamp(F.lit(now))
     # one order for both sides: rows before now count back from it, rows after it count on
     ranked = series.withColumn("__past", past).withColumn("__n", F.when(past, F.row_number().over(Window.partitionBy(*key, "__past").orderBy(F.desc(ts)))).otherwise(F.row_number().over(Window.partitionBy(*key, "__past").orderBy(ts))))
-    part = lambda side, n: F.when((F.col("__past") == side) & (F.col("__n") <= n), F.col(value))
-    return ranked.groupBy(*key).agg(*[F.round(F.sum(part(True, n)), 4).alias(f"last_{n}") for n in (24, 48, 72)], *[F.round(F.sum(part(False, n)), 4).alias(f"next_{n}") for n in (24, 48)], F.max(part(True, 72)).alias("max_72"))
+    part = lambda side, n, c=value: F.when((F.col("__past") == side) & (F.col("__n") <= n), F.col(c))
+    return ranked.groupBy(*key).agg(*[F.round(F.sum(part(True, n)), 4).alias(f"last_{n}") for n in (24, 48, 72)], *[F.round(F.sum(part(False, n)), 4).alias(f"next_{n}") for n in (24, 48)], F.max(part(True, 72)).alias("max_72"), F.max(part(False, 24, chance)).alias("chance_24"))
 
 
 def within_window_ids(windows: DataFrame, ids: str = "ids", start: str = "start") -> DataFrame:

@@ -127,10 +127,10 @@ def i20b(spark, d):
 
 def boxes(spark, d):
     s = F.col("size") / 100.0
-    return cat(spark, d).filter("abs(lat) < 80").select("id", (F.col("lon") - s).alias("west"), (F.col("lat") - s / 2).alias("south"), (F.col("lon") + s).alias("east"), (F.col("lat") + s / 2).alias("north"), (F.col("price") / 10).alias("area"))
+    return cat(spark, d).select("id", (F.col("lon") - s).alias("west"), (F.col("lat") - s / 2).alias("south"), (F.col("lon") + s).alias("east"), (F.col("lat") + s / 2).alias("north"), (F.col("price") / 10).alias("area"))
 
 
-@query("i2_box_morphology", f"WITH {CAT}, b AS (SELECT id, lon - size / 100.0::DOUBLE AS west, lat - size / 200.0::DOUBLE AS south, lon + size / 100.0::DOUBLE AS east, lat + size / 200.0::DOUBLE AS north, price / 10 AS area FROM cat WHERE abs(lat) < 80), m AS (SELECT *, (east - west) * 111.32 * cos(radians((south + north) / 2)) AS w, (north - south) * 111.32 AS h FROM b) SELECT id, round(w, 6) AS width_km, round(h, 6) AS height_km, round(sqrt(w * w + h * h), 6) AS diagonal_km, round(2 * (w + h), 6) AS perimeter_km, round(2 * (w + h) / (2 * sqrt(pi() * area)), 6) AS compactness, round(4 * pi() * area / pow(2 * (w + h), 2), 6) AS circularity, round(2 * sqrt(area / pi()) / sqrt(w * w + h * h), 6) AS elongation, round(area / (w * w + h * h), 6) AS form_factor FROM m")
+@query("i2_box_morphology", f"WITH {CAT}, b AS (SELECT id, lon - size / 100.0::DOUBLE AS west, lat - size / 200.0::DOUBLE AS south, lon + size / 100.0::DOUBLE AS east, lat + size / 200.0::DOUBLE AS north, price / 10 AS area FROM cat), m AS (SELECT *, (east - west) * 111.32 * cos(radians((south + north) / 2)) AS w, (north - south) * 111.32 AS h FROM b) SELECT id, round(w, 6) AS width_km, round(h, 6) AS height_km, round(sqrt(w * w + h * h), 6) AS diagonal_km, round(2 * (w + h), 6) AS perimeter_km, round(2 * (w + h) / (2 * sqrt(pi() * area)), 6) AS compactness, round(4 * pi() * area / pow(2 * (w + h), 2), 6) AS circularity, round(2 * sqrt(area / pi()) / sqrt(w * w + h * h), 6) AS elongation, round(area / (w * w + h * h), 6) AS form_factor FROM m")
 def i2(spark, d):
     return B.box_morphology(boxes(spark, d), F.col("area")).select("id", "width_km", "height_km", "diagonal_km", "perimeter_km", "compactness", "circularity", "elongation", "form_factor")
 
@@ -140,12 +140,16 @@ def ringed(spark, d):
     return boxes(spark, d).select("id", "west", "south", "east", "north", F.array(c("west", "south"), c("east", "south"), c("east", "north"), c("west", "north")).alias("ring"))
 
 
-@query("i1_weighted_cells")
+@query("i1_weighted_cells", f"""WITH {CAT}, b AS (SELECT id, lon - size / 100.0::DOUBLE AS w, lat - size / 200.0::DOUBLE AS s, lon + size / 100.0::DOUBLE AS e, lat + size / 200.0::DOUBLE AS n FROM cat),
+  x AS (SELECT *, unnest(generate_series(floor(w / 0.25 - 0.5)::BIGINT, ceil(e / 0.25 + 0.5)::BIGINT)) AS ix FROM b), y AS (SELECT *, unnest(generate_series(floor(s / 0.25 - 0.5)::BIGINT, ceil(n / 0.25 + 0.5)::BIGINT)) AS iy FROM x),
+  a AS (SELECT id, ix, iy, greatest(0, least(e, (ix + 0.5) * 0.25) - greatest(w, (ix - 0.5) * 0.25)) * greatest(0, least(n, (iy + 0.5) * 0.25) - greatest(s, (iy - 0.5) * 0.25)) AS area FROM y), c AS (SELECT * FROM a WHERE area > 1e-12),
+  v AS (SELECT *, area / sum(area) OVER (PARTITION BY id) AS v FROM c), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY v DESC, ix, iy) AS k FROM v), t AS (SELECT * FROM k WHERE (v >= 0.005 AND k <= 64) OR k = 1)
+  SELECT id, ix, iy, round(v / sum(v) OVER (PARTITION BY id), 6) AS weight FROM t""")
 def i1(spark, d):
     return B.weighted_cells(ringed(spark, d), "id", "ring", 0.25)
 
 
-@query("c17_overlay", f"WITH {CAT}, b AS (SELECT id, lon - size / 100.0::DOUBLE AS w, lat - size / 200.0::DOUBLE AS s, lon + size / 100.0::DOUBLE AS e, lat + size / 200.0::DOUBLE AS n FROM cat WHERE abs(lat) < 80) , f AS (SELECT id, w - 9 AS w, s - 5 AS s, e + 9 AS e, n + 5 AS n FROM b) SELECT a.id AS bid, b.id AS fid, round((least(a.e, b.e) - greatest(a.w, b.w)) * (least(a.n, b.n) - greatest(a.s, b.s)), 9) AS area FROM b a, f b WHERE a.id % 2 = 0 AND b.id % 2 = 1 AND least(a.e, b.e) > greatest(a.w, b.w) AND least(a.n, b.n) > greatest(a.s, b.s)")
+@query("c17_overlay", f"WITH {CAT}, b AS (SELECT id, lon - size / 100.0::DOUBLE AS w, lat - size / 200.0::DOUBLE AS s, lon + size / 100.0::DOUBLE AS e, lat + size / 200.0::DOUBLE AS n FROM cat) , f AS (SELECT id, w - 9 AS w, s - 5 AS s, e + 9 AS e, n + 5 AS n FROM b) SELECT a.id AS bid, b.id AS fid, round((least(a.e, b.e) - greatest(a.w, b.w)) * (least(a.n, b.n) - greatest(a.s, b.s)), 9) AS area FROM b a, f b WHERE a.id % 2 = 0 AND b.id % 2 = 1 AND least(a.e, b.e) > greatest(a.w, b.w) AND least(a.n, b.n) > greatest(a.s, b.s)")
 def c17(spark, d):
     r = ringed(spark, d)
     f = r.filter("id % 2 = 1").select(F.col("id").alias("fid"), (F.col("west") - 9).alias("x0"), (F.col("south") - 5).alias("y0"), (F.col("east") + 9).alias("x1"), (F.col("north") + 5).alias("y1"))

@@ -69,12 +69,26 @@ def a13(spark, d):
     return M.needs_recompute(r, o.filter("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 5).alias("point")), "id")
 
 
-@query("b6_quality_label", f"""WITH n AS (SELECT doc_id, {norm('text')} AS n, doc_id % 11 = 0 AS nodate, CASE WHEN doc_id % 3 = 0 THEN true WHEN doc_id % 3 = 1 THEN false END AS down, CASE WHEN doc_id % 50 = 7 THEN 'invalid' END AS over FROM documents),
-  h AS (SELECT *, contains(n, 'license') OR contains(n, 'version') AS bad, contains(n, 'the') OR contains(n, 'eau') AS good FROM n), l AS (SELECT *, CASE WHEN over IS NOT NULL THEN over WHEN nodate THEN 'uncertain' WHEN bad THEN 'invalid' WHEN down THEN 'valid' WHEN down IS NOT NULL THEN CASE WHEN good THEN 'valid' ELSE 'invalid' END ELSE CASE WHEN good THEN 'valid' ELSE 'uncertain' END END AS label FROM h)
-  SELECT doc_id, label, CASE label WHEN 'valid' THEN 1.0 WHEN 'uncertain' THEN 0.5 ELSE 0.0 END::DOUBLE AS score, array_to_string(list_filter([CASE WHEN over IS NOT NULL THEN 'manual_override' END, CASE WHEN nodate THEN 'missing_date' END, CASE WHEN bad THEN 'invalid_comment' END, CASE WHEN down THEN 'descended' END, CASE WHEN good THEN 'hydrology_comment' END], lambda x: x IS NOT NULL), ',') AS reasons FROM l""")
+B6_WORDS = {"strong": ["und", "the"], "weak": ["que", "is"], "hydrology": {"water": r"\beau\w*", "of": r"\bof\b", "on": r"\b(?:on|en)\b"}, "current": {"here": r"\bla\b|\bhe\b"}}
+HITS = lambda items: "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(n, '{p}') THEN '{k}' END" for k, p in items.items()) + "], lambda x: x IS NOT NULL)"
+WORD_HITS = lambda ws: HITS({w: rf"\b{w}\b" for w in sorted(ws)})
+TAG = lambda tag, x: f"list_transform({x}, lambda x: '{tag}:' || x)"
+
+
+@query("b6_quality_label", f"""WITH n AS (SELECT doc_id, {norm("CASE WHEN doc_id % 13 = 5 THEN '' ELSE substr(text, 1, 60) END")} AS n, doc_id % 11 = 0 AS nodate, CASE WHEN doc_id % 3 = 0 THEN true WHEN doc_id % 3 = 1 THEN false END AS down, CASE WHEN doc_id % 50 = 7 THEN 'invalid' WHEN doc_id % 50 = 8 THEN 'uncertain' END AS act, CASE WHEN doc_id % 50 = 7 THEN 'seen' END AS why FROM documents),
+  h AS (SELECT *, list_filter([CASE WHEN contains(n, 'license') THEN 'license' END, CASE WHEN contains(n, 'ion of') THEN 'ion of' END], lambda x: x IS NOT NULL) AS bad, {WORD_HITS(B6_WORDS['strong'])} AS s, {WORD_HITS(B6_WORDS['weak'])} AS w, {HITS(B6_WORDS['hydrology'])} AS h, {HITS(B6_WORDS['current'])} AS c FROM n),
+  l AS (SELECT doc_id, CASE WHEN act IS NOT NULL THEN [act, 'manual_override:' || coalesce(why, 'unspecified')] WHEN nodate THEN ['uncertain', 'missing_parsed_date'] WHEN len(bad) > 0 AND coalesce(down, false) = false THEN list_concat(['invalid'], {TAG('explicit_invalid', 'bad')})
+    WHEN down THEN list_concat(list_concat(['valid', 'descended'], {TAG('hydrology_signal', 'h')}), CASE WHEN len(s) + len(w) > 0 THEN ['descended_with_non_hydro_context'] ELSE [] END)
+    WHEN down = false THEN CASE WHEN n = '' THEN ['valid', 'non_descended_without_comment_but_level_selected'] WHEN len(h) > 0 AND (len(c) > 0 OR len(s) = 0) THEN list_concat(list_concat(['valid'], {TAG('hydrology_signal', 'h')}), ['non_descended_hydrology_observation'])
+      WHEN len(h) > 0 THEN list_concat(list_concat(list_concat(['uncertain'], {TAG('hydrology_signal', 'h')}), {TAG('context_only', 's')}), ['mixed_hydrology_and_logistics']) WHEN len(s) > 0 THEN list_concat(['invalid'], {TAG('non_hydro_info', 's')})
+      WHEN len(w) > 0 THEN list_concat(list_concat(['uncertain'], {TAG('context_only', 'w')}), ['non_descended_context_without_hydrology_signal']) ELSE ['uncertain', 'non_descended_ambiguous_comment'] END
+    ELSE CASE WHEN len(h) > 0 THEN list_concat(list_concat([CASE WHEN len(c) = 0 AND len(s) + len(w) > 0 THEN 'uncertain' ELSE 'valid' END], {TAG('hydrology_signal', 'h')}), [CASE WHEN len(c) > 0 THEN 'hydrology_observation_without_status' WHEN len(s) + len(w) > 0 THEN 'mixed_hydrology_and_logistics' ELSE 'default_hydrology_valid' END])
+      WHEN len(s) > 0 THEN list_concat(['invalid'], {TAG('non_hydro_info', 's')}) ELSE ['valid', 'default_valid'] END END AS x FROM h)
+  SELECT doc_id, x[1] AS label, CASE x[1] WHEN 'valid' THEN 1.0 WHEN 'uncertain' THEN 0.5 ELSE 0.0 END::DOUBLE AS score, array_to_string(x[2:], ',') AS reasons FROM l""")
 def b6(spark, d):
     k = F.col("doc_id")
-    q = C.quality_label(F.when(k % 11 != 0, F.lit(1)), F.when(k % 3 == 0, True).when(k % 3 == 1, False), F.when(k % 50 == 7, "invalid"), F.col("text"), ["license", "version"], ["the", "eau"])
+    comment = F.when(k % 13 != 5, F.substring("text", 1, 60)).otherwise("")
+    q = C.quality_label(F.when(k % 11 != 0, F.lit(1)), F.when(k % 3 == 0, True).when(k % 3 == 1, False), comment, F.when(k % 50 == 7, "invalid").when(k % 50 == 8, "uncertain"), F.when(k % 50 == 7, "seen"), ["license", "ion of"], **B6_WORDS)
     return table(spark, d, "documents").select("doc_id", q.alias("q")).select("doc_id", "q.label", "q.score", F.array_join("q.reasons", ",").alias("reasons"))
 
 
@@ -146,15 +160,13 @@ def c2(spark, d):
     return M.join_with_skips(obs(spark, d), b, ["site"], "missing_basin")[1].select("observation_id", "reason")
 
 
-@query("c8_overrides", f"""WITH {OBS}, v AS (SELECT row_number() OVER (ORDER BY observation_id) AS position, CASE WHEN observation_id % 3 = 0 THEN observation_id END AS oid, CASE WHEN observation_id % 3 = 1 THEN site END AS vsite, CASE WHEN observation_id % 3 <> 0 AND observation_id % 2 = 0 THEN level END AS vlevel, 'act' || observation_id % 5 AS action FROM obs WHERE observation_id % 101 = 0),
+@query("c8_overrides", f"""WITH {OBS}, v AS (SELECT observation_id AS position, CASE WHEN observation_id % 3 = 0 THEN observation_id END AS oid, CASE WHEN observation_id % 3 = 1 THEN site END AS vsite, CASE WHEN observation_id % 3 <> 0 AND observation_id % 2 = 0 THEN level END AS vlevel, 'act' || observation_id % 5 AS action FROM obs WHERE observation_id % 101 = 0),
   m AS (SELECT o.observation_id, v.action, row_number() OVER (PARTITION BY o.observation_id ORDER BY (v.oid IS NULL)::INT, v.position) AS k FROM obs o JOIN v ON v.oid = o.observation_id OR (v.oid IS NULL AND (v.vsite IS NOT NULL OR v.vlevel IS NOT NULL) AND (v.vsite IS NULL OR v.vsite = o.site) AND (v.vlevel IS NULL OR v.vlevel = o.level)))
   SELECT o.observation_id, m.action AS override FROM obs o LEFT JOIN m ON o.observation_id = m.observation_id AND k = 1""")
 def c8(spark, d):
-    from pyspark.sql import Window
-
     o = obs(spark, d).select("observation_id", "site", "level")
     k = F.col("observation_id")
-    v = o.filter(k % 101 == 0).select(F.row_number().over(Window.partitionBy().orderBy("observation_id")).alias("position"), F.when(k % 3 == 0, k).alias("observation_id"), F.when(k % 3 == 1, F.col("site")).alias("site"), F.when((k % 3 != 0) & (k % 2 == 0), F.col("level")).alias("level"), F.concat(F.lit("act"), (k % 5).cast("string")).alias("action"))
+    v = o.filter(k % 101 == 0).select(k.alias("position"), F.when(k % 3 == 0, k).alias("observation_id"), F.when(k % 3 == 1, F.col("site")).alias("site"), F.when((k % 3 != 0) & (k % 2 == 0), F.col("level")).alias("level"), F.concat(F.lit("act"), (k % 5).cast("string")).alias("action"))
     return C.match_overrides(o, v, "observation_id", ["site", "level"]).select("observation_id", "override")
 
 
@@ -197,9 +209,9 @@ def c15(spark, d):
     return C.nearby(cat(spark, d), 45.0, 6.0, 900.0).select("id", F.round("km", 4).alias("km"))
 
 
-@query("c15_near_pairs", f"WITH {CAT}, c AS (SELECT id, lat, lon FROM cat WHERE abs(lat) <= 80 AND abs(lon) < 175), k AS (SELECT a.id AS a, b.id AS b, 12742.0 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) AS km FROM c a, c b WHERE a.id % 2 = 0 AND b.id % 2 = 1) SELECT a, b, round(km, 4) AS km FROM k WHERE km <= 400")
+@query("c15_near_pairs", f"WITH {CAT}, c AS (SELECT id, lat, lon FROM cat), k AS (SELECT a.id AS a, b.id AS b, 12742.0 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) AS km FROM c a, c b WHERE a.id % 2 = 0 AND b.id % 2 = 1) SELECT a, b, round(km, 4) AS km FROM k WHERE km <= 400")
 def c15b(spark, d):
-    c = cat(spark, d).filter("abs(lat) <= 80 AND abs(lon) < 175")
+    c = cat(spark, d)
     return C.near_pairs(c.filter("id % 2 = 0"), c.filter("id % 2 = 1"), 400.0, "id").withColumn("km", F.round("km", 4))
 
 
@@ -210,24 +222,38 @@ def c16(spark, d):
     return M.pick_by_priority(r, "site", "priority", "resolved").select("site", "run", "resolved", "unresolved")
 
 
-@query("c18_diagnose", 'WITH c AS (SELECT o_orderkey AS id, o_custkey AS site FROM orders WHERE o_orderkey % 10 = 0), i AS (SELECT id, site, unnest([id % 3, 1]) AS "index" FROM c), e AS (SELECT s_suppkey AS site, s_suppkey % 3 AS "index", s_name AS name FROM supplier), n AS (SELECT site, count(*) AS cases_here FROM c GROUP BY 1) SELECT id, i.site, i."index", name, cases_here FROM i LEFT JOIN e ON i.site = e.site AND i."index" = e."index" JOIN n ON i.site = n.site')
+@query("c18_diagnose", 'WITH c AS (SELECT o_orderkey AS id, o_custkey AS site FROM orders), i AS (SELECT id, site, unnest([id % 3, 1]) AS "index" FROM c), e AS (SELECT s_suppkey AS site, s_suppkey % 3 AS "index", s_name AS name FROM supplier), n AS (SELECT site, count(*) AS cases_here FROM c GROUP BY 1) SELECT id, i.site, i."index", name, cases_here FROM i LEFT JOIN e ON i.site = e.site AND i."index" = e."index" JOIN n ON i.site = n.site')
 def c18(spark, d):
     k = F.col("o_orderkey")
-    c = table(spark, d, "orders").filter(k % 10 == 0).select(k.alias("id"), F.col("o_custkey").alias("site"), F.array(k % 3, F.lit(1).cast("long")).alias("indexes"))
+    c = table(spark, d, "orders").select(k.alias("id"), F.col("o_custkey").alias("site"), F.array(k % 3, F.lit(1).cast("long")).alias("indexes"))
     e = table(spark, d, "supplier").select(F.col("s_suppkey").alias("site"), (F.col("s_suppkey") % 3).alias("index"), F.col("s_name").alias("name"))
     return C.diagnose(c, e, "id", "site")
 
 
-@query("d26_facets", f"WITH {CAT} SELECT 'brand' AS dimension, brand AS value, count(*) AS n FROM cat WHERE size > 10 GROUP BY brand UNION ALL SELECT 'region', region::VARCHAR, count(*) FROM cat WHERE size > 10 GROUP BY region")
-def d26(spark, d):
-    return C.facets(cat(spark, d).filter("size > 10"), ["brand", "region"])
+FACETS = CAT + """, m AS (SELECT id, CASE WHEN id % 3 = 0 THEN ['c' || region % 4] ELSE ['c' || region % 4, 'C' || (region + 1) % 4 || 'x'] END AS cs, ['s' || region, 's' || votes % 9] AS ss FROM cat WHERE size > 10)"""
 
 
-@query("d27_subdivision_country", "WITH r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN ['FR', 'IT'] ELSE [CASE WHEN o_orderkey % 50 < 25 THEN 'FR' ELSE 'IT' END] END AS c, ['s' || o_orderkey % 50, 's' || o_orderkey % 7] AS s FROM orders WHERE o_orderkey < 3000), o AS (SELECT DISTINCT c[1] AS country, unnest(s) AS sub FROM r WHERE len(c) = 1), k AS (SELECT sub, min(country) AS known FROM o GROUP BY 1 HAVING count(*) = 1), e AS (SELECT id, c, unnest(s) AS sub FROM r) SELECT id, e.sub, coalesce(known, CASE WHEN len(c) = 1 THEN c[1] END) AS country FROM e LEFT JOIN k USING (sub)")
+@query("d26_facets", f"WITH {FACETS}, u AS (SELECT id, cs, ss[1] AS s, cs[1] AS c FROM m UNION ALL SELECT id, cs, ss[2], cs[-1] FROM m) SELECT DISTINCT 'country' AS dimension, unnest(cs) AS value FROM m UNION ALL SELECT DISTINCT 'subdivision', s FROM u WHERE list_contains(list_transform(cs, lambda x: lower(x)), 'c2x') AND lower(c) = 'c2x'")
+def d26(spark, d):
+    r = lambda n, k: F.concat(F.lit(n), k.cast("string"))
+    first, second = r("c", F.col("region") % 4), F.concat(r("C", (F.col("region") + 1) % 4), F.lit("x"))
+    many = F.col("id") % 3 != 0
+    rows = cat(spark, d).filter("size > 10").select("id", F.when(many, F.array(first, second)).otherwise(F.array(first)).alias("countries"), F.array(F.struct(first.alias("country"), r("s", F.col("region")).alias("name")), F.struct(F.when(many, second).otherwise(first).alias("country"), r("s", F.col("votes") % 9).alias("name"))).alias("subs"))
+    return C.facets(rows, "countries", "subs", "c2X")
+
+
+@query("d27_subdivision_country", """WITH r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 12 = 6 THEN ['FR', 'IT', 'ES'] WHEN o_orderkey % 3 = 0 THEN ['FR', 'IT'] WHEN o_orderkey % 97 = 5 THEN [] ELSE [CASE WHEN o_orderkey % 50 < 25 THEN 'FR' ELSE 'IT' END] END AS c,
+    CASE WHEN o_orderkey % 50 = o_orderkey % 7 THEN ['s' || o_orderkey % 50] ELSE ['s' || o_orderkey % 50, 'S' || o_orderkey % 7] END AS s FROM orders),
+  o AS (SELECT DISTINCT c[1] AS country, lower(unnest(s)) AS sub FROM r WHERE len(c) = 1), k AS (SELECT sub, min(country) AS known FROM o GROUP BY 1 HAVING count(*) = 1), e AS (SELECT id, c, unnest(s) AS sub, generate_subscripts(s, 1) AS pos FROM r WHERE len(c) > 0),
+  j AS (SELECT e.*, CASE WHEN len(c) = 1 THEN c[1] WHEN list_contains(c, known) THEN known END AS cn FROM e LEFT JOIN k ON k.sub = lower(e.sub)),
+  l AS (SELECT id, c, list(cn) FILTER (cn IS NOT NULL) AS got, list(sub ORDER BY pos) FILTER (cn IS NULL) AS un FROM j GROUP BY 1, 2), f AS (SELECT *, list_filter(c, lambda x: NOT list_contains(coalesce(got, []), x)) AS free FROM l),
+  x AS (SELECT id, unnest(un) AS sub, generate_subscripts(un, 1) AS p, free, len(un) AS n FROM f)
+  SELECT id, sub, cn AS country FROM j WHERE cn IS NOT NULL UNION ALL SELECT id, sub, CASE WHEN len(free) = 1 THEN free[1] ELSE free[p] END FROM x WHERE len(free) = 1 OR len(free) = n""")
 def d27(spark, d):
     k = F.col("o_orderkey")
-    s = lambda n: F.concat(F.lit("s"), (k % n).cast("string"))
-    r = table(spark, d, "orders").filter(k < 3000).select(k.alias("id"), F.when(k % 3 == 0, F.array(F.lit("FR"), F.lit("IT"))).otherwise(F.array(F.when(k % 50 < 25, "FR").otherwise("IT"))).alias("c"), F.array(s(50), s(7)).alias("s"))
+    s = lambda p, n: F.concat(F.lit(p), (k % n).cast("string"))
+    c = lambda *names: F.array(*map(F.lit, names)).cast("array<string>")
+    r = table(spark, d, "orders").select(k.alias("id"), F.when(k % 12 == 6, c("FR", "IT", "ES")).when(k % 3 == 0, c("FR", "IT")).when(k % 97 == 5, c()).otherwise(F.array(F.when(k % 50 < 25, "FR").otherwise("IT"))).alias("c"), F.when(k % 50 == k % 7, F.array(s("s", 50))).otherwise(F.array(s("s", 50), s("S", 7))).alias("s"))
     return C.infer_subdivision_country(r, "id", "c", "s")
 
 
@@ -245,9 +271,40 @@ def candidates(spark, d):
 CANDS = "c AS (SELECT p_partkey % 200 AS site, p_partkey AS id, p_retailprice AS value, p_partkey * 13 % 700 AS distance, ['entry', 'exit', 'parking'][p_partkey % 3 + 1] AS kind FROM part)"
 
 
-@query("e23_rank_candidates", f"WITH {CANDS}, s AS (SELECT *, round(100 * value / max(value) OVER (PARTITION BY site) + CASE WHEN kind = 'entry' THEN 10 ELSE 0 END - distance / 100.0::DOUBLE, 6) AS score, CASE kind WHEN 'entry' THEN 0 WHEN 'exit' THEN 1 ELSE 2 END AS k FROM c) SELECT site, id, score, row_number() OVER (PARTITION BY site ORDER BY score DESC, distance, k, value, id)::INT AS rank FROM s")
+SNAPPED = """c AS (SELECT p_partkey % 200 AS site, p_partkey AS id, CASE WHEN p_partkey % 17 > 0 THEN (p_partkey * 7919 % 1000 + 1) / 4000.0::DOUBLE * (1 + p_partkey % 3 * 9) END AS area, CASE WHEN p_partkey % 19 > 0 THEN (p_partkey * 13 % 120)::DOUBLE END AS far,
+    CASE WHEN p_partkey % 23 > 0 THEN (p_partkey * 31 % 150)::DOUBLE END AS jump, ['ENTREE', 'SORTIE', 'PARKING_AMONT', 'PARKING_AVAL', 'POINT_REMARQUABLE', 'REVIEW_GPS', 'OTHER'][p_partkey % 7 + 1] AS kind, p_partkey % 400 = 5 AS forced FROM part),
+  r AS (SELECT *, area / greatest(max(area) OVER (PARTITION BY site), 1e-9) AS rel FROM c),
+  s AS (SELECT *, round(least(rel, 1.25) * 100 + CASE kind WHEN 'ENTREE' THEN 6 WHEN 'SORTIE' THEN 5 WHEN 'PARKING_AVAL' THEN 3 WHEN 'POINT_REMARQUABLE' THEN 2 WHEN 'PARKING_AMONT' THEN 1 WHEN 'REVIEW_GPS' THEN 10 ELSE 0 END - coalesce(least(far / 5, 40), 0) - CASE WHEN jump >= 100 THEN 35 WHEN jump >= 20 THEN 18 WHEN jump >= 10 THEN 10 ELSE 0 END
+      - CASE WHEN area < 0.01 THEN 120 WHEN area < 0.05 THEN 30 ELSE 0 END - CASE WHEN rel < 0.05 THEN 200 WHEN rel < 0.2 THEN 60 WHEN rel < 0.5 THEN 15 ELSE 0 END - CASE WHEN kind = 'PARKING_AMONT' AND rel < 0.2 THEN 30 ELSE 0 END, 3) AS score,
+    list_filter([CASE WHEN far > 80 THEN 'long_snap_distance' WHEN far > 30 THEN 'moderate_snap_distance' END, CASE WHEN jump >= 100 THEN 'very_large_upa_jump_after_snap' WHEN jump >= 20 THEN 'large_upa_jump_after_snap' WHEN jump >= 10 THEN 'moderate_upa_jump_after_snap' END, CASE WHEN area < 0.01 THEN 'tiny_absolute_upa' WHEN area < 0.05 THEN 'small_absolute_upa' END,
+      CASE WHEN rel < 0.05 THEN 'upa_far_below_best_candidate' WHEN rel < 0.2 THEN 'upa_much_lower_than_best_candidate' WHEN rel < 0.5 THEN 'upa_lower_than_best_candidate' ELSE 'upa_close_to_best_candidate' END, CASE WHEN kind = 'PARKING_AMONT' AND rel < 0.2 THEN 'upstream_parking_unlikely_hydrologic_proxy' END, CASE WHEN kind = 'PARKING_AVAL' AND rel >= 0.75 THEN 'downstream_parking_plausible_proxy' END,
+      CASE WHEN kind = 'ENTREE' THEN 'topo_entry_point' END, CASE WHEN kind = 'SORTIE' THEN 'topo_exit_point' END], lambda x: x IS NOT NULL) AS why,
+    CASE WHEN area IS NULL THEN 'invalid' WHEN area < 0.01 OR rel < 0.05 THEN 'off_channel' WHEN jump >= 20 AND coalesce(far, 0) > 50 THEN 'uncertain' WHEN rel >= 0.75 AND coalesce(far, 0) <= 80 THEN 'good_proxy' ELSE 'possible_proxy' END AS verdict,
+    coalesce(list_position(['ENTREE', 'SORTIE', 'PARKING_AMONT', 'PARKING_AVAL', 'POINT_REMARQUABLE'], kind), 100) AS place FROM r),
+  k AS (SELECT *, CASE WHEN area IS NOT NULL THEN row_number() OVER (PARTITION BY site ORDER BY area IS NULL, CASE WHEN score = 0 THEN 'inf'::DOUBLE ELSE -score END, coalesce(far, 'inf'::DOUBLE), place, area DESC, id) END::INT AS rank FROM s)"""
+
+
+def snapped(spark, d):
+    k = F.col("p_partkey")
+    return table(spark, d, "part").select(
+        (k % 200).alias("site"), k.alias("id"), F.when(k % 17 > 0, (k * 7919 % 1000 + 1) / 4000.0 * (1 + k % 3 * 9)).alias("area"), F.when(k % 19 > 0, (k * 13 % 120).cast("double")).alias("far"), F.when(k % 23 > 0, (k * 31 % 150).cast("double")).alias("jump"),
+        F.element_at(F.lit(["ENTREE", "SORTIE", "PARKING_AMONT", "PARKING_AVAL", "POINT_REMARQUABLE", "REVIEW_GPS", "OTHER"]), (k % 7 + 1).cast("int")).alias("kind"), (k % 400 == 5).alias("forced"),
+    )
+
+
+def ranked(spark, d):
+    return C.rank_candidates(snapped(spark, d), "site", "id", "area", "far", "jump", "kind")
+
+
+@query("e23_rank_candidates", f"WITH {SNAPPED} SELECT site, id, CASE WHEN area IS NOT NULL THEN score END AS score, verdict, CASE WHEN area IS NULL THEN '' ELSE array_to_string(why, ',') END AS reasons, round(rel, 6) AS relative, rank FROM k")
 def e23(spark, d):
-    return C.rank_candidates(candidates(spark, d), "site", "value", "distance", "kind", {"entry": 0, "exit": 1}).select("site", "id", "score", "rank")
+    return ranked(spark, d).select("site", "id", "score", "verdict", F.array_join("reasons", ",").alias("reasons"), "relative", "rank")
+
+
+@query("e23_pick_candidates", f"""WITH {SNAPPED}, p AS (SELECT site, arg_min(id, struct_pack(a := verdict = 'off_channel', r := rank)) FILTER (rank IS NOT NULL AND NOT forced) AS suggested, arg_min(id, struct_pack(a := place, r := rank)) FILTER (rank IS NOT NULL) AS strict, min(CASE WHEN forced THEN id END) AS f, arg_min(area IS NOT NULL, id) FILTER (forced) AS ok FROM k GROUP BY 1)
+  SELECT site, suggested, strict, CASE WHEN f IS NULL THEN suggested WHEN ok THEN f END AS best FROM p""")
+def e23b(spark, d):
+    return C.pick_candidates(ranked(spark, d), "site", "id", "kind", "forced")
 
 
 @query("e24_select_candidate", f"WITH {CANDS}, r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY value < 1200, distance, id) AS k FROM c) SELECT site, id, distance FROM r WHERE k = 1")
@@ -268,9 +325,9 @@ def f1(spark, d):
     return p.withColumn("score", C.relevance(F.col("name"), F.col("full"), F.col("other"), "part 12")).orderBy(F.desc("score"), "name", "id").limit(50).select("id", "score")
 
 
-@query("f2_sort_nulls_last", f"WITH {CAT} SELECT id, interest, votes FROM cat ORDER BY interest DESC NULLS LAST, votes ASC NULLS LAST, id LIMIT 1900")
+@query("f2_sort_nulls_last", f"WITH {CAT} SELECT id, interest, votes FROM cat ORDER BY interest DESC NULLS LAST, votes ASC NULLS LAST, id")
 def f2(spark, d):
-    return C.sorted_nulls_last(cat(spark, d), [("interest", False), ("votes", True), ("id", True)], 1900).select("id", "interest", "votes")
+    return C.sorted_nulls_last(cat(spark, d), [("interest", False), ("votes", True), ("id", True)]).select("id", "interest", "votes")
 
 
 @query("f3_difficulty_sort", "WITH k AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE list_sort([p_partkey % 7, p_size % 6, p_partkey % 5], 'DESC') END AS key FROM part) SELECT id, array_to_string(key, ',') AS key FROM k ORDER BY (k.key IS NULL), k.key DESC, id LIMIT 100")
@@ -375,6 +432,14 @@ def g8(spark, d):
     return M.fill_missing(b, e, "id", ["name", "brand"]).withColumn("changed", F.array_join("changed", ","))
 
 
+@query("g8_add_absent", """WITH p AS (SELECT p_partkey % 50 AS site, 'k' || p_partkey % 3 AS kind, p_partkey AS lat FROM part WHERE p_partkey % 4 = 0), e AS (SELECT p_partkey % 60 AS site, 'k' || p_partkey % 5 AS kind, p_partkey * 7 % 1000 AS lat FROM part)
+  SELECT site, kind, lat, NULL AS change FROM p UNION ALL SELECT site, kind, min(lat), 'point:' || kind FROM e WHERE (site, kind) NOT IN (SELECT site, kind FROM p) GROUP BY site, kind""")
+def g8b(spark, d):
+    p, k = table(spark, d, "part"), F.col("p_partkey")
+    kind = lambda n: F.concat(F.lit("k"), (k % n).cast("string")).alias("kind")
+    return M.add_absent(p.filter(k % 4 == 0).select((k % 50).alias("site"), kind(3), k.alias("lat")), p.select((k % 60).alias("site"), kind(5), (k * 7 % 1000).alias("lat")), "site", "kind")
+
+
 @query("g9_ids_lookup", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
 def g9(spark, d):
     ids = ev(spark, d).filter("event_type = 'purchase'").select(F.col("user_id").alias("c_custkey")).distinct()

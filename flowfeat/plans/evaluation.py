@@ -144,8 +144,8 @@ def k19(spark, d):
 
     rows = temporal_split(recent_history(obs(spark, d)), 0.2, 0.0).filter("bucket IS NOT NULL")
     rows = rows.withColumn("month", F.month("date"))
-    families = {"history": ["n_365", "high_365", "mean_rank_365"], "weather": ["month"], "physical": ["price"]}
-    return E.fit_and_score(rows.filter("split = 'train'"), rows.filter("split = 'test'"), families, "bucket", ["full", "history_only", "weather_only"])
+    families = {"site_history": ["n_365", "high_365", "mean_rank_365"], "history": ["grp"], "weather": ["month"], "physical": ["price"]}
+    return E.fit_and_score(rows.filter("split = 'train'"), rows.filter("split = 'test'"), families, "bucket", list(E.VARIANTS))
 
 
 @query("k20_batch_scoring")
@@ -237,10 +237,15 @@ def d22(spark, d):
     return P.strong_correlations(table(spark, d, "lineitem"), CORR, 0.003, 100)
 
 
-@query("d23_signal_summary", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS k FROM documents) SELECT lang, source, count(*) AS n, round(avg(n_chars), 6) AS mean_rank, round(avg(n_chars - 100), 6) AS mean_delta, md5(string_agg(text, '|' ORDER BY doc_id) FILTER (k <= 3)) AS examples FROM r GROUP BY 1, 2")
+@query("d23_signal_summary", """WITH r AS (SELECT *, doc_id % 3 AS level, CASE WHEN n_chars % 4 < 2 THEN 'exact' ELSE 'close' END AS agreement, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS k FROM documents),
+  l AS (SELECT lang, source, string_agg(level || ':' || n, ' ' ORDER BY level) AS levels FROM (SELECT lang, source, level, count(*) AS n FROM r GROUP BY ALL) GROUP BY 1, 2), g AS (SELECT lang, source, string_agg(agreement || ':' || n, ' ' ORDER BY agreement) AS agreements FROM (SELECT lang, source, agreement, count(*) AS n FROM r GROUP BY ALL) GROUP BY 1, 2),
+  s AS (SELECT lang, source, count(*) AS n, round(avg(n_chars), 6) AS mean_rank, round(avg(n_chars - 100), 6) AS mean_delta, md5(string_agg(text, '|' ORDER BY doc_id) FILTER (k <= 3)) AS examples FROM r GROUP BY 1, 2)
+  SELECT s.*, levels, agreements FROM s JOIN l ON s.lang IS NOT DISTINCT FROM l.lang AND s.source IS NOT DISTINCT FROM l.source JOIN g ON s.lang IS NOT DISTINCT FROM g.lang AND s.source IS NOT DISTINCT FROM g.source""")
 def d23(spark, d):
-    out = P.signal_summary(table(spark, d, "documents"), ["lang", "source"], "n_chars", F.col("n_chars") - 100, "text", "doc_id")
-    return out.withColumn("examples", F.md5(F.array_join("examples", "|")))
+    rows = table(spark, d, "documents").withColumns({"level": F.col("doc_id") % 3, "agreement": F.when(F.col("n_chars") % 4 < 2, "exact").otherwise("close")})
+    out = P.signal_summary(rows, ["lang", "source"], "n_chars", F.col("n_chars") - 100, "text", "doc_id", {"levels": "level", "agreements": "agreement"})
+    told = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda x: F.concat(x["key"], F.lit(":"), x["value"].cast("string"))), " ").alias(c)
+    return out.select("lang", "source", "n", "mean_rank", "mean_delta", F.md5(F.array_join("examples", "|")).alias("examples"), told("levels"), told("agreements"))
 
 
 @query("d24_stage_profile", "WITH s AS (SELECT event_type AS status, 'k' AS stage, (props::JSON ->> 'k')::DOUBLE AS seconds FROM events UNION ALL SELECT event_type, 'value', value FROM events) SELECT stage, count(*) AS n, round(sum(seconds), 4) AS total, round(avg(seconds), 6) AS mean, max(seconds) AS max, count(*) FILTER (status = 'error') AS errors FROM s GROUP BY 1")
@@ -249,11 +254,14 @@ def d24(spark, d):
     return P.stage_profile(e, "m", "event_type")
 
 
-@query("d25_user_rollup", "WITH a AS (SELECT user_id AS u, count(*) AS n, max(struct_pack(ts := ts, url := 'e' || event_id)) AS l FROM events GROUP BY 1), b AS (SELECT o_custkey AS u, count(*) AS n, max(struct_pack(ts := o_orderdate::TIMESTAMP, url := 'o' || o_orderkey)) AS l FROM orders GROUP BY 1) SELECT u, coalesce(a.n, 0) AS n_a, coalesce(b.n, 0) AS n_b, greatest(a.l, b.l).ts AS last_at, greatest(a.l, b.l).url AS last_url, CASE WHEN a.n IS NOT NULL AND b.n IS NOT NULL THEN 'both' WHEN a.n IS NOT NULL THEN 'a' ELSE 'b' END AS sources FROM a FULL JOIN b USING (u)")
+@query("d25_user_rollup", """WITH a AS (SELECT CASE WHEN event_id % 2 = 0 THEN ' User É' || user_id ELSE 'user é' || user_id || ' ' END AS name, ts, 'e' || event_id AS url FROM events), b AS (SELECT 'USER É' || o_custkey AS name, o_orderdate::TIMESTAMP AS ts, 'o' || o_orderkey AS url FROM orders),
+  n AS (SELECT lower(trim(name)) AS u, trim(name) AS spelling, ts, url, 'a' AS k FROM a UNION ALL SELECT lower(trim(name)), trim(name), ts, url, 'b' FROM b)
+  SELECT u, arg_min(spelling, struct_pack(t := ts, u := url)) AS spelling, count(*) FILTER (k = 'a') AS n_a, count(*) FILTER (k = 'b') AS n_b, max(ts) AS last_at, max(struct_pack(t := ts, u := url)).u AS last_url, CASE WHEN min(k) <> max(k) THEN 'both' ELSE min(k) END AS sources FROM n GROUP BY 1""")
 def d25(spark, d):
-    a = ev(spark, d).select(F.col("user_id").alias("u"), F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("e"), "event_id").alias("url"))
-    b = table(spark, d, "orders").select(F.col("o_custkey").alias("u"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.concat(F.lit("o"), "o_orderkey").alias("url"))
-    return P.user_rollup(a, b, "u")
+    k = F.col("event_id")
+    a = ev(spark, d).select(F.when(k % 2 == 0, F.concat(F.lit(" User É"), "user_id")).otherwise(F.concat(F.lit("user é"), "user_id", F.lit(" "))).alias("name"), F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("e"), "event_id").alias("url"))
+    b = table(spark, d, "orders").select(F.concat(F.lit("USER É"), "o_custkey").alias("name"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.concat(F.lit("o"), "o_orderkey").alias("url"))
+    return P.user_rollup(a, b, "name").withColumnRenamed("key", "u")
 
 
 @query("b14_validation", f"WITH {CELLS}, k AS (SELECT *, row * 10 + col AS id FROM cells), i AS (SELECT 'slope_range' AS issue, id FROM k WHERE NOT slope < 25 UNION ALL SELECT 'elevation_floor', id FROM k WHERE NOT elevation >= 100), r AS (SELECT *, row_number() OVER (PARTITION BY issue ORDER BY id) AS j FROM i) SELECT issue, count(*) AS n, string_agg(id, ',' ORDER BY id) FILTER (j <= 3) AS examples FROM r GROUP BY 1")
@@ -274,11 +282,11 @@ def d28(spark, d):
     return P.grouping_counts(table(spark, d, "documents"), ["lang", "source"])
 
 
-@query("e14_derived_features", f"""WITH {OBS}, w AS (SELECT l_suppkey AS target, CAST(l_shipdate AS DATE) AS date, sum(l_quantity) AS precipitation FROM lineitem GROUP BY 1, 2), y AS (SELECT target, year(date) AS year, sum(precipitation) AS annual, count(*) AS n FROM w GROUP BY 1, 2),
+@query("h22_ratios_and_entropy", f"""WITH {OBS}, w AS (SELECT l_suppkey AS target, CAST(l_shipdate AS DATE) AS date, sum(l_quantity) AS precipitation FROM lineitem GROUP BY 1, 2), y AS (SELECT target, year(date) AS year, sum(precipitation) AS annual, count(*) AS n FROM w GROUP BY 1, 2),
   f AS (SELECT w.target, w.date, precipitation AS p, annual AS a, n, precipitation / annual AS s FROM w JOIN y ON w.target = y.target AND year(w.date) = y.year WHERE annual > 0)
   SELECT target, date, round(p / (a / 52.1775), 6) AS week_ratio, round(p / (a / 12), 6) AS month_ratio, round(p * a, 6) AS product, round(a / (a + 1000), 6) AS confidence, round(n / (n + 20.0), 6) AS history_confidence, round(s - 1.0::DOUBLE / n, 6) AS lift,
          round((CASE WHEN s > 0 THEN -s * ln(s) ELSE 0 END + CASE WHEN s < 1 THEN -(1 - s) * ln(1 - s) ELSE 0 END) / ln(2), 6) AS entropy FROM f""")
-def e14(spark, d):
+def h22b(spark, d):
     w = wx(spark, d).select("target", "date", "precipitation", F.year("date").alias("year"))
     y = w.groupBy("target", "year").agg(F.sum("precipitation").alias("annual"), F.count("*").alias("n"))
     p, a, n = F.col("precipitation"), F.col("annual"), F.col("n")
@@ -286,3 +294,28 @@ def e14(spark, d):
         "target", "date", levels.safe_ratio(p, a / 52.1775).alias("week_ratio"), levels.safe_ratio(p, a / 12).alias("month_ratio"), levels.safe_product(p, a).alias("product"), levels.confidence(a, 1000.0).alias("confidence"),
         levels.confidence(n, 20.0).alias("history_confidence"), F.round(p / a - F.lit(1.0) / n, 6).alias("lift"), levels.entropy([p / a, 1 - p / a]).alias("entropy"),
     )
+
+
+SEEDS = {"mean_annual_precip": (31, 1500), "precip_7d": (7, 90), "precip_30d": (11, 300), "api_93": (13, 200), "max_precip_7d": (17, 60), "rain_7d": (19, 80), "snowfall_14d": (23, 40), "degree_days_14d": (29, 100), "runoff_potential": (37, 10), "flashiness": (41, 5), "basin_area": (43, 4), "upstream_area": (47, 500),
+         "fraction_above_1500m": (53, 2), "site_count": (59, 9), "group_count": (61, 99), "supergroup_count": (67, 999), "global_p_high": (71, 3), "supergroup_p_high": (73, 4), "group_p_high": (79, 5), "group_p_low": (83, 6), "site_p_high": (89, 7), "site_p_medium": (97, 3), "site_p_low": (101, 8)}
+
+
+def seeded_sql(k):
+    return ", ".join(f"CASE WHEN {k} % {a} > 0 THEN ({k} * {a} % {b}) / 8.0::DOUBLE END AS {n}" for n, (a, b) in SEEDS.items())
+
+
+E14_SQL = {
+    "precip_7d_weekly_climatology_ratio": "CASE WHEN abs(mean_annual_precip / 52.1775) >= 1e-9 THEN precip_7d / (mean_annual_precip / 52.1775) END", "precip_30d_monthly_climatology_ratio": "CASE WHEN abs(mean_annual_precip / 12) >= 1e-9 THEN precip_30d / (mean_annual_precip / 12) END",
+    "api_93_monthly_climatology_ratio": "CASE WHEN abs(mean_annual_precip / 12) >= 1e-9 THEN api_93 / (mean_annual_precip / 12) END", "runoff_precip_7d_signal": "precip_7d * runoff_potential", "runoff_precip_30d_signal": "precip_30d * runoff_potential", "flash_flood_7d_signal": "max_precip_7d * flashiness",
+    "basin_precip_volume_30d_proxy": "precip_30d * coalesce(nullif(basin_area, 0), upstream_area)", "rain_on_snow_7d_signal": "rain_7d * snowfall_14d", "snowmelt_degree_day_14d_signal": "degree_days_14d * snowfall_14d", "high_elevation_snowmelt_signal": "degree_days_14d * snowfall_14d * fraction_above_1500m",
+    "site_history_confidence": "CASE WHEN site_count > 0 THEN site_count / (site_count + 10) ELSE 0 END", "group_history_confidence": "CASE WHEN group_count > 0 THEN group_count / (group_count + 20) ELSE 0 END", "supergroup_history_confidence": "CASE WHEN supergroup_count > 0 THEN supergroup_count / (supergroup_count + 30) ELSE 0 END",
+    "site_high_prior_lift": "site_p_high - group_p_high", "site_low_prior_lift": "site_p_low - group_p_low", "group_high_prior_lift": "group_p_high - supergroup_p_high", "supergroup_high_prior_lift": "supergroup_p_high - coalesce(global_p_high, 0)",
+    "site_prior_entropy": "CASE WHEN t > 0 THEN (CASE WHEN site_p_low > 0 THEN -site_p_low / t * ln(site_p_low / t) ELSE 0 END + CASE WHEN site_p_medium > 0 THEN -site_p_medium / t * ln(site_p_medium / t) ELSE 0 END + CASE WHEN site_p_high > 0 THEN -site_p_high / t * ln(site_p_high / t) ELSE 0 END) / ln(3) END", "high_low_prior_spread": "site_p_high - site_p_low",
+}
+
+
+@query("e14_derived_features", f"WITH s AS (SELECT o_orderkey, {seeded_sql('o_orderkey')} FROM orders), t AS (SELECT *, coalesce(site_p_low, 0) + coalesce(site_p_medium, 0) + coalesce(site_p_high, 0) AS t FROM s) SELECT o_orderkey, {', '.join(f'round({v}, 6) AS {k}' for k, v in E14_SQL.items())} FROM t")
+def e14(spark, d):
+    k = F.col("o_orderkey")
+    rows = table(spark, d, "orders").select("o_orderkey", *[F.when(k % a > 0, (k * a % b) / 8.0).alias(n) for n, (a, b) in SEEDS.items()])
+    return rows.select("o_orderkey", *[c.alias(n) for n, c in levels.derived_features(F.col).items()])

@@ -40,14 +40,28 @@ def c5(spark, d):
 HOURS = "WITH e AS (SELECT *, epoch_us(ts) AS u FROM events) SELECT event_id, " + ", ".join(f"round(sum(value) OVER (PARTITION BY user_id ORDER BY u RANGE BETWEEN {h * 3600000000 - 1} PRECEDING AND CURRENT ROW), 4) AS sum_{h}h, count(*) OVER (PARTITION BY user_id ORDER BY u RANGE BETWEEN {h * 3600000000 - 1} PRECEDING AND CURRENT ROW) AS n_{h}h" for h in (6, 24, 72)) + " FROM e"
 
 
-@query("e6_hourly_features", HOURS)
+def week_sql(h):
+    near = f"list_filter(wk, lambda x: x.u > u - {h * 3600000000})"
+    return f"CASE WHEN len({near}) > 0 THEN list_max(list_transform(range(1, len({near}) + 1), lambda i: list_sum(list_transform(list_slice({near}, greatest(1, i - {h} + 1), i), lambda y: y.v)))) ELSE 0 END"
+
+
+@query("c6_hourly_sums", HOURS)
+def c6h(spark, d):
+    return S.hourly_sums(ev(spark, d), ["user_id"], "ts", "value", [6, 24, 72]).select("event_id", *[f"{a}_{h}h" for h in (6, 24, 72) for a in ("sum", "n")])
+
+
+@query("e6_hourly_features", "WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS u, CASE WHEN event_id % 9 > 0 THEN (event_id * 37 % 160) / 8.0::DOUBLE ELSE 0 END AS v FROM events), f AS (SELECT *, " + ", ".join(f"sum(v) OVER (PARTITION BY user_id ORDER BY u RANGE BETWEEN {h * 3600000000 - 1} PRECEDING AND CURRENT ROW) AS s_{h}" for h in (6, 12, 24, 48, 72, 168))
+       + ", " + ", ".join(f"max(CASE WHEN v >= {t} THEN u END) OVER (PARTITION BY user_id ORDER BY u RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS l_{t}" for t in (1, 5, 10)) + ", list_sort(list(struct_pack(u := u, v := v)) OVER (PARTITION BY user_id ORDER BY u RANGE BETWEEN 604799999999 PRECEDING AND CURRENT ROW)) AS wk FROM e) SELECT event_id, "
+       + ", ".join(f"round(s_{h}, 3) AS sum_{h}h" for h in (6, 12, 24, 48, 72, 168)) + ", " + ", ".join(f"(u - l_{t}) // 3600000000 AS hours_since_{t}" for t in (1, 5, 10)) + ", " + ", ".join(f"round({week_sql(h)}, 3) AS best_{h}h" for h in (1, 3, 6, 12))
+       + ", round(list_reduce(list_prepend(0.0::DOUBLE, list_transform(wk, lambda y: y.v)), lambda a, y: a * 0.85 + y), 3) AS api FROM f")
 def e6(spark, d):
-    return S.hourly_features(ev(spark, d), ["user_id"], "ts", "value", [6, 24, 72]).select("event_id", *[f"{a}_{h}h" for h in (6, 24, 72) for a in ("sum", "n")])
+    rows = ev(spark, d).select("event_id", "user_id", "ts", F.when(F.col("event_id") % 9 > 0, F.col("event_id") * 37 % 160 / 8.0).alias("v"))
+    return S.hourly_features(rows, ["user_id"], "ts", "v").drop("user_id", "ts", "v")
 
 
 @query("c6_trailing_interval", "SELECT a.event_id, count(*) AS n, round(sum(b.value), 4) AS total FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts - INTERVAL 12 HOUR AND b.ts <= a.ts GROUP BY 1")
 def c6(spark, d):
-    return S.hourly_features(ev(spark, d), ["user_id"], "ts", "value", [12]).select("event_id", F.col("n_12h").alias("n"), F.col("sum_12h").alias("total"))
+    return S.hourly_sums(ev(spark, d), ["user_id"], "ts", "value", [12]).select("event_id", F.col("n_12h").alias("n"), F.col("sum_12h").alias("total"))
 
 
 def sums(c, ns):
@@ -150,9 +164,9 @@ NOW = "TIMESTAMP '2024-01-16 12:00:00'"
 
 
 @query("d29_rain_summary", f"""WITH r AS (SELECT *, ts <= {NOW} AS past, row_number() OVER (PARTITION BY user_id, ts <= {NOW} ORDER BY ts DESC) AS back, row_number() OVER (PARTITION BY user_id, ts <= {NOW} ORDER BY ts) AS forth FROM events)
-  SELECT user_id, """ + ", ".join(f"round(sum(value) FILTER (past AND back <= {n}), 4) AS last_{n}" for n in (24, 48, 72)) + ", " + ", ".join(f"round(sum(value) FILTER (NOT past AND forth <= {n}), 4) AS next_{n}" for n in (24, 48)) + ", max(value) FILTER (past AND back <= 72) AS max_72 FROM r GROUP BY 1")
+  SELECT user_id, """ + ", ".join(f"round(sum(value) FILTER (past AND back <= {n}), 4) AS last_{n}" for n in (24, 48, 72)) + ", " + ", ".join(f"round(sum(value) FILTER (NOT past AND forth <= {n}), 4) AS next_{n}" for n in (24, 48)) + ", max(value) FILTER (past AND back <= 72) AS max_72, max((props::JSON ->> 'k')::DOUBLE) FILTER (NOT past AND forth <= 24) AS chance_24 FROM r GROUP BY 1")
 def d29(spark, d):
-    return S.rain_summary(ev(spark, d), ["user_id"], "ts", "value", "2024-01-16 12:00:00")
+    return S.rain_summary(ev(spark, d).withColumn("k", F.get_json_object("props", "$.k").cast("double")), ["user_id"], "ts", "value", "k", "2024-01-16 12:00:00")
 
 
 @query("a10_pending_windows", WINDOWS + ", p AS (SELECT * FROM w WHERE observation_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')) SELECT observation_id, a AS start, b AS \"end\", ((row_number() OVER (PARTITION BY year(a) ORDER BY a, observation_id)) - 1) // 50 AS batch FROM p")

@@ -59,7 +59,7 @@ def j2(spark, d):
     return run(spark, A.once_across(s, "marker", delay="60 days"), "once").select("marker")
 
 
-@query("j5_category_match", "SELECT event_id FROM events WHERE CASE WHEN user_id % 3 = 0 THEN user_id % 5 IN (1, 2) ELSE lower(event_type) IN ('click', 'error') END")
+@query("j5_category_match", "SELECT event_id FROM events WHERE CASE WHEN user_id % 3 = 0 THEN user_id % 5 IN (1, 2) OR lower(event_type) = 'error' ELSE lower(event_type) IN ('click', 'error') END")
 def j5(spark, d):
     s = source(spark, d).withColumns({"category_id": F.when(F.col("user_id") % 3 == 0, F.col("user_id") % 5), "category": F.initcap("event_type")})
     followed = ev(spark, d).select((F.col("user_id") % 5).alias("category_id"), F.lit("Click").alias("category")).filter("category_id IN (1, 2)").distinct().union(ev(spark, d).filter("event_type = 'error'").select(F.lit(None).cast("long"), "event_type").distinct())

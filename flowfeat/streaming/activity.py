@@ -62,12 +62,14 @@ def once_across(events: DataFrame, marker: str, ts: str = "ts", delay: str = "1
 
 
 def category_match(events: DataFrame, followed: DataFrame) -> DataFrame:
-    """Events of followed categories: by id where both have one, else by name without case. A stream-static join by equality on either."""
-    f = followed.select(F.col("category_id").alias("__id"), F.lower("category").alias("__name"))
-    keyed = events.withColumn("__k", F.when(F.col("category_id").isNotNull(), F.concat(F.lit("i"), F.col("category_id").cast("string"))).otherwise(F.concat(F.lit("n"), F.lower("category"))))
-    names = f.select(F.concat(F.lit("n"), "__name").alias("__k"))
-    ids = f.filter("__id IS NOT NULL").select(F.concat(F.lit("i"), F.col("__id").cast("string")).alias("__k"))
-    return keyed.join(ids.union(names).distinct(), "__k", "left_semi").drop("__k")
+    """Events of followed categories: by id where both have one, else by name without case. Stream-static joins by equality on either."""
+    f = followed.select(F.col("category_id").cast("string").alias("__id"), F.lower("category").alias("__name"))
+    key = lambda tag, c: F.concat(F.lit(tag), c)
+    known = f.filter("__id IS NOT NULL").select(key("i", F.col("__id")).alias("__f")).union(f.select(key("n", F.col("__name")))).union(f.filter("__id IS NULL").select(key("m", F.col("__name")))).filter("__f IS NOT NULL").distinct()
+    ident, name = F.col("category_id").cast("string"), F.lower("category")
+    keyed = events.withColumns({"__k": F.when(ident.isNotNull(), key("i", ident)).otherwise(key("n", name)), "__m": F.when(ident.isNotNull(), key("m", name))})
+    by = lambda df, k, c: df.join(known.select(F.col("__f").alias(k), F.lit(True).alias(c)), k, "left")
+    return by(by(keyed, "__k", "__a"), "__m", "__b").filter("__a OR __b").drop("__k", "__m", "__a", "__b")
 
 
 def daily_counts(events: DataFrame, level: str, ts: str = "ts", delay: str = "1 day") -> DataFrame:

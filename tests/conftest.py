@@ -58,10 +58,12 @@ def plain(x):
     return str(x)
 
 
+NULL = "\0null"  # not the empty text
+
+
 def same_rows(got, want) -> None:
     assert sorted(got.columns) == sorted(want.columns)
     cols = sorted(got.columns)
-    a = sorted(tuple(plain(v) or "" for v in r) for r in got[cols].astype(object).itertuples(index=False))
-    b = sorted(tuple(plain(v) or "" for v in r) for r in want[cols].astype(object).itertuples(index=False))
+    a, b = (sorted(tuple(NULL if (x := plain(v)) is None else x for v in r) for r in df[cols].astype(object).itertuples(index=False)) for df in (got, want))
     assert len(a) == len(b)
     assert a == b

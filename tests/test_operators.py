@@ -3,6 +3,7 @@
 import datetime as dt
 import os
 
+import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
@@ -172,13 +173,46 @@ def test_strahler_orders(spark):
     assert dict(map(tuple, B.strahler(links, "b", F.lit(True)).collect())) == {1: 3, 2: 1}
 
 
-def test_clip_area():
-    import numpy as np
-
-    from flowfeat.functions.clip import clip_area
+def plain_clip(ring: np.ndarray, x0: float, y0: float, x1: float, y1: float) -> float:
+    """Area of a polygon ring inside a box: the ring is cut at each side of the box in turn."""
+    p = ring
+    for axis, bound, keep in ((0, x0, 1), (0, x1, -1), (1, y0, 1), (1, y1, -1)):
+        if not len(p):
+            return 0.0
+        q = np.roll(p, -1, axis=0)
+        a, b = keep * (p[:, axis] - bound), keep * (q[:, axis] - bound)
+        cross = (a >= 0) != (b >= 0)
+        t = np.where(cross, a / np.where(cross, a - b, 1), 0)[:, None]
+        points = np.stack([np.where((a >= 0)[:, None], p, np.nan), np.where(cross[:, None], p + t * (q - p), np.nan)], axis=1).reshape(-1, 2)
+        p = points[~np.isnan(points[:, 0])]
+    if len(p) < 3:
+        return 0.0
+    x, y = p[:, 0], p[:, 1]
+    return abs(float(x @ np.roll(y, -1) - y @ np.roll(x, -1))) / 2
+
+
+def test_clip_area(spark):
+    """Areas of triangles, stars and other rings inside boxes, against cutting the ring at each side in turn."""
+    rng = np.random.default_rng(3)
+    rows = [([[0.0, 0.0], [4.0, 0.0], [0.0, 4.0]], *box) for box in ((0, 0, 2, 2), (5, 5, 6, 6), (-1, -1, 9, 9))]
+    for k in range(40):
+        turn = np.sort(rng.uniform(0, 2 * np.pi, 4 + k % 7))
+        far = rng.uniform(0.3, 2.0, len(turn))[:, None]
+        ring = (np.stack((np.cos(turn), np.sin(turn)), 1) * far).tolist()[:: 1 if k % 2 else -1]
+        x, y = rng.uniform(-2, 1, 2)
+        rows.append((ring, x, y, x + rng.uniform(0.1, 3), y + rng.uniform(0.1, 3)))
+    rows = [(r, *map(float, box)) for r, *box in rows]
+    df = spark.createDataFrame(rows, "ring array<array<double>>, x0 double, y0 double, x1 double, y1 double")
+    got = [r["a"] for r in df.select(B.clipped_area("ring", "x0", "y0", "x1", "y1").alias("a")).collect()]
+    assert got[:3] == [4.0, 0.0, 8.0]
+    assert all(abs(g - plain_clip(np.array(r), *box)) < 1e-9 for g, (r, *box) in zip(got, rows))
+
+
+def test_weighted_cells_of_a_triangle(spark):
+    df = spark.createDataFrame([(1, [[0.0, 0.0], [1.0, 0.0], [0.0, 1.0]])], "id int, ring array<array<double>>")
+    got = {(r["ix"], r["iy"]): r["weight"] for r in B.weighted_cells(df, "id", "ring", 1.0).collect()}
+    assert got == {(0, 0): 0.5, (1, 0): 0.25, (0, 1): 0.25}
 
-    triangle = np.array([[0.0, 0.0], [4.0, 0.0], [0.0, 4.0]])
-    assert clip_area(triangle, 0, 0, 2, 2) == 4.0 and clip_area(triangle, 5, 5, 6, 6) == 0.0 and abs(clip_area(triangle, -1, -1, 9, 9) - 8) < 1e-9
 
 
 def test_first_sync_seeds_silently(spark, tmp_path):
