@@ -235,12 +235,24 @@ def text_target_signal(c: Column, selected: Column | None = None) -> Column:
     selected = F.lit(None).cast("double") if selected is None else selected.cast("double")
     low = F.replace(F.replace(fold(c), F.lit("++"), F.lit(" ++ ")), F.lit("--"), F.lit(" -- "))
     n = F.trim(F.regexp_replace(low, r"[^a-z0-9+\-/]+", " "))
-    said = F.transform(F.filter(_mentions(n), lambda x: ~F.concat(x["before"], x["text"]).rlike(NEGATED)), lambda x: _measured(x["text"], selected))
-    found = [said]
+    return _with(_with(n, lambda t: _signals(t, selected)), lambda each: _summary(each, selected))
+
+
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where the value is computed once however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _signals(n: Column, selected: Column) -> Column:
+    """The distinct matches in a normalised comment, abbreviations first."""
+    found = [F.transform(F.filter(_mentions(n), lambda x: ~F.concat(x["before"], x["text"]).rlike(NEGATED)), lambda x: _measured(x["text"], selected))]
     for name, rank, confidence, pattern in PHRASES:
         words = F.regexp_extract_all(n, F.lit(f"({pattern}{EXPLAINED if name == 'debit_correct' else ''})"), 1)
         found.append(F.transform(words, _phrase(name, rank, confidence)))
-    each = F.array_distinct(F.concat(*found))
+    return F.array_distinct(F.concat(*found))
+
+
+def _summary(each: Column, selected: Column) -> Column:
     weight = F.aggregate(each, F.lit(0.0), lambda a, x: a + x["confidence"])
     mean = F.aggregate(each, F.lit(0.0), lambda a, x: a + x["rank"] * x["confidence"]) / weight
     off = lambda x: F.coalesce(F.abs(x["rank"] - selected), F.lit(0.0))

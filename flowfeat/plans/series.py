@@ -50,12 +50,12 @@ def c6h(spark, d):
     return S.hourly_sums(ev(spark, d), ["user_id"], "ts", "value", [6, 24, 72]).select("event_id", *[f"{a}_{h}h" for h in (6, 24, 72) for a in ("sum", "n")])
 
 
-@query("e6_hourly_features", "WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS u, CASE WHEN event_id % 9 > 0 THEN (event_id * 37 % 160) / 8.0::DOUBLE ELSE 0 END AS v FROM events), f AS (SELECT *, " + ", ".join(f"sum(v) OVER (PARTITION BY user_id ORDER BY u RANGE BETWEEN {h * 3600000000 - 1} PRECEDING AND CURRENT ROW) AS s_{h}" for h in (6, 12, 24, 48, 72, 168))
+@query("e6_hourly_features", "WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS u, CASE WHEN event_id % 9 > 0 THEN (event_id * 37 % 160) / 7.0::DOUBLE ELSE 0 END AS v FROM events), f AS (SELECT *, " + ", ".join(f"sum(v) OVER (PARTITION BY user_id ORDER BY u RANGE BETWEEN {h * 3600000000 - 1} PRECEDING AND CURRENT ROW) AS s_{h}" for h in (6, 12, 24, 48, 72, 168))
        + ", " + ", ".join(f"max(CASE WHEN v >= {t} THEN u END) OVER (PARTITION BY user_id ORDER BY u RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS l_{t}" for t in (1, 5, 10)) + ", list_sort(list(struct_pack(u := u, v := v)) OVER (PARTITION BY user_id ORDER BY u RANGE BETWEEN 604799999999 PRECEDING AND CURRENT ROW)) AS wk FROM e) SELECT event_id, "
        + ", ".join(f"round(s_{h}, 3) AS sum_{h}h" for h in (6, 12, 24, 48, 72, 168)) + ", " + ", ".join(f"(u - l_{t}) // 3600000000 AS hours_since_{t}" for t in (1, 5, 10)) + ", " + ", ".join(f"round({week_sql(h)}, 3) AS best_{h}h" for h in (1, 3, 6, 12))
        + ", round(list_reduce(list_prepend(0.0::DOUBLE, list_transform(wk, lambda y: y.v)), lambda a, y: a * 0.85 + y), 3) AS api FROM f")
 def e6(spark, d):
-    rows = ev(spark, d).select("event_id", "user_id", "ts", F.when(F.col("event_id") % 9 > 0, F.col("event_id") * 37 % 160 / 8.0).alias("v"))
+    rows = ev(spark, d).select("event_id", "user_id", "ts", F.when(F.col("event_id") % 9 > 0, F.col("event_id") * 37 % 160 / 7.0).alias("v"))
     return S.hourly_features(rows, ["user_id"], "ts", "v").drop("user_id", "ts", "v")
 
 
