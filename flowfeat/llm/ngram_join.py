@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowfeat.llm._graph import by_cell, cell_starts, into_cells, roots
@@ -14,40 +14,73 @@ from flowfeat.llm._spark import cut, table
 from flowfeat.operators.graph import components
 from flowfeat.llm._text import mix, shingles, slices
 
-SIZE, SIMILARITY, TREES, LONGEST, RECALL, BLOCK, LEAST = 5, 0.8, 16, 8, 0.9995, 200_000, 100
+SIZE, SIMILARITY, TREES, LONGEST, SHORTEST, RECALL, QUERIES, BLOCK, LEAST = 5, 0.8, 16, 8, 3, 0.9995, 500, 200_000, 100
 # BLOCK: shingles of a block; a text counts as LEAST at least, so a cell has 2 * BLOCK / LEAST rows at most.
 
 
-def prefix_length(similarity: float, trees: int, longest: int, recall: float) -> int:
-    """Matched prefixes start at full length and are shortened until pairs at the threshold are found with the target recall.
+def prefix_length(similarity: float, trees: int, recall: float, met: np.ndarray) -> int:
+    """Matched prefixes start at full length and are shortened until the target recall is met.
 
     Two texts share a prefix of k MinHash values in one tree with probability similarity ** k, and in one tree of several
-    with 1 - (1 - similarity ** k) ** trees.
+    with 1 - (1 - similarity ** k) ** trees; that must reach the target for pairs at the threshold, and so must the share that is
+    measured: ``met[k]`` pairs of a set of queries with all rows share k values at most, in the tree where they share most.
     """
-    for k in range(longest, 0, -1):
-        if 1 - (1 - similarity**k) ** trees >= recall:
+    for k in range(LONGEST, SHORTEST, -1):
+        if 1 - (1 - similarity**k) ** trees >= recall and met[k:].sum() >= recall * met.sum():
             return k
-    raise ValueError("more trees are needed for this recall")
+    return SHORTEST
 
 
-def forest_keys(hashes: np.ndarray, off: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """Per text and tree a 64-bit key of the first ``depth`` MinHash values: texts in the same prefix node have the same key."""
+def forest(hashes: np.ndarray, off: np.ndarray, trees: int) -> np.ndarray:
+    """(texts, trees, 2) numbers: the ``LONGEST`` MinHash values of each tree, 16 bits each from the highest on, so that texts in one node of the tree's trie stand together when sorted."""
     rng = np.random.default_rng(20_240_101)
     factors = rng.integers(1, 1 << 63, (trees, LONGEST, 2), dtype=np.uint64)
     some = np.flatnonzero(np.diff(off))
-    keys = np.zeros((len(off) - 1, trees), np.uint64)
-    for t in range(trees):
-        key = np.full(len(some), t + 1, np.uint64)
-        for d in range(depth):
+    out = np.zeros((len(off) - 1, trees, 2), np.uint64)
+    for t in range(trees) if len(some) else ():
+        for d in range(LONGEST):
             a, b = factors[t, d]
-            low = np.minimum.reduceat((hashes * (a | np.uint64(1)) + b) >> np.uint64(32), off[some]) if len(some) else key
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + low)
-        keys[some, t] = key
-    return keys
-
-
-def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, trees: int, depth: int) -> DataFrame:
-    """(id, cls, n, keys): ``cls`` is 128 bits of the shingle set, so copies share it; it is null for a text without words."""
+            low = np.minimum.reduceat((hashes * (a | np.uint64(1)) + b) >> np.uint64(32), off[some])
+            out[some, t, d // 4] |= (mix(low) >> np.uint64(48)) << np.uint64(48 - 16 * (d % 4))
+    return out.view(np.int64)
+
+
+def node(hi: Column, lo: Column, depth: int) -> Column:
+    """The number of the trie's node at a depth: the bits of its first values."""
+    if depth <= 4:
+        return hi.bitwiseAND(F.lit(-1 << 16 * (4 - depth)))
+    return F.xxhash64(hi, lo.bitwiseAND(F.lit(-1 << 16 * (8 - depth))))
+
+
+def shared_values(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per pair of signatures (pairs, trees, 2) the most first values that one tree shares, and the share of all values that are equal."""
+    same = (a[..., None] >> np.arange(48, -1, -16)) & 0xFFFF == (b[..., None] >> np.arange(48, -1, -16)) & 0xFFFF
+    same = same.reshape(len(a), a.shape[1], -1)
+    return np.cumprod(same, axis=2).sum(2).max(1, initial=0), same.mean((1, 2))
+
+
+def measured(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, similarity: float) -> np.ndarray:
+    """Counts of pairs of queries and rows whose values agree as those of a link do, by the most first values that one tree shares; ``SHORTEST`` at least."""
+    pairs = []
+    for t in range(rows.shape[1]):
+        head = lambda x: x[:, t, 0].view(np.uint64) >> np.uint64(64 - 16 * SHORTEST)  # noqa: E731, B023
+        q = head(np.ascontiguousarray(queries))
+        order = np.argsort(q, kind="stable")
+        mine = head(np.ascontiguousarray(rows))
+        lo, hi = np.searchsorted(q[order], mine, "left"), np.searchsorted(q[order], mine, "right")
+        at = np.repeat(np.arange(len(mine)), hi - lo)
+        pairs.append(at * len(q) + order[np.repeat(lo - np.cumsum(hi - lo) + hi - lo, hi - lo) + np.arange(len(at))])
+    pair = np.unique(np.concatenate(pairs))
+    total = np.zeros(LONGEST + 1, np.int64)
+    for i in range(0, len(pair), 20_000):
+        a, b = pair[i : i + 20_000] // len(queries), pair[i : i + 20_000] % len(queries)
+        depth, equal = shared_values(rows[a], queries[b])
+        total += np.bincount(depth[(equal >= similarity) & (ids[a] != query_ids[b])], minlength=LONGEST + 1)
+    return total
+
+
+def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, trees: int) -> DataFrame:
+    """(id, cls, n, sig): ``cls`` is 128 bits of the shingle set, so copies share it; it is null for a text without words. sig: ``forest``, two numbers a tree."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -57,13 +90,35 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, trees: in
                 n = np.diff(off)
                 total = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(seed)), dtype=np.uint64))) for seed in (3, 5)]
                 cls = np.stack([x[off[1:]] - x[off[:-1]] for x in total], axis=1).astype("<u8").tobytes()
-                keys = forest_keys(h, off, trees, depth).astype(np.int64)
+                sig = forest(h, off, trees)
                 yield pa.RecordBatch.from_arrays(
-                    [names.slice(i, j - i), pa.array([cls[16 * k : 16 * k + 16] if m else None for k, m in enumerate(n)], pa.binary()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * trees, pa.int32()), pa.array(keys.ravel()))],
-                    names=["id", "cls", "n", "keys"],
+                    [names.slice(i, j - i), pa.array([cls[16 * k : 16 * k + 16] if m else None for k, m in enumerate(n)], pa.binary()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * 2 * trees, pa.int32()), pa.array(sig.ravel()))],
+                    names=["id", "cls", "n", "sig"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL").mapInArrow(sign, "id long, cls binary, n long, keys array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL").mapInArrow(sign, "id long, cls binary, n long, sig array<long>")
+
+
+def depth_met(classes: DataFrame, trees: int, similarity: float, recall: float, queries: int = QUERIES) -> int:
+    """The prefix length for these rows: recall is measured for at most ``queries`` classes, those of least hash, against all classes, by signatures alone."""
+    drawn = classes.orderBy(F.xxhash64("id"), "id").select("id", "sig").limit(queries).toArrow()
+    if not drawn.num_rows:
+        return prefix_length(similarity, trees, recall, np.zeros(LONGEST + 1, np.int64))
+    unpack = lambda c: c.flatten().to_numpy().reshape(-1, trees, 2)
+    held = classes.sparkSession.sparkContext.broadcast((unpack(drawn.column("sig").combine_chunks()), drawn.column("id").to_numpy()))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(LONGEST + 1, np.int64)
+        for b in batches:
+            if b.num_rows:
+                total += measured(unpack(b.column("sig")), b.column("id").to_numpy(), *held.value, similarity)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(LONGEST + 1), pa.int32()), pa.array(total)], names=["depth", "n"])
+
+    met = np.zeros(LONGEST + 1, np.int64)
+    for r in classes.select("id", "sig").mapInArrow(count, "depth int, n long").groupBy("depth").agg(F.sum("n").alias("n")).collect():
+        met[r["depth"]] = r["n"]
+    held.destroy()
+    return prefix_length(similarity, trees, recall, met)
 
 
 def verify(rows: pa.Table, size: int, similarity: float) -> pa.Table:
@@ -142,13 +197,15 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     count once, and texts that share an id count as linked. Copies are compared once: documents with the same
     shingles form a class that stands for all of them.
 
-    Candidates share a prefix node in one tree of the forest; nodes whose members all meet in an earlier tree are
+    Candidates share a prefix node in one tree of the forest. Prefixes are shortened from ``LONGEST`` values until the target recall is met,
+    by formula for pairs at the threshold and as measured by ``depth_met`` for these rows. Nodes whose members all meet in an earlier tree are
     left out. A node with much text is split into cells of its pairs of blocks, so neither a task nor the number of
     rows follows the square of a group; cells return a count and a root per row, never pairs.
     """
-    depth = prefix_length(similarity, trees, LONGEST, recall)
-    signed = cut(signatures(docs, id_col, text_col, size, trees, depth).dropDuplicates(["id", "cls"]), "signed")
-    classes = cut(signed.filter("n > 0").groupBy("cls").agg(F.min("id").alias("id"), F.count("*").alias("mult"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
+    signed = cut(signatures(docs, id_col, text_col, size, trees).dropDuplicates(["id", "cls"]), "signed")
+    classes = cut(signed.filter("n > 0").groupBy("cls").agg(F.min("id").alias("id"), F.count("*").alias("mult"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
+    depth = depth_met(classes, trees, similarity, recall)
+    classes = classes.withColumn("keys", F.array(*[node(F.col("sig")[2 * t], F.col("sig")[2 * t + 1], depth) for t in range(trees)])).drop("sig")
     placed = classes.select("id", "n", F.posexplode("keys").alias("tree", "key"))
     shared = cut(placed.groupBy("tree", "key").agg(F.count("*").alias("c"), F.sum(F.greatest("n", F.lit(LEAST))).alias("w")).filter("c > 1").select("tree", "key", "w"), "nodes")
     places = cut(placed.join(shared, ["tree", "key"]).select("tree", "key", "w", "id"), "places")

@@ -99,14 +99,58 @@ def test_ngram_join_edges(spark):
 
 
 def test_recall_shortens_prefixes():
-    from flowfeat.llm.ngram_join import prefix_length
-
-    assert prefix_length(0.8, 16, 8, 0.5) > prefix_length(0.8, 16, 8, 0.9995) >= 1
+    """Full length for easy targets, shorter ones by formula for the threshold, and shorter still where measured pairs share less."""
+    from flowfeat.llm import ngram_join as N
+
+    none = np.zeros(9, np.int64)
+    assert N.prefix_length(0.8, 16, 0.9, none) == 8 and N.prefix_length(0.8, 16, 0.9995, none) == 4 and N.prefix_length(0.2, 16, 0.9995, none) == 3
+    assert N.prefix_length(0.8, 16, 0.9995, np.array([0, 0, 0, 0, 0, 0, 0, 0, 9_000])) == 4
+    assert N.prefix_length(0.8, 16, 0.9995, np.array([0, 0, 0, 100, 0, 0, 0, 0, 9_000])) == 3
+    assert N.prefix_length(0.8, 16, 0.9, np.array([0, 0, 0, 0, 0, 0, 0, 2_000, 9_000])) == 7
+
+
+def test_forest_depths_follow_the_values():
+    """Nodes, shared prefixes and the measure, against MinHash values computed one by one."""
+    from flowfeat.llm import ngram_join as N
+
+    rng = np.random.default_rng(9)
+    base = rng.integers(1, 1 << 60, 300, dtype=np.uint64)
+    sets = [np.sort(rng.permutation(np.concatenate((base[: 300 - k], rng.integers(1, 1 << 60, k, dtype=np.uint64))))) for k in (0, 5, 20, 60, 290)]
+    off = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+    sig = N.forest(np.concatenate(sets), off, 16)
+    values = (sig[..., None] >> np.arange(48, -1, -16) & 0xFFFF).reshape(5, 16, 8)
+    a, b = np.triu_indices(5, 1)
+    depth, equal = N.shared_values(sig[a], sig[b])
+    for i, j, d, e in zip(a, b, depth, equal):
+        plain = max(next((k for k in range(8) if values[i, t, k] != values[j, t, k]), 8) for t in range(16))
+        assert plain == d and abs(e - (values[i] == values[j]).mean()) < 1e-12
+        true = len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j]))
+        assert abs(e - true) < 0.15
+    met = N.measured(sig, np.arange(5), sig[:2], np.arange(2), 0.5)
+    want = np.zeros(9, np.int64)
+    for i in range(5):
+        for j in range(2):
+            d, e = N.shared_values(sig[i : i + 1], sig[j : j + 1])
+            if i != j and e[0] >= 0.5 and d[0] >= 3:
+                want[d[0]] += 1
+    assert (met == want).all() and met.sum() > 3
 
 
 # 2: quality
 
 
+def test_ngram_join_long_and_repeated_texts(spark):
+    from flowfeat.llm.ngram_join import ngram_jaccard_join
+
+    words = [f"w{i}" for i in range(60_000)]
+    long, near = " ".join(words), " ".join(words[:-3_000])
+    rows = [(1, long), (2, near), (3, long), (3, long), (None, long), (4, "alone here"), (5, "Alone, here!")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"id": F.lit("own"), "cls": F.lit(0), "n_links": F.lit("own")})
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_jaccard_join(df).collect()}
+    assert got == {1: (1, 2), 2: (1, 2), 3: (1, 2), 4: (4, 1), 5: (4, 1)}
+    assert ngram_jaccard_join(df.limit(0)).count() == 0
+
+
 def test_quality_learns(spark):
     sf = f"{DATA}/sf0.01"
     got = registry.QUERIES["op2_quality"](spark, sf)
