@@ -801,14 +801,128 @@ def test_code_lengths_match_a_plain_model():
 # pipeline
 
 
-def test_pipeline(spark, small):
+class PlainModel:
+    """Prediction by partial matching by plain counting: contexts of up to three bytes that were seen twice, escapes to shorter ones."""
+
+    def __init__(self, texts: dict, order: int = 3, least: int = 2):
+        self.order, grams = order, Counter()
+        self.follow = {x: defaultdict(Counter) for x in texts}
+        for x, parts in texts.items():
+            for t in parts:
+                for n in range(order + 1):
+                    for i in range(len(t) - n):
+                        self.follow[x][t[i : i + n]][t[i + n]] += 1
+                    grams.update(t[i : i + n] for i in range(len(t) - n + 1))
+        self.seen = {c for x in self.follow.values() for c in x[b""]}
+        self.kept = {b""}
+        for n in range(1, order + 1):
+            self.kept |= {g for g, c in grams.items() if len(g) == n and c >= least and g[1:] in self.kept}
+        self.known: dict = {}
+
+    def p(self, x, ctx, c):
+        if (got := self.known.get((x, ctx, c))) is None:
+            here = self.follow[x].get(ctx, {})
+            lower = (lambda s: self.p(x, ctx[1:], s)) if ctx else (lambda s: 1 / (len(self.seen) + 1))
+            n, d = sum(here.values()), len(here)
+            unseen = [s for s in [*self.seen, -1] if s not in here]
+            if not n:
+                got = lower(c)
+            elif c in here:
+                got = here[c] / (n + (d if unseen else 0))
+            else:
+                got = d / (n + d) * lower(c) / sum(map(lower, unseen))
+            self.known[x, ctx, c] = got
+        return got
+
+    def bits(self, x, text):
+        total = 0.0
+        for i, c in enumerate(text):
+            ctx = next(k for n in range(min(self.order, i), -1, -1) if (k := text[i - n : i]) in self.kept)
+            total -= np.log2(self.p(x, ctx, c if c in self.seen else -1))
+        return total
+
+    def judge(self, text):
+        if text is None or not any(map(str.isalpha, text)):
+            return "und", 0.0
+        bits = {x: self.bits(x, text.encode()) for x in self.follow}
+        best = min(sorted(bits), key=bits.get)
+        return best, 1 / sum(2.0 ** max(bits[best] - b, -1000) for b in bits.values())
+
+
+def plain_pipeline(rows: list[tuple], bench: list[str]) -> list[dict]:
+    """{id: text} after each of the first four stages, by plain loops. rows: (id, text, lang), distinct ids."""
+    train = defaultdict(list)
+    for i, t, lang in rows:
+        if t is not None and lang is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            train[lang].append(t.encode())
+    model = PlainModel(train)
+    judged = {i: (t, *model.judge(t)) for i, t, _ in rows}
+    out = [{i: t for i, (t, lang, score) in judged.items() if lang != "und" and score >= 0.5}]
+    key = lambda line: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r"))
+    holders = defaultdict(set)
+    for i, t in out[0].items():
+        for line in t.split("\n"):
+            if len(key(line)) >= 40:
+                holders[key(line)].add(i)
+    cut = {}
+    for i, t in out[0].items():
+        lines = t.split("\n")
+        kept = [x for x in lines if len(holders.get(key(x), ())) < 5 or max(holders[key(x)]) == i]
+        if len(kept) == len(lines) or any(map(str.isalnum, "\n".join(kept))):
+            cut[i] = "\n".join(kept)
+    out.append(cut)
+    links = brute_links(cut)
+    out.append({i: t for i, t in cut.items() if links.get(i, (i, 0))[0] == i})
+    words = lambda t: " " + " ".join(re.findall(r"[^\W_]+", t.lower())) + " "
+    out.append({i: t for i, t in out[2].items() if not any(words(b) in words(t) for b in bench)})
+    return out
+
+
+def test_pipeline(spark, small, duck):
+    """Every stage against plain loops, over its predecessor's rows; then the packing of what is left."""
     import corpus_pipeline as P
 
-    out = P.run(spark, f"{DATA}/sf0.001").toPandas()
-    kept = set(out["doc_id"])
-    assert 100 < len(kept) <= len(small) and out.groupby("sequence_id")["length"].sum().max() <= 2048
-    texts = dict(zip(small["doc_id"], small["text"]))
-    groups = defaultdict(list)
-    for i, (root, _) in brute_links({i: texts[i] for i in kept}).items():
-        groups[root].append(i)
-    assert max(map(len, groups.values())) <= 2  # dropped lines may part or join a pair, whole groups are gone
+    sf = f"{DATA}/sf0.001"
+    bench = [t for (t,) in duck.sql("SELECT text FROM benchmark").fetchall()]
+    want = plain_pipeline([(r.doc_id, r.text, r.lang) for r in small.itertuples()], bench)
+    rows = spark.read.parquet(f"{sf}/documents.parquet")
+    for (name, stage), left in zip(P.STAGES[:4], want):
+        rows = P.cut(stage(spark, rows, sf), name)
+        got = {r["doc_id"]: r["text"] for r in rows.collect()}
+        assert got == left and rows.columns == list(small.columns), name
+        assert all(r["n_chars"] == len(r["text"]) for r in rows.collect() if name == "line_dedup")
+    out = P.run(spark, sf).toPandas()
+    t = library()
+    assert out.groupby("sequence_id")["length"].sum().max() <= 2048 and out.groupby("doc_id")["length"].sum().to_dict() == {i: len(t.encode(x, add_special_tokens=False).ids) + 1 for i, x in want[3].items()}
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and ids, clashing columns, and empty tables."""
+    import corpus_pipeline as P
+
+    en = "the quick brown fox jumps over the lazy dog while the old river runs along the quiet valley "
+    de = "der schnelle braune Fuchs springt über den faulen Hund und der alte Fluss läuft durch das stille Tal "
+    base = [(100 + k, (en if k % 2 else de) * 2 + f"number {k} {k * k} {'ab'[k % 2] * (k + 3)} word{k} thing{k * 7} more{k * 3} end{k}", "en" if k % 2 else "de", "s") for k in range(20)]
+    item = "Seven quiet painters carried the copper ladder across a frozen harbour before any sailor woke that morning."
+    long = " ".join(f"the long story number {i} runs" for i in range(40_000))
+    rows = [*base, (1, None, "en", "s"), (2, "", "de", None), (3, "12 34 !!", None, "s"), (4, long, "en", "s"), (5, long + " " + item, "en", "s"), (6, en + item, None, "s"), (7, base[0][1], "de", "s"), (None, en + "no id at all", "en", "s"), base[3], base[3], (8, en + "first text of this id", "en", "s"), (8, de + "andere Worte hier", "de", "s")]
+    schema = "doc_id long, text string, lang string, source string"
+    more = {"n_chars": F.coalesce(F.length("text"), F.lit(0)), "lang_pred": F.lit("own"), "n_lines": F.lit(1), "h": F.lit(2), "id": F.lit("own"), "offset": F.lit("own"), "class_id": F.lit("x")}
+    frame = spark.createDataFrame(rows, schema).withColumns(more)
+    frame.write.parquet(f"{tmp_path}/a/documents.parquet")
+    spark.createDataFrame([(1, item), (2, None), (None, "the quick brown fox")], "item_id long, text string").write.parquet(f"{tmp_path}/a/benchmark.parquet")
+    stages = []
+    docs_ = spark.read.parquet(f"{tmp_path}/a/documents.parquet")
+    for name, stage in P.STAGES[:4]:
+        docs_ = P.cut(stage(spark, docs_, f"{tmp_path}/a"), name)
+        assert docs_.columns == frame.columns
+        stages.append([r["doc_id"] for r in docs_.collect()])
+    assert not {1, 2, 3} & set(stages[0]) and stages[0].count(103) == 3 and None in stages[0] and stages[0].count(8) == 2
+    assert sorted(stages[1], key=str) == sorted(stages[0], key=str)
+    # the copy with the larger id goes, as do the near copy of the long text, repeated rows and the null id; an id with two texts stands once
+    assert sorted(stages[2]) == sorted([4, 6, 7, 8, *range(101, 120)])
+    assert sorted(stages[3]) == sorted([4, 7, 8, *range(101, 120)])
+    assert {r["doc_id"] for r in P.run(spark, f"{tmp_path}/a").collect()} == set(stages[3])
+    frame.limit(0).write.parquet(f"{tmp_path}/b/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/b/benchmark.parquet")
+    assert P.run(spark, f"{tmp_path}/b").count() == 0
