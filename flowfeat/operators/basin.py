@@ -40,10 +40,25 @@ def lithology(cells: DataFrame, basin: str, code: str, families: dict[str, list[
 
 
 def soil_stats(cells: DataFrame, basin: str) -> DataFrame:
-    """Clay and sand mean, median, 90th percentile; shares of clayey (>= 35) and sandy (>= 60) cells; runoff index kept in [0, 1]."""
+    """Clay and sand (percent) mean, median and 90th percentile; shares of clayey (>= 35) cells and of sandy ones (sand >= 60, clay < 20); runoff index, the
+    mean of clay / 50 - sand / 100 + .5 kept in [0, 1]; and, over cells that have them, means of the subsoil's clay and sand, coarse fragments, soil depth (cm)
+    with the share up to 100, depth to bedrock, water capacity, and conductivity from its logarithm."""
     q = lambda c, p: F.round(F.percentile(c, F.lit(p)), 4)
-    index = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 + (F.avg("clay") - F.avg("sand")) / 100))
-    return cells.groupBy(basin).agg(*[x for c in ("clay", "sand") for x in (F.round(F.avg(c), 4).alias(f"{c}_mean"), q(c, 0.5).alias(f"{c}_median"), q(c, 0.9).alias(f"{c}_p90"))], share(F.col("clay") >= 35).alias("clayey"), share(F.col("sand") >= 60).alias("sandy"), F.round(index, 6).alias("runoff_index"))
+    index = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("clay") / 50 - F.col("sand") / 100 + 0.5))
+    some = lambda c, ok: F.when(ok & ~F.isnan(c), F.col(c))
+    depth, ksat = some("soil_depth", F.col("soil_depth") >= 0), some("log_ksat", F.col("log_ksat") > -30)
+    more = {
+        "subsoil_clay": F.avg(some("subsoil_clay", F.lit(True))),
+        "subsoil_sand": F.avg(some("subsoil_sand", F.lit(True))),
+        "coarse_fragments": F.avg(some("coarse_fragments", F.lit(True))),
+        "soil_depth_mean": F.avg(depth),
+        "shallow": F.avg((depth <= 100).cast("int")),
+        "bedrock_depth": F.avg(some("bedrock_depth", F.col("bedrock_depth") >= 0)),
+        "water_capacity": F.avg(some("water_capacity", F.col("water_capacity") >= 0)),
+        "conductivity": F.avg(F.pow(F.lit(10.0), ksat)),
+    }
+    top = [x for c in ("clay", "sand") for x in (F.round(F.avg(c), 4).alias(f"{c}_mean"), q(c, 0.5).alias(f"{c}_median"), q(c, 0.9).alias(f"{c}_p90"))]
+    return cells.groupBy(basin).agg(*top, share(F.col("clay") >= 35).alias("clayey"), share((F.col("sand") >= 60) & (F.col("clay") < 20)).alias("sandy"), F.round(F.avg(index), 6).alias("runoff_index"), *[F.round(c, 6).alias(n) for n, c in more.items()])
 
 
 def climate_summary(monthly: DataFrame, basin: str, latitude: Column) -> DataFrame:
@@ -225,6 +240,72 @@ def flatten_results(results: DataFrame, site: str) -> DataFrame:
     return results.select(site, one["area"].alias("area"), one["verdict"].alias("verdict"), F.when(F.size("candidates") == 0, "no_candidate").when(F.col("chosen").isNull(), "first_candidate").alias("reason"))
 
 
+# Fixed value: the earth's radius in km.
+EARTH = 6371.0088
+
+
+def shape_morphology(df: DataFrame, area_km2: Column, rings: Column) -> DataFrame:
+    """The shape of a basin from its bounding box (west, south, east, north), its area and the outer rings of its polygons (closed, arrays of [x, y]).
+
+    Lengths are equirectangular, those of rings at the mean latitude of all their points. Length and width proxies are the box's longer side and
+    the area over it. What can't be told is null.
+    """
+    rad = F.radians
+    w = F.abs(rad(F.col("east") - F.col("west")) * EARTH * F.cos(rad((F.col("south") + F.col("north")) / 2)))
+    h = F.abs(rad(F.col("north") - F.col("south")) * EARTH)
+    box, length = w * h, F.greatest(w, h)
+    points = F.flatten(F.coalesce(rings, F.array().cast("array<array<array<double>>>")))
+    at = F.aggregate(points, F.lit(0.0), lambda a, p: a + p[1]) / F.size(points)
+
+    def ring_length(r: Column) -> Column:
+        steps = F.zip_with(F.slice(r, F.lit(1), F.size(r) - 1), F.slice(r, F.lit(2), F.size(r) - 1), lambda p, q: F.hypot(rad(q[0] - p[0]) * EARTH * F.cos(rad(F.col("__lat"))), rad(q[1] - p[1]) * EARTH))
+        return F.aggregate(steps, F.lit(0.0), lambda a, x: a + x)
+
+    usable = F.filter(F.coalesce(rings, F.array().cast("array<array<array<double>>>")), lambda r: F.size(r) >= 2)
+    rows = df.withColumns({"__lat": at, "__a": area_km2, "__w": w, "__h": h, "__b": box, "__l": length})
+    rows = rows.withColumn("__p", F.aggregate(F.transform(usable, ring_length), F.lit(0.0), lambda a, x: a + x)).withColumn("__n", F.aggregate(usable, F.lit(0), lambda a, r: a + F.size(r) - 1))
+    a, p, ln = F.col("__a"), F.col("__p"), F.col("__l")
+    told, six = p > 0, lambda x, ok=None: F.round(x if ok is None else F.when(ok, x), 6)
+    out = {
+        "has_geometry": told,
+        "perimeter_km": six(p, told),
+        "compactness": six(p / (2 * F.sqrt(np.pi * a)), told & (a > 0)),
+        "circularity": six(4 * np.pi * a / (p * p), told & (a > 0)),
+        "bbox_width_km": six(F.col("__w")),
+        "bbox_height_km": six(F.col("__h")),
+        "bbox_diagonal_km": six(F.hypot("__w", "__h")),
+        "bbox_area_km2": six(F.col("__b")),
+        "area_to_bbox": six(a / F.col("__b"), F.col("__b") > 0),
+        "length_proxy_km": six(ln, a.isNotNull() & (ln > 0)),
+        "width_proxy_km": six(a / ln, ln > 0),
+        "elongation": six(ln / (a / ln), (ln > 0) & (a > 0)),
+        "form_factor": six(a / (ln * ln), ln > 0),
+        "shape_factor": six(ln * ln / a, (ln > 0) & (a > 0)),
+        "vertex_count": F.when(told, F.col("__n")),
+    }
+    return rows.withColumns(out).drop("__lat", "__a", "__w", "__h", "__b", "__l", "__p", "__n")
+
+
+def response_proxies(df: DataFrame, relief: Column, area_km2: Column) -> DataFrame:
+    """How fast a basin answers, from its relief (m), area and shape (columns of ``shape_morphology``): relief over length, diagonal and area, slopes in percent,
+    Kirpich's time .01947 L^.77 S^-.385 (minutes), flashiness (circularity * slope / root of the area) and elongation * slope. What can't be told is null."""
+    ln, diag = (F.when(F.col(c) > 0, F.col(c)) for c in ("length_proxy_km", "bbox_diagonal_km"))
+    slope, area = relief / (ln * 1000), F.when(area_km2 > 0, area_km2)
+    return df.withColumns(
+        {
+            "relief_m": relief.cast("double"),
+            "relief_per_length": F.round(relief / ln, 6),
+            "relief_per_diagonal": F.round(relief / diag, 6),
+            "slope_percent": F.round(slope * 100, 6),
+            "slope_diagonal_percent": F.round(relief / (diag * 1000) * 100, 6),
+            "relief_per_area": F.round(relief / area, 6),
+            "kirpich_minutes": F.round(F.when(slope > 0, 0.01947 * F.pow(ln * 1000, F.lit(0.77)) * F.pow(slope, F.lit(-0.385))), 6),
+            "flashiness": F.round(F.col("circularity") * slope / F.sqrt(area), 8),
+            "shape_relief": F.round(F.col("elongation") * slope, 8),
+        }
+    )
+
+
 # polygons
 
 

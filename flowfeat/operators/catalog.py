@@ -278,13 +278,15 @@ def match_overrides(obs: DataFrame, overrides: DataFrame, ident: str, wild: list
     return out.withColumn("override", F.col("__best.a")).drop("__best")
 
 
-def match_by_name(reports: DataFrame, catalog: DataFrame, ident: str, name: str, region: str, key: str) -> DataFrame:
-    """Reports with the catalog row of the same normalised name: unique_name, name_region (one of several in the report's region), ambiguous_name or no_name_match."""
-    c = catalog.select(F.col(name).alias("__n"), F.col(region).alias("__r"), F.col(key).alias("__k"))
+def match_by_name(reports: DataFrame, catalog: DataFrame, ident: str, name: str, region: str, names: str, key: str) -> DataFrame:
+    """(id, how, match): reports with the catalog row one of whose ``names`` is, normalised, the report's: unique_name, name_region (the only one of several that is
+    in the report's region), ambiguous_name or no_name_match; null for a report without a name."""
+    c = catalog.select(F.explode(names).alias("__v"), text.normalize_name(F.col(region)).alias("__r"), F.col(key).alias("__k")).select(text.normalize_name(F.col("__v")).alias("__n"), "__r", "__k").filter("__n <> ''").distinct()
     by_name = c.groupBy("__n").agg(F.count_distinct("__k").alias("__c"), F.min("__k").alias("__one"))
-    by_region = c.groupBy("__n", F.col("__r")).agg(F.count_distinct("__k").alias("__cr"), F.min("__k").alias("__here")).withColumnRenamed("__n", "__m")
-    j = reports.join(by_name, F.col(name) == F.col("__n"), "left").join(by_region, (F.col(name) == F.col("__m")) & (F.col(region) == F.col("__r")), "left")
-    how = F.when(F.col("__c").isNull(), "no_name_match").when(F.col("__c") == 1, "unique_name").when(F.col("__cr") == 1, "name_region").otherwise("ambiguous_name")
+    by_region = c.groupBy(F.col("__n").alias("__m"), "__r").agg(F.count_distinct("__k").alias("__cr"), F.min("__k").alias("__here"))
+    r = reports.select(ident, text.normalize_name(F.col(name)).alias("__name"), text.normalize_name(F.col(region)).alias("__region"))
+    j = r.join(by_name, F.col("__name") == F.col("__n"), "left").join(by_region, (F.col("__name") == F.col("__m")) & (F.col("__region") == F.col("__r")) & (F.col("__region") != ""), "left")
+    how = F.when(F.col("__name") == "", F.lit(None)).when(F.col("__c").isNull(), "no_name_match").when(F.col("__c") == 1, "unique_name").when(F.col("__cr") == 1, "name_region").otherwise("ambiguous_name")
     return j.select(ident, how.alias("how"), F.when(how == "unique_name", F.col("__one")).when(how == "name_region", F.col("__here")).alias("match"))
 
 

@@ -46,6 +46,33 @@ def quantiles(df: DataFrame, c: str, by: list[str] = []) -> DataFrame:
     return p.select(*by, *[F.round(F.col("q")[i], 6).alias(f"p{int(q * 100):02d}") for i, q in enumerate(QUANTILES)])
 
 
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], bins: int = 1_024) -> dict[str, list[float | None]]:
+    """Quantiles of whole columns with linear interpolation, nulls and NaN left out.
+
+    The interval that holds each rank is cut into ``bins`` and the rank's bin becomes the next interval, from its least to its largest value, until
+    that is one value. A round is one pass that returns a row for each bin, so no task and no driver ever holds a column's distinct values.
+    """
+    x = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in cols}
+    ends = df.agg(*[f(x[c]).alias(f"{n}_{c}") for c in cols for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    place = {(c, r): [ends[f"lo_{c}"], ends[f"hi_{c}"], 0] for c in cols for p in probs if ends[f"n_{c}"] for r in {int(p * (ends[f"n_{c}"] - 1)), min(int(p * (ends[f"n_{c}"] - 1)) + 1, ends[f"n_{c}"] - 1)}}
+    while wide := sorted({(c, lo, hi) for (c, _), (lo, hi, _) in place.items() if lo < hi}):
+        cut_up = lambda c, lo, hi: F.least(F.lit(bins - 1), F.floor((x[c] / 2 - lo / 2) / (hi / 2 - lo / 2) * bins).cast("int"))
+        marks = [F.when(x[c].between(lo, hi), F.struct(F.lit(j).alias("j"), cut_up(c, lo, hi).alias("b"), x[c].alias("x"))) for j, (c, lo, hi) in enumerate(wide)]
+        rows = df.select(F.explode(F.array_compact(F.array(*marks))).alias("m")).groupBy("m.j", "m.b").agg(F.count("*").alias("n"), F.min("m.x").alias("lo"), F.max("m.x").alias("hi")).collect()
+        found = {k: sorted((r["b"], r["n"], r["lo"], r["hi"]) for r in rows if r["j"] == j) for j, k in enumerate(wide)}
+        for (c, rank), at in place.items():
+            for _, n, lo, hi in found.get((c, at[0], at[1]), []) if at[0] < at[1] else []:
+                if at[2] + n > rank:
+                    at[:2] = lo, hi
+                    break
+                at[2] += n
+    out = {}
+    for c in cols:
+        n, value = ends[f"n_{c}"], lambda r, c=c: place[c, r][0]
+        out[c] = [value(int(p * (n - 1))) + (p * (n - 1) - int(p * (n - 1))) * (value(min(int(p * (n - 1)) + 1, n - 1)) - value(int(p * (n - 1)))) if n else None for p in probs]
+    return out
+
+
 def gini(df: DataFrame, key: str) -> DataFrame:
     """Gini coefficient of rows per key, 2 * sum(i * x) / (n * sum(x)) - (n + 1) / n over ascending counts.
 
@@ -92,15 +119,19 @@ def flag_profile(df: DataFrame, flags: dict[str, Column]) -> DataFrame:
 
 
 def numeric_profile(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Range, quantiles, mean, population deviation, shares of zeros and negatives, and Tukey outliers (1.5 times the quartiles' distance, from 4 values on)."""
-    out = None
-    for c in cols:
-        q = df.filter(F.col(c).isNotNull()).agg(F.count(c).alias("n"), F.percentile(c, F.lit([0.0, 0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0])).alias("q"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.avg((F.col(c) == 0).cast("int")).alias("zero"), F.avg((F.col(c) < 0).cast("int")).alias("negative"))
-        fence = q.select("*", (F.col("q")[3] - 1.5 * (F.col("q")[5] - F.col("q")[3])).alias("lo"), (F.col("q")[5] + 1.5 * (F.col("q")[5] - F.col("q")[3])).alias("hi"))
-        outside = df.select(c).crossJoin(F.broadcast(fence.select("lo", "hi"))).agg(F.sum(((F.col(c) < F.col("lo")) | (F.col(c) > F.col("hi"))).cast("long")).alias("o"))  # fence is one row
-        row = fence.crossJoin(F.broadcast(outside)).select(F.lit(c).alias("feature"), "n", *[F.round(F.col("q")[i], 6).alias(name) for i, name in ((0, "min"), (1, "p01"), (2, "p10"), (4, "median"), (6, "p90"), (7, "p99"), (8, "max"))], F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), F.round("zero", 6).alias("zero_fraction"), F.round("negative", 6).alias("negative_fraction"), F.when(F.col("n") >= 4, F.col("o")).otherwise(0).alias("outliers"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Range, quantiles, mean, population deviation, shares of zeros and negatives, and Tukey outliers (1.5 times the quartiles' distance, from 4 values on).
+
+    All columns share each pass over the rows: one for the moments, a few for the quantiles, one for the outliers.
+    """
+    probs = [0.0, 0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0]
+    of = lambda c: [F.count(c).alias(f"n_{c}"), F.avg(c).alias(f"mean_{c}"), F.stddev_pop(c).alias(f"std_{c}"), F.avg((F.col(c) == 0).cast("int")).alias(f"zero_{c}"), F.avg((F.col(c) < 0).cast("int")).alias(f"negative_{c}")]
+    got, q = df.agg(*[x for c in cols for x in of(c)]).first(), exact_quantiles(df, cols, probs)
+    fences = {c: (v[3] - 1.5 * (v[5] - v[3]), v[5] + 1.5 * (v[5] - v[3])) for c, v in q.items() if v[0] is not None}
+    outside = df.agg(F.count("*").alias("rows"), *[F.sum(((F.col(c) < lo) | (F.col(c) > hi)).cast("long")).alias(c) for c, (lo, hi) in fences.items()]).first()
+    rows = [(c, got[f"n_{c}"], *[q[c][i] for i in (0, 1, 2, 4, 6, 7, 8)], *[got[f"{k}_{c}"] for k in ("mean", "std", "zero", "negative")], outside[c] if got[f"n_{c}"] >= 4 else 0) for c in cols]
+    names = ["min", "p01", "p10", "median", "p90", "p99", "max", "mean", "std", "zero_fraction", "negative_fraction"]
+    out = df.sparkSession.createDataFrame(rows, "feature string, n long, " + ", ".join(f"`{k}` double" for k in names) + ", outliers long")
+    return out.withColumns({k: F.round(k, 6) for k in names})
 
 
 def categorical_profile(df: DataFrame, cols: list[str], top: int = 20) -> DataFrame:

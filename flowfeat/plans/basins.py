@@ -26,9 +26,13 @@ def i6(spark, d):
     return B.lithology(cells(spark, d), "basin", "code", {"carbonate": [0, 1], "clastic": [2, 3, 4]}, "carbonate")
 
 
-@query("i7_soil_stats", f"WITH {CELLS} SELECT basin, " + ", ".join(f"round(avg({c}), 4) AS {c}_mean, round(quantile_cont({c}, 0.5), 4) AS {c}_median, round(quantile_cont({c}, 0.9), 4) AS {c}_p90" for c in ("clay", "sand")) + f", {SH('clay >= 35')} AS clayey, {SH('sand >= 60')} AS sandy, round(greatest(0, least(1, 0.5 + (avg(clay) - avg(sand)) / 100)), 6) AS runoff_index FROM cells GROUP BY 1")
+SOIL = {"subsoil_clay": "clay / 200", "subsoil_sand": "sand / 300", "coarse_fragments": "slope / 60", "soil_depth": "CASE WHEN code = 3 THEN -1 WHEN code < 9 THEN slope * 9 END", "bedrock_depth": "elevation / 3 - 100", "water_capacity": "CASE WHEN code > 1 THEN clay * 3 END", "log_ksat": "CASE WHEN code = 5 THEN -40 ELSE slope / 20 - 1 END"}
+
+
+@query("i7_soil_stats", f"WITH {CELLS}, s AS (SELECT *, {', '.join(f'{v} AS {k}' for k, v in SOIL.items())} FROM cells) SELECT basin, " + ", ".join(f"round(avg({c}), 4) AS {c}_mean, round(quantile_cont({c}, 0.5), 4) AS {c}_median, round(quantile_cont({c}, 0.9), 4) AS {c}_p90" for c in ("clay", "sand"))
+       + f", {SH('clay >= 35')} AS clayey, {SH('sand >= 60 AND clay < 20')} AS sandy, round(avg(greatest(0, least(1, clay / 50 - sand / 100 + 0.5))), 6) AS runoff_index, round(avg(subsoil_clay), 6) AS subsoil_clay, round(avg(subsoil_sand), 6) AS subsoil_sand, round(avg(coarse_fragments), 6) AS coarse_fragments, round(avg(soil_depth) FILTER (soil_depth >= 0), 6) AS soil_depth_mean, {SH('soil_depth <= 100', 'soil_depth >= 0')} AS shallow, round(avg(bedrock_depth) FILTER (bedrock_depth >= 0), 6) AS bedrock_depth, round(avg(water_capacity) FILTER (water_capacity >= 0), 6) AS water_capacity, round(avg(pow(10, log_ksat)) FILTER (log_ksat > -30), 6) AS conductivity FROM s GROUP BY 1")
 def i7(spark, d):
-    return B.soil_stats(cells(spark, d), "basin")
+    return B.soil_stats(cells(spark, d).withColumns({k: F.expr(v).cast("double") for k, v in SOIL.items()}), "basin")
 
 
 MONTHLY = "w AS (SELECT l_suppkey AS basin, month(l_shipdate) AS month, sum(l_quantity) AS precipitation, avg(l_discount) * 100 - 5 AS temp FROM lineitem GROUP BY 1, 2), m AS (SELECT *, temp - 4 AS tmin, temp + 6 AS tmax, radians(basin % 120 - 60) AS lat, 0.409 * sin(2 * pi() * (month - 0.5) * 30.4375 / 365 - 1.39) AS decl, 1 + 0.033 * cos(2 * pi() * (month - 0.5) * 30.4375 / 365) AS dist FROM w), s AS (SELECT *, acos(greatest(-1, least(1, -tan(lat) * tan(decl)))) AS ws FROM m), e AS (SELECT *, greatest(0, 0.0023 * 0.408 * 37.58603 * dist * (ws * sin(lat) * sin(decl) + cos(lat) * cos(decl) * sin(ws)) * (temp + 17.8) * sqrt(10)) * 30.4375 AS pet FROM s)"
@@ -162,8 +166,34 @@ def i19(spark, d):
     return B.flatten_results(o.withColumn("chosen", F.when(F.col("site") % 2 == 1, 0)), "site")
 
 
-@query("i3_response_proxies", f"WITH {CELLS}, a AS (SELECT basin, max(elevation) - min(elevation) AS relief, count(*) * 0.0009::DOUBLE AS area FROM cells GROUP BY 1) SELECT basin, round(relief / 1000 / sqrt(area), 6) AS relief_ratio, round(0.01947 * pow(1000 * sqrt(2 * area), 0.77) * pow(greatest(relief / (1000 * sqrt(2 * area)), 1e-4), -0.385), 4) AS kirpich FROM a")
+SHAPES = f"""{CAT}, b AS (SELECT id, lon - size / 100.0::DOUBLE AS w, lat - size / 200.0::DOUBLE AS s, lon + size / 100.0::DOUBLE AS e, lat + size / 200.0::DOUBLE AS n, CASE WHEN id % 7 > 0 THEN price / 10 END AS a FROM cat),
+  c AS (SELECT *, abs(radians(e - w) * 6371.0088 * cos(radians((s + n) / 2))) AS bw, abs(radians(n - s) * 6371.0088) AS bh, CASE WHEN id % 3 > 0 THEN 2 * abs(radians(e - w) * 6371.0088 * cos(radians((3 * s + 2 * n) / 5))) + 2 * abs(radians(n - s) * 6371.0088) ELSE 0 END AS p FROM b), m AS (SELECT *, greatest(bw, bh) AS l FROM c),
+  shapes AS (SELECT id, a, p > 0 AS has_geometry, CASE WHEN p > 0 THEN round(p, 6) END AS perimeter_km, CASE WHEN p > 0 AND a > 0 THEN round(p / (2 * sqrt(pi() * a)), 6) END AS compactness, CASE WHEN p > 0 AND a > 0 THEN round(4 * pi() * a / (p * p), 6) END AS circularity, round(bw, 6) AS bbox_width_km, round(bh, 6) AS bbox_height_km, round(sqrt(bw * bw + bh * bh), 6) AS bbox_diagonal_km, round(bw * bh, 6) AS bbox_area_km2,
+    CASE WHEN bw * bh > 0 THEN round(a / (bw * bh), 6) END AS area_to_bbox, CASE WHEN a IS NOT NULL AND l > 0 THEN round(l, 6) END AS length_proxy_km, CASE WHEN l > 0 THEN round(a / l, 6) END AS width_proxy_km, CASE WHEN l > 0 AND a > 0 THEN round(l / (a / l), 6) END AS elongation, CASE WHEN l > 0 THEN round(a / (l * l), 6) END AS form_factor, CASE WHEN l > 0 AND a > 0 THEN round(l * l / a, 6) END AS shape_factor, CASE WHEN p > 0 THEN 4 END AS vertex_count FROM m)"""
+
+
+def shapes(spark, d):
+    c = lambda x, y: F.array(F.col(x), F.col(y))
+    ring = F.array(c("west", "south"), c("east", "south"), c("east", "north"), c("west", "north"), c("west", "south"))
+    rows = boxes(spark, d).withColumn("area", F.when(F.col("id") % 7 > 0, F.col("area")))
+    return B.shape_morphology(rows, F.col("area"), F.when(F.col("id") % 3 > 0, F.array(ring))).drop("west", "south", "east", "north")
+
+
+# where a box shrinks to a line at a pole, its area and what is divided by it are noise
+@query("i2_shape_morphology", f"WITH {SHAPES} SELECT * EXCLUDE (a) REPLACE (CASE WHEN bbox_width_km > 0.001 THEN area_to_bbox END AS area_to_bbox) FROM shapes")
+def i2b(spark, d):
+    return shapes(spark, d).drop("area").withColumn("area_to_bbox", F.when(F.col("bbox_width_km") > 0.001, F.col("area_to_bbox")))
+
+
+@query("i3_response_proxies", f"WITH {SHAPES}, r AS (SELECT *, CASE WHEN id % 11 > 0 THEN (id % 900)::DOUBLE END AS r FROM shapes) SELECT id, r AS relief_m, round(r / nullif(length_proxy_km, 0), 6) AS relief_per_length, round(r / nullif(bbox_diagonal_km, 0), 6) AS relief_per_diagonal, round(r / (length_proxy_km * 1000) * 100, 6) AS slope_percent, round(r / (bbox_diagonal_km * 1000) * 100, 6) AS slope_diagonal_percent, CASE WHEN a > 0 THEN round(r / a, 6) END AS relief_per_area, CASE WHEN r > 0 THEN round(0.01947 * pow(length_proxy_km * 1000, 0.77) * pow(r / (length_proxy_km * 1000), -0.385), 6) END AS kirpich_minutes, CASE WHEN a > 0 THEN round(circularity * (r / (length_proxy_km * 1000)) / sqrt(a), 8) END AS flashiness, round(elongation * (r / (length_proxy_km * 1000)), 8) AS shape_relief FROM r")
 def i3(spark, d):
+    k = F.col("id")
+    out = B.response_proxies(shapes(spark, d), F.when(k % 11 > 0, k % 900), F.col("area"))
+    return out.select("id", "relief_m", "relief_per_length", "relief_per_diagonal", "slope_percent", "slope_diagonal_percent", "relief_per_area", "kirpich_minutes", "flashiness", "shape_relief")
+
+
+@query("i3_relief_of_cells", f"WITH {CELLS}, a AS (SELECT basin, max(elevation) - min(elevation) AS relief, count(*) * 0.0009::DOUBLE AS area FROM cells GROUP BY 1) SELECT basin, round(relief / 1000 / sqrt(area), 6) AS relief_ratio, round(0.01947 * pow(1000 * sqrt(2 * area), 0.77) * pow(greatest(relief / (1000 * sqrt(2 * area)), 1e-4), -0.385), 4) AS kirpich FROM a")
+def i3b(spark, d):
     a = cells(spark, d).groupBy("basin").agg((F.max("elevation") - F.min("elevation")).alias("relief"), (F.count("*") * F.lit(0.0009)).alias("area"))
     length = 1000 * F.sqrt(2 * F.col("area"))
     return a.select("basin", F.round(F.col("relief") / 1000 / F.sqrt("area"), 6).alias("relief_ratio"), F.round(0.01947 * F.pow(length, F.lit(0.77)) * F.pow(F.greatest(F.col("relief") / length, F.lit(1e-4)), F.lit(-0.385)), 4).alias("kirpich"))

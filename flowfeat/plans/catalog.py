@@ -170,14 +170,17 @@ def c8(spark, d):
     return C.match_overrides(o, v, "observation_id", ["site", "level"]).select("observation_id", "override")
 
 
-@query("c9_match_by_name", """WITH c AS (SELECT p_partkey AS key, 'n' || p_partkey % 700 AS name, p_partkey % 3 AS region FROM part WHERE p_partkey % 700 < 650), r AS (SELECT o_orderkey AS id, 'n' || o_orderkey % 900 AS name, o_orderkey % 4 AS region FROM orders),
+@query("c9_match_by_name", """WITH c AS (SELECT p_partkey AS key, unnest(CASE WHEN p_partkey % 3 = 0 THEN ['n' || p_partkey % 700, 'v' || p_partkey % 90] ELSE ['n' || p_partkey % 700] END) AS name, 'r' || p_partkey % 3 AS region FROM part),
+  r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 31 = 0 THEN '' WHEN o_orderkey % 5 = 0 THEN 'v' || o_orderkey % 120 ELSE 'n' || o_orderkey % 900 END AS name, CASE WHEN o_orderkey % 4 < 3 THEN 'r' || o_orderkey % 4 ELSE '' END AS region FROM orders),
   n AS (SELECT name, count(DISTINCT key) AS c, min(key) AS one FROM c GROUP BY 1), g AS (SELECT name, region, count(DISTINCT key) AS cr, min(key) AS here FROM c GROUP BY 1, 2)
-  SELECT id, CASE WHEN c IS NULL THEN 'no_name_match' WHEN c = 1 THEN 'unique_name' WHEN cr = 1 THEN 'name_region' ELSE 'ambiguous_name' END AS how, CASE WHEN c = 1 THEN one WHEN cr = 1 THEN here END AS match FROM r LEFT JOIN n USING (name) LEFT JOIN g USING (name, region)""")
+  SELECT id, CASE WHEN name = '' THEN NULL WHEN c IS NULL THEN 'no_name_match' WHEN c = 1 THEN 'unique_name' WHEN cr = 1 THEN 'name_region' ELSE 'ambiguous_name' END AS how, CASE WHEN c = 1 THEN one WHEN cr = 1 THEN here END AS match FROM r LEFT JOIN n USING (name) LEFT JOIN g USING (name, region)""")
 def c9(spark, d):
     p, k = F.col("p_partkey"), F.col("o_orderkey")
-    c = table(spark, d, "part").filter(p % 700 < 650).select(p.alias("key"), F.concat(F.lit("n"), (p % 700).cast("string")).alias("name"), (p % 3).alias("region"))
-    r = table(spark, d, "orders").select(k.alias("id"), F.concat(F.lit("n"), (k % 900).cast("string")).alias("name"), (k % 4).alias("region"))
-    return C.match_by_name(r, c, "id", "name", "region", "key")
+    t = lambda tag, c: F.concat(F.lit(tag), c.cast("string"))
+    named = F.when(p % 3 == 0, F.array(t("N", p % 700), t("v", p % 90))).otherwise(F.array(t("(old) n", p % 700), F.lit(None).cast("string")))
+    c = table(spark, d, "part").select(p.alias("key"), named.alias("names"), t("R", p % 3).alias("region"))
+    r = table(spark, d, "orders").select(k.alias("id"), F.when(k % 31 == 0, F.lit(None)).when(k % 5 == 0, t("V", k % 120)).otherwise(t("n", k % 900)).alias("name"), F.when(k % 4 < 3, t("r", k % 4)).alias("region"))
+    return C.match_by_name(r, c, "id", "name", "region", "names", "key")
 
 
 def worded(spark, d):

@@ -282,3 +282,18 @@ def test_near_pairs_at_the_date_line_and_the_poles(spark):
         assert sorted(got) == [(i, j) for i, j in np.argwhere(far <= km).tolist() if i % 2 == 0 and j % 2 == 1]
     edge = 12742.0 * np.arcsin(np.sqrt(np.sin(np.radians(lat - 10) / 2) ** 2 + np.cos(y) * np.cos(np.radians(10)) * np.sin(np.radians(lon - 179) / 2) ** 2))
     assert sorted(r["id"] for r in C.nearby(p, 10.0, 179.0, 900.0).collect()) == np.flatnonzero(edge <= 900).tolist()
+
+
+def test_exact_quantiles(spark):
+    """Ranks found by narrowing equal numpy's, for ties, wide ranges, one value, nulls and no value."""
+    from flowfeat.operators import profile as P
+
+    rng = np.random.default_rng(5)
+    data = {"a": rng.normal(size=500), "b": rng.integers(0, 4, 500).astype(float), "c": np.where(rng.random(500) < 0.5, rng.random(500) * 1e-9, 1e300), "d": np.full(500, 7.0), "e": np.where(rng.random(500) < 0.3, np.nan, rng.exponential(size=500)), "f": np.full(500, np.nan)}
+    df = spark.createDataFrame([tuple(None if np.isnan(v) and i % 2 else float(v) for v in row) for i, row in enumerate(zip(*data.values()))], ", ".join(f"{k} double" for k in data))
+    probs = [0.0, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0]
+    got = P.exact_quantiles(df, list(data), probs, bins=16)
+    for k, v in data.items():
+        v = v[~np.isnan(v)]
+        want = np.quantile(v, probs).tolist() if len(v) else [None] * len(probs)
+        assert all(g == w or abs(g - w) <= 1e-12 * max(abs(w), 1e-9) for g, w in zip(got[k], want)), k
