@@ -154,10 +154,14 @@ def merge_windows(windows: DataFrame, key: list[str], max_gap: int, ids: str, st
 def merge_windows_capped(windows: DataFrame, key: list[str], max_gap: int, max_span: int, ids: str, start: str = "start", end: str = "end") -> DataFrame:
     """As E17, but a window that would make the merged one longer than ``max_span`` days starts a new one.
 
-    The choice depends on what came before, so a key's windows are folded in order; a row of a key is two dates and an id.
+    The choice depends on what came before, so windows are folded in order; but a gap to all windows before always parts, so only the windows between two
+    such gaps are held in one list.
     """
     s, e, i = F.col(start).alias("s"), F.col(end).alias("e"), F.col(ids).alias("i")
-    listed = windows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(s, e, i))).alias("__all"))
+    order = Window.partitionBy(*key).orderBy(start, end, ids)
+    apart = F.coalesce(F.col(start) > F.date_add(F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)), max_gap), F.lit(True))
+    chained = windows.withColumn("__new", apart.cast("int")).withColumn("__chain", F.sum("__new").over(order))
+    listed = chained.groupBy(*key, "__chain").agg(F.array_sort(F.collect_list(F.struct(s, e, i))).alias("__all"))
     kind = windows.schema[ids].dataType.simpleString()
 
     def fold(acc, x):

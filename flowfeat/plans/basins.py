@@ -98,12 +98,18 @@ def i14(spark, d):
     return B.neighbourhood_stats(raster(spark, d), "basin")
 
 
-@query("i15_patches")
+@query("i15_patches", f"""WITH RECURSIVE {RASTER}, c AS (SELECT basin, row, col, row * 100 + col AS id FROM raster WHERE code % 3 = 0), e AS (SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON a.basin = b.basin AND b.row BETWEEN a.row - 1 AND a.row + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1 AND a.id <> b.id),
+  r AS (SELECT id, id AS z FROM c UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.z), p AS (SELECT id, min(z) AS patch FROM r GROUP BY 1), g AS (SELECT basin, patch, count(*) AS n FROM p JOIN c USING (id) GROUP BY 1, 2 HAVING count(*) >= 2)
+  SELECT basin, count(*) AS patches, round(max(n) / sum(n)::DOUBLE, 6) AS largest_share FROM g GROUP BY 1""")
 def i15(spark, d):
     return B.patches(raster(spark, d), "basin", F.col("code") % 3 == 0, 2)
 
 
-@query("i16_stream_network")
+@query("i16_stream_network", f"""WITH RECURSIVE {RASTER}, c AS (SELECT *, row * 100 + col AS id, code % 4 = 0 AS stream FROM raster), n AS (SELECT a.id, b.id AS down, b.elevation AS z, row_number() OVER (PARTITION BY a.id ORDER BY b.elevation, b.row, b.col) AS k FROM c a JOIN c b ON a.basin = b.basin AND b.row BETWEEN a.row - 1 AND a.row + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1 AND b.elevation < a.elevation),
+  l AS (SELECT c.*, down FROM c LEFT JOIN n ON n.id = c.id AND k = 1), i AS (SELECT s.id, count(u.id) AS inflow FROM l s LEFT JOIN l u ON u.down = s.id AND u.stream WHERE s.stream GROUP BY 1),
+  t AS (SELECT basin, count(*) AS stream_cells, count(*) FILTER (inflow = 0) AS sources, count(*) FILTER (inflow >= 2) AS junctions, count(*) FILTER (inflow <> 1) AS links FROM i JOIN l USING (id) GROUP BY 1),
+  f AS (SELECT id, id AS at FROM l UNION ALL SELECT f.id, l.down FROM f JOIN l ON l.id = f.at WHERE NOT l.stream AND l.down IS NOT NULL), h AS (SELECT l.basin, greatest(0, l.elevation - b.elevation) AS hand FROM f JOIN l ON l.id = f.id JOIN l b ON b.id = f.at WHERE b.stream)
+  SELECT t.*, round(a.m, 4) AS hand_mean, a.n AS drained_cells FROM t LEFT JOIN (SELECT basin, avg(hand) AS m, count(*) AS n FROM h GROUP BY 1) a USING (basin)""")
 def i16(spark, d):
     return B.stream_network(B.downstream_links(raster(spark, d), "basin"), "basin", F.col("code") % 4 == 0)
 

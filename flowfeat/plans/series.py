@@ -135,9 +135,12 @@ def e17(spark, d):
     return S.merge_windows(windows(spark, d), ["site"], 15, "observation_id").withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ","))
 
 
-@query("e18_merge_windows_capped")
+@query("e18_merge_windows_capped", WINDOWS.replace("WITH ", "WITH RECURSIVE ", 1) + """, n AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY a, b, observation_id) AS k FROM w),
+  f AS (SELECT site, k, observation_id, a AS s, b AS e, 1 AS g FROM n WHERE k = 1 UNION ALL SELECT n.site, n.k, n.observation_id, CASE WHEN n.a <= f.e + 20 AND greatest(f.e, n.b) - f.s <= 100 THEN f.s ELSE n.a END, CASE WHEN n.a <= f.e + 20 AND greatest(f.e, n.b) - f.s <= 100 THEN greatest(f.e, n.b) ELSE n.b END,
+    CASE WHEN n.a <= f.e + 20 AND greatest(f.e, n.b) - f.s <= 100 THEN f.g ELSE f.g + 1 END FROM f JOIN n ON n.site = f.site AND n.k = f.k + 1)
+  SELECT site, min(s) AS start, max(e) AS "end", string_agg(observation_id, ',' ORDER BY k) AS ids FROM f GROUP BY site, g""")
 def e18(spark, d):
-    return S.merge_windows_capped(windows(spark, d), ["site"], 200, 400, "observation_id")
+    return S.merge_windows_capped(windows(spark, d), ["site"], 20, 100, "observation_id").withColumn("ids", F.array_join("ids", ","))
 
 
 @query("e19_annual_windows", WINDOWS + " SELECT site, year(b)::INT AS year, min(a) AS start, max(b) AS \"end\", array_to_string(list_sort(list(observation_id)), ',') AS ids FROM w GROUP BY 1, 2")

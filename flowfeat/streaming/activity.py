@@ -87,20 +87,25 @@ def sliding_sums(events: DataFrame, key: str, value: str, size: str = "24 hours"
     return events.withWatermark(ts, delay).groupBy(F.window(ts, size, step), key).agg(F.round(F.sum(value), 4).alias("total"), F.count("*").alias("n")).select(key, F.col("window.start").alias("start"), "total", "n")
 
 
-def upsert_batches(path: str, key: list[str]):
-    """A foreachBatch function that appends the rows whose key the table at ``path`` doesn't have; a batch that comes again adds nothing."""
+def upsert_batches(path: str, key: list[str], part: Column):
+    """A foreachBatch function that appends the rows whose key the table at ``path`` doesn't have; a batch that comes again adds nothing.
+
+    ``part`` is made of key columns, with few values in a batch, as the month of a date. The table is partitioned by it, as ``part``, and a batch reads its own parts only.
+    """
 
     def put(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.dropDuplicates(key)
+        rows = batch.dropDuplicates(key).withColumn("part", F.coalesce(part.cast("string"), F.lit("none")))
         try:
-            have = spark.read.schema(batch.schema).parquet(path)
+            have = spark.read.schema(rows.schema).parquet(path)
         except Exception as e:  # no table yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            rows.write.mode("append").parquet(path)
+            rows.write.mode("append").partitionBy("part").parquet(path)
             return
-        rows.join(have.select(*key).distinct(), key, "left_anti").select(*batch.columns).write.mode("append").parquet(path)
+        parts = [r["part"] for r in rows.select("part").distinct().collect()]  # the batch's months
+        known = have.filter(F.col("part").isin(parts)).select(*key).distinct()
+        rows.join(known, key, "left_anti").select(*batch.columns, "part").write.mode("append").partitionBy("part").parquet(path)
 
     return put
 
