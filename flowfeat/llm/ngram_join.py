@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowfeat.llm._graph import by_cell, cell_starts, into_cells, roots
-from flowfeat.llm._spark import cut, table
+from flowfeat.llm._spark import cut, drop, table
 from flowfeat.operators.graph import components
 from flowfeat.llm._text import mix, shingles, slices
 
@@ -209,13 +209,17 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     placed = classes.select("id", "n", F.posexplode("keys").alias("tree", "key"))
     shared = cut(placed.groupBy("tree", "key").agg(F.count("*").alias("c"), F.sum(F.greatest("n", F.lit(LEAST))).alias("w")).filter("c > 1").select("tree", "key", "w"), "nodes")
     places = cut(placed.join(shared, ["tree", "key"]).select("tree", "key", "w", "id"), "places")
+    drop(shared)
     met = cut(places.join(classes.select("id", "mult", "keys"), "id"), "met")  # all keys of a row only once it meets another
+    drop(places)
     same = [F.when((F.lit(i) < F.col("tree")) & (F.min(F.col("keys")[i]) == F.max(F.col("keys")[i])), True) for i in range(trees)]
     fresh = met.groupBy("tree", "key").agg(F.coalesce(*same, F.lit(False)).alias("again")).filter("NOT again").select("tree", "key")
     cells = cut(into_cells(met.join(fresh, ["tree", "key"]), ["tree", "key"], "w", block), "cells")
+    drop(met)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     full = cells.join(texts, "id")
     links = cut(by_cell(full, CELL, lambda rows: verify(rows, size, similarity), "id long, n long, root long"), "links")
+    drop(cells)
     own = components(links.select(F.col("id").alias("a"), F.col("root").alias("b")))
     linked = classes.select("cls", F.col("id").alias("rep"), "mult").join(links.groupBy(F.col("id").alias("rep")).agg(F.sum("n").alias("n")), "rep", "left").join(own.select(F.col("node").alias("rep"), "component"), "rep", "left")
     linked = linked.select("cls", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("class_id"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowfeat.llm._spark import cut, table
+from flowfeat.llm._spark import cut, drop, table
 from flowfeat.llm._text import flat, runs, slices, span_hashes
 from flowfeat.llm.token_counts import kinds, vocabulary
 
@@ -253,6 +253,8 @@ def pack(items: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFram
         parts = max(1, -(-n // group))
         dealt = todo.withColumn("__part", F.pmod(F.xxhash64("__row", F.lit(r)), F.lit(parts)).cast("int"))
         got = cut(dealt.groupBy("__part").applyInPandas(_packer(r, [*names, "__row"], length), f"{kind}, __row long, sequence_id long, offset long, __open boolean"), f"packed-{r}")
+        if not r:
+            drop(todo)
         first = (F.col("offset") == 0).cast("long")
         now = got.agg(F.sum(first).alias("bins"), F.sum(F.col("__open").cast("long")).alias("n"), F.sum(F.when(F.col("__open"), first)).alias("open_bins")).first()
         if before is not None and now["bins"] >= bins:

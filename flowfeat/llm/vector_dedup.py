@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowfeat.llm._graph import by_cell, cell_starts, into_cells, roots
-from flowfeat.llm._spark import cut, table
+from flowfeat.llm._spark import cut, drop, table
 from flowfeat.operators.graph import components
 
 COSINE, SAMPLE, RECALL, BLOCK = 0.93, 20_000, 0.999, 1_500
@@ -251,9 +251,12 @@ def vector_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     visits = cut(groups.select("id", "label", "size", "mult", "v").mapInArrow(visit, "id long, label long, size int, mult long, a int, b int, home boolean"), "visits")
     place = CELL[:4]
     crowd = visits.groupBy(place).agg(F.count("*").alias("w"), F.sum(F.col("home").cast("int")).alias("homes")).filter("w > 1 AND homes > 0").select(*place, "w")
-    cells = into_cells(visits.join(cut(crowd, "crowd"), place), place, "w", block)
+    crowd = cut(crowd, "crowd")
+    cells = into_cells(visits.join(crowd, place), place, "w", block)
     full = cells.join(groups.select("id", "v"), "id")
     links = cut(by_cell(full, CELL, lambda t: verify(t, cosine), "id long, n long, root long"), "links")
+    drop(visits)
+    drop(crowd)
     own = components(links.select(F.col("id").alias("a"), F.col("root").alias("b")))
     per = groups.select("label", "h", "v", F.col("id").alias("rep"), "mult").join(links.groupBy(F.col("id").alias("rep")).agg(F.sum("n").alias("n")), "rep", "left").join(own.select(F.col("node").alias("rep"), "component"), "rep", "left")
     per = per.select("label", "h", "v", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))

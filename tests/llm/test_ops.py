@@ -284,6 +284,26 @@ def test_vector_dedup_is_exact(spark):
     assert sorted(r["n_links"] for r in vector_dedup(twice).collect()) == [0, 1, 1]  # the repeated id counts with one of its vectors
 
 
+def test_vectors_of_sf001_equal_brute_force(spark):
+    rows = spark.read.parquet(f"{DATA}/sf0.01/embeddings.parquet").toPandas()
+    got = registry.QUERIES["op4_vector_dedup"](spark, f"{DATA}/sf0.01").toPandas().set_index("vec_id")
+    ok = rows[[v is not None and len(v) == 64 and np.isfinite(v).all() and np.abs(v).max() > 0 for v in rows["embedding"]] & rows["label"].notna()]
+    u = np.stack(ok["embedding"]).astype(float)
+    u /= np.sqrt((u * u).sum(1))[:, None]
+    near = (u @ u.T >= 0.93) & (ok["label"].to_numpy()[:, None] == ok["label"].to_numpy()[None])
+    np.fill_diagonal(near, False)
+    want = dict.fromkeys(rows["vec_id"], 0) | dict(zip(ok["vec_id"], near.sum(1).tolist()))
+    assert got["n_links"].to_dict() == want and sum(want.values()) > 0
+    ids = ok["vec_id"].to_numpy()
+    component = ids.copy()
+    while True:
+        new = np.minimum(component, np.where(near, component[None], np.iinfo(np.int64).max).min(1))
+        if (new == component).all():
+            break
+        component = new
+    assert got["component_id"].to_dict() == dict(zip(rows["vec_id"], rows["vec_id"])) | dict(zip(ids.tolist(), component.tolist()))
+
+
 @pytest.mark.parametrize("dims, floor", [(16, 0.99), (32, 0.99), (64, 0.99)])
 def test_vector_recall(spark, dims, floor):
     """Links of the vectors whose id is divisible by 50, with all: made near the threshold, where cells part them most, and told at both ends."""
