@@ -92,11 +92,17 @@ CANDIDATES = [[a, a + g, a + 2 * g, a + 3 * g, a + 4 * g] for a in (0.3, 0.6, 0.
 VALID = [c for c in CANDIDATES if all(b - a >= 0.25 for a, b in zip(c, c[1:]))]
 
 
-@query("k13_cutpoints", f"WITH {PRED}, c AS (SELECT unnest(range({len(VALID)}))::INT AS candidate, unnest({VALID})::DOUBLE[] AS cuts), s AS (SELECT candidate, abs(len(list_filter(cuts, lambda x: x <= score)) - rank) AS e FROM pred, c), g AS (SELECT candidate, round(avg(e), 6) AS mae, round(avg((e = 0)::INT), 6) AS accuracy, round(avg((e >= 2)::INT), 6) AS severe_share FROM s GROUP BY 1) SELECT *, row_number() OVER (ORDER BY mae, accuracy DESC, severe_share, candidate)::INT AS rank FROM g")
+@query("k13_cutpoints", f"WITH {PRED}, c AS (SELECT unnest(range({len(VALID)}))::INT AS candidate, unnest({VALID})::DOUBLE[] AS cuts), s AS (SELECT candidate, cuts, abs(len(list_filter(cuts, lambda x: x <= score)) - rank) AS e FROM pred, c), g AS (SELECT candidate, round(list_sum([abs(cuts[i] - (i - 0.5)) for i in range(1, len(cuts) + 1)]) * 0.001, 6) AS drift, round(avg(e), 6) AS mae, round(avg((e = 0)::INT), 6) AS accuracy, round(avg((e >= 2)::INT), 6) AS severe_share FROM s GROUP BY 1, 2) SELECT *, row_number() OVER (ORDER BY coalesce(nullif(mae, 0), 99), accuracy DESC, coalesce(nullif(severe_share, 0), 1), drift, candidate)::INT AS rank FROM g")
 def k13(spark, d):
     return E.cutpoint_candidates(pred(spark, d), "score", "rank", CANDIDATES)
 
 
+@query("k13_search")
+def k13s(spark, d):
+    found = E.search_cutpoints(pred(spark, d), "score", "rank")
+    return spark.createDataFrame([(i + 1, x) for i, x in enumerate(found)], "cutpoint int, at double")
+
+
 @query("k15_ensemble", f"WITH {PRED}, m AS (SELECT observation_id, score, p_high, 1.0 AS w FROM pred UNION ALL SELECT observation_id, 5 - score, p_high * p_high, 0.5 FROM pred WHERE grp % 2 = 0) SELECT observation_id, count(*) AS models, round(sum(score * w) / sum(w), 6) AS score, round(sum(p_high * w) / sum(w), 6) AS p_high FROM m GROUP BY 1")
 def k15(spark, d):
     a = pred(spark, d).select("observation_id", "score", "p_high", "grp", F.lit(1.0).alias("w"))

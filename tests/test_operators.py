@@ -297,3 +297,24 @@ def test_exact_quantiles(spark):
         v = v[~np.isnan(v)]
         want = np.quantile(v, probs).tolist() if len(v) else [None] * len(probs)
         assert all(g == w or abs(g - w) <= 1e-12 * max(abs(w), 1e-9) for g, w in zip(got[k], want)), k
+
+
+def test_cutpoint_search(spark):
+    """The search over counts walks as one over the rows: every step's choice is the best of its grid."""
+    from flowfeat.operators import evaluate as E
+
+    rng = np.random.default_rng(7)
+    actual = rng.integers(0, 6, 400)
+    score = np.clip(actual * 0.8 + 0.3 + rng.normal(0, 0.5, 400), 0, 5)
+    found = E.search_cutpoints(spark.createDataFrame(list(zip(score.tolist(), actual.tolist())), "s double, a int"), "s", "a")
+
+    def value(c):
+        e = np.abs(np.searchsorted(c, score, "right") - actual)
+        return -(e.mean() or 99.0), (e == 0).mean(), -((e >= 2).mean() or 1.0), -sum(abs(x - i - 0.5) for i, x in enumerate(c)) * 0.001
+
+    assert all(b - a >= 0.25 - 1e-9 for a, b in zip(found, found[1:])) and value(found) > value([0.5, 1.5, 2.5, 3.5, 4.5])
+    for i, (lo, hi) in enumerate(((5, 31), (20, 46), (40, 66), (56, 86), (70, 101))):
+        for x in range(lo, hi):
+            c = [*found[:i], round(x / 20, 2), *found[i + 1 :]]
+            if all(a + 0.25 <= b for a, b in zip(c, c[1:])):
+                assert value(c)[:2] <= value(found)[:2] or np.allclose(value(c)[:2], value(found)[:2])
