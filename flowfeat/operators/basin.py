@@ -130,6 +130,28 @@ def neighbourhood_stats(cells: DataFrame, basin: str, size: float = 30.0) -> Dat
     return per.groupBy(basin).agg(F.round(F.avg("rug"), 4).alias("ruggedness"), F.round(F.avg(F.degrees(F.atan(F.sqrt(dx * dx + dy * dy)))), 4).alias("slope"), F.round(F.avg(curve), 6).alias("curvature"), F.sum(((F.col("k") == 8) & (F.col("low") >= 2)).cast("long")).alias("depressions"))
 
 
+def curvatures(cells: DataFrame, basin: str, size: float = 30.0) -> DataFrame:
+    """Per basin mean plan and profile curvature, from first and second differences along rows and columns: central ones between two neighbours, one-sided ones
+    where one is missing; cells that are flat, or have no neighbour on a line, have none.
+
+    Windows run along one row or one column of a basin.
+    """
+
+    def slope(c: str, place: str, line: str) -> Column:
+        w = Window.partitionBy(basin, line).orderBy(place)
+        before, after = F.lag(place).over(w) == F.col(place) - 1, F.lead(place).over(w) == F.col(place) + 1
+        low, high = F.lag(c).over(w), F.lead(c).over(w)
+        return F.when(before & after, (high - low) / (2 * size)).when(after, (high - F.col(c)) / size).when(before, (F.col(c) - low) / size)
+
+    along = cells.select(basin, "row", "col", "elevation").withColumn("p", slope("elevation", "col", "row")).withColumn("r", slope("p", "col", "row"))
+    both = along.withColumns({"q": slope("elevation", "row", "col"), "s": slope("p", "row", "col")}).withColumn("t", slope("q", "row", "col"))
+    p, q, r, s, t = map(F.col, "pqrst")
+    g = F.when(p * p + q * q > 1e-12, p * p + q * q)
+    plan = (q * q * r - 2 * p * q * s + p * p * t) / (g * F.sqrt(1 + g))
+    profile = (p * p * r + 2 * p * q * s + q * q * t) / (g * F.pow(1 + g, F.lit(1.5)))
+    return both.groupBy(basin).agg(F.round(F.avg(plan), 6).alias("plan_curvature"), F.round(F.avg(profile), 6).alias("profile_curvature"))
+
+
 def patches(cells: DataFrame, basin: str, inside: Column, least: int) -> DataFrame:
     """Per basin the number of 8-connected patches of at least ``least`` cells, and the largest one's share of them."""
     some = cells.filter(inside).select(basin, "row", "col", F.concat_ws(":", F.col(basin).cast("string"), F.lpad(F.col("row").cast("string"), 12, "0"), F.lpad(F.col("col").cast("string"), 12, "0")).alias("node"))

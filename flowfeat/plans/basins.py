@@ -98,6 +98,17 @@ def i14(spark, d):
     return B.neighbourhood_stats(raster(spark, d), "basin")
 
 
+def slope_sql(c, place, line):
+    w = f"OVER (PARTITION BY basin, {line} ORDER BY {place})"
+    before, after = f"lag({place}) {w} = {place} - 1", f"lead({place}) {w} = {place} + 1"
+    return f"CASE WHEN {before} AND {after} THEN (lead({c}) {w} - lag({c}) {w}) / 60 WHEN {after} THEN (lead({c}) {w} - {c}) / 30 WHEN {before} THEN ({c} - lag({c}) {w}) / 30 END"
+
+
+@query("i14_curvatures", f"WITH {RASTER}, a AS (SELECT *, {slope_sql('elevation', 'col', 'row')} AS p, {slope_sql('elevation', 'row', 'col')} AS q FROM raster), b AS (SELECT *, {slope_sql('p', 'col', 'row')} AS r, {slope_sql('p', 'row', 'col')} AS s, {slope_sql('q', 'row', 'col')} AS t, p * p + q * q AS g FROM a) SELECT basin, round(avg((q * q * r - 2 * p * q * s + p * p * t) / (g * sqrt(1 + g))) FILTER (g > 1e-12), 6) AS plan_curvature, round(avg((p * p * r + 2 * p * q * s + q * q * t) / (g * pow(1 + g, 1.5))) FILTER (g > 1e-12), 6) AS profile_curvature FROM b GROUP BY 1")
+def i14b(spark, d):
+    return B.curvatures(raster(spark, d), "basin")
+
+
 @query("i15_patches", f"""WITH RECURSIVE {RASTER}, c AS (SELECT basin, row, col, row * 100 + col AS id FROM raster WHERE code % 3 = 0), e AS (SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON a.basin = b.basin AND b.row BETWEEN a.row - 1 AND a.row + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1 AND a.id <> b.id),
   r AS (SELECT id, id AS z FROM c UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.z), p AS (SELECT id, min(z) AS patch FROM r GROUP BY 1), g AS (SELECT basin, patch, count(*) AS n FROM p JOIN c USING (id) GROUP BY 1, 2 HAVING count(*) >= 2)
   SELECT basin, count(*) AS patches, round(max(n) / sum(n)::DOUBLE, 6) AS largest_share FROM g GROUP BY 1""")

@@ -318,3 +318,17 @@ def test_cutpoint_search(spark):
             c = [*found[:i], round(x / 20, 2), *found[i + 1 :]]
             if all(a + 0.25 <= b for a, b in zip(c, c[1:])):
                 assert value(c)[:2] <= value(found)[:2] or np.allclose(value(c)[:2], value(found)[:2])
+
+
+def test_curvatures_of_a_surface(spark):
+    """On a whole grid the same as numpy's gradients of gradients."""
+    y, x = np.mgrid[0:7, 0:9].astype(float)
+    z = 3 * np.sin(x / 2) * 20 + y * y * 4 + x * y
+    df = spark.createDataFrame([(1, int(i), int(j), float(z[i, j])) for i in range(7) for j in range(9)], "basin int, row int, col int, elevation double")
+    q, p = np.gradient(z, 30.0, 30.0)
+    r, s, t = np.gradient(p, 30.0, axis=1), np.gradient(p, 30.0, axis=0), np.gradient(q, 30.0, axis=0)
+    g = p * p + q * q
+    g[g <= 1e-12] = np.nan
+    plan, profile = (q * q * r - 2 * p * q * s + p * p * t) / (g * np.sqrt(1 + g)), (p * p * r + 2 * p * q * s + q * q * t) / (g * (1 + g) ** 1.5)
+    got = B.curvatures(df, "basin").first()
+    assert abs(got["plan_curvature"] - np.nanmean(plan)) < 1e-6 and abs(got["profile_curvature"] - np.nanmean(profile)) < 1e-6
