@@ -30,6 +30,28 @@ def link_entries(df: DataFrame, ident: str, entries: str, key: list[str]) -> tup
     return entry, each.groupBy(ident, "entry_id").agg(F.min("place").alias("place"))
 
 
+def normalize_catalog(items: DataFrame, ident: str, fields: dict[str, str], points: str, bibliography: list[str], rules: str) -> dict[str, DataFrame]:
+    """Nested items as six tables: ``sites`` (fields: name -> path of a nested column), ``points``, ``bibliography`` with ``site_bibliography``, and ``regulations`` with
+    ``site_regulations``. Entries and rules are structs with an ``id``; of one id the last, by item and then place, stays, and links keep every mention."""
+
+    def entries(arrays: list[str], key: str) -> tuple[DataFrame, DataFrame]:
+        all_of = F.concat(*[F.coalesce(F.col(c), F.array().cast(items.select(c).schema[0].dataType.simpleString())) for c in arrays])
+        each = items.select(ident, F.posexplode(all_of).alias("__place", "__e")).withColumn(key, F.col("__e.id"))
+        last = each.groupBy(key).agg(F.max_by("__e", F.struct(ident, "__place")).alias("__e")).select("__e.*")
+        return last, each.select(ident, key)
+
+    books, book_links = entries(bibliography, "bibliography_id")
+    texts, text_links = entries([rules], "regulation_id")
+    return {
+        "sites": items.select(ident, *[F.col(path).alias(name) for name, path in fields.items()]),
+        "points": items.select(ident, F.explode(points).alias("__p")).select(ident, "__p.*"),
+        "bibliography": books,
+        "site_bibliography": book_links,
+        "regulations": texts,
+        "site_regulations": text_links,
+    }
+
+
 def track_summary(points: DataFrame, track: str, kind: str, lat: str, lon: str) -> DataFrame:
     """Points, waypoints and bounding box of each track."""
     return points.groupBy(track).agg(F.sum((F.col(kind) == "point").cast("long")).alias("points"), F.sum((F.col(kind) == "waypoint").cast("long")).alias("waypoints"), F.min(lat).alias("south"), F.max(lat).alias("north"), F.min(lon).alias("west"), F.max(lon).alias("east"))

@@ -40,6 +40,35 @@ def a7b(spark, d):
     return C.link_entries(books(spark, d), "id", "entries", ["title", "kind"])[1]
 
 
+def nested(spark, d):
+    """The catalog's rows as nested pages."""
+    k = F.col("id")
+    book = lambda n, kind: F.struct(F.concat(F.lit(kind), (k % n).cast("string")).alias("id"), F.concat(F.lit("title of "), k.cast("string")).alias("title"))
+    rule = lambda n: F.struct((k % n).alias("id"), F.concat(F.lit("rule "), "brand").alias("text"))
+    return cat(spark, d).select(
+        "id", F.struct(F.struct("name", "brand").alias("identity"), F.struct("interest", "votes").alias("rating")).alias("page"),
+        F.when(k % 4 > 0, F.array(F.struct(F.lit("entry").alias("kind"), "lat", "lon"), F.struct(F.lit("exit").alias("kind"), (F.col("lat") + 1).alias("lat"), "lon"))).alias("points"),
+        F.array(book(50, "t"), book(30, "t")).alias("topoguides"), F.when(k % 3 == 0, F.array(book(20, "m"))).alias("maps"), F.array(rule(40), rule(25)).alias("rules"),
+    )
+
+
+def normal(spark, d):
+    return C.normalize_catalog(nested(spark, d), "id", {"name": "page.identity.name", "brand": "page.identity.brand", "interest": "page.rating.interest"}, "points", ["topoguides", "maps"], "rules")
+
+
+MENTIONS = CAT + """, b AS (SELECT id, 0 AS place, 't' || id % 50 AS bid, 'title of ' || id AS title FROM cat UNION ALL SELECT id, 1, 't' || id % 30, 'title of ' || id FROM cat UNION ALL SELECT id, 2, 'm' || id % 20, 'title of ' || id FROM cat WHERE id % 3 = 0),
+  r AS (SELECT id, 0 AS place, id % 40 AS rid, 'rule ' || brand AS text FROM cat UNION ALL SELECT id, 1, id % 25, 'rule ' || brand FROM cat)"""
+for _name, _sql in {
+    "sites": f"WITH {CAT} SELECT id, name, brand, interest FROM cat",
+    "points": f"WITH {CAT} SELECT id, 'entry' AS kind, lat, lon FROM cat WHERE id % 4 > 0 UNION ALL SELECT id, 'exit', lat + 1, lon FROM cat WHERE id % 4 > 0",
+    "bibliography": f"WITH {MENTIONS} SELECT bid AS id, arg_max(title, struct_pack(i := id, p := place)) AS title FROM b GROUP BY bid",
+    "site_bibliography": f"WITH {MENTIONS} SELECT id, bid AS bibliography_id FROM b",
+    "regulations": f"WITH {MENTIONS} SELECT rid AS id, arg_max(text, struct_pack(i := id, p := place)) AS text FROM r GROUP BY rid",
+    "site_regulations": f"WITH {MENTIONS} SELECT id, rid AS regulation_id FROM r",
+}.items():
+    query(f"a7_table_{_name}", _sql)(lambda spark, d, name=_name: normal(spark, d)[name])
+
+
 @query("c14_linked", LINKS + ", l AS (SELECT id, entry_id, min(place)::INT AS place FROM e GROUP BY 1, 2), t AS (SELECT DISTINCT entry_id, title, kind FROM e) SELECT id, place, title, kind FROM l JOIN t USING (entry_id)")
 def c14(spark, d):
     entry, links = C.link_entries(books(spark, d), "id", "entries", ["title", "kind"])
