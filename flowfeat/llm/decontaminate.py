@@ -21,7 +21,7 @@ BLOCK, STEP, LEAST_WORDS = 16, 8, 8  # a passage is two blocks of words; a bench
 CLASSES = ((2 * BLOCK, 2 * BLOCK, BLOCK), (16, 24, 8), (LEAST_WORDS, 12, 4))
 RECALL, TRIALS, REPLACED, CONTEXT = 0.99, 4, 0.25, 200_000
 ITEM_CHARS, ITEMS_PER_RANK = 5_000_000, 1_000
-GROUP, ROWS = 100_000, 64  # words handled at once, and rows of the sketch in one record
+GROUP, ROWS, LISTED = 100_000, 64, 2_000_000  # words handled at once, rows of the sketch in one record, and list entries looked at at once
 COSINE, OVERLAP, COPY, PARAPHRASE, ANSWER = 0.6, 0.4, 0.75, 0.5, 0.75
 
 
@@ -184,7 +184,7 @@ def latent_terms(item_sketch: np.ndarray, sketch: np.ndarray, weight: float, idf
 class Class(NamedTuple):
     """Items of like lengths: words and steps of the documents' passages, cosine limit, items; for each item the offsets of its passages among
     ``vectors`` and ``mass``, and the least of its masses; the items that hold a term (those of code c are items[first[c]:first[c + 1]] in ``holders``)
-    for terms that few of them hold, and the weight of the other terms."""
+    where it weighs enough for them, and the weights of terms that are too light for some item."""
 
     size: int
     step: int
@@ -200,9 +200,9 @@ class Class(NamedTuple):
 
 
 class Probes(NamedTuple):
-    """Benchmark items made ready: ids, codes of words and answers of each; weights and vectors of the codes; their (item, code) pairs as sorted numbers; classes of lengths; and what finds items word for word."""
+    """Benchmark items made ready, one for all that share words and answer: their ids, codes of words and answers; weights and vectors of the codes; their (item, code) pairs as sorted numbers; classes of lengths; and what finds items word for word."""
 
-    ids: list
+    ids: list[list]
     words: list[list[int]]
     answers: list[list[int]]
     idf: np.ndarray
@@ -222,10 +222,17 @@ def passage_vectors(codes: np.ndarray, start: np.ndarray, end: np.ndarray, terms
     return unit(np.add.reduceat(rows, np.cumsum(length) - length, axis=0)).astype(np.float32) if len(start) else np.zeros((0, terms.shape[1]), np.float32)
 
 
+def answer(text: str) -> str:
+    """The last sentence that has a letter or digit."""
+    return [p for p in re.split(r"[.?!\n]+", text) if any(map(str.isalnum, p))][-1]
+
+
 def probes(ids: list, texts: list[str], vocabulary: np.ndarray, known: Statistics, rank: int) -> Probes:
     h, off = words(texts)
-    keep = np.flatnonzero(np.diff(off) > 0)
-    ids, texts = [ids[i] for i in keep], [texts[i] for i in keep]
+    alike: dict[tuple[bytes, bytes], list[int]] = {}
+    for i in np.flatnonzero(np.diff(off) > 0).tolist():
+        alike.setdefault((h[off[i] : off[i + 1]].tobytes(), words([answer(texts[i])])[0].tobytes()), []).append(i)
+    ids, texts = [[ids[i] for i in x] for x in alike.values()], [texts[x[0]] for x in alike.values()]
     h, off = words(texts)
     maybe = low_bits(vocabulary)
     codes = to_codes(h, vocabulary, maybe)
@@ -255,14 +262,13 @@ def probes(ids: list, texts: list[str], vocabulary: np.ndarray, known: Statistic
         limit = cosine_limit([lists[i] for i in items], own, vectors[at], size, step, terms, context)
         mine = pairs[np.isin(pairs // (n_terms + 1), items)]
         holder, code = np.searchsorted(items, mine // (n_terms + 1)), mine % (n_terms + 1)
-        held_by = np.bincount(code, minlength=n_terms + 1)
-        common = held_by > max(4, len(items) // 50)  # terms of many items are weighed as if each item held them
-        rare = ~common[code]
+        lowest = np.minimum.reduceat(mass[at], own[:-1])
+        light = OVERLAP * lowest / size  # a passage whose every word weighs less than this can't reach the item
+        rare = idf[code] >= light[holder] * (1 - 1e-9)
         order = np.argsort(code[rare], kind="stable")
         lists_first = np.concatenate(([0], np.cumsum(np.bincount(code[rare], minlength=n_terms + 1))))
-        classes.append(Class(size, step, limit, items, own, vectors[at], mass[at], np.minimum.reduceat(mass[at], own[:-1]), lists_first, holder[rare][order], np.where(common, idf, 0.0)))
-    last = [[p for p in re.split(r"[.?!\n]+", t) if any(map(str.isalnum, p))][-1] for t in texts]
-    a, a_off = words(last)
+        classes.append(Class(size, step, limit, items, own, vectors[at], mass[at], lowest, lists_first, holder[rare][order], np.where(idf < light.max(), idf, 0.0)))
+    a, a_off = words([answer(t) for t in texts])
     whole = span_hashes(codes, off[:-1], off[1:])
     short = np.minimum(n, LEAST_WORDS)
     firsts = span_hashes(codes, off[:-1], off[:-1] + short)
@@ -334,8 +340,10 @@ def candidates(codes: np.ndarray, off: np.ndarray, c: Class, p: Probes) -> tuple
     """(first word, end, item) of every passage whose latent vector has the class's cosine with one of the item's passages, and whose words in the item
     carry ``OVERLAP`` of that passage's weight.
 
-    The second condition goes first, by a bound that no such passage falls short of: the weight of its words that few items hold, added up
-    per item over lists of those items, and of all its words that many items hold. So vectors are made for few passages only.
+    The second condition goes first, by a bound that no such passage falls short of, however many items share its words. A passage none of
+    whose words weighs ``OVERLAP`` of the item's least passage, divided by the words of a passage, can't reach the item; so each item is listed under
+    its heavier words only. Their weights are added up over these lists, and all light words of the passage are added as if the item held them. So vectors are
+    made for few passages only. Passages are taken in groups whose lists have about ``LISTED`` entries.
     """
     n, start, end = passages(off, c.size, c.step)
     first = np.cumsum(n) - n
@@ -344,18 +352,32 @@ def candidates(codes: np.ndarray, off: np.ndarray, c: Class, p: Probes) -> tuple
     word = here - off[text]
     low = np.maximum(0, (word - c.size) // c.step + 1)
     at, passage = spread(first[text] + low, np.minimum(word // c.step, n[text] - 1) - low + 1)
-    code = codes[here[at]]
-    at, place = spread(c.first[code], c.first[code + 1] - c.first[code])
+    order = np.argsort(passage, kind="stable")
+    passage, code = passage[order], codes[here[at[order]]]
+    listed = c.first[code + 1] - c.first[code]
+    total = np.cumsum(listed)
+    light = np.concatenate(([0.0], np.cumsum(c.common[codes])))
+    found, i = [], 0
+    while i < len(passage):
+        j = int(np.searchsorted(total, (total[i - 1] if i else 0) + LISTED, "right"))
+        j = int(np.searchsorted(passage, passage[min(max(i, j - 1), len(passage) - 1)], "right"))  # whole passages, one at least
+        found += reached(codes, start, end, light, passage[i:j], code[i:j], listed[i:j], c, p)
+        i = j
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+
+
+def reached(codes: np.ndarray, start: np.ndarray, end: np.ndarray, light: np.ndarray, passage: np.ndarray, code: np.ndarray, listed: np.ndarray, c: Class, p: Probes) -> list[tuple]:
+    """``candidates`` among passages given by their heavier words."""
+    at, place = spread(c.first[code], listed)
     key = passage[at] * len(c.items) + c.holders[place]
     order = np.argsort(key)
     key = key[order]
     cuts = np.flatnonzero(np.diff(key, prepend=-1))
     if not len(cuts):
-        return (np.zeros(0, np.int64),) * 3
+        return []
     total = np.add.reduceat(p.idf[code[at[order]]], cuts)
     passage, item = key[cuts] // len(c.items), key[cuts] % len(c.items)
-    common = np.concatenate(([0.0], np.cumsum(c.common[codes])))
-    ok = total + (common[end] - common[start])[passage] >= OVERLAP * c.least[item] - 1e-6
+    ok = total + (light[end] - light[start])[passage] >= OVERLAP * c.least[item] - 1e-6
     passage, item = passage[ok], item[ok]
     found = []
     for i in range(0, len(passage), 4096):
@@ -372,7 +394,7 @@ def candidates(codes: np.ndarray, off: np.ndarray, c: Class, p: Probes) -> tuple
         hit = (weight[some[at]] >= OVERLAP * c.mass[place]) & (np.einsum("ij,ij->i", v[at], c.vectors[place]) >= c.limit)
         some = some[np.bincount(at, hit, minlength=len(some)) > 0]
         found.append((s[some], e[some], c.items[k[some]]))
-    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+    return found
 
 
 def search(codes: np.ndarray, off: np.ndarray, p: Probes) -> list[tuple]:
@@ -436,9 +458,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 hits = []
                 for i, j in groups(b.column("n").to_numpy(), GROUP):
                     hits += [(i + t, *rest) for t, *rest in search(*unpacked(b.column("codes").slice(i, j - i), n_terms), p)]
-                at, item, share, lo, hi, how = zip(*hits) if hits else [()] * 6
+                at, item, share, lo, hi, how = zip(*((t, one, *rest) for t, k, *rest in hits for one in p.ids[k])) if hits else [()] * 6
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("id").take(pa.array(at, pa.int64())), pa.array([p.ids[x] for x in item], to_arrow_type(item_kind)), pa.array(share, pa.float64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(how, pa.string())],
+                    [b.column("id").take(pa.array(at, pa.int64())), pa.array(item, to_arrow_type(item_kind)), pa.array(share, pa.float64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(how, pa.string())],
                     names=[id_col, item_col, "share", "first_word", "end_word", "kind"],
                 )
             release()

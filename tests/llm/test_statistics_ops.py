@@ -260,3 +260,71 @@ def test_sketch_clears_unique_texts_only(spark):
     shuffled = {r["h"] for r in by_shard.collect()}
     assert shuffled == {r["h"] for r in rows.filter(maybe("h")).collect()}
     assert twice <= shuffled and len(shuffled) < len(twice) + 50_000 * 0.05
+
+
+# 6: items that share words
+
+
+def all_pairs(D, codes, off, p):
+    out = set()
+    for c in p.classes:
+        _, start, end = D.passages(off, c.size, c.step)
+        v = D.passage_vectors(codes, start, end, p.terms)
+        for k, i in enumerate(c.items.tolist()):
+            own, words_of = slice(c.own[k], c.own[k + 1]), np.zeros(len(p.idf), bool)
+            words_of[p.words[i]] = True
+            weight = np.array([p.idf[x[words_of[x]]].sum() for x in (codes[a:b] for a, b in zip(start, end))])
+            hit = ((v @ c.vectors[own].T >= c.limit) & (weight[:, None] >= D.OVERLAP * c.mass[own][None, :])).any(1)
+            out |= {(c.size, int(s), i) for s in start[hit]}
+    return out
+
+
+@pytest.mark.parametrize("kind", ["templates", "copies", "apart"])
+def test_candidates_do_not_depend_on_the_number_of_items_that_share_words(spark, kind):
+    from flowfeat.llm import decontaminate as D
+
+    rng = np.random.default_rng(11)
+    vocab = [f"v{i}" for i in range(3000)]
+    zipf = np.minimum(rng.zipf(1.3, 20_000) - 1, 2999)
+    prose = lambda n: " ".join(vocab[k] for k in rng.choice(zipf, n))
+    frame = prose(26).split()
+    if kind == "templates":
+        bench = [" ".join([*frame[:9], f"slot{i}", *frame[9:18], f"fill{i % 31}", *frame[18:]]) for i in range(1000)]
+    else:
+        bench = [prose(int(rng.integers(9, 60))) for _ in range(40)] * (50 if kind == "copies" else 1)
+    texts = [prose(200) for _ in range(20)]
+    for t in bench[:: len(bench) // 20]:
+        w = t.split()
+        for k in rng.choice(len(w), len(w) // 5, replace=False):
+            w[k] = f"other{k}"
+        texts.append(prose(50) + " " + " ".join(w) + " " + prose(40))
+    vocabulary = np.unique(D.words(bench)[0])
+    known = D.statistics(D.coded(docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]), "doc_id", "text", vocabulary), len(vocabulary), 288)
+    p = D.probes(list(range(len(bench))), bench, vocabulary, known, 96)
+    assert sum(map(len, p.ids)) == len(bench) and len(p.ids) == (40 if kind == "copies" else len(bench))
+    h, off = D.words(texts)
+    codes = D.to_codes(h, vocabulary, D.low_bits(vocabulary))
+    want = all_pairs(D, codes, off, p)
+    for listed in (D.LISTED, 50):
+        D.LISTED, before = listed, D.LISTED
+        try:
+            assert {(c.size, int(s), i) for c in p.classes for s, _, i in zip(*D.candidates(codes, off, c, p))} == want
+        finally:
+            D.LISTED = before
+    assert len(want) >= 20
+
+
+@pytest.mark.parametrize("copies", [1, 4, 5, 8, 20, 50])
+def test_changed_items_are_found_under_all_their_ids(spark, copies):
+    from flowfeat.llm.decontaminate import contamination
+
+    rng = np.random.default_rng(2)
+    bench = [(i, " ".join(f"x{rng.integers(900)}" for _ in range(40)) + ". Done now it is") for i in range(40)]
+    w = bench[7][1].split()
+    for k in rng.choice(38, 9, replace=False):
+        w[k] = f"changed{k}"
+    text = " ".join(f"y{rng.integers(900)}" for _ in range(300)) + " " + " ".join(w)
+    again = bench + [(1000 + k, bench[7][1]) for k in range(copies - 1)]
+    others = [(10 + i, " ".join(f"{'xy'[rng.integers(2)]}{rng.integers(900)}" for _ in range(80)), "en", "s") for i in range(100)]
+    got = contamination(docs(spark, [(1, text, "en", "s"), (2, "nothing " * 50, "en", "s"), *others]), spark.createDataFrame(again, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == sorted([(1, 7), *((1, 1000 + k) for k in range(copies - 1))])
