@@ -24,6 +24,12 @@ def _hashed(key: Column, min_chars: int) -> Column:
     return F.when(F.length(key) >= min_chars, F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(7), key).alias("b")))
 
 
+def _member(h: Column, drop: Column, steps: Column) -> Column:
+    """Whether the sorted list holds h, by halving: ``steps`` are falling powers of two that reach over the list. False for a null h."""
+    at = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(drop, at + step - 1) <= h, at + step).otherwise(at))
+    return F.coalesce(F.get(drop, at - 1) == h, F.lit(False))
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with lines dropped whose key at least ``min_docs`` documents hold, except in the largest id among them.
 
@@ -32,7 +38,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     a null id count together as one document, which is never the largest unless alone. An empty table gives an empty table.
 
     Work: one shuffle of (key hash, id) pairs of long lines only, written once and read twice; counts are pre-aggregated on the map side so
-    that a line held by a third of all documents arrives as a few partial counts; the join back is one that Spark splits on skew.
+    that a line held by a third of all documents arrives as a few partial counts; the join back is one that Spark splits on skew. A document's
+    lines are looked up in its sorted list of drops by halving, so long documents cost lines times the logarithm of their drops.
     """
     own = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
     src = docs.select(F.struct(*own).alias("__row"), F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
@@ -50,9 +57,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         held.join(common, ["__a", "__b"])
         .filter(~F.col("__id").eqNullSafe(F.col("__last")))
         .groupBy(F.col("__id").alias("__of"))
-        .agg(F.collect_list(F.struct(F.col("__a").alias("a"), F.col("__b").alias("b"))).alias("__drop"))
+        .agg(F.array_sort(F.collect_list(F.struct(F.col("__a").alias("a"), F.col("__b").alias("b")))).alias("__drop"))
+        .withColumn("__steps", F.transform(F.sequence(F.floor(F.log2(F.size("__drop"))).cast("int"), F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2), k).cast("int")))
     )
-    kept = F.filter("__lines", lambda x: ~F.coalesce(F.array_contains(F.col("__drop"), _hashed(line_key(x), min_chars)), F.lit(False)))
+    hashed = F.transform("__lines", lambda x: F.struct(x.alias("line"), _hashed(line_key(x), min_chars).alias("h")))
+    kept = F.transform(F.filter(hashed, lambda x: ~_member(x["h"], F.col("__drop"), F.col("__steps"))), lambda x: x["line"])
     out = src.join(drops, F.col("__id").eqNullSafe(F.col("__of")), "left").withColumn("__lines", lines).withColumn("__kept", F.when(F.col("__drop").isNull(), F.col("__lines")).otherwise(kept))
     return out.select(
         *[F.col("__row")[c].alias(c) for c in own],
