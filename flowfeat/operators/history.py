@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowfeat.operators.spread import ranked
+
 CLASSES = ["LOW", "MEDIUM", "HIGH"]
 
 
@@ -310,19 +312,12 @@ def class_balanced(df: DataFrame, label: str) -> DataFrame:
 
 
 def temporal_split(obs: DataFrame, test: float, calibration: float, time: str = "date", ident: str = "observation_id") -> DataFrame:
-    """K1: by (time, id): the last share is test, the one before it calibration, the rest train.
-
-    Ranks come from counts by day and a running sum over days; within a day rows are ranked by id, so no task sees all rows.
-    """
-    per = obs.groupBy(time).agg(F.count("*").alias("__n"))
-    w = Window.partitionBy().orderBy(time).rowsBetween(Window.unboundedPreceding, -1)
-    base = per.select(time, F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__before"))
-    total = per.agg(F.sum("__n").alias("__total"))
-    rank = F.col("__before") + F.row_number().over(Window.partitionBy(time).orderBy(ident)) - 1
-    out = obs.join(base, time).crossJoin(F.broadcast(total)).withColumn("__rank", rank)
+    """K1: by (time, id): the last share is test, the one before it calibration, the rest train. Ranks come from sampled ranges: a day with all rows is spread over all tasks."""
+    rows = ranked(obs, [], [time, ident], "__rank")
+    total = rows.agg(F.count("*").alias("__total"))  # one row
     n_test, n_cal = F.floor(F.col("__total") * test), F.floor(F.col("__total") * calibration)
     split = F.when(F.col("__rank") >= F.col("__total") - n_test, "test").when(F.col("__rank") >= F.col("__total") - n_test - n_cal, "calibration").otherwise("train")
-    return out.withColumn("split", split).drop("__before", "__total", "__rank")
+    return rows.crossJoin(F.broadcast(total)).withColumn("split", split).drop("__total", "__rank")
 
 
 def cold_entity_split(obs: DataFrame, unit: Column, test: float, calibration: float, site: str = "site") -> DataFrame:
@@ -342,10 +337,14 @@ def cold_entity_split(obs: DataFrame, unit: Column, test: float, calibration: fl
 
 
 def stratified_holdout(days: DataFrame, unit: Column, share: float = 0.1, least: int = 2, most: int = 40, per_site: int = 8, site: str = "site", strata: list[str] = ["year", "level"]) -> DataFrame:
-    """K3: per stratum the first max(least, round(share * n)) rows, at most ``most``, in hash order, then at most ``per_site`` of a site."""
-    sizes = days.groupBy(*strata).agg(F.least(F.lit(most), F.greatest(F.lit(least), F.round(F.count("*") * share).cast("int"))).alias("__target"))
-    ranked = days.withColumn("__u", unit).withColumn("__n", F.row_number().over(Window.partitionBy(*strata).orderBy("__u"))).join(sizes, strata).filter("__n <= __target")
-    return ranked.withColumn("__s", F.row_number().over(Window.partitionBy(site).orderBy("__u"))).filter(F.col("__s") <= per_site).drop("__u", "__n", "__target", "__s")
+    """K3: per stratum the first max(least, round(share * n)) rows, at most ``most``, in hash order, then at most ``per_site`` of a site.
+
+    No stratum has more than ``most`` rows taken, so each task passes on its first ``most`` of a stratum only: ranks are cut off before the shuffle.
+    """
+    sizes = days.groupBy(*[F.col(c).alias(f"__s{c}") for c in strata]).agg(F.least(F.lit(most), F.greatest(F.lit(least), F.round(F.count("*") * share).cast("int"))).alias("__target"))
+    first = days.withColumn("__u", unit).withColumn("__n", F.row_number().over(Window.partitionBy(*strata).orderBy("__u"))).filter(F.col("__n") <= most)
+    taken = first.join(sizes, [first[c].eqNullSafe(sizes[f"__s{c}"]) for c in strata]).filter("__n <= __target").drop(*[f"__s{c}" for c in strata])
+    return taken.withColumn("__s", F.row_number().over(Window.partitionBy(site).orderBy("__u"))).filter(F.col("__s") <= per_site).drop("__u", "__n", "__target", "__s")
 
 
 def history_dropout(df: DataFrame, unit: Column, rate: float, cols: list[str]) -> DataFrame:

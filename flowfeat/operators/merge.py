@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowfeat.operators.spread import ranked
 
-def pending_windows(windows: DataFrame, done: DataFrame, ident: str, start: str, batch: int) -> DataFrame:
-    """Windows not yet done, in batches of ``batch`` by (start, id) within each year of the start."""
+
+def pending_windows(windows: DataFrame, done: DataFrame, ident: str, start: str, batch: int, limit: int | None = None) -> DataFrame:
+    """Windows not yet done, in batches of ``batch`` by (start, id) that run on over all of them; with ``limit`` the first ones only. Ids without a window of theirs done count as pending, null ids too."""
     left = windows.join(done.select(ident).distinct(), ident, "left_anti")
-    order = Window.partitionBy(F.year(start)).orderBy(start, ident)
-    return left.withColumn("batch", F.floor((F.row_number().over(order) - 1) / batch).cast("long"))
+    rows = ranked(left, [], [start, ident], "__rank")
+    rows = rows if limit is None else rows.filter(F.col("__rank") < limit)
+    return rows.withColumn("batch", F.floor(F.col("__rank") / batch).cast("long")).drop("__rank")
 
 
 def latest_run(runs: DataFrame, key: list[str], generated: str, ties: list[str]) -> DataFrame:

@@ -7,6 +7,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowfeat.operators.spread import grouped_quantiles
+
 
 def _long(df: DataFrame, cols: list[str]) -> DataFrame:
     """(feature, v) of all named columns as text."""
@@ -41,9 +43,17 @@ QUANTILES = [0.0, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0]
 
 
 def quantiles(df: DataFrame, c: str, by: list[str] = []) -> DataFrame:
-    """Quantiles with linear interpolation."""
-    p = df.groupBy(*by).agg(F.percentile(c, F.lit(QUANTILES)).alias("q"))
-    return p.select(*by, *[F.round(F.col("q")[i], 6).alias(f"p{int(q * 100):02d}") for i, q in enumerate(QUANTILES)])
+    """Quantiles with linear interpolation, per group by narrowed intervals: no task holds a group's values."""
+    p = grouped_quantiles(df, by, {"__q": F.col(c)}, QUANTILES)
+    return p.select(*by, *[F.round(F.get("__q", i), 6).alias(f"p{int(q * 100):02d}") for i, q in enumerate(QUANTILES)])
+
+
+def sketched_quantiles(df: DataFrame, c: str, by: list[str] = [], k: int = 800) -> DataFrame:
+    """D13 from mergeable KLL sketches: one pass, and a row of some kilobytes for each group. A quantile's rank is off by no more than about 1.65 / k of
+    the group's rows at .99 confidence (.2 % at k = 800); values are rows' own, not interpolated. Nulls and NaN are left out."""
+    x = F.col(c).cast("double")
+    s = df.groupBy(*by).agg(F.kll_sketch_agg_double(F.when(~F.isnan(x), x), k).alias("__s"))
+    return s.select(*by, *[F.kll_sketch_get_quantile_double("__s", F.lit(q).cast("double")).alias(f"p{int(q * 100):02d}") for q in QUANTILES])
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], bins: int = 1_024) -> dict[str, list[float | None]]:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowfeat.operators.spread import BLOCK, MOST, in_blocks, owned
+from flowfeat.sources.shared import cut, drop
+
 
 def flatten_series(df: DataFrame, time_col: str, value_cols: list[str], keep: list[str]) -> DataFrame:
     """A3, A4: parallel arrays to rows; shorter arrays are padded with null, rows past the end of the times are dropped."""
@@ -45,32 +50,56 @@ def trailing_rows(key: list[str], order: str, n: int):
     return Window.partitionBy(*key).orderBy(order).rowsBetween(-(n - 1), 0)
 
 
-def trailing_features(series: DataFrame, key: list[str], order: str, sums: dict[str, list[int]], windows: dict[str, list[int]] | None = None) -> DataFrame:
-    """For each value column sums over the last n rows (null as 0), and for ``windows`` also largest value, wet rows (>= 0.1), mean without nulls and positive sum."""
+def trailing_features(series: DataFrame, key: list[str], order: str, sums: dict[str, list[int]], windows: dict[str, list[int]] | None = None, most: int = MOST, block: int = BLOCK) -> DataFrame:
+    """For each value column sums over the last n rows (null as 0), and for ``windows`` also largest value, wet rows (>= 0.1), mean without nulls and positive sum.
+
+    A key with over ``most`` rows is cut into blocks, each of which is lent the last rows of the one before.
+    """
+    longest = max(n for ns in [*sums.values(), *(windows or {}).values()] for n in ns)
+    rows, part = in_blocks(series, key, [order], longest - 1, most, block)
     out = {}
     for c, ns in sums.items():
         for n in ns:
-            out[f"{c}_sum_{n}"] = F.round(F.sum(F.coalesce(F.col(c), F.lit(0.0))).over(trailing_rows(key, order, n)), 4)
+            out[f"{c}_sum_{n}"] = F.round(F.sum(F.coalesce(F.col(c), F.lit(0.0))).over(trailing_rows(part, order, n)), 4)
     for c, ns in (windows or {}).items():
         for n in ns:
-            w = trailing_rows(key, order, n)
+            w = trailing_rows(part, order, n)
             out[f"{c}_max_{n}"] = F.coalesce(F.max(c).over(w), F.lit(0.0))
             out[f"{c}_wet_{n}"] = F.sum(F.when(F.col(c) >= 0.1, 1).otherwise(0)).over(w)
             out[f"{c}_mean_{n}"] = F.round(F.avg(c).over(w), 4)
             out[f"{c}_positive_{n}"] = F.round(F.sum(F.greatest(F.coalesce(F.col(c), F.lit(0.0)), F.lit(0.0))).over(w), 4)
-    return series.withColumns(out)
+    return owned(rows.withColumns(out))
 
 
-def last_reach(series: DataFrame, key: list[str], order: str, value: str, thresholds: list[float]) -> DataFrame:
-    """Per row the last day on which the value reached each threshold, up to that row."""
-    w = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return series.withColumns({f"reach_{int(t)}": F.max(F.when(F.col(value) >= t, F.col(order))).over(w) for t in thresholds})
+def last_reach(series: DataFrame, key: list[str], order: str, value: str, thresholds: list[float], most: int = MOST, block: int = BLOCK) -> DataFrame:
+    """Per row the last day on which the value reached each threshold, up to that row. Of a hot key, a block is handed the last reach of all blocks before it."""
+    names = [f"reach_{int(t)}" for t in thresholds]
+    reach = {n: F.when(F.col(value) >= t, F.col(order)) for n, t in zip(names, thresholds)}
+    rows, part = in_blocks(series, key, [order], 0, most, block)
+    w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumns({n: F.max(c).over(w) for n, c in reach.items()})
+    if part == key:
+        return owned(out)
+    ends = rows.groupBy(*part).agg(*[F.max(c).alias(n) for n, c in reach.items()])
+    before = Window.partitionBy(*key).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    carried = ends.select(*[F.col(k).alias(f"__c{k}") for k in part], *[F.max(n).over(before).alias(f"__c{n}") for n in names])
+    both = out.join(carried, [out[k].eqNullSafe(carried[f"__c{k}"]) for k in part], "left")
+    return owned(both.withColumns({n: F.coalesce(n, f"__c{n}") for n in names}).drop(*[f"__c{c}" for c in [*part, *names]]))
 
 
-def decayed_sum(value: str, key: list[str], order: str, decay: float, n: int) -> Column:
-    """acc = acc * decay + value over the last n rows, oldest first, null as 0."""
-    values = F.collect_list(F.coalesce(F.col(value), F.lit(0.0))).over(trailing_rows(key, order, n))
-    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc * decay + x)
+def decayed_sums(series: DataFrame, key: list[str], order: str, value: str, decays: dict[str, float], n: int, most: int = MOST, block: int = BLOCK) -> DataFrame:
+    """For each of ``decays`` acc = acc * decay + value over the last n rows, oldest first, null as 0. A hot key's blocks are lent n - 1 rows."""
+    rows, part = in_blocks(series, key, [order], n - 1, most, block)
+    rows = rows.withColumn("__list", F.collect_list(F.coalesce(F.col(value), F.lit(0.0))).over(trailing_rows(part, order, n)))
+    fold = lambda k: F.aggregate("__list", F.lit(0.0), lambda acc, x: acc * k + x)
+    return owned(rows.withColumns({name: fold(k) for name, k in decays.items()}).drop("__list"))
+
+
+def availability(series: DataFrame, key: list[str], order: str, value: str, n: int = 30, most: int = MOST, block: int = BLOCK) -> DataFrame:
+    """The value of the row before, and mean and least value of the last n rows, nulls skipped."""
+    rows, part = in_blocks(series, key, [order], max(n - 1, 1), most, block)
+    w = trailing_rows(part, order, n)
+    return owned(rows.withColumns({"prev": F.round(F.lag(value).over(Window.partitionBy(*part).orderBy(order)), 6), f"mean_{n}": F.round(F.avg(value).over(w), 6), f"min_{n}": F.round(F.min(value).over(w), 6)}))
 
 
 HOUR = 3_600_000_000
@@ -152,29 +181,52 @@ def merge_windows(windows: DataFrame, key: list[str], max_gap: int, ids: str, st
 
 
 def merge_windows_capped(windows: DataFrame, key: list[str], max_gap: int, max_span: int, ids: str, start: str = "start", end: str = "end") -> DataFrame:
-    """As E17, but a window that would make the merged one longer than ``max_span`` days starts a new one.
+    """Windows in order of (start, end, id) are merged as in E17, but one that would make the merged window longer than ``max_span`` days starts a new one.
 
-    The choice depends on what came before, so windows are folded in order; but a gap to all windows before always parts, so only the windows between two
-    such gaps are held in one list.
+    Where a merged window that starts on a day ends depends on that day alone: all windows of a day that fit the span join (those too long for any span stand
+    alone, and what follows them starts anew), and so do those of later days until a day lies beyond the gap or has a window that
+    doesn't fit. So each day of a key gets the day of the next start, from the days within the span after it; the days that are starts are found by
+    doubling jumps; and a window belongs to the last start before it. A key costs its days, not its windows; nothing is folded in one list. Windows
+    with a null start or end are left out.
     """
-    s, e, i = F.col(start).alias("s"), F.col(end).alias("e"), F.col(ids).alias("i")
-    order = Window.partitionBy(*key).orderBy(start, end, ids)
-    apart = F.coalesce(F.col(start) > F.date_add(F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)), max_gap), F.lit(True))
-    chained = windows.withColumn("__new", apart.cast("int")).withColumn("__chain", F.sum("__new").over(order))
-    listed = chained.groupBy(*key, "__chain").agg(F.array_sort(F.collect_list(F.struct(s, e, i))).alias("__all"))
-    kind = windows.schema[ids].dataType.simpleString()
-
-    def fold(acc, x):
-        last = F.element_at(acc, -1)
-        joins = (F.size(acc) > 0) & (x["s"] <= F.date_add(last["e"], max_gap)) & (F.datediff(F.greatest(last["e"], x["e"]), last["s"]) <= max_span)
-        merged = F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"), F.concat(last["ids"], F.array(x["i"])).alias("ids"))
-        alone = F.struct(x["s"].alias("s"), x["e"].alias("e"), F.array(x["i"]).alias("ids"))
-        return F.when(joins, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(merged))).otherwise(F.concat(acc, F.array(alone)))
-
-    empty = F.array().cast(f"array<struct<s:date,e:date,ids:array<{kind}>>>")
-    # the fold must not fail on the last element of an empty list
-    out = listed.select(*key, F.explode(F.aggregate("__all", empty, lambda acc, x: F.when(F.size(acc) == 0, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e"), F.array(x["i"]).alias("ids")))).otherwise(fold(acc, x)))).alias("w"))
-    return out.select(*key, F.col("w.s").alias(start), F.col("w.e").alias(end), F.col("w.ids").alias("ids"))
+    own = [f"__k{i}" for i in range(len(key))]
+    w = windows.filter(F.col(start).isNotNull() & F.col(end).isNotNull()).select(*[F.col(k).alias(o) for k, o in zip(key, own)], F.unix_date(start).alias("__d"), F.unix_date(end).alias("__e"), F.col(ids).alias("__i"))
+    long = F.col("__e") - F.col("__d") > max_span
+    days = w.groupBy(*own, "__d").agg(F.max("__e").alias("__most"), F.max(F.when(~long, F.col("__e"))).alias("__fit"), F.max(long).alias("__long"))
+    after = Window.partitionBy(*own).orderBy("__d")
+    back = Window.partitionBy(*own).orderBy(-F.col("__d")).rangeBetween(Window.unboundedPreceding, -max_span - 1)  # from the latest day on, so that the frame only grows
+    days = days.withColumns({"__first": F.lag("__d").over(after).isNull(), "__next": F.lead("__d").over(after), "__span": F.collect_list(F.struct(F.col("__d").alias("d"), F.col("__most").alias("m"))).over(after.rangeBetween(1, max_span)), "__past": F.last("__d").over(back)})
+    last = F.col("__d") + max_span
+    seek = F.aggregate(
+        F.array_sort("__span"),
+        F.struct(F.coalesce("__fit", "__most").alias("r"), F.lit(None).cast("int").alias("d"), F.lit(False).alias("gap")),
+        lambda a, x: F.when(a["d"].isNotNull(), a).otherwise(F.when((x["d"] > a["r"] + max_gap) | (x["m"] > last), F.struct(a["r"].alias("r"), x["d"].alias("d"), (x["d"] > a["r"] + max_gap).alias("gap"))).otherwise(F.struct(F.greatest(a["r"], x["m"]).alias("r"), a["d"].alias("d"), a["gap"].alias("gap")))),
+    )
+    found = days.withColumn("__s", F.when(F.col("__long"), F.struct(F.col("__fit").alias("r"), F.col("__next").alias("d"), F.lit(True).alias("gap"))).otherwise(seek))
+    # a day beyond the span has no window that could join; ``joins``: windows of the next start's day that end by then still belong to this one
+    jump = F.coalesce("__s.d", "__past")
+    joins = F.when(F.col("__s.d").isNotNull() & ~F.col("__s.gap"), last)
+    days = cut(found.select(*own, "__d", "__first", jump.alias("__to"), joins.alias("__joins")), "days")
+    starts = days.select(*own, "__d", F.col("__to").alias("__jump"), F.col("__first").alias("__start"))
+    starts = cut(starts, "starts")
+    while not starts.filter("__start AND __jump IS NOT NULL").isEmpty():
+        ahead = starts.select(*[F.col(o).alias(f"__a{o}") for o in own], F.col("__d").alias("__ad"), F.col("__jump").alias("__far"))
+        hit = starts.filter("__start AND __jump IS NOT NULL").select(*[F.col(o).alias(f"__h{o}") for o in own], F.col("__jump").alias("__hd")).distinct()
+        on = lambda p, at: reduce(Column.__and__, [F.col(at) == F.col(f"__{p}d"), *[F.col(o).eqNullSafe(F.col(f"__{p}{o}")) for o in own]])
+        new = starts.join(ahead, on("a", "__jump"), "left").join(hit, on("h", "__d"), "left").select(*own, "__d", F.col("__far").alias("__jump"), (F.col("__start") | F.col("__hd").isNotNull()).alias("__start"))
+        new = cut(new, "starts")
+        drop(starts)
+        starts = new
+    # who was the start before, and up to which end do a start day's windows still belong to it
+    joined = days.join(starts.select(*[F.col(o).alias(f"__s{o}") for o in own], F.col("__d").alias("__sd"), "__start"), reduce(Column.__and__, [*[F.col(o).eqNullSafe(F.col(f"__s{o}")) for o in own], F.col("__d") == F.col("__sd")]))
+    upto = Window.partitionBy(*own).orderBy("__d")
+    marked = F.last(F.when(F.col("__start"), F.struct(F.col("__d").alias("d"), F.col("__joins").alias("j"))), ignorenulls=True)
+    told = joined.select(*[F.col(o).alias(f"__t{o}") for o in own], F.col("__d").alias("__td"), "__start", marked.over(upto.rowsBetween(Window.unboundedPreceding, -1)).alias("__was"))
+    at = w.join(told, reduce(Column.__and__, [*[F.col(o).eqNullSafe(F.col(f"__t{o}")) for o in own], F.col("__d") == F.col("__td")]))
+    of = F.when(~F.col("__start") | (F.col("__e") <= F.col("__was.j")), F.col("__was.d")).otherwise(F.col("__d"))
+    alone = F.when(long, F.struct("__e", "__i"))
+    merged = at.groupBy(*own, of.alias("__of"), alone.alias("__alone")).agg(F.min("__d").alias("__a"), F.max("__e").alias("__b"), F.array_sort(F.collect_list(F.struct("__d", "__e", "__i"))).alias("__all"))
+    return merged.select(*[F.col(o).alias(k) for k, o in zip(key, own)], F.date_from_unix_date("__a").alias(start), F.date_from_unix_date("__b").alias(end), F.transform("__all", lambda x: x["__i"]).alias("ids"))
 
 
 def annual_windows(windows: DataFrame, key: list[str], ids: str, start: str = "start", end: str = "end") -> DataFrame:

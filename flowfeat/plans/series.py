@@ -98,7 +98,8 @@ DECAYS = (0.7, 0.85, 0.93)
 
 @query("e4_decayed_sums", f"WITH {WX} SELECT target, date, " + ", ".join(f"round(list_reduce(list_prepend(0.0::DOUBLE, list(precipitation) {frame(30)}), lambda a, x: a * {k} + x) + 1e-7, 4) AS api_{int(k * 100)}" for k in DECAYS) + " FROM wx")
 def e4(spark, d):
-    return wx(spark, d).select("target", "date", *[F.round(S.decayed_sum("precipitation", ["target"], "date", k, 30) + 1e-7, 4).alias(f"api_{int(k * 100)}") for k in DECAYS])
+    names = {f"api_{int(k * 100)}": k for k in DECAYS}
+    return S.decayed_sums(wx(spark, d), ["target"], "date", "precipitation", names, 30).select("target", "date", *[F.round(F.col(n) + 1e-7, 4).alias(n) for n in names])
 
 
 @query("c7_d1_grid_aggregate", f"WITH {GRID}, {WX}, j AS (SELECT basin, date, weight, CASE WHEN cell % 7 = 0 THEN NULL ELSE precipitation END AS p FROM grid JOIN wx ON cell = target), a AS (SELECT basin, date, list_sort(list(p) FILTER (p IS NOT NULL)) AS l, sum(p * weight) / sum(weight) AS p, max(p) AS m, count(*) AS n_cells, count(p) AS n_available, sum(weight) AS w FROM j GROUP BY 1, 2) SELECT basin, date, round(p, 6) AS precipitation, m AS max_cell_precipitation, l[round_even((n_available - 1) * 0.9, 0)::INT + 1] AS p90_cell_precipitation, n_cells, n_available, round(w, 6) AS available_weight FROM a")
@@ -109,11 +110,8 @@ def d1(spark, d):
 
 @query("e7_availability", f"WITH {GRID}, {WX}, a AS (SELECT basin AS target, date, sum(weight) AS w FROM grid JOIN wx ON cell = target GROUP BY 1, 2) SELECT target AS basin, date, round(lag(w) OVER (PARTITION BY target ORDER BY date), 6) AS prev, round(avg(w) {frame(30)}, 6) AS mean_30, round(min(w) {frame(30)}, 6) AS min_30 FROM a")
 def e7(spark, d):
-    from pyspark.sql import Window
-
     a = S.grid_daily(grid(spark, d), wx(spark, d).select("target", "date")).groupBy("basin", "date").agg(F.sum("weight").alias("w"))
-    w30 = S.trailing_rows(["basin"], "date", 30)
-    return a.select("basin", "date", F.round(F.lag("w").over(Window.partitionBy("basin").orderBy("date")), 6).alias("prev"), F.round(F.avg("w").over(w30), 6).alias("mean_30"), F.round(F.min("w").over(w30), 6).alias("min_30"))
+    return S.availability(a, ["basin"], "date", "w").select("basin", "date", "prev", "mean_30", "min_30")
 
 
 @query("e16_observation_windows", f"WITH {OBS} SELECT observation_id, date - 30 AS start, date AS \"end\", 'win_' || substr(sha1(observation_id || '|' || CAST(date - 30 AS VARCHAR) || '|' || CAST(date AS VARCHAR)), 1, 16) AS window_id FROM obs")
@@ -172,7 +170,7 @@ def d29(spark, d):
     return S.rain_summary(ev(spark, d).withColumn("k", F.get_json_object("props", "$.k").cast("double")), ["user_id"], "ts", "value", "k", "2024-01-16 12:00:00")
 
 
-@query("a10_pending_windows", WINDOWS + ", p AS (SELECT * FROM w WHERE observation_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')) SELECT observation_id, a AS start, b AS \"end\", ((row_number() OVER (PARTITION BY year(a) ORDER BY a, observation_id)) - 1) // 50 AS batch FROM p")
+@query("a10_pending_windows", WINDOWS + ", p AS (SELECT * FROM w WHERE observation_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')) SELECT observation_id, a AS start, b AS \"end\", ((row_number() OVER (ORDER BY a, observation_id)) - 1) // 50 AS batch FROM p")
 def a10(spark, d):
     from flowfeat.operators.merge import pending_windows
 
