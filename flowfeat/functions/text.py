@@ -114,14 +114,16 @@ def stable_unit(seed: Column | str, key: Column) -> Column:
     return F.conv(F.substring(F.sha1(F.concat_ws(":", seed, key.cast("string"))), 1, 12), 16, 10).cast("double") / F.lit(float(0xFFFFFFFFFFFF))
 
 
-ROMAN = {"I": 1, "II": 2, "III": 3, "IV": 4, "V": 5, "VI": 6}
+# Engagement grades.
+ROMAN = {"I": 1, "II": 2, "III": 3, "IV": 4, "V": 5, "VI": 6, "VII": 7, "VIII": 8, "IX": 9, "X": 10}
+COTATION = r"^\s*(?i:v)\s*(\d+)\s*/?\s*(?i:a)\s*(\d+)\s*/?\s*([ivxIVX]+)\s*\z"
 
 
 def parse_cotation(c: Column) -> Column:
-    """H11: "v3a2III" as a struct of vertical, aquatic and engagement; missing parts are null."""
-    part = lambda rx: F.nullif(F.regexp_extract(c, rx, 1), F.lit(""))
+    """A whole text like "v3a2III" or "V 4 / A 2 / X" as a struct of vertical, aquatic and engagement. Other texts give three nulls, a grade that is none a null engagement."""
+    part = lambda i: F.nullif(F.regexp_extract(c, COTATION, i), F.lit(""))
     roman = F.create_map(*[F.lit(x) for k, v in ROMAN.items() for x in (k, v)])
-    return F.struct(part(r"(?i)v\s*([1-7])").cast("int").alias("vertical"), part(r"(?i)a\s*([1-7])").cast("int").alias("aquatic"), F.element_at(roman, part(r"(IV|VI|V|I{1,3})\s*$")).alias("engagement"))
+    return F.struct(part(1).try_cast("int").alias("vertical"), part(2).try_cast("int").alias("aquatic"), F.element_at(roman, F.upper(part(3))).alias("engagement"))
 
 
 def administrative_tokens(c: Column) -> Column:
@@ -268,13 +270,30 @@ def agreement_category(delta: Column) -> Column:
     return F.when(d <= 0.25, "exact").when(d <= 0.75, "close").when(d <= 1.25, "one_level").when(d.isNotNull(), "conflict")
 
 
-def infer_level_from_text(c: Column, rules: list[tuple[str, str]]) -> Column:
-    """The level of the first rule whose pattern is found in the folded text."""
-    low = fold(c)
-    out = F.lit(None).cast("string")
-    for pattern, level in reversed(rules):
-        out = F.when(low.rlike(pattern), level).otherwise(out)
-    return out
+# Words of a quoted water level and the level that they tell; the first rule with a word in it wins.
+WATER_LEVELS = [
+    ("Crazy", ["extrem", "sehr hoch", "flood", "crue"]),
+    ("High", ["dc+", "hoch", "viel", "high"]),
+    ("Dry", ["trocken", "dry", "sec"]),
+    ("Low", ["dc-", "niedrig", "tief", "wenig", "low", "mittel niedrig", "niedrig mittel", "sehr niedrig"]),
+    ("Normal", ["dc", "mittel", "normal", "ideal", "ok", "angenehm"]),
+]
+QUOTED_LEVELS = [r'(?i)Wasserstand:\s*"([^"]+)"', r'(?i)Water\s*level:\s*"?([^"\n,.;)]+)']
+
+
+def infer_level_from_text(c: Column, rules: list[tuple[str, list[str]]] = WATER_LEVELS, quoted: list[str] = QUOTED_LEVELS) -> Column:
+    """Struct (level, raw) of the water level that a comment quotes: the first of the patterns that is found, and the level of the first rule one of whose
+    words stands in it, folded, anything but letters, digits, + and - being a space. No quote gives two nulls; one that no rule knows has no level."""
+    found = F.coalesce(*[F.nullif(F.regexp_extract(c, rx, 1), F.lit("")) for rx in quoted])
+    raw = F.regexp_replace(found, r"^\s+|\s+$", "")
+    bare = F.trim(F.regexp_replace(fold(raw), r"[^a-z0-9+\-]+", " "))
+    level = F.lit(None).cast("string")
+    for name, words in reversed(rules):
+        hit = F.lit(False)
+        for w in words:
+            hit = hit | bare.contains(w)
+        level = F.when(hit, name).otherwise(level)
+    return F.struct(F.when(raw.isNotNull() & (bare != ""), level).alias("level"), raw.alias("raw"))
 
 
 def sanitize_url(c: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowfeat.operators.graph import components
+from flowfeat.operators.spread import grouped_quantiles
 
 
 def share(cond: Column, of: Column | None = None) -> Column:
@@ -17,13 +18,25 @@ def share(cond: Column, of: Column | None = None) -> Column:
 
 
 def elevation_stats(cells: DataFrame, basin: str) -> DataFrame:
-    """I4: elevation range, mean, median, deviation, shares above 1500, 2000, 2500; 90th percentile and shares of slopes; aspect quarters."""
+    """I4: elevation range, mean, median, deviation, shares from 1500, 2000, 2500 on; median and 90th percentile of slopes and shares of them; aspect quarters.
+
+    Percentiles come from narrowed intervals, so no task holds a basin's values.
+    """
     e, s, a = F.col("elevation"), F.col("slope"), F.col("aspect")
-    return cells.groupBy(basin).agg(
-        F.round(F.min(e), 4).alias("min"), F.round(F.avg(e), 4).alias("mean"), F.round(F.percentile(e, F.lit(0.5)), 6).alias("median"), F.round(F.max(e), 4).alias("max"), F.round(F.stddev_pop(e), 4).alias("std"),
-        *[share(e > t).alias(f"above_{t}") for t in (1500, 2000, 2500)], F.round(F.percentile(s, F.lit(0.9)), 4).alias("slope_p90"), *[share(s >= t).alias(f"slope_{t}") for t in (10, 20, 30)],
+    out = cells.groupBy(basin).agg(
+        F.round(F.min(e), 4).alias("min"), F.round(F.avg(e), 4).alias("mean"), F.round(F.max(e), 4).alias("max"), F.round(F.stddev_pop(e), 4).alias("std"),
+        *[share(e >= t).alias(f"above_{t}") for t in (1500, 2000, 2500)], *[share(s >= t).alias(f"slope_{t}") for t in (10, 20, 30)],
         share((a >= 315) | (a < 45)).alias("north"), share((a >= 45) & (a < 135)).alias("east"), share((a >= 135) & (a < 225)).alias("south"), share((a >= 225) & (a < 315)).alias("west"),
     )
+    return _with_quantiles(out, cells, basin, {"median": (e, 0.5, 6), "slope_median": (s, 0.5, 4), "slope_p90": (s, 0.9, 4)})
+
+
+def _with_quantiles(out: DataFrame, cells: DataFrame, basin: str, wanted: dict[str, tuple[Column, float, int]]) -> DataFrame:
+    """out with a column for each (values, share, digits) of ``wanted``: that quantile of the basin's values."""
+    shares = sorted({p for _, p, _ in wanted.values()})
+    q = grouped_quantiles(cells, [basin], {f"__q_{n}": c for n, (c, _, _) in wanted.items()}, shares).withColumnRenamed(basin, "__basin")
+    both = out.join(q, out[basin].eqNullSafe(q["__basin"]), "left")
+    return both.select(*out.columns, *[F.round(F.get(f"__q_{n}", shares.index(p)), digits).alias(n) for n, (_, p, digits) in wanted.items()])
 
 
 def class_fractions(cells: DataFrame, basin: str, code: str, codes: list[int], valid: str) -> DataFrame:
@@ -43,7 +56,6 @@ def soil_stats(cells: DataFrame, basin: str) -> DataFrame:
     """Clay and sand (percent) mean, median and 90th percentile; shares of clayey (>= 35) cells and of sandy ones (sand >= 60, clay < 20); runoff index, the
     mean of clay / 50 - sand / 100 + .5 kept in [0, 1]; and, over cells that have them, means of the subsoil's clay and sand, coarse fragments, soil depth (cm)
     with the share up to 100, depth to bedrock, water capacity, and conductivity from its logarithm."""
-    q = lambda c, p: F.round(F.percentile(c, F.lit(p)), 4)
     index = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("clay") / 50 - F.col("sand") / 100 + 0.5))
     some = lambda c, ok: F.when(ok & ~F.isnan(c), F.col(c))
     depth, ksat = some("soil_depth", F.col("soil_depth") >= 0), some("log_ksat", F.col("log_ksat") > -30)
@@ -57,24 +69,37 @@ def soil_stats(cells: DataFrame, basin: str) -> DataFrame:
         "water_capacity": F.avg(some("water_capacity", F.col("water_capacity") >= 0)),
         "conductivity": F.avg(F.pow(F.lit(10.0), ksat)),
     }
-    top = [x for c in ("clay", "sand") for x in (F.round(F.avg(c), 4).alias(f"{c}_mean"), q(c, 0.5).alias(f"{c}_median"), q(c, 0.9).alias(f"{c}_p90"))]
-    return cells.groupBy(basin).agg(*top, share(F.col("clay") >= 35).alias("clayey"), share((F.col("sand") >= 60) & (F.col("clay") < 20)).alias("sandy"), F.round(F.avg(index), 6).alias("runoff_index"), *[F.round(c, 6).alias(n) for n, c in more.items()])
+    top = [F.round(F.avg(c), 4).alias(f"{c}_mean") for c in ("clay", "sand")]
+    out = cells.groupBy(basin).agg(*top, share(F.col("clay") >= 35).alias("clayey"), share((F.col("sand") >= 60) & (F.col("clay") < 20)).alias("sandy"), F.round(F.avg(index), 6).alias("runoff_index"), *[F.round(c, 6).alias(n) for n, c in more.items()])
+    return _with_quantiles(out, cells, basin, {f"{c}_{n}": (F.col(c), p, 4) for c in ("clay", "sand") for n, p in (("median", 0.5), ("p90", 0.9))})
+
+
+# The day of the year at each month's middle, and days of the months.
+MIDDLE_DAYS = [15, 45, 74, 105, 135, 166, 196, 227, 258, 288, 319, 349]
+MONTH_DAYS = [31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31]
 
 
 def climate_summary(monthly: DataFrame, basin: str, latitude: Column) -> DataFrame:
-    """I8: long monthly means (basin, month, precipitation, temp, tmin, tmax) as annual sum, seasonality, winter mean by hemisphere, continentality, Hargreaves evaporation, aridity and snow share."""
-    lat = F.radians(latitude)
-    day = (F.col("month") - 0.5) * 30.4375
-    decl = 0.409 * F.sin(2 * np.pi * day / 365 - 1.39)
-    dist = 1 + 0.033 * F.cos(2 * np.pi * day / 365)
+    """I8: long monthly means (basin, month, precipitation, temp, tmin, tmax) as annual sum, seasonality (population deviation over mean), mean, winter (by
+    hemisphere) temperature, continentality and oceanicity 1 / (1 + it), Hargreaves evaporation (none at -20 degrees or less), aridity, and the share of
+    snow, which all falls as such from -2 degrees down, not at all from 2 up, and in proportion between."""
+    lat, month = F.radians(latitude), F.col("month")
+    day = F.element_at(F.lit(MIDDLE_DAYS), month)
+    decl = 0.409 * F.sin(2 * np.pi / 365 * day - 1.39)
+    dist = 1 + 0.033 * F.cos(2 * np.pi / 365 * day)
     ws = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -F.tan(lat) * F.tan(decl))))
-    ra = 37.58603 * dist * (ws * F.sin(lat) * F.sin(decl) + F.cos(lat) * F.cos(decl) * F.sin(ws))  # 24 * 60 / pi * 0.0820 MJ
-    pet = F.greatest(F.lit(0.0), 0.0023 * 0.408 * ra * (F.col("temp") + 17.8) * F.sqrt(F.greatest(F.lit(0.0), F.col("tmax") - F.col("tmin")))) * 30.4375
-    winter = F.when(latitude >= 0, F.col("month").isin(12, 1, 2)).otherwise(F.col("month").isin(6, 7, 8))
+    ra = 24 * 60 / np.pi * 0.0820 * 0.408 * dist * (ws * F.sin(lat) * F.sin(decl) + F.cos(lat) * F.cos(decl) * F.sin(ws))  # mm of evaporation a day
+    daily = 0.0023 * ra * (F.col("temp") + 17.8) * F.sqrt(F.greatest(F.lit(0.0), F.col("tmax") - F.col("tmin")))
+    pet = F.when(F.col("temp") <= -20, 0.0).otherwise(F.greatest(F.lit(0.0), daily)) * F.element_at(F.lit(MONTH_DAYS), month)
+    winter = F.when(latitude >= 0, month.isin(12, 1, 2)).otherwise(month.isin(6, 7, 8))
     p = F.col("precipitation")
-    rows = monthly.withColumns({"__pet": pet, "__w": winter})
-    annual = F.sum(p)
-    return rows.groupBy(basin).agg(F.round(annual, 4).alias("annual"), F.round(F.when(F.avg(p) > 0, F.stddev_pop(p) / F.avg(p)), 6).alias("seasonality"), F.round(F.avg(F.when(F.col("__w"), F.col("temp"))), 4).alias("winter_temp"), F.round(F.max("temp") - F.min("temp"), 4).alias("continentality"), F.round(F.sum("__pet"), 4).alias("pet"), F.round(F.when(F.sum("__pet") > 0, annual / F.sum("__pet")), 6).alias("aridity"), F.round(F.when(annual > 0, F.sum(F.when(F.col("temp") < 0, p).otherwise(0.0)) / annual), 6).alias("snow_share"))
+    snow = p * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (2 - F.col("temp")) / 4))
+    rows = monthly.withColumns({"__pet": pet, "__w": winter, "__snow": snow})
+    annual, cold, evap = F.sum(p), F.max("temp") - F.min("temp"), F.sum("__pet")
+    return rows.groupBy(basin).agg(
+        F.round(annual, 3).alias("annual"), F.round(F.when(F.avg(p) > 0, F.stddev_pop(p) / F.avg(p)), 6).alias("seasonality"), F.round(F.avg("temp"), 3).alias("mean_temp"), F.round(F.avg(F.when(F.col("__w"), F.col("temp"))), 3).alias("winter_temp"),
+        F.round(cold, 3).alias("continentality"), F.round(1 / (1 + F.greatest(cold, F.lit(0.0))), 6).alias("oceanicity"), F.round(evap, 3).alias("pet"), F.round(F.when(evap > 0, annual / evap), 6).alias("aridity"), F.round(F.when(annual > 0, F.sum("__snow") / annual), 6).alias("snow_share"),
+    )
 
 
 def built_share(cells: DataFrame, basin: str, value: Column, cell_area: float) -> DataFrame:
@@ -89,27 +114,76 @@ def upstream_rollup(features: DataFrame, basin: str, ident: str) -> DataFrame:
     return once.groupBy(basin).agg(*[F.sum((F.col("kind") == k).cast("long")).alias(f"n_{k}") for k in kinds], *[F.round(F.sum(F.when(F.col("kind") == k, F.col("area")).otherwise(0.0)), 4).alias(f"area_{k}") for k in ("lake", "glacier")], F.round(F.sum(F.when(F.col("kind") == "reservoir", F.col("storage"))), 4).alias("storage"), F.max(F.when(F.col("kind") == "reservoir", F.col("storage"))).alias("max_storage"), F.max("year").alias("newest"), F.min("distance").alias("nearest"))
 
 
-def tag_rollup(tags: DataFrame, basin: str) -> DataFrame:
-    """Counts of map features by kind, whether they look like a hydropower scheme, and how sure that is."""
-    n = lambda *k: F.sum(F.col("tag").isin(*k).cast("long"))
-    out = tags.groupBy(basin).agg(n("dam").alias("dams"), n("weir").alias("weirs"), n("intake").alias("intakes"), n("penstock").alias("penstocks"), n("plant").alias("plants"), n("gauge").alias("gauges"), n("reservoir").alias("reservoirs"))
-    strong = (F.col("dams") > 0) & (F.col("plants") > 0) | (F.col("penstocks") > 0)
-    return out.withColumns({"likely_scheme": strong | (F.col("intakes") > 0), "confidence": F.when(strong, "high").when(F.col("intakes") > 0, "medium").when(F.col("weirs") > 0, "low").otherwise("none")})
+# What a pipeline that drives a plant is used for.
+PENSTOCK_USES = ["penstock", "headrace", "transmission", "spillway"]
 
 
-def regulation_severity(df: DataFrame) -> DataFrame:
-    """.35 degree of regulation + .25 log storage + .2 count / 8 + .2 nearness, each in [0, 1]; the dominant type, "mixed" if two lead."""
-    unit = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(c, F.lit(0.0))))
-    score = 0.35 * unit(F.col("dor")) + 0.25 * unit(F.log10(1 + F.coalesce(F.col("storage"), F.lit(0.0))) / 3) + 0.2 * unit(F.col("n") / 8) + 0.2 * unit(1 - F.col("distance") / 20)
-    top = F.greatest("hydro", "supply", "other")
-    lead = (F.col("hydro") == top).cast("int") + (F.col("supply") == top).cast("int") + (F.col("other") == top).cast("int")
-    kind = F.when(top <= 0, "none").when(lead > 1, "mixed").when(F.col("hydro") == top, "hydro").when(F.col("supply") == top, "supply").otherwise("other")
-    return df.withColumns({"severity": F.round(score, 6), "dominant": kind})
+def tag_rollup(features: DataFrame, basin: str, tags: str = "tags", operator: str = "edf") -> DataFrame:
+    """Per basin counts of mapped dams, weirs, reservoirs, canals, penstocks, hydropower plants and features of an ``operator``, from maps of tags; whether any
+    regulation is there; a likely scheme: a dam or weir, and a penstock or plant; and the confidence: high for such a scheme or a plant of the
+    operator's, medium for any regulation, else none."""
+    t = lambda k: F.coalesce(F.try_element_at(F.col(tags), F.lit(k)), F.lit(""))
+    source = F.when(t("plant:source") != "", t("plant:source")).otherwise(t("generator:source"))
+    kinds = {
+        "dams": t("waterway") == "dam",
+        "weirs": t("waterway") == "weir",
+        "reservoirs": (t("water") == "reservoir") | (t("landuse") == "reservoir"),
+        "canals": t("waterway") == "canal",
+        "penstocks": (t("waterway") == "pressurised") | ((t("man_made") == "pipeline") & t("usage").isin(PENSTOCK_USES)),
+        "plants": (t("power") == "plant") & (F.lower(source) == "hydro"),
+    }
+    out = features.groupBy(basin).agg(*[F.sum(c.cast("long")).alias(n) for n, c in kinds.items()], F.sum(F.lower(t("operator")).contains(operator).cast("long")).alias("operated"))
+    n = F.col
+    likely = (n("dams") + n("weirs") > 0) & ((n("penstocks") > 0) | (n("plants") > 0))
+    present = sum((n(k) for k in kinds), F.lit(0)) > 0
+    sure = F.when(likely | ((n("plants") > 0) & (n("operated") > 0)), "high").when(present, "medium").otherwise("none")
+    return out.withColumns({"present": present, "likely_scheme": likely, "confidence": sure})
+
 
+def regulation_severity(df: DataFrame) -> DataFrame:
+    """What is known of regulation upstream of a basin, from counts of two registers and of mapped features (null is 0).
 
-def karst_proxy(step: Column, carbonate: Column, depressions: Column, density: Column) -> Column:
-    """Weighted signs of karst, in [0, 1]."""
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.4 * step + 0.3 * carbonate + 0.2 * F.least(F.lit(1.0), depressions / 10) + 0.1 * (1 - F.least(F.lit(1.0), density)))), 6)
+    Columns read: ``dor_percent``, ``reservoir_fraction``; ``gdw_storage``, ``lake_storage`` (million cubic metres); ``gdw_distance``, ``lake_distance`` (km);
+    ``gdw_plants``, ``gdw_barriers``, ``gdw_reservoirs``, ``lake_dams``, ``lake_reservoirs``; ``osm_plants``, ``osm_dams``, ``osm_reservoirs``, ``osm_weirs``, ``osm_canals``,
+    ``osm_penstocks``; ``stream_km``, ``area_km2``. Severity is .35 degree of regulation + .25 ln(1 + storage) / ln(10,001) + .2 works / 8 + .2 nearness
+    within 20 km, each at most 1; null if 0. The dominant type is the one with most works, "mixed" if two lead, of
+    hydropower, barrier, reservoir and diversion in this order.
+    """
+    v = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    unit = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    degree = unit(v("dor_percent") / 100)
+    regulated = F.greatest(degree, unit(v("reservoir_fraction")))
+    nearest = F.least("gdw_distance", "lake_distance").cast("double")  # nulls are skipped
+    kinds = {"hydropower": v("gdw_plants") + v("osm_plants"), "barrier": v("gdw_barriers") + v("osm_dams"), "reservoir": v("gdw_reservoirs") + v("lake_reservoirs") + v("osm_reservoirs"), "diversion": v("osm_weirs") + v("osm_canals") + v("osm_penstocks")}
+    top = F.greatest(*kinds.values())
+    leads = sum(((c == top).cast("int") for c in kinds.values()), F.lit(0))
+    dominant = F.when(top <= 0, "none").when(leads > 1, "mixed")
+    for name, c in kinds.items():
+        dominant = dominant.when(c == top, name)
+    intake = F.when(v("stream_km") > 0, kinds["diversion"] / v("stream_km")).when(v("area_km2") > 0, kinds["diversion"] / v("area_km2"))
+    works = F.greatest(v("gdw_barriers"), v("lake_dams"), v("osm_dams")) + kinds["reservoir"] + kinds["diversion"]
+    near = F.coalesce(F.greatest(F.lit(0.0), 1 - F.least(nearest / 20, F.lit(1.0))), F.lit(0.0))
+    storage = F.greatest(v("gdw_storage"), v("lake_storage"), F.lit(0.0))
+    severity = F.least(F.lit(1.0), 0.35 * degree + 0.25 * F.least(F.log1p(storage) / float(np.log1p(10_000.0)), F.lit(1.0)) + 0.2 * F.least(works / 8, F.lit(1.0)) + 0.2 * near)
+    some = lambda c: F.round(F.when(c > 0, c), 6)
+    return df.withColumns({
+        "nearest_km": F.round(nearest, 6), "regulated_fraction": some(regulated), "dominant": dominant, "transfer_likely": (v("osm_canals") > 0) | (v("osm_penstocks") > 1), "intake_density": F.round(intake, 6),
+        "cascade": F.greatest(kinds["hydropower"] + v("osm_penstocks") - 1, F.lit(0.0)).cast("long"), "severity": some(severity),
+    })
+
+
+def karst_proxies(carbonate: Column, karst: Column, infiltration: Column, shallow: Column, depressions: Column, area_km2: Column, drainage: Column, frequency: Column) -> Column:
+    """Struct of sinkholes and springs per square kilometre, and signs of losing streams, resurgences and connectivity in [0, 1]. Connectivity is
+    .45 max(carbonate, karst) + .2 infiltration + .2 shallow soils + .15 sinkholes. All null where neither carbonate nor karst is known; other nulls are 0."""
+    v = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
+    rock = F.greatest(v(carbonate), v(karst))
+    sinkholes = F.when(area_km2 > 0, v(depressions) / area_km2 * F.greatest(rock, F.lit(0.1)))
+    springs = v(frequency) * rock
+    linked = F.least(F.lit(1.0), 0.45 * rock + 0.2 * v(infiltration) + 0.2 * v(shallow) + 0.15 * F.least(F.coalesce(sinkholes, F.lit(0.0)), F.lit(1.0)))
+    unit = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    known = carbonate.isNotNull() | karst.isNotNull()
+    of = {"sinkholes": sinkholes, "springs": springs, "losing": unit(linked * (1 - F.least(v(drainage) / 3, F.lit(1.0)))), "resurgence": unit(linked * F.least(springs / 1.5, F.lit(1.0))), "connectivity": linked}
+    return F.struct(*[F.round(F.when(known, c), 6).alias(n) for n, c in of.items()])
 
 
 def neighbours(cells: DataFrame, basin: str, cols: list[str]) -> DataFrame:
@@ -224,27 +298,50 @@ def strahler(links: DataFrame, basin: str, stream: Column) -> DataFrame:
     return out.groupBy(basin).agg(F.max("order").alias("strahler"))
 
 
-def topographic_indices(cells: DataFrame, basin: str, area: Column, hand: Column) -> DataFrame:
-    """Mean wetness index ln(a / tan s), height above stream stats, hypsometric integral, confinement (share under 5 above the stream), flow quantiles."""
-    s = F.tan(F.radians(F.greatest(F.col("slope"), F.lit(0.1))))
-    e = F.col("elevation")
-    q = lambda c, p: F.round(F.percentile(c, F.lit(p)), 4)
-    return cells.groupBy(basin).agg(F.round(F.avg(F.log(area / s)), 4).alias("twi"), F.round(F.avg(hand), 4).alias("hand_mean"), q(hand, 0.9).alias("hand_p90"), F.round(F.when(F.max(e) > F.min(e), (F.avg(e) - F.min(e)) / (F.max(e) - F.min(e))), 6).alias("hypsometric"), share(hand < 5).alias("confinement"), *[q(area, p).alias(f"flow_p{int(p * 100)}") for p in (0.5, 0.9, 0.99)])
+def topographic_indices(cells: DataFrame, basin: str, area_km2: Column, hand: Column, stream: Column, resolution: float, curvatures: dict[str, Column] | None = None) -> DataFrame:
+    """Mean and 90th percentile of the wetness index ln(a / tan s); mean, median and 90th percentile of the height above the stream; hypsometric integral; valley
+    confinement, one less the share of cells on the valley floor, which reaches up to the 20th percentile of heights, but 5 at least and 30 at most;
+    channel confinement, stream cells over floor cells; quantiles of the area upstream; and means of ``curvatures``. Nulls are left out."""
+    tan = F.greatest(F.tan(F.radians(F.greatest(F.lit(0.1), F.least(F.lit(89.0), F.col("slope"))))), F.lit(1e-6))
+    specific = F.greatest(area_km2, F.lit(1e-6)) * 1e6 / max(resolution, 1.0)
+    rows = cells.select(basin, "elevation", F.log(F.greatest(specific / tan, F.lit(1e-6))).alias("__twi"), hand.alias("__hand"), area_km2.alias("__area"), stream.alias("__stream"), *[c.alias(f"__c_{n}") for n, c in (curvatures or {}).items()])
+    q = grouped_quantiles(rows, [basin], {"__qt": F.col("__twi"), "__qh": F.col("__hand"), "__qa": F.col("__area")}, [0.2, 0.5, 0.9, 0.99]).withColumnRenamed(basin, "__basin")
+    floor = F.greatest(F.lit(5.0), F.least(F.lit(30.0), F.get("__qh", 0)))
+    both = rows.join(q, rows[basin].eqNullSafe(q["__basin"]), "left").withColumn("__floor", F.col("__hand") <= floor)
+    e, n_floor = F.col("elevation"), F.sum(F.coalesce(F.col("__floor").cast("long"), F.lit(0)))
+    at = lambda c, i, digits: F.round(F.get(F.first(c), i), digits)
+    return both.groupBy(basin).agg(
+        F.round(F.when(F.max(e) > F.min(e), (F.avg(e) - F.min(e)) / (F.max(e) - F.min(e))), 6).alias("hypsometric"), F.round(F.avg("__twi"), 6).alias("twi_mean"), at("__qt", 2, 6).alias("twi_p90"),
+        F.round(F.avg("__hand"), 3).alias("hand_mean"), at("__qh", 1, 3).alias("hand_median"), at("__qh", 2, 3).alias("hand_p90"),
+        F.round(F.when(n_floor > 0, F.greatest(F.lit(0.0), 1 - n_floor / F.count("*"))), 6).alias("valley_confinement"), F.round(F.when(n_floor > 0, F.sum(F.coalesce(F.col("__stream").cast("long"), F.lit(0))) / n_floor), 6).alias("channel_confinement"),
+        *[at("__qa", i, 6).alias(f"flow_p{p}") for i, p in ((1, 50), (2, 90), (3, 99))], *[F.round(F.avg(f"__c_{n}"), 6).alias(n) for n in curvatures or {}],
+    )
+
+
+def response_times(cells: DataFrame, basin: str, outlet: Column | None = None) -> DataFrame:
+    """Longest flow path L (m), slope from its start down to the outlet's elevation (by default the lowest), Kirpich's .01947 L^.77 S^-.385 and
+    Giandotti's times in minutes, Melton's ruggedness, relief ratio. Times are null without a path, slope or relief."""
+    per = cells.groupBy(basin).agg(F.max("path").alias("l"), F.max_by("elevation", F.struct("path", "elevation")).alias("top"), (F.min("elevation") if outlet is None else F.max(outlet)).alias("out"), F.min("elevation").alias("low"), F.max("elevation").alias("high"), F.count("*").alias("n"))
+    area, l, relief = F.col("n") * 0.0009, F.col("l"), F.col("high") - F.col("low")
+    slope = F.when(l > 0, F.greatest(F.col("top") - F.col("out"), F.lit(0.0)) / l)
+    return per.select(
+        basin, l.alias("longest_path"), F.round(100 * slope, 6).alias("slope_percent"), F.round(F.when(slope > 0, 0.01947 * F.pow(l, F.lit(0.77)) * F.pow(slope, F.lit(-0.385))), 6).alias("kirpich"),
+        F.round(F.when((l > 0) & (relief > 0), (4 * F.sqrt(area) + 1.5 * l / 1000) / (0.8 * F.sqrt(relief)) * 60), 6).alias("giandotti"), F.round(relief / 1000 / F.sqrt(area), 6).alias("melton"), F.round(F.when(l > 0, relief / l), 6).alias("relief_ratio"),
+    )
 
 
-def response_times(cells: DataFrame, basin: str) -> DataFrame:
-    """Longest flow path L (m), its slope, Kirpich .01947 L^.77 S^-.385, Giandotti and Melton numbers, relief ratio."""
-    per = cells.groupBy(basin).agg(F.max("path").alias("l"), F.max_by("elevation", F.struct("path", "elevation")).alias("top"), F.min("elevation").alias("low"), F.avg("elevation").alias("mean"), F.max("elevation").alias("high"), F.count("*").alias("n"))
-    area = F.col("n") * 0.0009
-    slope = F.greatest((F.col("top") - F.col("low")) / F.col("l"), F.lit(1e-4))
-    return per.select(basin, F.col("l").alias("longest_path"), F.round(100 * slope, 4).alias("slope_percent"), F.round(0.01947 * F.pow("l", F.lit(0.77)) * F.pow(slope, F.lit(-0.385)), 4).alias("kirpich"), F.round((4 * F.sqrt(area) + 1.5 * F.col("l") / 1000) / (0.8 * F.sqrt(F.greatest(F.col("mean") - F.col("low"), F.lit(1.0)))), 6).alias("giandotti"), F.round((F.col("high") - F.col("low")) / 1000 / F.sqrt(area), 6).alias("melton"), F.round((F.col("high") - F.col("low")) / F.col("l"), 6).alias("relief_ratio"))
+# What a verdict about the outlet takes off.
+VERDICT_COST = {"off_channel": 0.5, "uncertain": 0.2, "possible_proxy": 0.1}
 
 
 def quality_score(nodata: Column, snap: Column, resolution: Column, verdict: Column) -> Column:
-    """1 - .7 nodata - min(snap / 200 * .25, .25) - a step by resolution - a step by verdict, in [0, 1]."""
-    step = F.when(resolution > 30, 0.15).when(resolution > 10, 0.05).otherwise(0.0)
-    told = F.when(verdict == "ok", 0.0).when(verdict == "doubtful", 0.2).otherwise(0.4)
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - 0.7 * nodata - F.least(snap / 200 * 0.25, F.lit(0.25)) - step - told)), 6)
+    """1 - .7 nodata - min(snap / 200 * .25, .25) - .15 for cells over 20 m or .08 over 10 m - the verdict's cost, in [0, 1]. A null snap or verdict costs nothing."""
+    step = F.when(resolution > 20, 0.15).when(resolution > 10, 0.08).otherwise(0.0)
+    told = F.lit(0.0)
+    for name, cost in VERDICT_COST.items():
+        told = F.when(verdict == name, cost).otherwise(told)
+    away = F.least(F.coalesce(snap, F.lit(0)) / 200 * 0.25, F.lit(0.25))
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.least(0.7 * nodata, F.lit(0.7)) - away - step - told)), 6)
 
 
 def box_morphology(df: DataFrame, area_km2: Column) -> DataFrame:

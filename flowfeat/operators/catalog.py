@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -166,15 +168,30 @@ def search(catalog: DataFrame, query: str = "", flags: dict[str, bool] | None =
     return out
 
 
-def relevance(name: Column, full: Column, other: Column, query: str) -> Column:
-    """how well a row's texts match a query: the name before the full name before other fields; equal before prefix before word before part."""
-    out = F.lit(0)
-    ladder = [(name == query, 800), (full == query, 750), (name.startswith(query), 700), (full.startswith(query), 650), (F.concat(F.lit(" "), name).contains(" " + query), 600), (F.concat(F.lit(" "), full).contains(" " + query), 550), (name.contains(query), 500), (full.contains(query), 450), (F.concat(F.lit(" "), other).contains(" " + query), 300), (other.contains(query), 200)]
-    for ok, score in reversed(ladder):
-        out = F.when(ok, score).otherwise(out)
+# Scores of a match, best first.
+RELEVANCE = {"name is": 800, "full name is": 750, "name starts": 700, "name has": 650, "name has words": 600, "full name starts": 550, "full name has": 500, "full name has words": 450, "text has": 300, "else": 200}
+
+
+def relevance(name: Column, full: Column, searchable: Column, query: str) -> Column:
+    """how well normalised texts match a normalised query: equal to the name or the full name, then the name that starts with it, has it, or has all its
+    words anywhere, the full name likewise, then any searchable text that has it; 200 for all else, and 0 where nothing is asked."""
+    if not query.strip():
+        return F.lit(0)
+    every = lambda c: reduce(Column.__and__, [c.contains(w) for w in query.split(" ") if w.strip()])
+    steps = {"name is": name == query, "full name is": full == query, "name starts": name.startswith(query), "name has": name.contains(query), "name has words": every(name), "full name starts": full.startswith(query), "full name has": full.contains(query), "full name has words": every(full), "text has": searchable.contains(query)}
+    out = F.lit(RELEVANCE["else"])
+    for step, ok in reversed(steps.items()):
+        out = F.when(ok, RELEVANCE[step]).otherwise(out)
     return out
 
 
+def by_relevance(items: DataFrame, score: str, interest: str, votes: str, name: str, ident: str, k: int | None = None, ascending: bool = False) -> DataFrame:
+    """F1: items by score, interest (none counts least), votes, name without case and id, all in one direction; with ``k`` the first ones only, without a full sort."""
+    keys = [F.col(score), F.coalesce(F.col(interest).cast("double"), F.lit(float("-inf"))), F.col(votes), F.lower(name), F.col(ident)]
+    out = items.orderBy(*[c.asc() if ascending else c.desc() for c in keys])
+    return out if k is None else out.limit(k)
+
+
 def sorted_nulls_last(df: DataFrame, by: list[tuple[str, bool]], k: int | None = None) -> DataFrame:
     """rows, or the first k of them, by several fields (name, ascending); nulls come last in both directions."""
     out = df.orderBy(*[F.col(c).asc_nulls_last() if up else F.col(c).desc_nulls_last() for c, up in by])

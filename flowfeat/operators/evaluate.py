@@ -89,15 +89,38 @@ def high_sweep(pred: DataFrame, p_high: str, actual: str, other: str, thresholds
     return metrics(counts, [*by, "threshold"])
 
 
+# Floors that a policy asks for.
+RECALL_FLOOR, PRECISION_FLOOR = 0.4, 0.25
+
+
+def _policy(policy: str, tied: list[Column]) -> list[Column]:
+    """What a policy ranks candidates by, best first. A candidate that misses the floor ranks below those that meet it, but may still be picked."""
+    precision, recall, f1, balanced = map(F.col, ("precision_high", "recall_high", "f1_high", "balanced_accuracy"))
+    return {"balanced": [f1, balanced, precision, recall], "prudent": [(recall >= RECALL_FLOOR).cast("int"), precision, recall, balanced], "safety_first": [(precision >= PRECISION_FLOOR).cast("int"), recall, f1, balanced]}[policy] + tied
+
+
 def pick_threshold(sweep: DataFrame, policy: str = "balanced", by: list[str] = []) -> DataFrame:
-    """The best threshold. balanced: F1 of HIGH, then balanced accuracy; prudent: precision with recall >= .4; safety_first: recall with precision >= .25. Of equal ones the lowest."""
-    ok, rank = {
-        "balanced": (F.lit(True), ["f1_high", "balanced_accuracy"]),
-        "prudent": (F.col("recall_high") >= 0.4, ["precision_high", "f1_high"]),
-        "safety_first": (F.col("precision_high") >= 0.25, ["recall_high", "f1_high"]),
-    }[policy]
-    best = sweep.filter(ok).groupBy(*by).agg(F.max_by("threshold", F.struct(*rank, -F.col("threshold"))).alias("threshold"), F.max(F.struct(*rank)).alias("__b"))
-    return best.select(*by, F.lit(policy).alias("policy"), "threshold", *[F.col(f"__b.{r}").alias(r) for r in rank])
+    """The best threshold of each segment. balanced: F1 of HIGH, balanced accuracy, precision, recall; prudent: precision, recall, balanced accuracy, first of
+    all where recall is ``RECALL_FLOOR``; safety_first: recall, F1, balanced accuracy, first of all where precision is ``PRECISION_FLOOR``. Of equal ones the
+    lowest. A segment always has one, even if none meets the floor: ``met_floor`` tells."""
+    shown = ["precision_high", "recall_high", "f1_high", "balanced_accuracy"]
+    best = sweep.groupBy(*by).agg(F.max_by(F.struct("threshold", *shown), F.struct(*_policy(policy, [-F.col("threshold")]))).alias("__b"))
+    met = {"balanced": F.lit(True), "prudent": F.col("__b.recall_high") >= RECALL_FLOOR, "safety_first": F.col("__b.precision_high") >= PRECISION_FLOOR}[policy]
+    return best.select(*by, F.lit(policy).alias("policy"), "__b.*", met.alias("met_floor"))
+
+
+# The grid of an ordinal score's two thresholds.
+ORDINAL_LOWS = [round(x / 10, 2) for x in range(5, 26)]
+ORDINAL_HIGHS = [round(x / 10, 2) for x in range(22, 51)]
+
+
+def pick_pair(sweep: DataFrame, policy: str = "balanced", by: list[str] = []) -> DataFrame:
+    """The best pair (low, high) by the policies of ``pick_threshold``; ties go to the low threshold nearest to 1.5 (balanced), the higher (prudent) or the
+    lower high one (safety_first), then to the first in order of (low, high)."""
+    tied = {"balanced": -F.round(F.abs(F.col("low") - 1.5), 9), "prudent": F.col("high"), "safety_first": -F.col("high")}[policy]
+    shown = ["precision_high", "recall_high", "f1_high", "balanced_accuracy"]
+    best = sweep.groupBy(*by).agg(F.max_by(F.struct("low", "high", *shown), F.struct(*_policy(policy, [tied, -F.col("low"), -F.col("high")]))).alias("__b"))
+    return best.select(*by, F.lit(policy).alias("policy"), "__b.*")
 
 
 def two_threshold_sweep(pred: DataFrame, score: str, actual: str, lows: list[float], highs: list[float]) -> DataFrame:
@@ -105,7 +128,8 @@ def two_threshold_sweep(pred: DataFrame, score: str, actual: str, lows: list[flo
     cuts = sorted({*lows, *highs})
     cells = pred.groupBy(F.size(F.filter(F.lit(cuts), lambda t: t <= F.col(score))).alias("k"), F.col(actual).alias("a")).agg(F.count("*").alias("n"))
     pairs = [(lo, hi, cuts.index(lo), cuts.index(hi)) for lo in lows for hi in highs if lo < hi]
-    grid = F.explode(F.array(*[F.struct(F.lit(lo).alias("low"), F.lit(hi).alias("high"), F.lit(i).alias("i"), F.lit(j).alias("j")) for lo, hi, i, j in pairs])).alias("g")
+    listed = "[" + ",".join(f'{{"low":{lo},"high":{hi},"i":{i},"j":{j}}}' for lo, hi, i, j in pairs) + "]"
+    grid = F.explode(F.from_json(F.lit(listed), "array<struct<low:double,high:double,i:int,j:int>>")).alias("g")
     each = cells.select("k", "a", "n", grid).withColumn("p", F.when(F.col("k") > F.col("g.j"), "HIGH").when(F.col("k") <= F.col("g.i"), "LOW").otherwise("MEDIUM"))
     counts = each.groupBy(F.col("g.low").alias("low"), F.col("g.high").alias("high")).agg(*[F.sum(F.when((F.col("a") == a) & (F.col("p") == p), F.col("n")).otherwise(0)).alias(f"n_{a.lower()}_{p.lower()}") for a in CLASSES for p in CLASSES])
     return metrics(counts, ["low", "high"])
@@ -175,9 +199,22 @@ def uncertainty_buckets(pred: DataFrame, std: str, wrong: Column, error: Column,
     return out.select("threshold", "n", F.round(F.col("n") / F.col("t"), 6).alias("share"), F.round(_ratio(F.col("e"), F.col("n")), 6).alias("mean_error"), F.round(_ratio(F.col("w"), F.col("n")), 6).alias("error_rate"))
 
 
-def rare_class_report(pred: DataFrame, actual: Column, predicted_ok: Column, group: str) -> DataFrame:
-    """Rows of a rare class per group, and how many were missed."""
-    return pred.filter(actual).groupBy(group).agg(F.count("*").alias("n"), F.sum((~predicted_ok).cast("long")).alias("missed"))
+def rare_class_report(pred: DataFrame, actual: Column, predicted_ok: Column, error: Column, group: str) -> DataFrame:
+    """Rows of a rare class per group, how many were missed, and errors of two levels or more."""
+    return pred.filter(actual).groupBy(group).agg(F.count("*").alias("n"), F.sum((~predicted_ok).cast("long")).alias("missed"), F.sum((F.abs(error) >= 2).cast("long")).alias("severe"))
+
+
+def rare_class_worst(pred: DataFrame, actual: Column, error: Column, ident: str, k: int = 20) -> DataFrame:
+    """The k rows of a rare class whose level is most underrated, by (error, id)."""
+    return pred.filter(actual).withColumn("error", error).orderBy("error", ident).limit(k)
+
+
+def history_profile(rows: DataFrame, count: str, label: str) -> DataFrame:
+    """Per bucket of rows' history counts (null is 0) and class (null: not labelled) the rows, and the bucket's share of all rows."""
+    at = history_bucket(F.coalesce(F.col(count), F.lit(0)))
+    per = rows.groupBy(at.alias("history"), label).agg(F.count("*").alias("n"))
+    whole = Window.partitionBy()  # over a row for each bucket and class
+    return per.withColumn("fraction", F.round(F.sum("n").over(Window.partitionBy("history")) / F.sum("n").over(whole), 6))
 
 
 def run_comparison(runs: DataFrame) -> DataFrame:
@@ -186,6 +223,13 @@ def run_comparison(runs: DataFrame) -> DataFrame:
     return runs.groupBy("split").agg(F.max(rank).alias("b")).select("split", "b.*")
 
 
+def split_gap(runs: DataFrame, run: Column, first: Column, second: Column, value: str = "f1_high") -> DataFrame:
+    """One run's value under two split modes and the first less the second, as of a temporal and a cold-site split; no row unless both are there, a null value being 0."""
+    at = lambda mode: F.max(F.when(mode, F.coalesce(F.col(value), F.lit(0.0))))
+    out = runs.filter(run).agg(at(first).alias("first"), at(second).alias("second")).filter("first IS NOT NULL AND second IS NOT NULL")
+    return out.withColumn("gap", F.round(F.col("first") - F.col("second"), 6))
+
+
 #: Families of features that an ablation keeps.
 VARIANTS = {
     "full": ["site_history", "history", "weather", "physical"],

@@ -11,7 +11,7 @@ from flowfeat.sources.bindings import CAT, CELLS, cat, cells, table
 SH = lambda c, of="true": f"round(count(*) FILTER (({c}) AND {of}) / nullif(count(*) FILTER ({of}), 0)::DOUBLE, 6)"
 
 
-@query("i4_elevation_stats", f"WITH {CELLS} SELECT basin, round(min(elevation), 4) AS min, round(avg(elevation), 4) AS mean, round(quantile_cont(elevation, 0.5), 6) AS median, round(max(elevation), 4) AS max, round(stddev_pop(elevation), 4) AS std, " + ", ".join(f"{SH(f'elevation > {t}')} AS above_{t}" for t in (1500, 2000, 2500)) + ", round(quantile_cont(slope, 0.9), 4) AS slope_p90, " + ", ".join(f"{SH(f'slope >= {t}')} AS slope_{t}" for t in (10, 20, 30)) + f", {SH('aspect >= 315 OR aspect < 45')} AS north, {SH('aspect >= 45 AND aspect < 135')} AS east, {SH('aspect >= 135 AND aspect < 225')} AS south, {SH('aspect >= 225 AND aspect < 315')} AS west FROM cells GROUP BY 1")
+@query("i4_elevation_stats", f"WITH {CELLS} SELECT basin, round(min(elevation), 4) AS min, round(avg(elevation), 4) AS mean, round(quantile_cont(elevation, 0.5), 6) AS median, round(quantile_cont(slope, 0.5), 4) AS slope_median, round(max(elevation), 4) AS max, round(stddev_pop(elevation), 4) AS std, " + ", ".join(f"{SH(f'elevation >= {t}')} AS above_{t}" for t in (1500, 2000, 2500)) + ", round(quantile_cont(slope, 0.9), 4) AS slope_p90, " + ", ".join(f"{SH(f'slope >= {t}')} AS slope_{t}" for t in (10, 20, 30)) + f", {SH('aspect >= 315 OR aspect < 45')} AS north, {SH('aspect >= 45 AND aspect < 135')} AS east, {SH('aspect >= 135 AND aspect < 225')} AS south, {SH('aspect >= 225 AND aspect < 315')} AS west FROM cells GROUP BY 1")
 def i4(spark, d):
     return B.elevation_stats(cells(spark, d), "basin")
 
@@ -35,14 +35,14 @@ def i7(spark, d):
     return B.soil_stats(cells(spark, d).withColumns({k: F.expr(v).cast("double") for k, v in SOIL.items()}), "basin")
 
 
-MONTHLY = "w AS (SELECT l_suppkey AS basin, month(l_shipdate) AS month, sum(l_quantity) AS precipitation, avg(l_discount) * 100 - 5 AS temp FROM lineitem GROUP BY 1, 2), m AS (SELECT *, temp - 4 AS tmin, temp + 6 AS tmax, radians(basin % 120 - 60) AS lat, 0.409 * sin(2 * pi() * (month - 0.5) * 30.4375 / 365 - 1.39) AS decl, 1 + 0.033 * cos(2 * pi() * (month - 0.5) * 30.4375 / 365) AS dist FROM w), s AS (SELECT *, acos(greatest(-1, least(1, -tan(lat) * tan(decl)))) AS ws FROM m), e AS (SELECT *, greatest(0, 0.0023 * 0.408 * 37.58603 * dist * (ws * sin(lat) * sin(decl) + cos(lat) * cos(decl) * sin(ws)) * (temp + 17.8) * sqrt(10)) * 30.4375 AS pet FROM s)"
+MONTHLY = f"w AS (SELECT l_suppkey AS basin, month(l_shipdate) AS month, sum(l_quantity) AS precipitation, avg(l_discount) * 400 - 20 - l_suppkey % 30 / 2.0 + month(l_shipdate) AS temp FROM lineitem GROUP BY 1, 2, l_suppkey), m AS (SELECT *, temp - 4 AS tmin, temp + 6 AS tmax, radians(basin % 120 - 60) AS lat, {B.MIDDLE_DAYS}[month] AS day, {B.MONTH_DAYS}[month] AS days FROM w), s AS (SELECT *, 0.409 * sin(2 * pi() / 365 * day - 1.39) AS decl, 1 + 0.033 * cos(2 * pi() / 365 * day) AS dist FROM m), a AS (SELECT *, acos(greatest(-1, least(1, -tan(lat) * tan(decl)))) AS ws FROM s), e AS (SELECT *, CASE WHEN temp <= -20 THEN 0 ELSE greatest(0, 0.0023 * 24 * 60 / pi() * 0.0820 * 0.408 * dist * (ws * sin(lat) * sin(decl) + cos(lat) * cos(decl) * sin(ws)) * (temp + 17.8) * sqrt(10)) * days END AS pet, precipitation * greatest(0, least(1, (2 - temp) / 4)) AS snow FROM a)"
 
 
-@query("i8_climate_summary", f"WITH {MONTHLY} SELECT basin, round(sum(precipitation), 4) AS annual, round(stddev_pop(precipitation) / avg(precipitation), 6) AS seasonality, round(avg(temp) FILTER (CASE WHEN lat >= 0 THEN month IN (12, 1, 2) ELSE month IN (6, 7, 8) END), 4) AS winter_temp, round(max(temp) - min(temp), 4) AS continentality, round(sum(pet), 4) AS pet, round(sum(precipitation) / sum(pet), 6) AS aridity, round(sum(CASE WHEN temp < 0 THEN precipitation ELSE 0 END) / sum(precipitation), 6) AS snow_share FROM e GROUP BY 1")
+@query("i8_climate_summary", f"WITH {MONTHLY} SELECT basin, round(sum(precipitation), 3) AS annual, round(stddev_pop(precipitation) / avg(precipitation), 6) AS seasonality, round(avg(temp), 3) AS mean_temp, round(avg(temp) FILTER (CASE WHEN lat >= 0 THEN month IN (12, 1, 2) ELSE month IN (6, 7, 8) END), 3) AS winter_temp, round(max(temp) - min(temp), 3) AS continentality, round(1 / (1 + max(temp) - min(temp)), 6) AS oceanicity, round(sum(pet), 3) AS pet, CASE WHEN sum(pet) > 0 THEN round(sum(precipitation) / sum(pet), 6) END AS aridity, round(sum(snow) / sum(precipitation), 6) AS snow_share FROM e GROUP BY 1")
 def i8(spark, d):
-    m = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("basin"), F.month("l_shipdate").alias("month")).agg(F.sum("l_quantity").alias("precipitation"), (F.avg("l_discount") * 100 - 5).alias("temp"))
-    m = m.withColumns({"tmin": F.col("temp") - 4, "tmax": F.col("temp") + 6})
-    return B.climate_summary(m, "basin", F.col("basin") % 120 - 60)
+    m = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("basin"), F.month("l_shipdate").alias("month")).agg(F.sum("l_quantity").alias("precipitation"), F.avg("l_discount").alias("x"))
+    m = m.withColumn("temp", F.col("x") * 400 - 20 - F.col("basin") % 30 / 2.0 + F.col("month"))
+    return B.climate_summary(m.withColumns({"tmin": F.col("temp") - 4, "tmax": F.col("temp") + 6}), "basin", F.col("basin") % 120 - 60)
 
 
 @query("i9_built_share", f"WITH {CELLS} SELECT basin, round(avg(greatest(0, least(1, (sand - 20) / 60))), 6) AS built_share FROM cells GROUP BY 1")
@@ -60,26 +60,43 @@ def i10(spark, d):
     return B.upstream_rollup(f, "basin", "id")
 
 
-TAGS = ["dam", "weir", "intake", "penstock", "plant", "gauge", "reservoir", "path", "road", "hut", "bridge", "tree", "rock"]
+TAGS = [
+    {"waterway": "dam"}, {"waterway": "weir", "operator": "EDF Nord"}, {"water": "reservoir"}, {"landuse": "reservoir", "name": "Lac"}, {"waterway": "canal"}, {"waterway": "pressurised"}, {"man_made": "pipeline", "usage": "headrace"}, {"man_made": "pipeline", "usage": "gas"},
+    {"power": "plant", "plant:source": "Hydro", "operator": "edf"}, {"power": "plant", "generator:source": "solar"}, {"highway": "path"}, {}, {"power": "plant", "plant:source": "wind", "generator:source": "hydro"},
+]
+#: What each of the features above is, told by hand: kind counted (none: nothing), and whether the operator runs it.
+TAG_KINDS = ["dams", "weirs", "reservoirs", "reservoirs", "canals", "penstocks", "penstocks", "", "plants", "", "", "", ""]
+KINDS = ["dams", "weirs", "reservoirs", "canals", "penstocks", "plants"]
 
 
-@query("i11_tag_rollup", "WITH t AS (SELECT user_id AS basin, (props::JSON ->> 'k')::INT % 13 AS k FROM events), c AS (SELECT basin, " + ", ".join(f"count(*) FILTER (k = {i}) AS {n}s" for i, n in enumerate(TAGS[:7])) + " FROM t GROUP BY 1) SELECT *, (dams > 0 AND plants > 0) OR penstocks > 0 OR intakes > 0 AS likely_scheme, CASE WHEN (dams > 0 AND plants > 0) OR penstocks > 0 THEN 'high' WHEN intakes > 0 THEN 'medium' WHEN weirs > 0 THEN 'low' ELSE 'none' END AS confidence FROM c")
+@query("i11_tag_rollup", "WITH t AS (SELECT user_id * 3 + event_id % 3 AS basin, (props::JSON ->> 'k')::INT % 13 AS k FROM events WHERE event_id % 3 < 3), c AS (SELECT basin, " + ", ".join(f"count(*) FILTER (k IN ({', '.join(str(i) for i, x in enumerate(TAG_KINDS) if x == n)})) AS {n}" for n in KINDS) + ", count(*) FILTER (k IN (1, 8)) AS operated FROM t GROUP BY 1), l AS (SELECT *, " + " + ".join(KINDS) + " > 0 AS present, dams + weirs > 0 AND penstocks + plants > 0 AS likely_scheme FROM c) SELECT *, CASE WHEN likely_scheme OR plants > 0 AND operated > 0 THEN 'high' WHEN present THEN 'medium' ELSE 'none' END AS confidence FROM l".replace(" WHERE event_id % 3 < 3", ""))
 def i11(spark, d):
-    t = table(spark, d, "events").select(F.col("user_id").alias("basin"), F.element_at(F.lit(TAGS), F.get_json_object("props", "$.k").cast("int") % 13 + 1).alias("tag"))
+    maps = F.array(*[F.create_map(*[F.lit(x) for kv in t.items() for x in kv]) if t else F.create_map().cast("map<string,string>") for t in TAGS])
+    t = table(spark, d, "events").select((F.col("user_id") * 3 + F.col("event_id") % 3).alias("basin"), F.element_at(maps, F.get_json_object("props", "$.k").cast("int") % 13 + 1).alias("tags"))
     return B.tag_rollup(t, "basin")
 
 
-@query("i12_severity", "WITH p AS (SELECT p_partkey AS id, p_size / 40.0::DOUBLE AS dor, p_retailprice AS storage, p_size % 12 AS n, p_partkey % 30 AS distance, p_partkey % 4 AS hydro, p_partkey % 3 AS supply, p_partkey % 2 AS other FROM part), u AS (SELECT *, greatest(hydro, supply, other) AS top FROM p) SELECT id, round(0.35 * greatest(0, least(1, dor)) + 0.25 * greatest(0, least(1, log10(1 + storage) / 3)) + 0.2 * greatest(0, least(1, n / 8.0)) + 0.2 * greatest(0, least(1, 1 - distance / 20.0)), 6) AS severity, CASE WHEN top <= 0 THEN 'none' WHEN (hydro = top)::INT + (supply = top)::INT + (other = top)::INT > 1 THEN 'mixed' WHEN hydro = top THEN 'hydro' WHEN supply = top THEN 'supply' ELSE 'other' END AS dominant FROM u")
+WORKS = {"dor_percent": "CASE WHEN p_partkey % 4 > 0 THEN p_size * 3.0 END", "reservoir_fraction": "(p_partkey % 9) / 20.0", "gdw_storage": "CASE WHEN p_partkey % 5 > 1 THEN p_retailprice * 7 END", "lake_storage": "p_size * 1.5", "gdw_distance": "CASE WHEN p_partkey % 3 > 0 THEN p_partkey % 37 + 0.5 END", "lake_distance": "CASE WHEN p_partkey % 7 > 2 THEN p_size + 0.25 END", "gdw_plants": "p_partkey % 2", "gdw_barriers": "p_partkey % 3", "gdw_reservoirs": "CASE WHEN p_partkey % 5 > 0 THEN p_partkey % 4 END", "lake_dams": "p_size % 4", "lake_reservoirs": "0", "osm_plants": "p_size % 2", "osm_dams": "p_size % 3", "osm_reservoirs": "p_partkey % 2", "osm_weirs": "p_size % 2", "osm_canals": "p_partkey % 6 // 5", "osm_penstocks": "p_partkey % 11 // 4", "stream_km": "CASE WHEN p_partkey % 4 > 1 THEN p_size * 2.0 END", "area_km2": "p_partkey % 10"}
+
+
+@query("i12_severity", "WITH p AS (SELECT p_partkey AS id, " + ", ".join(f"({v if 'CASE' in v else v})::DOUBLE AS {k}" for k, v in WORKS.items()) + """ FROM (SELECT *, p_partkey % 10 AS x FROM part) WHERE true), z AS (SELECT id, CASE WHEN dor_percent IS NULL THEN 0 ELSE least(1, dor_percent / 100) END AS degree, reservoir_fraction, coalesce(gdw_storage, 0) AS gs, lake_storage AS ls, least(gdw_distance, lake_distance) AS near, gdw_plants + osm_plants AS hydro, gdw_barriers + osm_dams AS barrier, coalesce(gdw_reservoirs, 0) + lake_reservoirs + osm_reservoirs AS reservoir, osm_weirs + osm_canals + osm_penstocks AS diversion, greatest(gdw_barriers, lake_dams, osm_dams) AS works, osm_canals, osm_penstocks, coalesce(stream_km, 0) AS stream_km, area_km2 FROM p),
+  s AS (SELECT *, least(1, 0.35 * degree + 0.25 * least(1, ln(1 + greatest(gs, ls)) / ln(10001)) + 0.2 * least(1, (works + reservoir + diversion) / 8) + 0.2 * CASE WHEN near IS NULL THEN 0 ELSE 1 - least(1, near / 20) END) AS sev, greatest(hydro, barrier, reservoir, diversion) AS top FROM z)
+  SELECT id, round(near, 6) AS nearest_km, round(nullif(greatest(degree, reservoir_fraction), 0), 6) AS regulated_fraction, CASE WHEN top = 0 THEN 'none' WHEN (hydro = top)::INT + (barrier = top)::INT + (reservoir = top)::INT + (diversion = top)::INT > 1 THEN 'mixed' WHEN hydro = top THEN 'hydropower' WHEN barrier = top THEN 'barrier' WHEN reservoir = top THEN 'reservoir' ELSE 'diversion' END AS dominant,
+    osm_canals > 0 OR osm_penstocks > 1 AS transfer_likely, CASE WHEN stream_km > 0 THEN round(diversion / stream_km, 6) WHEN area_km2 > 0 THEN round(diversion / area_km2, 6) END AS intake_density, greatest(hydro + osm_penstocks - 1, 0)::BIGINT AS cascade, round(nullif(sev, 0), 6) AS severity FROM s""".replace("(SELECT *, p_partkey % 10 AS x FROM part) WHERE true", "part"))
 def i12(spark, d):
-    k = F.col("p_partkey")
-    p = table(spark, d, "part").select(k.alias("id"), (F.col("p_size") / 40.0).alias("dor"), F.col("p_retailprice").alias("storage"), (F.col("p_size") % 12).alias("n"), (k % 30).alias("distance"), (k % 4).alias("hydro"), (k % 3).alias("supply"), (k % 2).alias("other"))
-    return B.regulation_severity(p).select("id", "severity", "dominant")
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), *[F.expr(v.replace("//", "div")).cast("double").alias(k) for k, v in WORKS.items()])
+    return B.regulation_severity(p).drop(*WORKS)
+
+
+KARST = {"carbonate": "CASE WHEN p_partkey % 5 > 1 THEN p_partkey % 11 / 10.3 END", "karst": "CASE WHEN p_partkey % 3 > 0 THEN p_partkey % 3 / 2.0 END", "infiltration": "p_size % 7 / 6.1", "shallow": "CASE WHEN p_size > 4 THEN p_size % 5 / 4.0 END", "depressions": "p_partkey % 23", "area": "p_size % 6", "drainage": "p_partkey % 17 / 4.1", "frequency": "p_partkey % 13 / 5.3"}
 
 
-@query("i13_karst", "SELECT p_partkey AS id, round(greatest(0, least(1, 0.4 * (p_partkey % 3) / 2.0 + 0.3 * (p_partkey % 11) / 10.0 + 0.2 * least(1, p_size / 10.0) + 0.1 * (1 - least(1, (p_partkey % 17) / 10.0)))), 6) AS karst FROM part")
+@query("i13_karst", "WITH k AS (SELECT p_partkey AS id, " + ", ".join(f"({v})::DOUBLE AS {k}" for k, v in KARST.items()) + """ FROM part), r AS (SELECT *, greatest(coalesce(carbonate, 0), coalesce(karst, 0)) AS rock FROM k), s AS (SELECT *, CASE WHEN area > 0 THEN depressions / area * greatest(rock, 0.1) END AS holes, frequency * rock AS springs_ FROM r),
+  l AS (SELECT *, least(1, 0.45 * rock + 0.2 * infiltration + 0.2 * coalesce(shallow, 0) + 0.15 * least(1, coalesce(holes, 0))) AS linked, carbonate IS NOT NULL OR karst IS NOT NULL AS known FROM s)
+  SELECT id, CASE WHEN known THEN round(holes, 6) END AS sinkholes, CASE WHEN known THEN round(springs_, 6) END AS springs, CASE WHEN known THEN round(linked * (1 - least(1, drainage / 3)), 6) END AS losing, CASE WHEN known THEN round(linked * least(1, springs_ / 1.5), 6) END AS resurgence, CASE WHEN known THEN round(linked, 6) END AS connectivity FROM l""")
 def i13(spark, d):
-    k = F.col("p_partkey")
-    return table(spark, d, "part").select(k.alias("id"), B.karst_proxy(k % 3 / 2, k % 11 / 10, F.col("p_size"), k % 17 / 10).alias("karst"))
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), *[F.expr(v).cast("double").alias(k) for k, v in KARST.items()])
+    return p.select("id", B.karst_proxies(*[F.col(k) for k in KARST]).alias("k")).select("id", "k.*")
 
 
 RASTER = "raster AS (SELECT l_orderkey // 1000 AS basin, l_orderkey AS row, l_linenumber AS col, round(avg(l_extendedprice) / 20, 4) AS elevation, max(l_suppkey) AS code FROM lineitem GROUP BY 1, 2, 3)"
@@ -130,20 +147,27 @@ def i16b(spark, d):
     return B.strahler(B.downstream_links(raster(spark, d), "basin"), "basin", F.col("code") % 4 != 0)
 
 
-@query("i17_topographic", f"WITH {CELLS}, h AS (SELECT *, clay * 3 + 1 AS area, elevation % 40 AS hand FROM cells) SELECT basin, round(avg(ln(area / tan(radians(greatest(slope, 0.1))))), 4) AS twi, round(avg(hand), 4) AS hand_mean, round(quantile_cont(hand, 0.9), 4) AS hand_p90, round((avg(elevation) - min(elevation)) / (max(elevation) - min(elevation)), 6) AS hypsometric, {SH('hand < 5')} AS confinement, " + ", ".join(f"round(quantile_cont(area, {p}), 4) AS flow_p{int(p * 100)}" for p in (0.5, 0.9, 0.99)) + " FROM h GROUP BY 1")
+TWI = "ln(greatest(greatest(area, 1e-6) * 1e6 / 30 / greatest(tan(radians(greatest(0.1, least(89, slope)))), 1e-6), 1e-6))"
+
+
+@query("i17_topographic", f"WITH {CELLS}, h AS (SELECT *, clay * 3 + 1 AS area, CASE WHEN code <> 4 THEN elevation % 40 END AS hand, code = 2 AS stream FROM cells), w AS (SELECT *, {TWI} AS twi FROM h), t AS (SELECT basin, greatest(5, least(30, quantile_cont(hand, 0.2))) AS floor FROM h GROUP BY 1) SELECT basin, round((avg(elevation) - min(elevation)) / (max(elevation) - min(elevation)), 6) AS hypsometric, round(avg(twi), 6) AS twi_mean, round(quantile_cont(twi, 0.9), 6) AS twi_p90, round(avg(hand), 3) AS hand_mean, round(quantile_cont(hand, 0.5), 3) AS hand_median, round(quantile_cont(hand, 0.9), 3) AS hand_p90, CASE WHEN count(*) FILTER (hand <= floor) > 0 THEN round(greatest(0, 1 - count(*) FILTER (hand <= floor) / count(*)::DOUBLE), 6) END AS valley_confinement, CASE WHEN count(*) FILTER (hand <= floor) > 0 THEN round(count(*) FILTER (stream) / count(*) FILTER (hand <= floor)::DOUBLE, 6) END AS channel_confinement, " + ", ".join(f"round(quantile_cont(area, {p / 100}), 6) AS flow_p{p}" for p in (50, 90, 99)) + ", round(avg(sand / 100 - 1), 6) AS plan_curvature FROM w JOIN t USING (basin) GROUP BY 1")
 def i17(spark, d):
-    return B.topographic_indices(cells(spark, d), "basin", F.col("clay") * 3 + 1, F.col("elevation") % 40)
+    code = F.col("code")
+    return B.topographic_indices(cells(spark, d), "basin", F.col("clay") * 3 + 1, F.when(code != 4, F.col("elevation") % 40), code == 2, 30.0, {"plan_curvature": F.col("sand") / 100 - 1})
 
 
-@query("i20_response_times", f"WITH {CELLS}, p AS (SELECT basin, elevation, row * 1.5::DOUBLE AS path FROM cells), a AS (SELECT basin, max(path) AS l, arg_max(elevation, struct_pack(p := path, e := elevation)) AS top, min(elevation) AS low, avg(elevation) AS mean, max(elevation) AS high, count(*) * 0.0009::DOUBLE AS area FROM p GROUP BY 1), s AS (SELECT *, greatest((top - low) / l, 1e-4) AS s FROM a) SELECT basin, l AS longest_path, round(100 * s, 4) AS slope_percent, round(0.01947 * pow(l, 0.77) * pow(s, -0.385), 4) AS kirpich, round((4 * sqrt(area) + 1.5 * l / 1000) / (0.8 * sqrt(greatest(mean - low, 1))), 6) AS giandotti, round((high - low) / 1000 / sqrt(area), 6) AS melton, round((high - low) / l, 6) AS relief_ratio FROM s")
+@query("i20_response_times", f"WITH {CELLS}, p AS (SELECT basin, elevation, row * 1.5::DOUBLE AS path FROM cells), a AS (SELECT basin, max(path) AS l, arg_max(elevation, struct_pack(p := path, e := elevation)) AS top, min(elevation) AS low, max(elevation) AS high, count(*) * 0.0009::DOUBLE AS area FROM p GROUP BY 1), s AS (SELECT *, greatest(top - low, 0) / l AS s FROM a) SELECT basin, l AS longest_path, round(100 * s, 6) AS slope_percent, CASE WHEN s > 0 THEN round(0.01947 * pow(l, 0.77) * pow(s, -0.385), 6) END AS kirpich, CASE WHEN high > low THEN round((4 * sqrt(area) + 1.5 * l / 1000) / (0.8 * sqrt(high - low)) * 60, 6) END AS giandotti, round((high - low) / 1000 / sqrt(area), 6) AS melton, round((high - low) / l, 6) AS relief_ratio FROM s")
 def i20(spark, d):
     return B.response_times(cells(spark, d).withColumn("path", F.col("row") * 1.5), "basin")
 
 
-@query("i20_quality_score", "SELECT p_partkey AS id, round(greatest(0, least(1, 1 - 0.7 * (p_size % 7) / 10.0 - least(p_partkey % 300 / 200.0 * 0.25, 0.25) - CASE WHEN p_size > 30 THEN 0.15 WHEN p_size > 10 THEN 0.05 ELSE 0 END - CASE p_partkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 0.2 ELSE 0.4 END)), 6) AS score FROM part")
+VERDICTS = ["good_proxy", "off_channel", "uncertain", "possible_proxy", "unknown"]
+
+
+@query("i20_quality_score", f"SELECT p_partkey AS id, round(greatest(0, least(1, 1 - 0.7 * (p_size % 7) / 10.0 - least(p_partkey % 300 / 200.0 * 0.25, 0.25) - CASE WHEN p_size > 20 THEN 0.15 WHEN p_size > 10 THEN 0.08 ELSE 0 END - CASE {VERDICTS}[p_partkey % 5 + 1] WHEN 'off_channel' THEN 0.5 WHEN 'uncertain' THEN 0.2 WHEN 'possible_proxy' THEN 0.1 ELSE 0 END)), 6) AS score FROM part")
 def i20b(spark, d):
     k, s = F.col("p_partkey"), F.col("p_size")
-    return table(spark, d, "part").select(k.alias("id"), B.quality_score(s % 7 / 10, k % 300, s, F.when(k % 3 == 0, "ok").when(k % 3 == 1, "doubtful").otherwise("bad")).alias("score"))
+    return table(spark, d, "part").select(k.alias("id"), B.quality_score(s % 7 / 10, k % 300, s, F.element_at(F.lit(VERDICTS), (k % 5 + 1).cast("int"))).alias("score"))
 
 
 def boxes(spark, d):

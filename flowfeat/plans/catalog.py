@@ -104,7 +104,7 @@ WORD_HITS = lambda ws: HITS({w: rf"\b{w}\b" for w in sorted(ws)})
 TAG = lambda tag, x: f"list_transform({x}, lambda x: '{tag}:' || x)"
 
 
-@query("b6_quality_label", f"""WITH n AS (SELECT doc_id, {norm("CASE WHEN doc_id % 13 = 5 THEN '' ELSE substr(text, 1, 60) END")} AS n, doc_id % 11 = 0 AS nodate, CASE WHEN doc_id % 3 = 0 THEN true WHEN doc_id % 3 = 1 THEN false END AS down, CASE WHEN doc_id % 50 = 7 THEN 'invalid' WHEN doc_id % 50 = 8 THEN 'uncertain' END AS act, CASE WHEN doc_id % 50 = 7 THEN 'seen' END AS why FROM documents),
+@query("b6_quality_label", f"""WITH n AS (SELECT doc_id, {norm("CASE WHEN doc_id % 13 = 5 THEN '' ELSE text END")} AS n, doc_id % 11 = 0 AS nodate, CASE WHEN doc_id % 3 = 0 THEN true WHEN doc_id % 3 = 1 THEN false END AS down, CASE WHEN doc_id % 50 = 7 THEN 'invalid' WHEN doc_id % 50 = 8 THEN 'uncertain' END AS act, CASE WHEN doc_id % 50 = 7 THEN 'seen' END AS why FROM documents),
   h AS (SELECT *, list_filter([CASE WHEN contains(n, 'license') THEN 'license' END, CASE WHEN contains(n, 'ion of') THEN 'ion of' END], lambda x: x IS NOT NULL) AS bad, {WORD_HITS(B6_WORDS['strong'])} AS s, {WORD_HITS(B6_WORDS['weak'])} AS w, {HITS(B6_WORDS['hydrology'])} AS h, {HITS(B6_WORDS['current'])} AS c FROM n),
   l AS (SELECT doc_id, CASE WHEN act IS NOT NULL THEN [act, 'manual_override:' || coalesce(why, 'unspecified')] WHEN nodate THEN ['uncertain', 'missing_parsed_date'] WHEN len(bad) > 0 AND coalesce(down, false) = false THEN list_concat(['invalid'], {TAG('explicit_invalid', 'bad')})
     WHEN down THEN list_concat(list_concat(['valid', 'descended'], {TAG('hydrology_signal', 'h')}), CASE WHEN len(s) + len(w) > 0 THEN ['descended_with_non_hydro_context'] ELSE [] END)
@@ -116,7 +116,7 @@ TAG = lambda tag, x: f"list_transform({x}, lambda x: '{tag}:' || x)"  # noqa: E7
   SELECT doc_id, x[1] AS label, CASE x[1] WHEN 'valid' THEN 1.0 WHEN 'uncertain' THEN 0.5 ELSE 0.0 END::DOUBLE AS score, array_to_string(x[2:], ',') AS reasons FROM l""")
 def b6(spark, d):
     k = F.col("doc_id")
-    comment = F.when(k % 13 != 5, F.substring("text", 1, 60)).otherwise("")
+    comment = F.when(k % 13 != 5, F.col("text")).otherwise("")
     q = C.quality_label(F.when(k % 11 != 0, F.lit(1)), F.when(k % 3 == 0, True).when(k % 3 == 1, False), comment, F.when(k % 50 == 7, "invalid").when(k % 50 == 8, "uncertain"), F.when(k % 50 == 7, "seen"), ["license", "ion of"], **B6_WORDS)
     return table(spark, d, "documents").select("doc_id", q.alias("q")).select("doc_id", "q.label", "q.score", F.array_join("q.reasons", ",").alias("reasons"))
 
@@ -350,11 +350,33 @@ def e25(spark, d):
     return C.entry_conflicts(c, "site", "id", "value", "elevation", "cell")
 
 
-@query("f1_relevance", f"WITH n AS (SELECT p_partkey AS id, {norm('p_name')} AS name, {norm('p_type')} AS ful, {norm('p_brand')} AS other FROM part), s AS (SELECT id, CASE WHEN name = 'part 12' THEN 800 WHEN ful = 'part 12' THEN 750 WHEN starts_with(name, 'part 12') THEN 700 WHEN starts_with(ful, 'part 12') THEN 650 WHEN contains(' ' || name, ' part 12') THEN 600 WHEN contains(' ' || ful, ' part 12') THEN 550 WHEN contains(name, 'part 12') THEN 500 WHEN contains(ful, 'part 12') THEN 450 WHEN contains(' ' || other, ' part 12') THEN 300 WHEN contains(other, 'part 12') THEN 200 ELSE 0 END AS score, name FROM n) SELECT id, score FROM s ORDER BY score DESC, name, id LIMIT 50")
+F1_STEPS = "CASE WHEN name = {q} THEN 800 WHEN ful = {q} THEN 750 WHEN starts_with(name, {q}) THEN 700 WHEN contains(name, {q}) THEN 650 WHEN {name_all} THEN 600 WHEN starts_with(ful, {q}) THEN 550 WHEN contains(ful, {q}) THEN 500 WHEN {full_all} THEN 450 WHEN contains(searchable, {q}) THEN 300 ELSE 200 END"
+F1_SQL = lambda q: F1_STEPS.format(q=f"'{q}'", name_all=" AND ".join(f"contains(name, '{w}')" for w in q.split()), full_all=" AND ".join(f"contains(ful, '{w}')" for w in q.split()))
+F1_QUERIES = ["part 12", "12 part", "steel", "brushed promo", "brand 1"]
+
+
+def ranked_items(spark, d):
+    n = lambda *c: text.normalize_text(F.concat_ws(" ", *c))
+    p = table(spark, d, "part").withColumn("id", F.col("p_partkey"))
+    return p.select("id", n("p_name").alias("name"), n("p_name", "p_type").alias("full"), n("p_name", "p_type", "p_brand").alias("searchable"), F.when(F.col("id") % 7 != 0, F.col("id") % 41 / 10.0).alias("interest"), (F.col("id") * 31 % 97).alias("votes"))
+
+
+F1_ITEMS = f"n AS (SELECT p_partkey AS id, {norm('p_name')} AS name, {norm("p_name || ' ' || p_type")} AS ful, {norm("p_name || ' ' || p_type || ' ' || p_brand")} AS searchable, CASE WHEN p_partkey % 7 <> 0 THEN p_partkey % 41 / 10.0::DOUBLE END AS interest, p_partkey * 31 % 97 AS votes FROM part)"
+
+
+@query("f1_relevance", f"WITH {F1_ITEMS} SELECT id, " + ", ".join(f"{F1_SQL(q)} AS score_{i}" for i, q in enumerate(F1_QUERIES)) + " FROM n")
 def f1(spark, d):
-    n = lambda c: text.normalize_text(F.col(c))
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), n("p_name").alias("name"), n("p_type").alias("full"), n("p_brand").alias("other"))
-    return p.withColumn("score", C.relevance(F.col("name"), F.col("full"), F.col("other"), "part 12")).orderBy(F.desc("score"), "name", "id").limit(50).select("id", "score")
+    return ranked_items(spark, d).select("id", *[C.relevance(F.col("name"), F.col("full"), F.col("searchable"), q).alias(f"score_{i}") for i, q in enumerate(F1_QUERIES)])
+
+
+@query("f1_best_matches", f"WITH {F1_ITEMS}, s AS (SELECT *, {F1_SQL('part 12')} AS score FROM n) SELECT id, score, (row_number() OVER (ORDER BY score DESC, coalesce(interest, '-infinity'::DOUBLE) DESC, votes DESC, lower(name) DESC, id DESC))::INT AS place FROM s QUALIFY place <= 50")
+def f1b(spark, d):
+    from pyspark.sql import Window
+
+    scored = ranked_items(spark, d).withColumn("score", C.relevance(F.col("name"), F.col("full"), F.col("searchable"), "part 12"))
+    best = C.by_relevance(scored, "score", "interest", "votes", "name", "id", 50)
+    order = Window.partitionBy().orderBy(F.desc("score"), F.coalesce("interest", F.lit(float("-inf"))).desc(), F.desc("votes"), F.lower("name").desc(), F.desc("id"))  # of 50 rows
+    return best.select("id", "score", F.row_number().over(order).alias("place"))
 
 
 @query("f2_sort_nulls_last", f"WITH {CAT} SELECT id, interest, votes FROM cat ORDER BY interest DESC NULLS LAST, votes ASC NULLS LAST, id")

@@ -70,14 +70,33 @@ def k11(spark, d):
     return swept(spark, d)
 
 
-@query("k11_pick_threshold", SWEPT.format(by="") + sql_metrics("s", "threshold") + " SELECT 'balanced' AS policy, threshold, f1_high, balanced_accuracy FROM met ORDER BY f1_high DESC, balanced_accuracy DESC, threshold LIMIT 1")
+SHOWN = "precision_high, recall_high, f1_high, balanced_accuracy"
+ORDERS = {
+    "balanced": ("true", "f1_high DESC, balanced_accuracy DESC, precision_high DESC, recall_high DESC"),
+    "prudent": ("recall_high >= 0.4", "recall_high >= 0.4 DESC, precision_high DESC, recall_high DESC, balanced_accuracy DESC"),
+    "safety_first": ("precision_high >= 0.25", "precision_high >= 0.25 DESC, recall_high DESC, f1_high DESC, balanced_accuracy DESC"),
+}
+
+
+@query("k11_pick_threshold", SWEPT.format(by="") + sql_metrics("s", "threshold") + " " + " UNION ALL ".join(f"(SELECT '{k}' AS policy, threshold, {SHOWN}, {met} AS met_floor FROM met ORDER BY {order}, threshold LIMIT 1)" for k, (met, order) in ORDERS.items()))
 def k11b(spark, d):
-    return E.pick_threshold(swept(spark, d))
+    sweep = swept(spark, d)
+    return E.pick_threshold(sweep).union(E.pick_threshold(sweep, "prudent")).union(E.pick_threshold(sweep, "safety_first"))
 
 
-@query("k14_segment_thresholds", SWEPT.format(by="month(date)::INT AS month, ") + sql_metrics("s", "threshold, month") + ", r AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY f1_high DESC, balanced_accuracy DESC, threshold) AS k FROM met) SELECT month, 'balanced' AS policy, threshold, f1_high, balanced_accuracy FROM r WHERE k = 1")
+@query("k14_segment_thresholds", SWEPT.format(by="month(date)::INT AS month, ") + sql_metrics("s", "threshold, month") + " " + " UNION ALL ".join(f"(SELECT month, '{k}' AS policy, threshold, {SHOWN}, {met} AS met_floor FROM met QUALIFY row_number() OVER (PARTITION BY month ORDER BY {order}, threshold) = 1)" for k, (met, order) in ORDERS.items() if k != "prudent"))
 def k14(spark, d):
-    return E.pick_threshold(swept(spark, d, ["month"]), "balanced", ["month"])
+    sweep = swept(spark, d, ["month"])
+    return E.pick_threshold(sweep, "balanced", ["month"]).union(E.pick_threshold(sweep, "safety_first", ["month"]))
+
+
+PAIR_TIES = {"balanced": "round(abs(low - 1.5), 9)", "prudent": "high DESC", "safety_first": "high"}
+
+
+@query("k12_pick_pair", f"WITH {PRED}, l AS (SELECT unnest({E.ORDINAL_LOWS})::DOUBLE AS low), h AS (SELECT unnest({E.ORDINAL_HIGHS})::DOUBLE AS high), s AS (SELECT low, high, bucket AS a, CASE WHEN score >= high THEN 'HIGH' WHEN score < low THEN 'LOW' ELSE 'MEDIUM' END AS p, 1 AS n FROM pred, l, h WHERE low < high)" + sql_metrics("s", "low, high") + " " + " UNION ALL ".join(f"(SELECT '{k}' AS policy, low, high, {SHOWN} FROM met ORDER BY {order}, {PAIR_TIES[k]}, low, high LIMIT 1)" for k, (_, order) in ORDERS.items()))
+def k12b(spark, d):
+    sweep = E.two_threshold_sweep(pred(spark, d), "score", "bucket", E.ORDINAL_LOWS, E.ORDINAL_HIGHS)
+    return E.pick_pair(sweep).union(E.pick_pair(sweep, "prudent")).union(E.pick_pair(sweep, "safety_first"))
 
 
 LOWS, HIGHS = [0.5, 1.0, 1.5, 2.0], [2.0, 2.5, 3.0, 3.5]
@@ -119,17 +138,33 @@ def k16(spark, d):
     return E.uncertainty_buckets(rows, "std", F.col("guess") != F.col("bucket"), F.abs(F.col("score") - F.col("rank")), STDS)
 
 
-@query("k17_rare_class", f"WITH {PRED} SELECT grp, count(*) AS n, count(*) FILTER ({CUT} <> 'HIGH') AS missed FROM pred WHERE rank = 4 GROUP BY 1")
+@query("k17_rare_class", f"WITH {PRED} SELECT grp, count(*) AS n, count(*) FILTER ({CUT} <> 'HIGH') AS missed, count(*) FILTER (abs(score - rank) >= 2) AS severe FROM pred WHERE rank = 4 GROUP BY 1")
 def k17(spark, d):
-    return E.rare_class_report(guessed(spark, d), F.col("rank") == 4, F.col("guess") == "HIGH", "grp")
+    return E.rare_class_report(guessed(spark, d), F.col("rank") == 4, F.col("guess") == "HIGH", F.col("score") - F.col("rank"), "grp")
 
 
-@query("k18_history_profile", f"WITH {OBS}, c AS (SELECT bucket, count(*) OVER (PARTITION BY site ORDER BY date RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING) AS n FROM obs) SELECT CASE WHEN n = 0 THEN '0' WHEN n <= 5 THEN '1_5' WHEN n <= 20 THEN '6_20' ELSE '20_plus' END AS history, bucket, count(*) AS n FROM c GROUP BY 1, 2")
-def k18(spark, d):
+@query("k17_worst", f"WITH {PRED} SELECT observation_id, round(score - rank, 6) AS error FROM pred WHERE rank = 4 ORDER BY score - rank, observation_id LIMIT 20")
+def k17b(spark, d):
+    return E.rare_class_worst(pred(spark, d), F.col("rank") == 4, F.col("score") - F.col("rank"), "observation_id").select("observation_id", F.round("error", 6).alias("error"))
+
+
+PAST = f"WITH {OBS}, c AS (SELECT bucket, count(*) OVER (PARTITION BY site ORDER BY date RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING) AS n FROM obs)"
+
+
+def past(spark, d):
     from flowfeat.operators.history import counts_before
 
-    h = counts_before(obs(spark, d), ["site"], "date", {"n_before": F.lit(1)})
-    return h.groupBy(E.history_bucket(F.col("n_before")).alias("history"), "bucket").agg(F.count("*").alias("n"))
+    return counts_before(obs(spark, d), ["site"], "date", {"n_before": F.lit(1)})
+
+
+@query("k18_history_profile", PAST + ", h AS (SELECT CASE WHEN n = 0 THEN '0' WHEN n <= 5 THEN '1_5' WHEN n <= 20 THEN '6_20' ELSE '20_plus' END AS history, bucket FROM c) SELECT history, bucket, count(*) AS n, round(sum(count(*)) OVER (PARTITION BY history) / (SELECT count(*) FROM h), 6)::DOUBLE AS fraction FROM h GROUP BY 1, 2")
+def k18(spark, d):
+    return E.history_profile(past(spark, d), "n_before", "bucket")
+
+
+@query("k18_history_quantiles", PAST + " SELECT " + ", ".join(f"round(quantile_cont(n, {q}), 6) AS p{int(q * 100):02d}" for q in P.QUANTILES) + " FROM c")
+def k18b(spark, d):
+    return P.quantiles(past(spark, d), "n_before")
 
 
 @query("k5_feature_vector", f"WITH {OBS} SELECT observation_id, array_to_string([coalesce(rank, -9999)::INT, coalesce(nullif(sup, 2), 7)::INT], ',') AS v FROM obs")
@@ -144,6 +179,12 @@ def k21(spark, d):
     return E.run_comparison(E.metrics(E.confusion(rows, "bucket", "guess", ["run", "split"]), ["run", "split"]))
 
 
+@query("k21_split_gap", f"WITH {PRED}, s AS (SELECT grp AS run, sup AS split, bucket AS a, {CUT} AS p, 1 AS n FROM pred)" + sql_metrics("s", "run, split") + ", g AS (SELECT max(f1_high) FILTER (split = 0) AS first, max(f1_high) FILTER (split = 1) AS second FROM met WHERE run % 2 = 0) SELECT *, round(first - second, 6) AS gap FROM g WHERE first IS NOT NULL AND second IS NOT NULL")
+def k21b(spark, d):
+    rows = guessed(spark, d).withColumnsRenamed({"grp": "run", "sup": "split"})
+    return E.split_gap(E.metrics(E.confusion(rows, "bucket", "guess", ["run", "split"]), ["run", "split"]), F.col("run") % 2 == 0, F.col("split") == 0, F.col("split") == 1)
+
+
 @query("k19_fit_and_score")
 def k19(spark, d):
     from flowfeat.operators.history import recent_history, temporal_split

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from flowfeat.functions import dates, geo, levels, text
@@ -172,11 +174,19 @@ def h10(spark, d):
     return obs(spark, d).select("observation_id", levels.season(F.col("date")).alias("season"), F.date_format("date", "yyyy-MM").alias("month_key"), F.year("date").alias("year"))
 
 
-@query("h11_parse_cotation", "SELECT p_partkey, (1 + p_partkey % 7)::INT AS vertical, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE (1 + p_size % 6)::INT END AS aquatic, (1 + p_partkey % 6)::INT AS engagement FROM part")
+FORMS = ["v{v}a{a}{r}", " V {v} / A {a} / {r} ", "v{v} a{a} {r}", "a{a}", "see v{v}a{a}{r} there", "v{v}a{a}", "v{v}a{a}IIX"]
+
+
+def form(parts: list[str], quote: str) -> str:
+    """An expression for the text of each form."""
+    made = [" || ".join(f"{quote}{x}{quote}" if k % 2 == 0 else {"v": "CAST(1 + p_partkey % 12 AS STRING)", "a": "CAST(1 + p_size % 9 AS STRING)", "r": "roman"}[x] for k, x in enumerate(re.split(r"[{}]", f)) if x) for f in parts]
+    return "CASE p_partkey % 7 " + " ".join(f"WHEN {i} THEN {m}" for i, m in enumerate(made)) + " END"
+
+
+@query("h11_parse_cotation", "SELECT p_partkey, CASE WHEN p_partkey % 7 IN (0, 1, 2, 6) THEN (1 + p_partkey % 12)::INT END AS vertical, CASE WHEN p_partkey % 7 IN (0, 1, 2, 6) THEN (1 + p_size % 9)::INT END AS aquatic, CASE WHEN p_partkey % 7 IN (0, 1, 2) THEN (1 + p_partkey % 10)::INT END AS engagement FROM part")
 def h11(spark, d):
-    k = F.col("p_partkey")
-    made = F.concat(F.lit("v"), (1 + k % 7).cast("string"), F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("a"), (1 + F.col("p_size") % 6).cast("string"))), F.lit(" "), F.element_at(F.lit(list(text.ROMAN)), (1 + k % 6).cast("int")))
-    c = table(spark, d, "part").select("p_partkey", text.parse_cotation(made).alias("c"))
+    made = table(spark, d, "part").withColumn("roman", F.element_at(F.lit(list(text.ROMAN)), (1 + F.col("p_partkey") % 10).cast("int")))
+    c = made.select("p_partkey", text.parse_cotation(F.expr(form(FORMS, "'"))).alias("c"))
     return c.select("p_partkey", "c.vertical", "c.aquatic", "c.engagement")
 
 
@@ -231,12 +241,18 @@ def h16(spark, d):
     return pred(spark, d).select("observation_id", text.agreement_category(F.col("score") - F.col("rank")).alias("agreement"))
 
 
-RULES = [("the ea", "CRUE"), ("und", "GROS"), ("q[ue]+", "SEC")]
+QUOTES = ["dc+", "Sehr hoch!", "DC-", "dc", "Niedrig - Mittel", "TROCKEN", "", "??", "high flood", "très  sec", "tief", "plain"]
+QUOTE_SQL = f"text || CASE doc_id % 3 WHEN 0 THEN ' Wasserstand: \"' || q || '\" und' WHEN 1 THEN chr(10) || 'water level:' || q || '; then' ELSE '' END"
+LEVEL_SQL = "CASE WHEN n = '' THEN NULL " + " ".join(f"WHEN {' OR '.join(f'contains(n, {chr(39)}{w}{chr(39)})' for w in ws)} THEN '{name}'" for name, ws in text.WATER_LEVELS) + " END"
 
 
-@query("h17_infer_level", f"WITH f AS (SELECT doc_id, {FOLD.format('text')} AS f FROM documents) SELECT doc_id, CASE WHEN regexp_matches(f, 'the ea') THEN 'CRUE' WHEN regexp_matches(f, 'und') THEN 'GROS' WHEN regexp_matches(f, 'q[ue]+') THEN 'SEC' END AS level FROM f")
+@query("h17_infer_level", f"""WITH t AS (SELECT doc_id, {QUOTE_SQL} AS t FROM (SELECT *, {QUOTES}[doc_id % {len(QUOTES)} + 1] AS q FROM documents)), r AS (SELECT doc_id, trim(coalesce(nullif(regexp_extract(t, '(?i)Wasserstand:\\s*"([^"]+)"', 1), ''), nullif(regexp_extract(t, '(?i)Water\\s*level:\\s*"?([^"\n,.;)]+)', 1), ''))) AS raw FROM t),
+  n AS (SELECT *, CASE WHEN raw IS NOT NULL THEN trim(regexp_replace({FOLD.format('raw')}, '[^a-z0-9+-]+', ' ', 'g')) END AS n FROM r) SELECT doc_id, raw, {LEVEL_SQL} AS level FROM n""")
 def h17(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.infer_level_from_text(F.col("text"), RULES).alias("level"))
+    q = F.element_at(F.lit(QUOTES), (F.col("doc_id") % len(QUOTES) + 1).cast("int"))
+    k = F.col("doc_id") % 3
+    said = F.concat("text", F.when(k == 0, F.concat(F.lit(' Wasserstand: "'), q, F.lit('" und'))).when(k == 1, F.concat(F.lit("\nwater level:"), q, F.lit("; then"))).otherwise(""))
+    return table(spark, d, "documents").select("doc_id", text.infer_level_from_text(said).alias("w")).select("doc_id", "w.raw", "w.level")
 
 
 @query("h18_haversine", f"WITH {CAT} SELECT id, round(12742.0 * asin(sqrt(least(1.0, pow(sin(radians(45.0 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(45.0)) * pow(sin(radians(6.0 - lon) / 2), 2)))), 4) AS km FROM cat")
