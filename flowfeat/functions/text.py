@@ -286,14 +286,15 @@ def infer_level_from_text(c: Column, rules: list[tuple[str, list[str]]] = WATER_
     words stands in it, folded, anything but letters, digits, + and - being a space. No quote gives two nulls; one that no rule knows has no level."""
     found = F.coalesce(*[F.nullif(F.regexp_extract(c, rx, 1), F.lit("")) for rx in quoted])
     raw = F.regexp_replace(found, r"^\s+|\s+$", "")
-    bare = F.trim(F.regexp_replace(fold(raw), r"[^a-z0-9+\-]+", " "))
-    level = F.lit(None).cast("string")
-    for name, words in reversed(rules):
-        hit = F.lit(False)
-        for w in words:
-            hit = hit | bare.contains(w)
-        level = F.when(hit, name).otherwise(level)
-    return F.struct(F.when(raw.isNotNull() & (bare != ""), level).alias("level"), raw.alias("raw"))
+
+    def told(bare: Column) -> Column:
+        level = F.lit(None).cast("string")
+        for name, words in reversed(rules):
+            level = F.when(F.exists(F.lit(words), lambda w: bare.contains(w)), name).otherwise(level)
+        return F.when(bare != "", level)
+
+    once = lambda value, f: F.get(F.transform(F.array(value), f), 0)  # noqa: E731  (value is computed once, however often f reads it)
+    return once(raw, lambda r: F.struct(F.when(r.isNotNull(), once(F.trim(F.regexp_replace(fold(r), r"[^a-z0-9+\-]+", " ")), told)).alias("level"), r.alias("raw")))
 
 
 def sanitize_url(c: Column) -> Column:

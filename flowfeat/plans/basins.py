@@ -88,7 +88,7 @@ def i12(spark, d):
     return B.regulation_severity(p).drop(*WORKS)
 
 
-KARST = {"carbonate": "CASE WHEN p_partkey % 5 > 1 THEN p_partkey % 11 / 10.3 END", "karst": "CASE WHEN p_partkey % 3 > 0 THEN p_partkey % 3 / 2.0 END", "infiltration": "p_size % 7 / 6.1", "shallow": "CASE WHEN p_size > 4 THEN p_size % 5 / 4.0 END", "depressions": "p_partkey % 23", "area": "p_size % 6", "drainage": "p_partkey % 17 / 4.1", "frequency": "p_partkey % 13 / 5.3"}
+KARST = {"carbonate": "CASE WHEN p_partkey % 5 > 1 THEN p_partkey % 11 / 103e-1 END", "karst": "CASE WHEN p_partkey % 3 > 0 THEN p_partkey % 3 / 2e0 END", "infiltration": "sqrt(p_size % 7) / 3", "shallow": "CASE WHEN p_size > 4 THEN sqrt(p_size % 5) / 21e-1 END", "depressions": "p_partkey % 23", "area": "p_size % 6", "drainage": "sqrt(p_partkey % 17)", "frequency": "sqrt(p_partkey % 13)"}
 
 
 @query("i13_karst", "WITH k AS (SELECT p_partkey AS id, " + ", ".join(f"({v})::DOUBLE AS {k}" for k, v in KARST.items()) + """ FROM part), r AS (SELECT *, greatest(coalesce(carbonate, 0), coalesce(karst, 0)) AS rock FROM k), s AS (SELECT *, CASE WHEN area > 0 THEN depressions / area * greatest(rock, 0.1) END AS holes, frequency * rock AS springs_ FROM r),

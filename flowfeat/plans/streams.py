@@ -21,22 +21,28 @@ def source(spark: SparkSession, d: str, parts: int = 4) -> DataFrame:
     return replayed(spark, ev(spark, d), parts)
 
 
-def replayed(spark: SparkSession, e: DataFrame, parts: int = 4, per_file: int = PER_FILE) -> DataFrame:
+def replayed(spark: SparkSession, e: DataFrame, parts: int = 4, per_file: int = PER_FILE, late: str | None = None, closing_days: int = 0) -> DataFrame:
     """All rows of e as a stream: ``parts`` windows of equal length from the first to the last time, rows without a time in the first.
 
-    Each window is written by ranges of time in files of at most ``per_file`` rows, so batches grow in number, not in size.
+    Each window is written by ranges of time in files of at most ``per_file`` rows, so batches grow in number, not in size. Rows for which ``late`` holds come in a
+    window of their own after all others. With ``closing_days`` a last file holds one row with a time so long after all others, and no other value: it moves the
+    watermark past the last windows, whose rows come out then.
     """
     path = f"{shared_dir(spark)}/events-{uuid.uuid4().hex}"
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     low, high = e.agg(F.min(at), F.max(at)).first()
     width = ((high or 0) - (low or 0)) // parts + 1
     part = F.coalesce(F.floor((at - F.lit(low or 0)) / F.lit(width)), F.lit(0))
+    part = part if late is None else F.when(F.expr(late), F.lit(parts)).otherwise(part)
     sizes = {r["part"]: r["n"] for r in e.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
     for k in sorted(sizes):
         rows = e.filter(part == k).repartitionByRange(-(-sizes[k] // per_file), "ts").sortWithinPartitions("ts")
         rows.write.mode("append").option("maxRecordsPerFile", per_file).parquet(path)
     if not sizes:
         e.write.parquet(path)
+    elif closing_days:
+        end = F.timestamp_micros(F.lit(high + closing_days * 86_400_000_000)).cast(e.schema["ts"].dataType)
+        spark.range(1).select(*[(end if f.name == "ts" else F.lit(None).cast(f.dataType)).alias(f.name) for f in e.schema]).write.mode("append").parquet(path)
     return A.read_events(spark, path, e.schema)
 
 
@@ -44,13 +50,21 @@ def run(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append")
     """Runs a stream over what there is and returns its rows, written by batch to the shared folder."""
     out = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     work = f"{shared_dir(spark)}/{name}-state-{uuid.uuid4().hex}"
-    stream.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", work).trigger(availableNow=True).start().awaitTermination()
+    before = spark.conf.get(A.STATE_STORE)
+    spark.conf.set(A.STATE_STORE, A.ROCKS)
+    try:
+        stream.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", work).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(A.STATE_STORE, before)
     return spark.read.schema(stream.schema).parquet(out)
 
 
-@query("j1_new_items")
+@query("j1_new_items", """WITH b AS (SELECT user_id::VARCHAR AS key, event_type || ':' || day(ts) % 5 AS marker, ts, (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) // ((SELECT max(epoch_us(ts)) - min(epoch_us(ts)) FROM events) // 4 + 1) AS part FROM events),
+  f AS (SELECT *, min(part) OVER (PARTITION BY key) AS seed, min(part) OVER (PARTITION BY key, marker) AS first FROM b)
+  SELECT key, marker, min(ts)::TIMESTAMP AS ts FROM f WHERE part = first AND first > seed GROUP BY 1, 2""")
 def j1(spark, d):
-    return run(spark, A.new_items(source(spark, d), "user_id", "event_id"), "new-items")
+    s = source(spark, d).withColumn("marker", F.concat("event_type", F.lit(":"), (F.dayofmonth("ts") % 5).cast("string")))
+    return run(spark, A.new_items(s, "user_id", "marker"), "new-items")
 
 
 @query("j2_once_across", "SELECT DISTINCT user_id || ':' || event_type || ':' || epoch_us(ts) // 3600000000 AS marker FROM events")
@@ -76,24 +90,36 @@ def j6(spark, d):
 
 @query("j7_daily_counts", "SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def j7(spark, d):
-    return A.daily_counts(ev(spark, d).withColumn("ts", F.col("ts").cast("timestamp")), "event_type")
+    return run(spark, A.daily_counts(replayed(spark, ev(spark, d), closing_days=9), "event_type"), "daily")
 
 
 @query("j8_sessions", "WITH o AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS \"end\", count(*) AS n FROM s GROUP BY user_id, k")
 def j8(spark, d):
-    return A.sessions(ev(spark, d).withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "6 hours")
+    return run(spark, A.sessions(replayed(spark, ev(spark, d), closing_days=9), "user_id", "6 hours"), "sessions")
 
 
 @query("j9_sliding_sums", "WITH w AS (SELECT user_id, value, unnest(range(24)) AS k, date_trunc('hour', ts) AS h FROM events) SELECT user_id, (h - to_hours(k))::TIMESTAMP AS start, round(sum(value), 4) AS total, count(*) AS n FROM w GROUP BY 1, 2")
 def j9(spark, d):
-    return A.sliding_sums(ev(spark, d).withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "value")
+    return run(spark, A.sliding_sums(replayed(spark, ev(spark, d), closing_days=9), "user_id", "value"), "sliding")
 
 
-@query("j10_uncertain", "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'uncertain' ELSE 'dated' END AS quality FROM events")
+LATE = "event_id % 97 = 5"
+# A batch drops what is late by the watermark that the batch before it began with: the last, late batch goes by the first three of the four windows.
+
+
+@query("j10_routing", f"""WITH e AS (SELECT *, event_id % 7 = 0 AS vague, {LATE} AS held FROM events), r AS (SELECT min(epoch_us(ts)) AS low, max(epoch_us(ts)) AS high FROM events), w AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM e, r WHERE NOT held AND NOT vague AND (epoch_us(ts) - low) // ((high - low) // 4 + 1) < 3),
+  q AS (SELECT CASE WHEN vague THEN 'uncertain' WHEN held AND ts <= mark THEN 'late' ELSE 'dated' END AS quality FROM e, w) SELECT quality, count(*) AS n FROM q GROUP BY 1""")
 def j10(spark, d):
-    e = cut(ev(spark, d).select("event_id", F.when(F.col("event_id") % 7 == 0, "hier").otherwise(F.date_format("ts", "yyyy-MM-dd")).alias("raw")), "dated")
-    good, bad = A.split_uncertain(e, F.try_to_date("raw", "yyyy-MM-dd"))
-    return good.select("event_id", F.lit("dated").alias("quality")).union(bad.select("event_id", "quality"))
+    s = replayed(spark, ev(spark, d), late=LATE).withColumn("raw", F.when(F.col("event_id") % 7 == 0, "hier").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")))
+    late = A.LateRows()
+    spark.streams.addListener(late)
+    try:
+        got = cut(run(spark, A.route(s, F.try_to_timestamp("raw", F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS")), "event_id").select("event_id", "quality"), "routed").groupBy("quality").agg(F.count("*").alias("n")), "routed")
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        spark.streams.removeListener(late)
+    dropped = sum(late.dropped.values())
+    return got.union(spark.range(1).select(F.lit("late"), F.lit(dropped).cast("long"))) if dropped else got
 
 
 @query("a1_a2_records", "SELECT doc_id, md5(text) AS md5 FROM documents")

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 SEEN = 50
 
@@ -28,32 +28,85 @@ def read_events(spark: SparkSession, path: str, schema, per_batch: int = 1) -> D
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def detect_new(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One key's step: the first batch fills the seen list silently, later unseen markers come out; the list holds the newest ``SEEN``.
+class NewItems(StatefulProcessor):
+    """One followed key's state: whether its first batch came, and the newest ``keep`` markers seen, oldest first.
 
-    Arrow batches are taken one by one; what is held besides is the seen list, the newest ``SEEN`` rows and the step's new
-    markers. Of a marker that several Arrow batches of a step repeat, the row that is read first comes out.
+    The first batch fills the list silently; markers of later ones that are not in it come out, each once for a step, in the order of time. Arrow batches are
+    taken one by one: what is held besides is the list, the step's new markers and the newest rows. With ``expire_days`` a key that had no
+    event for so long, by the watermark, is forgotten by a timer and seeds anew.
     """
-    seeded = state.exists
-    seen: list[str] = list(state.get[0]) if seeded else []
-    known, done = set(seen), set()
-    newest = None
-    for rows in batches:
-        rows = rows.sort_values(["ts", "marker"]).drop_duplicates("marker")
-        new = rows[~rows["marker"].isin(known)]
-        newest = new if newest is None else pd.concat([newest, new])
-        newest = newest.sort_values(["ts", "marker"]).drop_duplicates("marker", keep="first").tail(SEEN)
-        if seeded:
-            new = new[~new["marker"].isin(done)]
-            done.update(new["marker"])
-            yield new.assign(key=key[0])[["key", "marker", "ts"]]
-    state.update(([*seen, *([] if newest is None else newest["marker"])][-SEEN:],))
-
-
-def new_items(events: DataFrame, key: str, marker: str) -> DataFrame:
-    """Items not seen before at a followed key, by keyed state of bounded size. events: a stream with ``ts``."""
-    rows = events.select(F.col(key).cast("string").alias("key"), F.col(marker).cast("string").alias("marker"), "ts")
-    return rows.groupBy("key").applyInPandasWithState(detect_new, "key string, marker string, ts timestamp", "seen array<string>", "append", GroupStateTimeout.NoTimeout)
+
+    def __init__(self, keep: int = SEEN, expire_days: float | None = None) -> None:
+        self.keep, self.expire_days = keep, expire_days
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getListState("seen", "marker string")
+        self.seeded = handle.getValueState("seeded", "last long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        seeded = self.seeded.exists()
+        last = int(self.seeded.get()[0]) if seeded else 0
+        seen = [r[0] for r in self.seen.get()] if seeded else []
+        known, done, newest = set(seen), set(), None
+        for batch in rows:
+            batch = batch.sort_values(["ts", "marker"]).drop_duplicates("marker")
+            if len(batch):
+                last = max(last, int(batch["ts"].max().timestamp() * 1000))
+            new = batch[~batch["marker"].isin(known)]
+            newest = new if newest is None else pd.concat([newest, new])
+            newest = newest.sort_values(["ts", "marker"]).drop_duplicates("marker", keep="first").tail(self.keep)
+            if seeded:
+                out = new[~new["marker"].isin(done)]
+                done.update(out["marker"])
+                yield pd.DataFrame({"key": key[0], "marker": out["marker"].to_numpy(), "ts": out["ts"].to_numpy()})
+        kept = [*seen, *([] if newest is None else newest["marker"])][-self.keep :]
+        self.seen.put([(m,) for m in kept])
+        self.seeded.update((last,))
+        if self.expire_days is not None:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(last + int(self.expire_days * 86_400_000))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.seen.clear()
+        self.seeded.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def new_items(events: DataFrame, key: str, marker: str, keep: int = SEEN, expire_days: float | None = None, delay: str = "0 seconds") -> DataFrame:
+    """(key, marker, ts) of items not seen before at a followed key, by list and value state of bounded size. events: a stream with ``ts``; rows with a null key,
+    marker or time are left out. The session's state store must be RocksDB (``STATE_STORE``, ``ROCKS``) when the stream starts. With ``expire_days`` rows later than ``delay`` are dropped."""
+    rows = events.select(F.col(key).cast("string").alias("key"), F.col(marker).cast("string").alias("marker"), "ts").dropna()
+    rows = rows if expire_days is None else rows.withWatermark("ts", delay)
+    return rows.groupBy("key").transformWithStateInPandas(NewItems(keep, expire_days), "key string, marker string, ts timestamp", "Append", "None" if expire_days is None else "EventTime")
+
+
+class LateRows(StreamingQueryListener):
+    """Counts the rows that stateful operators dropped because they came after the watermark, by query id. Add it to ``spark.streams`` before the query starts."""
+
+    def __init__(self) -> None:
+        self.dropped: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.dropped.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.dropped[str(p.id)] = self.dropped.get(str(p.id), 0) + sum(s.numRowsDroppedByWatermark for s in p.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
 
 
 def once_across(events: DataFrame, marker: str, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
@@ -110,6 +163,14 @@ def upsert_batches(path: str, key: list[str], part: Column):
     return put
 
 
+def route(events: DataFrame, parsed: Column, ident: str, delay: str = "1 day") -> DataFrame:
+    """A stream's rows with ``parsed`` (a time) and ``quality``: "uncertain" without one, kept apart, not dropped; else "dated", each id once within the watermark.
+    Dated rows later than ``delay`` are dropped and counted row by row, as no aggregate comes before the state that drops them: see ``LateRows``."""
+    rows = events.withColumn("parsed", parsed.cast("timestamp"))
+    dated = rows.filter("parsed IS NOT NULL").withWatermark("parsed", delay).dropDuplicatesWithinWatermark([ident]).withColumn("quality", F.lit("dated"))
+    return dated.unionByName(rows.filter("parsed IS NULL").withColumn("quality", F.lit("uncertain")))
+
+
 def split_uncertain(batch: DataFrame, parsed: Column) -> tuple[DataFrame, DataFrame]:
     """Rows with a date, and the others apart, marked uncertain."""
     rows = batch.withColumn("__p", parsed)

@@ -229,7 +229,10 @@ def test_first_sync_seeds_silently(spark, tmp_path):
                 os.rename(f"{src}/{n}", f"{src}/batch{k}.parquet")
                 os.utime(f"{src}/batch{k}.parquet", (1000 + k, 1000 + k))
     s = A.new_items(A.read_events(spark, src, spark.createDataFrame([], schema).schema), "user_id", "event_id")
+    before = spark.conf.get(A.STATE_STORE)
+    spark.conf.set(A.STATE_STORE, A.ROCKS)
     s.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    spark.conf.set(A.STATE_STORE, before)
     assert sorted(r["marker"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["12", "21"]
 
 
@@ -246,24 +249,33 @@ def test_streams_hold_all_events(spark):
 def test_new_items_fold_batches():
     import pandas as pd
 
-    from flowfeat.streaming.activity import detect_new
+    from flowfeat.streaming.activity import NewItems
 
-    class State:
-        exists, get = True, (["m1"],)
+    class Held:
+        def __init__(self, *rows):
+            self.rows = list(rows)
 
-        def update(self, x):
-            self.get = x
+        exists = lambda self: bool(self.rows)
+        get = lambda self: self.rows[0] if self.one else iter(self.rows)
+
+        def put(self, rows):
+            self.rows = list(rows)
+
+        def update(self, row):
+            self.rows = [row]
 
     def batches():
         for k in range(40):
             assert k < 2 or got, "nothing came out before all batches were read"
             yield pd.DataFrame({"marker": [f"m{k}", f"m{k + 1}"], "ts": pd.to_datetime(["2024-01-01", "2024-01-02"]) + pd.Timedelta(days=k)})
 
-    state, got = State(), []
-    for out in detect_new(("u",), batches(), state):
+    step, got = NewItems(), []
+    step.seen, step.seeded = Held(("m1",)), Held((0,))
+    step.seen.one, step.seeded.one = False, True
+    for out in step.handleInputRows(("u",), batches(), None):
         got += out["marker"].tolist()
     assert sorted(got) == sorted(f"m{k}" for k in range(41) if k != 1)
-    assert state.get[0][-1] == "m40" and len(state.get[0]) <= 50
+    assert step.seen.rows[-1] == ("m40",) and len(step.seen.rows) <= 50
 
 
 def test_near_pairs_at_the_date_line_and_the_poles(spark):
