@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowfeat.operators.graph import components
 from flowfeat.operators.spread import grouped_quantiles
+from flowfeat.sources.shared import cut, drop
 
 
 def share(cond: Column, of: Column | None = None) -> Column:
@@ -247,8 +250,6 @@ def stream_network(links: DataFrame, basin: str, stream: Column) -> DataFrame:
     links: (basin, row, col, elevation, down). The cell that a cell drains to is found by doubling jumps: log2 of the longest path rounds.
     """
     key = lambda r, c: F.concat_ws(":", F.col(basin).cast("string"), r.cast("string"), c.cast("string"))
-    from flowfeat.sources.shared import cut, drop
-
     nodes = cut(links.select(basin, key(F.col("row"), F.col("col")).alias("id"), key(F.col("down.row"), F.col("down.col")).alias("to"), F.col("down").isNull().alias("pit"), "elevation", stream.alias("stream")), "nodes")
     into = nodes.filter("stream AND NOT pit").groupBy(F.col("to").alias("id")).agg(F.count("*").alias("inflow"))
     s = nodes.filter("stream").join(into, "id", "left").withColumn("inflow", F.coalesce("inflow", F.lit(0)))
@@ -266,23 +267,27 @@ def stream_network(links: DataFrame, basin: str, stream: Column) -> DataFrame:
     return counts.join(hand, basin, "left")
 
 
-def strahler(links: DataFrame, basin: str, stream: Column) -> DataFrame:
-    """I16: largest Strahler order of each basin's streams.
+def stream_cells(links: DataFrame, basin: str, stream: Column) -> DataFrame:
+    """(basin, id, to, step) of the stream cells: ``to`` is the stream cell that one flows into, null if there is none, ``step`` the way there in cell sides."""
+    key = lambda r, c: F.concat_ws(":", F.col(basin).cast("string"), r.cast("string"), c.cast("string"))
+    way = F.sqrt(F.pow(F.col("down.row") - F.col("row"), F.lit(2)) + F.pow(F.col("down.col") - F.col("col"), F.lit(2)))
+    cells = links.filter(stream).select(basin, key(F.col("row"), F.col("col")).alias("id"), F.when(F.col("down").isNotNull(), key(F.col("down.row"), F.col("down.col"))).alias("to"), way.alias("step"))
+    there = cells.select(F.col("id").alias("to"), F.lit(True).alias("__in"))
+    return cells.join(there, "to", "left").select(basin, "id", F.when(F.col("__in"), F.col("to")).alias("to"), F.when(F.col("__in"), F.col("step")).alias("step"))
+
+
+def stream_orders(cells: DataFrame) -> DataFrame:
+    """I16: (id, order), the Strahler order of cells (id, to).
 
     A cell's order is over k exactly if it, or a cell upstream, has two inflows of order k or more. So the cells of each order
     are all cells downstream of such junctions, found by doubling jumps: rounds follow the order and the logarithm of the
     longest path, not the path.
     """
-    from flowfeat.sources.shared import cut
-
-    key = lambda r, c: F.concat_ws(":", F.col(basin).cast("string"), r.cast("string"), c.cast("string"))
-    cells = links.filter(stream).select(basin, key(F.col("row"), F.col("col")).alias("id"), F.when(F.col("down").isNotNull(), key(F.col("down.row"), F.col("down.col"))).alias("to"))
-    cells = cut(cells.join(cells.select(F.col("id").alias("to"), F.lit(True).alias("__in")), "to", "left").select(basin, "id", F.when(F.col("__in"), F.col("to")).alias("to")), "streams")
     jumps = [cells.filter("to IS NOT NULL").select("id", "to")]
     while not jumps[-1].isEmpty():
         last = jumps[-1]
         jumps.append(cut(last.join(last.select(F.col("id").alias("to"), F.col("to").alias("__n")), "to").select("id", F.col("__n").alias("to")), "jumps"))
-    at_least, orders = cells.select("id"), [cells.select(basin, F.lit(1).alias("order"))]
+    at_least, orders = cells.select("id"), [cells.select("id", F.lit(1).alias("order"))]
     while True:
         heads = cells.join(at_least, "id").filter("to IS NOT NULL").groupBy(F.col("to").alias("id")).agg(F.count("*").alias("n")).filter("n >= 2").select("id")
         marked = cut(heads, "heads")
@@ -291,11 +296,54 @@ def strahler(links: DataFrame, basin: str, stream: Column) -> DataFrame:
         for j in jumps[:-1]:
             marked = marked.union(marked.join(j, "id").select(F.col("to").alias("id"))).distinct()
         at_least = cut(marked, "orders")
-        orders.append(cells.join(at_least, "id").select(basin, F.lit(len(orders) + 1).alias("order")))
-    out = orders[0]
-    for o in orders[1:]:
-        out = out.union(o)
-    return out.groupBy(basin).agg(F.max("order").alias("strahler"))
+        orders.append(at_least.select("id", F.lit(len(orders) + 1).alias("order")))
+    out = cut(reduce(DataFrame.union, orders).groupBy("id").agg(F.max("order").alias("order")), "strahler")
+    for t in jumps[1:]:
+        drop(t)
+    return out
+
+
+def strahler(links: DataFrame, basin: str, stream: Column) -> DataFrame:
+    """I16: largest Strahler order of each basin's streams."""
+    cells = cut(stream_cells(links, basin, stream), "streams")
+    return cells.join(stream_orders(cells), "id").groupBy(basin).agg(F.max("order").alias("strahler"))
+
+
+# The area upstream (km2) from which a cell of up to so many metres belongs to a stream; 5 for larger ones. Where no cell has it, a half, a fifth, nothing.
+STREAM_AREAS = [(10, 0.05), (30, 0.1), (100, 0.5), (500, 2.0)]
+LADDER = [1, 2, 5, 0]
+
+
+def network_metrics(links: DataFrame, basin: str, upstream_km2: Column, resolution: float, cell_km2: float) -> DataFrame:
+    """I16: the stream network of each basin from cells (basin, row, col, down): threshold, stream cells, sources and stream length per square kilometre, links, segments,
+    junctions, largest Strahler order, share of the length in first-order streams, and length in km.
+
+    The threshold goes by the resolution; where it leaves no cell, a half or a fifth of it, else 0: cells over all of them are counted in one pass. A link joins a
+    stream cell to the one it flows into; a segment starts at a cell that flows on and has no inflow or several, or is a cell alone. Lengths are steps to neighbours.
+    Null areas are no streams; a basin without any has counts of 0 and nulls.
+    """
+    first = next((v for most, v in STREAM_AREAS if resolution <= most), 5.0)
+    steps = [first / k if k else 0.0 for k in LADDER]
+    rows = links.withColumn("__up", upstream_km2.cast("double"))
+    over = rows.groupBy(basin).agg((F.count("*") * cell_km2).alias("__km2"), *[F.sum((F.col("__up") >= t).cast("long")).alias(f"__n{i}") for i, t in enumerate(steps)])
+    taken = F.coalesce(*[F.when(F.col(f"__n{i}") > 0, F.lit(t)) for i, t in enumerate(steps)], F.lit(steps[-1]))
+    basins = cut(over.select(F.col(basin).alias("__b"), "__km2", taken.alias("threshold")), "thresholds")
+    cells = cut(stream_cells(rows.join(basins, rows[basin].eqNullSafe(basins["__b"])), basin, F.col("__up") >= F.col("threshold")), "streams")
+    into = cells.filter("to IS NOT NULL").groupBy(F.col("to").alias("id")).agg(F.count("*").alias("__in"))
+    all_ = cells.join(into, "id", "left").join(stream_orders(cells), "id").withColumn("__in", F.coalesce("__in", F.lit(0)))
+    n = lambda c: F.sum(c.cast("long"))
+    flows = F.col("to").isNotNull()
+    metres = F.col("step") * resolution
+    per = all_.groupBy(F.col(basin).alias("__of")).agg(
+        F.count("*").alias("stream_cells"), n(F.col("__in") == 0).alias("__sources"), n(flows).alias("links"), n(F.when(flows, F.col("__in") != 1).otherwise(F.col("__in") == 0)).alias("segments"), n(F.col("__in") >= 2).alias("junctions"),
+        F.max("order").alias("strahler"), F.sum(F.when(F.col("order") == 1, metres)).alias("__first"), F.sum(metres).alias("__m"),
+    )
+    out = basins.join(per, F.col("__b").eqNullSafe(F.col("__of")), "left")
+    some = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return out.select(
+        F.col("__b").alias(basin), F.round("threshold", 6).alias("threshold"), *[some(c).alias(c) for c in ("stream_cells", "links", "segments", "junctions")], "strahler", F.round(F.when(F.col("stream_cells") > 0, F.col("__sources") / F.col("__km2")), 6).alias("frequency"),
+        F.round(F.col("__m") / 1000 / F.col("__km2"), 6).alias("density"), F.round(F.when(F.col("__m") > 0, F.coalesce("__first", F.lit(0.0)) / F.col("__m")), 6).alias("first_order_share"), F.round(F.col("__m") / 1000, 6).alias("length_km"),
+    )
 
 
 def topographic_indices(cells: DataFrame, basin: str, area_km2: Column, hand: Column, stream: Column, resolution: float, curvatures: dict[str, Column] | None = None) -> DataFrame:

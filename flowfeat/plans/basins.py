@@ -142,11 +142,29 @@ def i16(spark, d):
     return B.stream_network(B.downstream_links(raster(spark, d), "basin"), "basin", F.col("code") % 4 == 0)
 
 
-@query("i16_strahler")
+DOWN = """c AS (SELECT *, row * 100 + col AS id FROM raster), n AS (SELECT a.id, b.id AS down, b.row - a.row AS dr, b.col - a.col AS dc, row_number() OVER (PARTITION BY a.id ORDER BY b.elevation, b.row, b.col) AS k FROM c a JOIN c b ON a.basin = b.basin AND b.row BETWEEN a.row - 1 AND a.row + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1 AND b.elevation < a.elevation),
+  l AS (SELECT c.*, down, sqrt(dr * dr + dc * dc) AS step FROM c LEFT JOIN n ON n.id = c.id AND k = 1)"""
+#: Strahler orders up to 5 of stream cells (basin, id, down): downstream of a junction of two cells of at least order k all are over k.
+ORDERS = "o1 AS (SELECT id FROM st), " + ", ".join(f"o{k} AS (SELECT down AS id FROM (SELECT st.down FROM st JOIN o{k - 1} USING (id) WHERE st.down IN (SELECT id FROM st) GROUP BY 1 HAVING count(*) >= 2) UNION SELECT st.down FROM o{k} JOIN st USING (id) WHERE st.down IN (SELECT id FROM st))" for k in range(2, 6))
+ORDER_OF = "CASE " + " ".join(f"WHEN id IN (SELECT id FROM o{k}) THEN {k}" for k in range(5, 1, -1)) + " ELSE 1 END"
+
+
+@query("i16_strahler", f"WITH RECURSIVE {RASTER}, {DOWN}, st AS (SELECT * FROM l WHERE code % 4 <> 0), {ORDERS} SELECT basin, max({ORDER_OF})::INT AS strahler FROM st GROUP BY 1")
 def i16b(spark, d):
     return B.strahler(B.downstream_links(raster(spark, d), "basin"), "basin", F.col("code") % 4 != 0)
 
 
+UPSTREAM = "CASE WHEN code % 3 > 0 THEN (code % 60) / (1e2 + basin % 5 * 3e2) END"
+
+
+@query("i16_network_metrics", f"""WITH RECURSIVE {RASTER}, {DOWN}, u AS (SELECT *, {UPSTREAM} AS up FROM l), b AS (SELECT basin, count(*) * 9e-4 AS km2, CASE WHEN max(up) >= 0.1 THEN 0.1 WHEN max(up) >= 0.05 THEN 0.05 WHEN max(up) >= 0.02 THEN 0.02 ELSE 0 END::DOUBLE AS threshold FROM u GROUP BY 1),
+  st AS (SELECT u.*, threshold, km2 FROM u JOIN b USING (basin) WHERE up >= threshold), {ORDERS}, i AS (SELECT s.basin, s.id, s.step * 30 AS m, d.id IS NOT NULL AS flows, {ORDER_OF.replace('id IN', 's.id IN')} AS ord, (SELECT count(*) FROM st x WHERE x.down = s.id) AS inflow FROM st s LEFT JOIN st d ON d.id = s.down),
+  p AS (SELECT basin, count(*) AS stream_cells, count(*) FILTER (flows) AS links, count(*) FILTER (CASE WHEN flows THEN inflow <> 1 ELSE inflow = 0 END) AS segments, count(*) FILTER (inflow >= 2) AS junctions, max(ord)::INT AS strahler, count(*) FILTER (inflow = 0) AS sources, sum(m) FILTER (flows) AS m, sum(m) FILTER (flows AND ord = 1) AS m1 FROM i GROUP BY 1)
+  SELECT basin, threshold, coalesce(stream_cells, 0) AS stream_cells, coalesce(links, 0) AS links, coalesce(segments, 0) AS segments, coalesce(junctions, 0) AS junctions, strahler, round(sources / km2, 6) AS frequency, round(m / 1000 / km2, 6) AS density, CASE WHEN m > 0 THEN round(coalesce(m1, 0) / m, 6) END AS first_order_share, round(m / 1000, 6) AS length_km FROM b LEFT JOIN p USING (basin)""")
+def i16c(spark, d):
+    return B.network_metrics(B.downstream_links(raster(spark, d), "basin"), "basin", F.expr(UPSTREAM), 30.0, 9e-4)
+
+
 TWI = "ln(greatest(greatest(area, 1e-6) * 1e6 / 30 / greatest(tan(radians(greatest(0.1, least(89, slope)))), 1e-6), 1e-6))"
 
 

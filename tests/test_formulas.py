@@ -167,3 +167,20 @@ def test_response_times_of_one_basin(spark):
     assert got["b"]["slope_percent"] == 20.0 and got["b"]["kirpich"] == pytest.approx(0.01947 * 2000**0.77 * 0.2**-0.385, abs=1e-6)
     assert got["b"]["giandotti"] == pytest.approx((4 * math.sqrt(area) + 3) / (0.8 * math.sqrt(500)) * 60, abs=1e-6)
     assert got["flat"]["kirpich"] is None and got["flat"]["giandotti"] is None
+
+
+def test_network_of_a_small_tree(spark):
+    # two sources meet, a third joins below; a lone cell; thresholds .1, then .05 and nothing where no area reaches them
+    down = {(0, 0): (1, 1), (0, 2): (1, 1), (1, 1): (2, 1), (2, 0): (3, 1), (2, 1): (3, 1), (3, 1): None, (7, 7): None, (9, 9): (8, 8)}
+    rows = [("t", r, c, d, 0.0 if (r, c) == (9, 9) else 0.1) for (r, c), d in down.items()] + [("half", 0, 0, (0, 1), 0.06), ("half", 0, 1, None, 0.06), ("none", 0, 0, None, 0.001), ("null", 0, 0, None, None)]
+    links = spark.createDataFrame(rows, "basin string, row int, col int, down struct<row:int,col:int>, up double")
+    got = {r["basin"]: r for r in basin.network_metrics(links, "basin", F.col("up"), 30.0, 0.5).collect()}
+    t = got["t"]
+    slant, straight = 30 * math.sqrt(2), 30.0
+    assert (t["threshold"], t["stream_cells"], t["links"], t["segments"], t["junctions"], t["strahler"]) == (0.1, 7, 5, 5, 2, 2)
+    total = 3 * slant + 2 * straight  # (0,0), (0,2), (2,0) go aslant, (1,1), (2,1) straight on
+    assert t["length_km"] == pytest.approx(total / 1000, abs=1e-6) and t["first_order_share"] == pytest.approx(3 * slant / total, abs=1e-6)
+    assert t["frequency"] == 4 / 4.0 and t["density"] == pytest.approx(total / 1000 / 4, abs=1e-6)
+    assert got["half"]["threshold"] == 0.05 and (got["half"]["stream_cells"], got["half"]["segments"]) == (2, 1)
+    assert got["none"]["threshold"] == 0.0 and (got["none"]["stream_cells"], got["none"]["segments"], got["none"]["length_km"]) == (1, 1, None)
+    assert tuple(got["null"])[1:] == (0.0, 0, 0, 0, 0, None, None, None, None, None)
