@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowfeat.functions import geo, text
-from flowfeat.sources.shared import cut
+from flowfeat.sources.shared import cut, drop
 
 
 # pages
@@ -452,12 +452,48 @@ def select_candidate(points: DataFrame, site: str, value: str, distance: str, st
     return got.select(site, "p.*")
 
 
-def entry_conflicts(entries: DataFrame, site: str, order: str, area: str, elevation: str, cell: str) -> DataFrame:
-    """Pairs of a site's entries in order (a before b): the same cell, area that shrinks by over 5 %, elevation that rises by over 10."""
-    a = entries.select(site, F.col(order).alias("i"), F.col(area).alias("a1"), F.col(elevation).alias("e1"), F.col(cell).alias("c1"))
-    b = entries.select(site, F.col(order).alias("j"), F.col(area).alias("a2"), F.col(elevation).alias("e2"), F.col(cell).alias("c2"))
-    found = F.array_compact(F.array(F.when(F.col("c1") == F.col("c2"), "same_cell"), F.when(F.col("a1") > 1.05 * F.col("a2"), "area_order"), F.when(F.col("e2") > F.col("e1") + 10, "elevation_order")))
-    return a.join(b, site).filter("i < j").select(site, "i", "j", F.explode(found).alias("conflict"))
+def entry_conflicts(entries: DataFrame, links: DataFrame, site: str, ident: str, cell: str, area: str, elevation: str, to: str = "to") -> DataFrame:
+    """(site, a, b, ``conflict``) of a site's entries. same_cell: two entries in one cell, a before b. area_order: a flows into b, or shares its cell, and has an
+    area over 1.05 times b's. elevation_order: the same way down, a lies over 10 below b. Entries without an area are left out; a null elevation is in no order.
+
+    links: (site, cell, to), each cell's next one downstream, without cycles. Cells between entries are skipped by doubling jumps. Of the entry cells that are left
+    each holds for 1, 2, 4, ... of those downstream their least area and largest elevation; an entry looks into a stretch only if these allow
+    a conflict there, and halves it until single cells are left. So the rows made follow the conflicts times the logarithm of the way, not the pairs of a
+    site; only what stands in one cell is paired.
+    """
+    e = entries.filter(F.col(area).isNotNull()).select(F.col(site).alias("s"), F.col(ident).alias("i"), F.col(cell).alias("c"), F.col(area).cast("double").alias("ar"), F.col(elevation).cast("double").alias("el"))
+    e = cut(e, "entries")
+    stops = e.groupBy("s", "c").agg(F.min("ar").alias("low"), F.max("el").alias("high"))
+    flow = links.select(F.col(site).alias("s"), F.col(cell).alias("c"), F.col(to).alias("to"))
+    last = flow.join(stops.select("s", F.col("c").alias("to"), F.lit(True).alias("stop")), ["s", "to"], "left").select("s", "c", "to", F.coalesce("stop", F.lit(False)).alias("stop"))
+    ways = cut(last, "ways")  # ``to`` is the cell that the jump reaches: an entry's (stop), or one on the way there
+    while not ways.filter("to IS NOT NULL AND NOT stop").isEmpty():
+        ahead = ways.select("s", F.col("c").alias("to"), F.col("to").alias("far"), F.col("stop").alias("there"))
+        new = ways.join(ahead, ["s", "to"], "left").select("s", "c", F.when(F.col("stop"), F.col("to")).otherwise(F.col("far")).alias("to"), (F.col("stop") | F.coalesce("there", F.lit(False))).alias("stop"))
+        new = cut(new, "ways")
+        drop(ways)
+        ways = new
+    under = ways.filter("stop").join(stops, ["s", "c"], "left_semi").select("s", "c", "to")
+    level = cut(under.join(stops.withColumnRenamed("c", "to"), ["s", "to"]), "stretch")
+    levels = [level]
+    while True:  # twice the stretch, or all there is
+        ahead = level.select("s", F.col("c").alias("to"), F.col("to").alias("far"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+        if level.join(ahead, ["s", "to"], "left_semi").isEmpty():
+            break
+        level = cut(level.join(ahead, ["s", "to"], "left").select("s", "c", F.col("far").alias("to"), F.least("low", "low2").alias("low"), F.greatest("high", "high2").alias("high")), "stretch")
+        levels.append(level)
+    may = (F.col("ar") > 1.05 * F.col("low")) | (F.col("el") < F.col("high") - 10)
+    look = e.select("s", "i", "ar", "el", "c")
+    for k in range(len(levels) - 1, 0, -1):
+        inside = look.join(levels[k], ["s", "c"]).filter(may).select("s", "i", "ar", "el", "c")
+        half = inside.join(levels[k - 1].select("s", "c", "to"), ["s", "c"])
+        look = cut(inside.union(half.filter("to IS NOT NULL").select("s", "i", "ar", "el", F.col("to").alias("c"))), "looks")
+    met = look.join(levels[0], ["s", "c"]).filter(may).select("s", "i", "ar", "el", F.col("to").alias("c")).union(e.select("s", "i", "ar", "el", "c"))
+    other = e.select("s", "c", F.col("i").alias("j"), F.col("ar").alias("ar2"), F.col("el").alias("el2"))
+    found = F.array_compact(F.array(F.when(F.col("ar") > 1.05 * F.col("ar2"), "area_order"), F.when(F.col("el") < F.col("el2") - 10, "elevation_order")))
+    order = met.join(other, ["s", "c"]).filter("i <> j").select("s", F.col("i").alias("a"), F.col("j").alias("b"), F.explode(found).alias("conflict"))
+    shared = e.join(other, ["s", "c"]).filter("i < j").select("s", F.col("i").alias("a"), F.col("j").alias("b"), F.lit("same_cell").alias("conflict"))
+    return order.union(shared).withColumnRenamed("s", site)
 
 
 def tile_demand(points: DataFrame, by: Column, ident: str, site: str, examples: int = 5) -> DataFrame:

@@ -344,10 +344,17 @@ def e24(spark, d):
     return C.select_candidate(candidates(spark, d), "site", "value", "distance", "nearest", 1200.0).select("site", "id", "distance")
 
 
-@query("e25_entry_conflicts", f"WITH {CANDS}, e AS (SELECT *, id % 4 AS cell, distance AS elevation FROM c), p AS (SELECT a.site, a.id AS i, b.id AS j, a.cell = b.cell AS s, a.value > 1.05 * b.value AS ar, b.elevation > a.elevation + 10 AS el FROM e a JOIN e b ON a.site = b.site AND a.id < b.id) SELECT site, i, j, unnest(list_filter([CASE WHEN s THEN 'same_cell' END, CASE WHEN ar THEN 'area_order' END, CASE WHEN el THEN 'elevation_order' END], lambda x: x IS NOT NULL)) AS conflict FROM p")
+@query("e25_entry_conflicts", """WITH RECURSIVE e AS (SELECT p_partkey % 20 AS site, p_partkey AS id, p_partkey * 37 % 211 AS cell, CASE WHEN p_partkey % 17 > 0 THEN 2000 - p_partkey * 37 % 211 * 9 + p_size * 4 END::DOUBLE AS area, CASE WHEN p_partkey % 13 > 0 THEN p_partkey * 37 % 211 * 5 + p_size * 2 END::DOUBLE AS elevation FROM part),
+  way AS (SELECT DISTINCT site, id, area, elevation, cell FROM e WHERE area IS NOT NULL UNION ALL SELECT site, id, area, elevation, (cell - 1) // 2 FROM way WHERE cell > 0),
+  p AS (SELECT w.site, w.id AS a, b.id AS b, w.area > 1.05 * b.area AS ar, w.elevation < b.elevation - 10 AS el FROM way w JOIN e b ON b.site = w.site AND b.cell = w.cell AND b.id <> w.id AND b.area IS NOT NULL)
+  SELECT site, a, b, 'area_order' AS conflict FROM p WHERE ar UNION ALL SELECT site, a, b, 'elevation_order' FROM p WHERE el UNION ALL SELECT x.site, x.id, y.id, 'same_cell' FROM e x JOIN e y ON x.site = y.site AND x.cell = y.cell AND x.id < y.id AND x.area IS NOT NULL AND y.area IS NOT NULL""")
 def e25(spark, d):
-    c = candidates(spark, d).withColumns({"cell": F.col("id") % 4, "elevation": F.col("distance")})
-    return C.entry_conflicts(c, "site", "id", "value", "elevation", "cell")
+    k = F.col("p_partkey")
+    cell = k * 37 % 211
+    e = table(spark, d, "part").select((k % 20).alias("site"), k.alias("id"), cell.alias("cell"), F.when(k % 17 > 0, 2000 - cell * 9 + F.col("p_size") * 4).alias("area"), F.when(k % 13 > 0, cell * 5 + F.col("p_size") * 2).alias("elevation"))
+    tree = e.select("site").distinct().select("site", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(210).cast("long"))).alias("cell"))
+    links = tree.withColumn("to", F.when(F.col("cell") > 0, F.expr("(cell - 1) div 2")))
+    return C.entry_conflicts(e, links, "site", "id", "cell", "area", "elevation")
 
 
 F1_STEPS = "CASE WHEN name = {q} THEN 800 WHEN ful = {q} THEN 750 WHEN starts_with(name, {q}) THEN 700 WHEN contains(name, {q}) THEN 650 WHEN {name_all} THEN 600 WHEN starts_with(ful, {q}) THEN 550 WHEN contains(ful, {q}) THEN 500 WHEN {full_all} THEN 450 WHEN contains(searchable, {q}) THEN 300 ELSE 200 END"

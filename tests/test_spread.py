@@ -129,3 +129,38 @@ def test_a_chain_of_many_windows(spark):
     chain = spark.range(100_000).selectExpr("1 as k", "id", "date_add(date'1800-01-01', cast(id as int)) as start", "date_add(date'1800-01-01', cast(id + 3 as int)) as end")
     got = series.merge_windows_capped(chain, ["k"], 2, 9, "id").collect()
     assert len(got) == -(-100_000 // 7) and all(len(r["ids"]) == 7 for r in sorted(got, key=lambda r: r["start"])[:-1])
+
+
+def test_conflicts_of_entries_are_those_of_all_pairs(spark):
+    from flowfeat.operators.catalog import entry_conflicts
+
+    rng = random.Random(8)
+    parent = {s: {c: rng.randrange(c) if c else None for c in range(60)} for s in range(4)}
+    rows = [(s, s * 1000 + i, rng.randrange(60), None if rng.random() < 0.1 else rng.uniform(1, 30), None if rng.random() < 0.1 else rng.uniform(0, 300)) for s in range(4) for i in range(40)]
+    want = set()
+    for s, i, c, a, h in rows:
+        way = [c]
+        while parent[s][way[-1]] is not None:
+            way.append(parent[s][way[-1]])
+        for t, j, d, b, g in rows:
+            if s == t and i != j and a is not None and b is not None and d in way:
+                want |= {(s, i, j, "area_order")} if a > 1.05 * b else set()
+                want |= {(s, i, j, "elevation_order")} if h is not None and g is not None and h < g - 10 else set()
+                want |= {(s, i, j, "same_cell")} if c == d and i < j else set()
+    e = spark.createDataFrame(rows, "site int, id int, cell int, area double, elevation double")
+    links = spark.createDataFrame([(s, c, p) for s, x in parent.items() for c, p in x.items()], "site int, cell int, to int")
+    got = [tuple(r) for r in entry_conflicts(e, links, "site", "id", "cell", "area", "elevation").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert entry_conflicts(e.limit(0), links, "site", "id", "cell", "area", "elevation").count() == 0
+
+
+def test_a_site_with_many_entries(spark):
+    from flowfeat.operators.catalog import entry_conflicts
+
+    n = 100_000  # one river of cells; areas grow downstream but for one entry
+    e = spark.range(n).selectExpr("1 as site", "id", "id as cell", "case when id = 70 then 2.0 * id else double(1000 + (99999 - id)) end as area", "double(id) as elevation").withColumn("area", F.when(F.col("id") == 99_990, 1021.0).otherwise(F.col("area")))
+    links = spark.range(n).selectExpr("1 as site", "id as cell", "case when id > 0 then id - 1 end as to")
+    got = sorted((r["a"], r["b"], r["conflict"]) for r in entry_conflicts(e, links, "site", "id", "cell", "area", "elevation").collect())
+    area = {i: 140.0 if i == 70 else 1021.0 if i == 99_990 else 1000.0 + 99_999 - i for i in range(n)}
+    small = [(i, 70, "area_order") for i in range(71, n) if area[i] > 1.05 * 140]
+    assert got == sorted(small + [(99_990, j, "area_order") for j in range(71, 99_990) if 1021.0 > 1.05 * area[j]])
