@@ -219,6 +219,35 @@ def c17(spark, d):
     return B.overlay_features(r.filter("id % 2 = 0").select(F.col("id").alias("bid"), "ring"), f, 4.0).withColumn("area", F.round("area", 9))
 
 
+#: Boxes that make up shapes: (west, south, east, north) in shares of a box's sides, and whether the box is added or taken away.
+BASIN_SHAPE = [((0.0, 0.0, 1.0, 1.0), 1), ((0.4718281, 0.5314159, 1.0, 1.0), -1), ((0.1123581, 0.1301357, 0.3724681, 0.2902468), -1)]
+FEATURE_SHAPE = [((0.0, 0.0, 0.3123457, 1.0), 1), ((0.4712345, 0.2309753, 1.0, 0.7108642), 1), ((0.5913579, 0.3724689, 0.8353971, 0.5346813), -1)]
+
+
+def shaped(spark, d, basin: bool):
+    """Basins as an L with a hole, turned the other way round; features as two polygons, the second with a hole."""
+    r = ringed(spark, d).filter(F.col("id") % 2 == (0 if basin else 1))
+    wide, high = (16.271828, 9.141593) if basin else (9.732051, 5.414214)
+    r = r.withColumns({"west": F.col("west") - wide, "east": F.col("east") + wide, "south": F.col("south") - high, "north": F.col("north") + high})
+    p = lambda x, y: F.array(F.col("west") + (F.col("east") - F.col("west")) * x, F.col("south") + (F.col("north") - F.col("south")) * y)
+    ring = lambda *ps: F.array(*[p(x, y) for x, y in ps])
+    box = lambda w, s, e, n: ring((w, s), (e, s), (e, n), (w, n), (w, s))
+    if basin:
+        shape = F.array(F.array(ring((0, 0), (0, 1), (BASIN_SHAPE[1][0][0], 1), BASIN_SHAPE[1][0][:2], (1, BASIN_SHAPE[1][0][1]), (1, 0)), box(*BASIN_SHAPE[2][0])))
+    else:
+        shape = F.array(F.array(box(*FEATURE_SHAPE[0][0])), F.array(box(*FEATURE_SHAPE[1][0]), box(*FEATURE_SHAPE[2][0])))
+    return r.select(F.col("id").alias("bid" if basin else "fid"), shape.alias("polygons"))
+
+
+def boxes_sql(shape, wide, high, odd):
+    return " UNION ALL ".join(f"SELECT id, w0 + (e0 - w0) * {w}::DOUBLE AS w, s0 + (n0 - s0) * {s}::DOUBLE AS s, w0 + (e0 - w0) * {e}::DOUBLE AS e, s0 + (n0 - s0) * {n}::DOUBLE AS n, {k} AS k FROM (SELECT id, lon - size / 1e2 - {wide}::DOUBLE AS w0, lat - size / 2e2 - {high}::DOUBLE AS s0, lon + size / 1e2 + {wide}::DOUBLE AS e0, lat + size / 2e2 + {high}::DOUBLE AS n0 FROM cat WHERE id % 2 = {odd})" for (w, s, e, n), k in shape)
+
+
+@query("c17_polygon_overlay", f"WITH {CAT}, b AS ({boxes_sql(BASIN_SHAPE, 16.271828, 9.141593, 0)}), f AS ({boxes_sql(FEATURE_SHAPE, 9.732051, 5.414214, 1)}), a AS (SELECT b.id AS bid, f.id AS fid, sum(b.k * f.k * greatest(0, least(b.e, f.e) - greatest(b.w, f.w)) * greatest(0, least(b.n, f.n) - greatest(b.s, f.s))) AS area FROM b, f WHERE b.w < f.e AND f.w < b.e AND b.s < f.n AND f.s < b.n GROUP BY 1, 2) SELECT bid, fid, round(area, 5) AS area FROM a WHERE area > 1e-6")
+def c17b(spark, d):
+    return B.overlay_polygons(shaped(spark, d, True), shaped(spark, d, False), 4.0, 1e-6).withColumn("area", F.round("area", 5))
+
+
 @query("i19_flatten_results", "SELECT o_custkey AS site, CASE WHEN count(*) > 0 THEN max(o_totalprice) END AS area, arg_max(o_orderstatus, struct_pack(p := o_totalprice, s := o_orderstatus)) AS verdict, CASE WHEN o_custkey % 2 = 0 THEN 'first_candidate' END AS reason FROM orders GROUP BY o_custkey")
 def i19(spark, d):
     o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("site")).agg(F.sort_array(F.collect_list(F.struct(F.col("o_totalprice").alias("area"), F.col("o_orderstatus").alias("verdict"))), asc=False).alias("candidates"))

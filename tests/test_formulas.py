@@ -184,3 +184,43 @@ def test_network_of_a_small_tree(spark):
     assert got["half"]["threshold"] == 0.05 and (got["half"]["stream_cells"], got["half"]["segments"]) == (2, 1)
     assert got["none"]["threshold"] == 0.0 and (got["none"]["stream_cells"], got["none"]["segments"], got["none"]["length_km"]) == (1, 1, None)
     assert tuple(got["null"])[1:] == (0.0, 0, 0, 0, 0, None, None, None, None, None)
+
+
+def clipped(rings_a, rings_b):
+    """Common area of two polygons given as rings in even-odd sense: exact between all x at which an edge ends or two edges cross."""
+    edges = lambda rings: [(p, q) if p[0] < q[0] else (q, p) for r in rings for p, q in zip(r, [*r[1:], r[0]]) if p[0] != q[0]]
+    at = lambda e, x: e[0][1] + (e[1][1] - e[0][1]) * (x - e[0][0]) / (e[1][0] - e[0][0])
+    ea, eb = edges(rings_a), edges(rings_b)
+    xs = {p[0] for e in ea + eb for p in e}
+    for e in ea:
+        for f in eb:
+            l, r = max(e[0][0], f[0][0]), min(e[1][0], f[1][0])
+            if l < r and (at(e, l) - at(f, l)) * (at(e, r) - at(f, r)) < 0:
+                d0, d1 = at(e, l) - at(f, l), at(e, r) - at(f, r)
+                xs.add(l + (r - l) * d0 / (d0 - d1))
+    total, xs = 0.0, sorted(xs)
+    for l, r in zip(xs, xs[1:]):
+        m = (l + r) / 2
+        spans = [sorted(at(e, m) for e in es if e[0][0] < m < e[1][0]) for es in (ea, eb)]
+        total += (r - l) * sum(max(0.0, min(a2, b2) - max(a1, b1)) for a1, a2 in zip(spans[0][::2], spans[0][1::2]) for b1, b2 in zip(spans[1][::2], spans[1][1::2]))
+    return total
+
+
+def test_overlay_of_concave_polygons_with_holes(spark):
+    import random
+
+    rng = random.Random(12)
+
+
+    def polygon(cx, cy):
+        outer = [[cx + s * math.cos(t), cy + s * math.sin(t)] for k in range(11) for t, s in [(2 * math.pi * k / 11, rng.uniform(1.5, 4))]]
+        hole = [[cx + 0.6 * math.cos(t), cy + 0.5 * math.sin(t)] for t in (5, 4, 3, 1.5, 0.2)]
+        return [outer if rng.random() < 0.5 else outer[::-1], hole if rng.random() < 0.5 else hole[::-1]]
+
+    shapes = [[[polygon(rng.uniform(-6, 6), rng.uniform(-6, 6)) for _ in range(1)] for _ in range(12)] for _ in range(2)]
+    kind = "id int, polygons array<array<array<array<double>>>>"
+    b, f = (spark.createDataFrame([(i, s) for i, s in enumerate(side)] + [(99, None), (98, []), (97, [[[[0.0, 0.0], [1.0, 1.0]]]])], kind).withColumnRenamed("id", n) for side, n in zip(shapes, ("bid", "fid")))
+    got = {(r["bid"], r["fid"]): r["area"] for r in basin.overlay_polygons(b, f, 1.7).collect()}
+    want = {(i, j): a for i, x in enumerate(shapes[0]) for j, y in enumerate(shapes[1]) if (a := clipped(x[0], y[0])) > 1e-9}
+    assert set(got) == set(want) and len(want) > 40
+    assert got == pytest.approx(want, abs=1e-9)
