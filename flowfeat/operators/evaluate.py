@@ -285,3 +285,55 @@ def score_with_overlay(train: DataFrame, test: DataFrame, cols: list[str], label
     p = [F.col("__p")[i] for i in range(3)]
     base = argmax_label(p)
     return out.select(*test.columns, *[F.round(x, 6).alias(f"p_{c.lower()}") for x, c in zip(p, CLASSES)], base.alias("base"), apply_overlay(base, p[2], threshold).alias("predicted"))
+
+
+def fit_ordinal(train: DataFrame, calibration: DataFrame, cols: list[str], rank: str, label: str, weight: str | None = None, policy: str = "balanced", trees: int = 20, depth: int = 4, rate: float = 0.1):
+    """(model, low, high) of boosted regression trees on ranks, which may be soft ones and are kept in [0, 5], with row weights; the score's two thresholds are
+    picked by a policy on the calibration rows. Rows without a rank, and calibration rows whose label is no class, are left out; missing features are -9999."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    fit = train.filter(F.col(rank).isNotNull()).withColumn("__y", F.greatest(F.lit(0.0), F.least(F.lit(5.0), F.col(rank).cast("double"))))
+    boost = GBTRegressor(labelCol="__y", featuresCol="__x", predictionCol="score", maxIter=trees, maxDepth=depth, stepSize=rate, seed=1)
+    model = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="__x"), boost if weight is None else boost.setWeightCol(weight)]).fit(_filled(fit, cols))
+    told = score_ordinal(model, calibration.filter(class_index(label).isNotNull()), cols)
+    best = pick_pair(two_threshold_sweep(told, "score", label, ORDINAL_LOWS, ORDINAL_HIGHS), policy).first()  # one row
+    return model, best["low"], best["high"]
+
+
+def _filled(df: DataFrame, cols: list[str]) -> DataFrame:
+    """df with the columns as numbers for a model: booleans are 0 and 1, missing or non-finite values -9999."""
+    x = {c: F.col(c).cast("double") for c in cols}
+    return df.withColumns({c: F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), -9999.0).otherwise(v) for c, v in x.items()})
+
+
+def score_ordinal(model, rows: DataFrame, cols: list[str], low: float | None = None, high: float | None = None) -> DataFrame:
+    """Rows with ``score`` and, given both thresholds, the predicted class; all columns of rows stay as they are."""
+    from flowfeat.functions.levels import bucket_from_score
+
+    shown = [c for c in rows.columns if c != "score"]
+    kept = rows.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in shown]))
+    out = model.transform(_filled(kept, cols)).select("__row.*", "score")
+    return out if low is None else out.withColumn("predicted", bucket_from_score(F.col("score"), low, high))
+
+
+def permutation_importance(model, rows: DataFrame, cols: list[str], rank: str, seed: str = "1") -> DataFrame:
+    """(feature, ``mae``, ``added``): mean absolute error with a column's values dealt to other rows, and how much that adds; the row without a feature is the plain error.
+
+    A column is dealt anew by joining rows of neighbouring hash places, one column after the other, so no table is sorted in one task.
+    """
+    from flowfeat.operators.spread import ranked
+
+    known = rows.filter(F.col(rank).isNotNull())
+    error = lambda df: df.agg(F.avg(F.abs(F.col("score") - F.col(rank).cast("double"))).alias("mae"))
+    base = ranked(known.withColumn("__u", F.xxhash64(F.lit(seed), *[F.col(c) for c in known.columns])), [], ["__u"], "__place")
+    n = base.agg(F.count("*").alias("__n"))  # one row
+    base = base.crossJoin(F.broadcast(n))
+    out = error(score_ordinal(model, known, cols)).select(F.lit(None).cast("string").alias("feature"), "mae")
+    for k, c in enumerate(cols):
+        other = base.select(((F.col("__place") + F.lit(7919 * (k + 1))) % F.col("__n")).alias("__to"), F.col(c).alias("__other"))
+        dealt = base.join(other, F.col("__place") == F.col("__to")).withColumn(c, F.col("__other")).drop("__to", "__other", "__place", "__u", "__n")
+        out = out.union(error(score_ordinal(model, dealt, cols)).select(F.lit(c), "mae"))
+    plain = F.max(F.when(F.col("feature").isNull(), F.col("mae"))).over(Window.partitionBy())  # a row for each feature
+    return out.withColumn("added", F.when(F.col("feature").isNotNull(), F.col("mae") - plain))

@@ -204,6 +204,16 @@ def k20(spark, d):
     return E.score_with_overlay(rows.filter("split = 'train'"), rows.filter("split = 'test'"), cols, "bucket", 0.35).select("observation_id", "bucket", "p_low", "p_medium", "p_high", "base", "predicted")
 
 
+@query("k20_ordinal_scoring")
+def k20b(spark, d):
+    from flowfeat.operators.history import recent_history, temporal_split
+
+    rows = temporal_split(recent_history(obs(spark, d)), 0.2, 0.2).withColumn("month", F.month("date"))
+    cols = ["n_365", "high_365", "mean_rank_365", "month", "price"]
+    model, low, high = E.fit_ordinal(rows.filter("split = 'train'"), rows.filter("split = 'calibration'"), cols, "rank", "bucket", trees=5)
+    return E.score_ordinal(model, rows.filter("split = 'test'"), cols, low, high).select("observation_id", "bucket", F.round("score", 4).alias("score"), "predicted")
+
+
 # profiles
 
 COVER = ["rank", "bucket", "price", "level", "grp", "status"]
