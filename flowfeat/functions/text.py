@@ -362,10 +362,27 @@ def keyword_flags(c: Column, groups: dict[str, list[str]]) -> dict[str, Column]:
     return out
 
 
-def comment_category(c: Column, hydrology: list[str], other: list[str]) -> Column:
-    """Struct (category, hits of both lists): empty, mixed, hydrology, non_hydrology or ambiguous."""
-    n = normalize_text(c)
-    hits = lambda ps: F.array_compact(F.array(*[F.when(n.rlike(rf"\b{p}\b"), p) for p in ps]))
-    a, b = hits(hydrology), hits(other)
-    kind = F.when(n == "", "empty").when((F.size(a) > 0) & (F.size(b) > 0), "mixed").when(F.size(a) > 0, "hydrology").when(F.size(b) > 0, "non_hydrology").otherwise("ambiguous")
-    return F.struct(kind.alias("category"), a.alias("hydrology_hits"), b.alias("other_hits"))
+# What tells that a comment is about access only, as patterns of normalised text.
+INFO_ONLY = {
+    "access closed": r"\bacces (?:ferme|fermee|interdit|interdite|impossible|impraticable)\b",
+    "closure": r"\b(?:fermeture|canyon ferme|canyon fermee|ferme jusqu|fermee jusqu)\b",
+    "explicit unrelated flow": r"\bsans rapport avec le debit\b",
+    "forbidden": r"\b(?:canyon interdit|interdit au public|interdiction|acces interdit|propriete privee|terrain militaire)\b",
+    "municipal order": r"\b(?:arrete municipal|arrêté municipal|arrete prefectoral|arrêté préfectoral)\b",
+    "parking forbidden": r"\b(?:parking interdit|stationnement interdit)\b",
+    "road closed": r"\b(?:route fermee|route barree|route coupee|route interdite)\b",
+    "works": r"\b(?:travaux|chantier)\b",
+}
+
+
+def comment_category(c: Column, hydrology: list[str], other: list[str], exclusions: dict[str, str] = INFO_ONLY) -> Column:
+    """Struct (category, hits of both lists, labels of the exclusion patterns found): empty, mixed, hydrology, non_hydrology or ambiguous. Exclusions are told, they don't
+    change the category; an empty comment has no hits."""
+
+    def told(n: Column) -> Column:
+        hits = lambda ps: F.array_compact(F.array(*[F.when(n.rlike(rx), name) for name, rx in ps.items()]))
+        a, b = (hits({p: rf"\b{p}\b" for p in ps}) for ps in (hydrology, other))
+        kind = F.when(n == "", "empty").when((F.size(a) > 0) & (F.size(b) > 0), "mixed").when(F.size(a) > 0, "hydrology").when(F.size(b) > 0, "non_hydrology").otherwise("ambiguous")
+        return F.struct(kind.alias("category"), a.alias("hydrology_hits"), b.alias("other_hits"), hits(exclusions).alias("exclusion_hits"))
+
+    return F.get(F.transform(F.array(normalize_text(c)), told), 0)

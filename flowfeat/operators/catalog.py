@@ -125,10 +125,21 @@ def match_rules(df: DataFrame, rules: list[dict], default: str) -> DataFrame:
     return df.withColumn("rule", out)
 
 
-def infer_forbidden(rules: Column, has_practical: Column, actions: list[str], phrases: list[str]) -> Column:
-    """An active rule (struct active, action, text) with such an action or phrase, or rules without practical information."""
-    told = lambda r: r["action"].isin(*actions) | F.exists(F.lit(phrases), lambda p: F.contains(text.fold(r["text"]), p))
-    return F.coalesce(F.exists(rules, lambda r: r["active"] & told(r)), F.lit(False)) | ((F.size(rules) > 0) & ~has_practical)
+# States of a rule in force, the action that forbids, and phrases that say so; all normalised.
+ACTIVE_STATES = ["", "actif", "indefini"]
+FORBIDDING_ACTION = "interdit"
+FORBIDDING_PHRASES = ["pratique du canyon y est donc interdite", "pratique du canyoning est interdite", "descente du canyon interdite", "descente interdite du canyon", "canyon interdit"]
+
+
+def infer_forbidden(rules: Column, regulated: Column, practical: list[Column], interest: Column, votes: Column, states: list[str] = ACTIVE_STATES, action: str = FORBIDDING_ACTION, phrases: list[str] = FORBIDDING_PHRASES) -> Column:
+    """A rule in force (array of structs status, action, summary, remark, details; a null status is in force) with the action, or a phrase in its texts; or a regulated
+    site of which nothing practical is told, without an interest from 0 to 4 and without votes. Texts compare without accents, case and punctuation."""
+    said = lambda r: text.normalize_text(F.concat_ws(" ", *[F.nullif(r[c], F.lit("")) for c in ("summary", "remark", "details")]))
+    told = lambda r: F.get(F.transform(F.array(said(r)), lambda t: F.exists(F.lit(phrases), lambda p: t.contains(p))), 0)
+    explicit = F.exists(rules, lambda r: text.normalize_text(r["status"]).isin(*states) & ((text.normalize_text(r["action"]) == action) | told(r)))
+    anything = reduce(Column.__or__, [F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")) != "" for c in practical])
+    silent = F.coalesce(regulated, F.lit(False)) & ~anything & ~F.coalesce(interest.between(0, 4), F.lit(False)) & (F.coalesce(votes, F.lit(0)) == 0)
+    return F.coalesce(explicit, F.lit(False)) | silent
 
 
 def apply_text_target(df: DataFrame, level: str, target: Column, confidence: Column, least: float, signed: Column) -> DataFrame:

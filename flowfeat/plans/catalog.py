@@ -143,13 +143,17 @@ def b12(spark, d):
     return C.match_rules(c, rules, "other").select("id", "rule")
 
 
-@query("b13_forbidden", "SELECT doc_id, (doc_id % 3 = 0 AND (doc_id % 5 = 0 OR contains(lower(text), 'license'))) OR (doc_id % 4 <> 0 AND doc_id % 7 = 0) AS forbidden FROM documents")
+@query("b13_forbidden", f"""WITH d AS (SELECT doc_id, text, ['Actif', NULL, 'Indéfini', 'abrogé'][doc_id % 4 + 1] AS status, ['Interdit !', 'conseil', NULL][doc_id % 3 + 1] AS action, CASE WHEN doc_id % 5 = 0 THEN 'La descente du Canyon,  INTERDITE ici' ELSE text END AS details, doc_id % 7 < 5 AS ruled FROM documents)
+  SELECT doc_id, coalesce(ruled AND (doc_id % 4 < 3) AND (doc_id % 3 = 0 OR doc_id % 5 = 0 OR contains({norm('details')}, 'canyon interdit')), false) OR (doc_id % 2 = 0 AND doc_id % 11 < 6 AND (doc_id % 13 < 4 OR doc_id % 13 > 8) AND doc_id % 17 % 3 = 0) AS forbidden FROM d""")
 def b13(spark, d):
     k = F.col("doc_id")
-    rule = F.struct((k % 3 == 0).alias("active"), F.when(k % 5 == 0, "ban").otherwise("note").alias("action"), F.col("text").alias("text"))
-    rules = F.when((k % 4 != 0) | (k % 3 == 0), F.array(rule)).otherwise(F.array().cast("array<struct<active:boolean,action:string,text:string>>"))
-    practical = ~((k % 7 == 0) & (k % 4 != 0))
-    return table(spark, d, "documents").select("doc_id", C.infer_forbidden(rules, practical, ["ban"], ["license"]).alias("forbidden"))
+    pick = lambda values, n: F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (k % n + 1).cast("int"))
+    details = F.when(k % 5 == 0, "La descente du Canyon,  INTERDITE ici").otherwise(F.col("text"))
+    rule = F.struct(pick(["Actif", None, "Indéfini", "abrogé"], 4).alias("status"), pick(["Interdit !", "conseil", None], 3).alias("action"), F.lit(None).cast("string").alias("summary"), F.lit("").alias("remark"), details.alias("details"))
+    rules = F.when(k % 7 < 5, F.array(rule))
+    practical = [F.when(k % 11 >= 6, "  3 h ").otherwise(" "), F.lit(None).cast("string")]
+    interest = F.when(k % 13 >= 4, F.when(k % 13 > 8, 4.5).otherwise((k % 13 - 4).cast("double")))
+    return table(spark, d, "documents").select("doc_id", C.infer_forbidden(rules, k % 2 == 0, practical, interest, F.when(k % 17 % 3 > 0, k % 17)).alias("forbidden"))
 
 
 @query("b16_text_target", f"WITH {OBS}, t AS (SELECT *, observation_id % 4 AS target, observation_id % 10 / 10.0 AS conf, observation_id % 3 = 0 AS signed FROM obs) SELECT observation_id, rank AS original_rank, CASE WHEN conf >= 0.5 AND signed THEN target ELSE rank END AS rank, conf >= 0.5 AND signed AS adjusted FROM t")

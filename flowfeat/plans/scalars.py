@@ -55,13 +55,16 @@ def b5(spark, d):
 HYDRO, OTHER = ["the", "eau", "und"], ["que", "version", "license"]
 
 
-@query("b7_comment_category", f"""WITH n AS (SELECT doc_id, {norm('text')} AS n FROM documents),
+B7_TEXT = "text || CASE doc_id % 9 WHEN 4 THEN ' La Route  barrée: TRAVAUX!' WHEN 5 THEN ' accès interdit' ELSE '' END"
+
+
+@query("b7_comment_category", f"""WITH n AS (SELECT doc_id, {norm(B7_TEXT)} AS n FROM documents),
   h AS (SELECT doc_id, n, list_filter(['the', 'eau', 'und'], lambda w: contains(' ' || n || ' ', ' ' || w || ' ')) AS a, list_filter(['que', 'version', 'license'], lambda w: contains(' ' || n || ' ', ' ' || w || ' ')) AS b FROM n)
-  SELECT doc_id, CASE WHEN n = '' THEN 'empty' WHEN len(a) > 0 AND len(b) > 0 THEN 'mixed' WHEN len(a) > 0 THEN 'hydrology' WHEN len(b) > 0 THEN 'non_hydrology' ELSE 'ambiguous' END AS category,
+  SELECT doc_id, CASE WHEN doc_id % 9 = 4 THEN 'road closed,works' WHEN doc_id % 9 = 5 THEN 'access closed,forbidden' ELSE '' END AS exclusion_hits, CASE WHEN n = '' THEN 'empty' WHEN len(a) > 0 AND len(b) > 0 THEN 'mixed' WHEN len(a) > 0 THEN 'hydrology' WHEN len(b) > 0 THEN 'non_hydrology' ELSE 'ambiguous' END AS category,
          array_to_string(a, ',') AS hydrology_hits, array_to_string(b, ',') AS other_hits FROM h""")
 def b7(spark, d):
-    c = table(spark, d, "documents").select("doc_id", text.comment_category(F.col("text"), HYDRO, OTHER).alias("c"))
-    return c.select("doc_id", "c.category", F.array_join("c.hydrology_hits", ",").alias("hydrology_hits"), F.array_join("c.other_hits", ",").alias("other_hits"))
+    c = table(spark, d, "documents").select("doc_id", text.comment_category(F.expr(B7_TEXT), HYDRO, OTHER).alias("c"))
+    return c.select("doc_id", F.array_join("c.exclusion_hits", ",").alias("exclusion_hits"), "c.category", F.array_join("c.hydrology_hits", ",").alias("hydrology_hits"), F.array_join("c.other_hits", ",").alias("other_hits"))
 
 
 @query("b8_keyword_flags", f"WITH n AS (SELECT conv_id, turn, {norm('text')} AS n FROM conversations) SELECT conv_id, turn, contains(n, 'the') OR contains(n, 'eau') AS water, contains(n, 'que la') AS other FROM n")

@@ -224,3 +224,34 @@ def test_overlay_of_concave_polygons_with_holes(spark):
     want = {(i, j): a for i, x in enumerate(shapes[0]) for j, y in enumerate(shapes[1]) if (a := clipped(x[0], y[0])) > 1e-9}
     assert set(got) == set(want) and len(want) > 40
     assert got == pytest.approx(want, abs=1e-9)
+
+
+RULES = "array<struct<status:string,action:string,summary:string,remark:string,details:string>>"
+
+
+@pytest.mark.parametrize(
+    "rules, regulated, practical, interest, votes, want",
+    [
+        ([("Actif", "INTERDIT", None, None, None)], True, "v3", 3.0, 5, True),
+        ([("abrogé", "interdit", None, None, None)], True, "v3", 3.0, 5, False),
+        ([(None, "conseil", "Canyon", "interdit", "")], True, "v3", 3.0, 5, True),
+        ([("indéfini", None, None, None, "La pratique du canyoning est interdite.")], True, "v3", 3.0, 5, True),
+        ([("actif", "interdit partiel", None, None, None)], True, "v3", 3.0, 5, False),
+        ([], True, " \n", None, None, True),
+        ([], True, " \n", 2.0, 0, False),
+        ([], True, " \n", -1.0, 0, True),
+        ([], True, None, None, 1, False),
+        (None, None, None, None, 0, False),
+    ],
+)
+def test_forbidden(spark, rules, regulated, practical, interest, votes, want):
+    row = spark.createDataFrame([(rules, regulated, practical, interest, votes)], f"rules {RULES}, regulated boolean, practical string, interest double, votes int")
+    assert row.select(catalog.infer_forbidden(F.col("rules"), F.col("regulated"), [F.col("practical")], F.col("interest"), F.col("votes"))).first()[0] is want
+
+
+def test_comment_with_exclusions(spark):
+    c = lambda t: tuple(one(spark, c=text.comment_category(F.lit(t), ["eau", "debit"], ["parking", "route"]))["c"])
+    assert c("Route barrée, travaux; beaucoup d'eau") == ("mixed", ["eau"], ["route"], ["road closed", "works"])
+    assert c("Sans rapport avec le débit") == ("hydrology", ["debit"], [], ["explicit unrelated flow"])
+    assert c("Accès interdit") == ("ambiguous", [], [], ["access closed", "forbidden"])
+    assert c(" ! ") == ("empty", [], [], [])
