@@ -198,13 +198,30 @@ def neighbours(cells: DataFrame, basin: str, cols: list[str]) -> DataFrame:
 
 
 def neighbourhood_stats(cells: DataFrame, basin: str, size: float = 30.0) -> DataFrame:
-    """Per basin mean ruggedness (mean absolute difference to the neighbours), mean slope and curvature from central differences, and closed depressions (all 8 neighbours at least 2 higher)."""
-    n = neighbours(cells, basin, ["elevation"])
-    at = lambda r, c: F.max(F.when((F.col("dr") == r) & (F.col("dc") == c), F.col("n_elevation")))
-    per = n.groupBy(basin, "row", "col").agg(F.first("elevation").alias("z"), F.count("*").alias("k"), F.avg(F.abs(F.col("n_elevation") - F.col("elevation"))).alias("rug"), F.min(F.col("n_elevation") - F.col("elevation")).alias("low"), at(0, 1).alias("e"), at(0, -1).alias("w"), at(1, 0).alias("s"), at(-1, 0).alias("nn"))
-    dx, dy = (F.col("e") - F.col("w")) / (2 * size), (F.col("s") - F.col("nn")) / (2 * size)
-    curve = (F.col("e") + F.col("w") + F.col("s") + F.col("nn") - 4 * F.col("z")) / (size * size)
-    return per.groupBy(basin).agg(F.round(F.avg("rug"), 4).alias("ruggedness"), F.round(F.avg(F.degrees(F.atan(F.sqrt(dx * dx + dy * dy)))), 4).alias("slope"), F.round(F.avg(curve), 6).alias("curvature"), F.sum(((F.col("k") == 8) & (F.col("low") >= 2)).cast("long")).alias("depressions"))
+    """Per basin mean ruggedness (mean absolute difference to the neighbours), mean slope, shares of cells that face north, east, south and west, mean curvature from
+    central differences, and closed depressions (all 8 neighbours at least 2 higher).
+
+    Slopes are central differences between two neighbours and one-sided where one is missing, as at a border; a cell without a neighbour on a line has none.
+    A cell goes to its own row and the rows beside it; a window of three places along that row lists the cells around, nine at most.
+    """
+    sent = cells.select(basin, "col", "elevation", F.col("row").alias("__row"), F.explode(F.array(*map(F.lit, (-1, 0, 1)))).alias("__d")).withColumn("row", F.col("__row") + F.col("__d"))
+    w = Window.partitionBy(basin, "row").orderBy("col").rangeBetween(-1, 1)
+    listed = sent.withColumn("__near", F.collect_list(F.struct(F.col("__d").alias("d"), F.col("col").alias("c"), F.col("elevation").alias("z"))).over(w)).filter("__d = 0")
+    z, col = F.col("elevation"), F.col("col")
+    at = lambda d, c: F.get(F.filter("__near", lambda x: (x["d"] == d) & (x["c"] == col + c)), 0)["z"]
+    away = F.transform(F.filter("__near", lambda x: (x["d"] != 0) | (x["c"] != col)), lambda x: x["z"] - z)
+    per = listed.select(basin, "elevation", away.alias("away"), at(0, 1).alias("e"), at(0, -1).alias("w"), at(-1, 0).alias("s"), at(1, 0).alias("n"))
+    one = lambda hi, lo: F.when(F.col(hi).isNotNull() & F.col(lo).isNotNull(), (F.col(hi) - F.col(lo)) / (2 * size)).when(F.col(hi).isNotNull(), (F.col(hi) - z) / size).when(F.col(lo).isNotNull(), (z - F.col(lo)) / size)
+    per = per.withColumns({"dx": one("e", "w"), "dy": one("s", "n")})
+    turn = F.degrees(F.atan2(F.col("dx"), -F.col("dy")))
+    a = F.when(turn < 0, turn + 360).otherwise(turn)
+    curve = (F.col("e") + F.col("w") + F.col("s") + F.col("n") - 4 * z) / (size * size)
+    rug = F.when(F.size("away") > 0, F.aggregate("away", F.lit(0.0), lambda t, x: t + F.abs(x)) / F.size("away"))
+    known = a.isNotNull()
+    return per.groupBy(basin).agg(
+        F.round(F.avg(rug), 4).alias("ruggedness"), F.round(F.avg(F.degrees(F.atan(F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))))), 4).alias("slope"), share((a >= 315) | (a < 45), known).alias("north"), share((a >= 45) & (a < 135), known).alias("east"),
+        share((a >= 135) & (a < 225), known).alias("south"), share((a >= 225) & (a < 315), known).alias("west"), F.round(F.avg(curve), 6).alias("curvature"), F.sum(F.when((F.size("away") == 8) & (F.array_min("away") >= 2), 1).otherwise(0)).cast("long").alias("depressions"),
+    )
 
 
 def curvatures(cells: DataFrame, basin: str, size: float = 30.0) -> DataFrame:

@@ -110,7 +110,12 @@ def raster(spark, d):
 NEAR = "n AS (SELECT a.basin, a.row, a.col, a.elevation AS z, b.row - a.row AS dr, b.col - a.col AS dc, b.elevation AS nz FROM raster a JOIN raster b ON a.basin = b.basin AND b.row BETWEEN a.row - 1 AND a.row + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1 AND (a.row <> b.row OR a.col <> b.col))"
 
 
-@query("i14_neighbourhood", f"WITH {RASTER}, {NEAR}, p AS (SELECT basin, row, col, any_value(z) AS z, count(*) AS k, avg(abs(nz - z)) AS rug, min(nz - z) AS low, max(nz) FILTER (dr = 0 AND dc = 1) AS e, max(nz) FILTER (dr = 0 AND dc = -1) AS w, max(nz) FILTER (dr = 1 AND dc = 0) AS s, max(nz) FILTER (dr = -1 AND dc = 0) AS nn FROM n GROUP BY 1, 2, 3) SELECT basin, round(avg(rug), 4) AS ruggedness, round(avg(degrees(atan(sqrt(pow((e - w) / 60, 2) + pow((s - nn) / 60, 2))))), 4) AS slope, round(avg((e + w + s + nn - 4 * z) / 900), 6) AS curvature, count(*) FILTER (k = 8 AND low >= 2) AS depressions FROM p GROUP BY 1")
+GRADIENT = "CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN ({a} - {b}) / 60 WHEN {a} IS NOT NULL THEN ({a} - z) / 30 WHEN {b} IS NOT NULL THEN (z - {b}) / 30 END"
+
+
+@query("i14_neighbourhood", f"""WITH {RASTER}, {NEAR}, p AS (SELECT r.basin, r.row, r.col, any_value(r.elevation) AS z, count(nz) AS k, avg(abs(nz - r.elevation)) AS rug, min(nz - r.elevation) AS low, max(nz) FILTER (dr = 0 AND dc = 1) AS e, max(nz) FILTER (dr = 0 AND dc = -1) AS w, max(nz) FILTER (dr = 1 AND dc = 0) AS s, max(nz) FILTER (dr = -1 AND dc = 0) AS nn FROM raster r LEFT JOIN n ON n.basin = r.basin AND n.row = r.row AND n.col = r.col GROUP BY 1, 2, 3),
+  g AS (SELECT *, {GRADIENT.format(a='e', b='w')} AS gx, {GRADIENT.format(a='s', b='nn')} AS gy FROM p), a AS (SELECT *, CASE WHEN gx IS NOT NULL AND gy IS NOT NULL THEN (degrees(atan2(gx, -gy)) + 360) % 360 END AS a FROM g)
+  SELECT basin, round(avg(rug), 4) AS ruggedness, round(avg(degrees(atan(sqrt(gx * gx + gy * gy)))), 4) AS slope, {SH('a >= 315 OR a < 45', 'a IS NOT NULL')} AS north, {SH('a >= 45 AND a < 135', 'a IS NOT NULL')} AS east, {SH('a >= 135 AND a < 225', 'a IS NOT NULL')} AS south, {SH('a >= 225 AND a < 315', 'a IS NOT NULL')} AS west, round(avg((e + w + s + nn - 4 * z) / 900), 6) AS curvature, count(*) FILTER (k = 8 AND low >= 2) AS depressions FROM a GROUP BY 1""")
 def i14(spark, d):
     return B.neighbourhood_stats(raster(spark, d), "basin")
 

@@ -255,3 +255,15 @@ def test_comment_with_exclusions(spark):
     assert c("Sans rapport avec le débit") == ("hydrology", ["debit"], [], ["explicit unrelated flow"])
     assert c("Accès interdit") == ("ambiguous", [], [], ["access closed", "forbidden"])
     assert c(" ! ") == ("empty", [], [], [])
+
+
+def test_neighbourhood_of_a_plane_and_a_pit(spark):
+    plane = [("plane", r, c, 100.0 + 30 * c) for r in range(3) for c in range(4)]  # rises to the east: every cell has a slope of 45 degrees
+    pit = [("pit", r, c, 5.0 if (r, c) == (1, 1) else 7.0) for r in range(3) for c in range(3)]
+    got = {r["b"]: r for r in basin.neighbourhood_stats(spark.createDataFrame([*plane, *pit, ("lone", 0, 0, 1.0), ("gap", 0, 0, 1.0), ("gap", 5, 1, 9.0)], "b string, row int, col int, elevation double"), "b").collect()}
+    p = got["plane"]
+    assert (p["slope"], p["north"], p["east"], p["south"], p["west"], p["curvature"], p["depressions"]) == (45.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0)
+    assert got["pit"]["depressions"] == 1 and got["pit"]["curvature"] == pytest.approx(8 / 900, abs=1e-6)
+    corner, side, middle = 2 / 3, 2 / 5, 2.0
+    assert got["pit"]["ruggedness"] == pytest.approx((4 * corner / 1 * 1 + 4 * side + middle) / 9, abs=1e-4)
+    assert got["lone"]["ruggedness"] is None and got["lone"]["slope"] is None and got["gap"]["ruggedness"] is None
