@@ -69,42 +69,50 @@ def quality_label(date: Column, descended: Column, comment: Column, action: Colu
     rows are valid. Undescended ones, and those where that isn't known, go by their comment: patterns that speak of ``hydrology`` or of a
     ``current`` observation, and ``strong`` and ``weak`` words of other matters. Names of patterns, phrases and words become reasons.
     """
-    n = text.normalize_text(comment)
-    hits = lambda items: F.array_compact(F.array(*[F.when(n.rlike(p), name) for name, p in items.items()])) if items else F.array().cast("array<string>")
-    word = lambda ws: {w: rf"\b{w}\b" for w in sorted(ws)}
-    bad = F.array_compact(F.array(*[F.when(n.contains(p), p) for p in invalid])) if invalid else F.array().cast("array<string>")
-    s, w, h, c = hits(word(strong)), hits(word(weak)), hits(hydrology), hits(current)
-    some = lambda x: F.size(x) > 0
-    said = lambda tag, x: F.transform(x, lambda v: F.concat(F.lit(tag + ":"), v))
-    told = lambda *parts: F.concat(*[F.array(F.lit(p)) if isinstance(p, str) else p for p in parts])
-    row = lambda label, *parts: F.struct((F.lit(label) if isinstance(label, str) else label).alias("label"), told(*parts).alias("reasons"))
-    signal = said("hydrology_signal", h)
-    down = row("valid", "descended", signal, F.when(some(s) | some(w), F.array(F.lit("descended_with_non_hydro_context"))).otherwise(F.array().cast("array<string>")))
-    not_down = (
-        F.when(n == "", row("valid", "non_descended_without_comment_but_level_selected"))
-        .when(some(h) & (some(c) | ~some(s)), row("valid", signal, "non_descended_hydrology_observation"))
-        .when(some(h), row("uncertain", signal, said("context_only", s), "mixed_hydrology_and_logistics"))
-        .when(some(s), row("invalid", said("non_hydro_info", s)))
-        .when(some(w), row("uncertain", said("context_only", w), "non_descended_context_without_hydrology_signal"))
-        .otherwise(row("uncertain", "non_descended_ambiguous_comment"))
-    )
-    unknown = (
-        F.when(some(h) & some(c), row("valid", signal, "hydrology_observation_without_status"))
-        .when(some(h) & (some(s) | some(w)), row("uncertain", signal, "mixed_hydrology_and_logistics"))
-        .when(some(h), row("valid", signal, "default_hydrology_valid"))
-        .when(some(s), row("invalid", said("non_hydro_info", s)))
-        .otherwise(row("valid", "default_valid"))
-    )
-    out = (
-        F.when(action.isNotNull(), row(action, F.array(F.concat(F.lit("manual_override:"), F.coalesce(why, F.lit("unspecified"))))))
-        .when(date.isNull(), row("uncertain", "missing_parsed_date"))
-        .when(some(bad) & ~F.coalesce(descended, F.lit(False)), row("invalid", said("explicit_invalid", bad)))
-        .when(descended, down)
-        .when(descended.isNotNull(), not_down)
-        .otherwise(unknown)
-    )
-    score = F.when(out["label"] == "valid", 1.0).when(out["label"] == "uncertain", 0.5).otherwise(0.0)
-    return F.struct(out["label"].alias("label"), score.alias("score"), out["reasons"].alias("reasons"))
+    once = lambda value, f: F.get(F.transform(F.array(value), f), 0)  # noqa: E731  (a text is normalised once, and searched once, however often the tree of rules asks)
+    none = F.array().cast("array<string>")
+
+    def found(n: Column) -> Column:
+        hits = lambda items: F.array_compact(F.array(*[F.when(n.rlike(p), name) for name, p in items.items()])) if items else none
+        word = lambda ws: {w: rf"\b{w}\b" for w in sorted(ws)}
+        bad = F.array_compact(F.array(*[F.when(n.contains(p), p) for p in invalid])) if invalid else none
+        return F.struct((n == "").alias("empty"), bad.alias("bad"), hits(word(strong)).alias("s"), hits(word(weak)).alias("w"), hits(hydrology).alias("h"), hits(current).alias("c"))
+
+    def decide(x: Column) -> Column:
+        bad, s, w, h, c = x["bad"], x["s"], x["w"], x["h"], x["c"]
+        some = lambda x: F.size(x) > 0
+        said = lambda tag, x: F.transform(x, lambda v: F.concat(F.lit(tag + ":"), v))
+        told = lambda *parts: F.concat(*[F.array(F.lit(p)) if isinstance(p, str) else p for p in parts])
+        row = lambda label, *parts: F.struct((F.lit(label) if isinstance(label, str) else label).alias("label"), told(*parts).alias("reasons"))
+        signal = said("hydrology_signal", h)
+        down = row("valid", "descended", signal, F.when(some(s) | some(w), F.array(F.lit("descended_with_non_hydro_context"))).otherwise(F.array().cast("array<string>")))
+        not_down = (
+            F.when(x["empty"], row("valid", "non_descended_without_comment_but_level_selected"))
+            .when(some(h) & (some(c) | ~some(s)), row("valid", signal, "non_descended_hydrology_observation"))
+            .when(some(h), row("uncertain", signal, said("context_only", s), "mixed_hydrology_and_logistics"))
+            .when(some(s), row("invalid", said("non_hydro_info", s)))
+            .when(some(w), row("uncertain", said("context_only", w), "non_descended_context_without_hydrology_signal"))
+            .otherwise(row("uncertain", "non_descended_ambiguous_comment"))
+        )
+        unknown = (
+            F.when(some(h) & some(c), row("valid", signal, "hydrology_observation_without_status"))
+            .when(some(h) & (some(s) | some(w)), row("uncertain", signal, "mixed_hydrology_and_logistics"))
+            .when(some(h), row("valid", signal, "default_hydrology_valid"))
+            .when(some(s), row("invalid", said("non_hydro_info", s)))
+            .otherwise(row("valid", "default_valid"))
+        )
+        out = (
+            F.when(action.isNotNull(), row(action, F.array(F.concat(F.lit("manual_override:"), F.coalesce(why, F.lit("unspecified"))))))
+            .when(date.isNull(), row("uncertain", "missing_parsed_date"))
+            .when(some(bad) & ~F.coalesce(descended, F.lit(False)), row("invalid", said("explicit_invalid", bad)))
+            .when(descended, down)
+            .when(descended.isNotNull(), not_down)
+            .otherwise(unknown)
+        )
+        score = F.when(out["label"] == "valid", 1.0).when(out["label"] == "uncertain", 0.5).otherwise(0.0)
+        return F.struct(out["label"].alias("label"), score.alias("score"), out["reasons"].alias("reasons"))
+
+    return once(once(text.normalize_text(comment), found), decide)
 
 
 def match_rules(df: DataFrame, rules: list[dict], default: str) -> DataFrame:
