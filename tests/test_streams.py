@@ -93,3 +93,42 @@ def test_late_rows_are_counted_and_undated_ones_kept(spark, tmp_path):
     assert sorted(r["event_id"] for r in got if r["quality"] == "uncertain") == ["93"]
     assert {"90", "91"}.isdisjoint(r["event_id"] for r in got) and "92" in {r["event_id"] for r in got}
     assert sum(late.dropped.values()) == 2 and len(got) == 20 + 2
+
+
+def test_a_window_is_one_batch_whatever_its_files(spark):
+    """Windows of many files, with fewer rows than files, and of late rows: batches are windows, in order."""
+    from flowfeat.plans.streams import replayed
+
+    days = [i // 30 for i in range(90)] + [9, 9]
+    e = spark.createDataFrame([(i, dt.datetime(2024, 1, 1 + n)) for i, n in enumerate(days)], "event_id long, ts timestamp_ntz")
+    s, seen = replayed(spark, e, per_file=4, late="event_id % 30 = 7", closing_days=9), []
+
+    def take(batch, _):
+        seen.append(sorted(r["event_id"] if r["event_id"] is not None else -1 for r in batch.select("event_id").collect()))
+
+    s.writeStream.foreachBatch(take).trigger(availableNow=True).start().awaitTermination()
+    assert seen == [[i for i in range(90) if i % 30 != 7], [90, 91], [7, 37, 67], [-1]]
+
+
+def test_state_that_stays_is_not_written():
+    import pandas as pd
+
+    class Held:
+        def __init__(self, rows):
+            self.rows, self.calls = rows, 0
+
+        def exists(self):
+            return True
+
+        def get(self):
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.calls += 1
+
+        update = put
+
+    step = A.NewItems()
+    step.seen, step.seeded = Held([("m1",), ("m2",)]), Held([(0,)])
+    assert not list(step.handleInputRows(("u",), iter([pd.DataFrame({"marker": ["m2", "m1"], "ts": pd.to_datetime(["2024-01-02", "2024-01-01"])})]), None))
+    assert step.seen.calls == step.seeded.calls == 0
