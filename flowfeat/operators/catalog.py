@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowfeat.functions import geo, text
+from flowfeat.operators.spread import dealt
 from flowfeat.sources.shared import cut, drop
 
 
@@ -288,14 +289,14 @@ def near_pairs(a: DataFrame, b: DataFrame, km: float, ident: str) -> DataFrame:
     edge = F.least(F.lit(90.0), F.greatest(F.abs(F.col("cy") * step), F.abs((F.col("cy") + 1) * step)))
     around = F.greatest(F.lit(1), F.floor(360.0 / step * F.cos(F.radians(edge)))).cast("long")
     at = lambda lon: F.floor((lon + 180) / 360 * F.col("n"))
-    left = a.select(F.col(ident).alias("a"), F.col("lat").alias("alat"), F.col("lon").alias("alon"), row("lat").alias("cy")).withColumn("n", around).withColumn("cx", F.pmod(at(F.col("alon")), F.col("n"))).drop("n")
+    left = dealt(a, ident).select(F.col(ident).alias("a"), F.col("lat").alias("alat"), F.col("lon").alias("alon"), row("lat").alias("cy")).withColumn("n", around).withColumn("cx", F.pmod(at(F.col("alon")), F.col("n"))).drop("n")
     near_pole = F.radians(F.abs(F.col("blat"))) + turn >= 1.5707
     wide = F.when(near_pole, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.lit(min(turn, 1.5707))) / F.cos(F.radians("blat"))))) * 1.0001 + 1e-9)
-    right = b.select(F.col(ident).alias("b"), F.col("lat").alias("blat"), F.col("lon").alias("blon"), F.explode(F.sequence(row("lat") - 1, row("lat") + 1)).alias("cy"))
+    right = dealt(b, ident).select(F.col(ident).alias("b"), F.col("lat").alias("blat"), F.col("lon").alias("blon"), F.explode(F.sequence(row("lat") - 1, row("lat") + 1)).alias("cy"))
     right = right.withColumns({"n": around, "wide": wide}).withColumns({"west": at(F.col("blon") - F.col("wide")), "east": at(F.col("blon") + F.col("wide"))})
     cells = F.when(F.col("east") - F.col("west") + 1 >= F.col("n"), F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).otherwise(F.sequence("west", "east"))
     right = right.select("b", "blat", "blon", "cy", "n", F.explode(cells).alias("x")).select("b", "blat", "blon", "cy", F.pmod("x", F.col("n")).alias("cx"))
-    out = left.join(right, ["cy", "cx"]).withColumn("km", geo.haversine(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon")))
+    out = dealt(left, "cy", "cx").join(dealt(right, "cy", "cx"), ["cy", "cx"]).withColumn("km", geo.haversine(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon")))
     return out.filter(F.col("km") <= km).select("a", "b", "km")
 
 

@@ -164,3 +164,26 @@ def test_a_site_with_many_entries(spark):
     area = {i: 140.0 if i == 70 else 1021.0 if i == 99_990 else 1000.0 + 99_999 - i for i in range(n)}
     small = [(i, 70, "area_order") for i in range(71, n) if area[i] > 1.05 * 140]
     assert got == sorted(small + [(99_990, j, "area_order") for j in range(71, 99_990) if 1021.0 > 1.05 * area[j]])
+
+
+def test_a_box_that_meets_another_by_next_to_nothing_has_area(spark):
+    import math
+
+    from flowfeat.operators.basin import overlay_features
+
+    b = spark.createDataFrame([(1, [[0.0, 10.0], [4.0, 10.0], [4.0, 20.0], [0.0, 20.0]])], "bid long, ring array<array<double>>")
+    f = spark.createDataFrame([(2, 1.0, -80.0, 3.0, math.nextafter(10.0, 11.0)), (3, 1.0, -80.0, 3.0, 10.0), (4, -9.0, 12.0, 1.0, 15.0)], "fid long, x0 double, y0 double, x1 double, y1 double")
+    got = {r["fid"]: r["area"] for r in overlay_features(b, f, 4.0).collect()}
+    assert set(got) == {2, 4} and 0 < got[2] < 1e-14 and got[4] == 3.0
+
+
+def test_few_rows_that_make_many_are_dealt_over_tasks(spark):
+    from flowfeat.operators.basin import overlay_features, weighted_cells
+    from flowfeat.operators.catalog import near_pairs
+
+    p = spark.range(200).coalesce(1).select("id", (F.col("id") * 37 % 160 - 80.0).alias("lat"), (F.col("id") * 53 % 340 - 170.0).alias("lon"))
+    corner = lambda x, y: F.array(F.col("lon") + x, F.col("lat") + y)
+    rings = p.select("id", F.array(corner(0, 0), corner(3, 0), corner(3, 2), corner(0, 2)).alias("ring"))
+    boxes = p.select(F.col("id").alias("fid"), F.col("lon").alias("x0"), F.col("lat").alias("y0"), (F.col("lon") + 2).alias("x1"), (F.col("lat") + 2).alias("y1"))
+    for out in (near_pairs(p, p, 900.0, "id"), weighted_cells(rings, "id", "ring", 0.5), overlay_features(rings.withColumnRenamed("id", "bid"), boxes, 4.0)):
+        assert out.select(F.spark_partition_id().alias("t")).distinct().count() > 1
