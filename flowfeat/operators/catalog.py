@@ -472,6 +472,9 @@ def select_candidate(points: DataFrame, site: str, value: str, distance: str, st
     return got.select(site, "p.*")
 
 
+PAIRED = 2_000  # entries of a cell that one task pairs with others
+
+
 def entry_conflicts(entries: DataFrame, links: DataFrame, site: str, ident: str, cell: str, area: str, elevation: str, to: str = "to") -> DataFrame:
     """(site, a, b, ``conflict``) of a site's entries. same_cell: two entries in one cell, a before b. area_order: a flows into b, or shares its cell, and has an
     area over 1.05 times b's. elevation_order: the same way down, a lies over 10 below b. Entries without an area are left out; a null elevation is in no order.
@@ -479,7 +482,7 @@ def entry_conflicts(entries: DataFrame, links: DataFrame, site: str, ident: str,
     links: (site, cell, to), each cell's next one downstream, without cycles. Cells between entries are skipped by doubling jumps. Of the entry cells that are left
     each holds for 1, 2, 4, ... of those downstream their least area and largest elevation; an entry looks into a stretch only if these allow
     a conflict there, and halves it until single cells are left. So the rows made follow the conflicts times the logarithm of the way, not the pairs of a
-    site; only what stands in one cell is paired.
+    site; only what stands in one cell is paired, in blocks of about ``PAIRED`` entries, which are dealt over tasks whatever their bytes.
     """
     e = entries.filter(F.col(area).isNotNull()).select(F.col(site).alias("s"), F.col(ident).alias("i"), F.col(cell).alias("c"), F.col(area).cast("double").alias("ar"), F.col(elevation).cast("double").alias("el"))
     e = cut(e, "entries")
@@ -509,10 +512,13 @@ def entry_conflicts(entries: DataFrame, links: DataFrame, site: str, ident: str,
         half = inside.join(levels[k - 1].select("s", "c", "to"), ["s", "c"])
         look = cut(inside.union(half.filter("to IS NOT NULL").select("s", "i", "ar", "el", F.col("to").alias("c"))), "looks")
     met = look.join(levels[0], ["s", "c"]).filter(may).select("s", "i", "ar", "el", F.col("to").alias("c")).union(e.select("s", "i", "ar", "el", "c"))
-    other = e.select("s", "c", F.col("i").alias("j"), F.col("ar").alias("ar2"), F.col("el").alias("el2"))
+    blocks = e.groupBy("s", "c").agg(F.ceil(F.count("*") / PAIRED).alias("blocks"))
+    place = F.pmod(F.xxhash64("j"), F.col("blocks")).alias("block")
+    other = dealt(e.select("s", "c", F.col("i").alias("j"), F.col("ar").alias("ar2"), F.col("el").alias("el2")).join(blocks, ["s", "c"]).select("s", "c", place, "j", "ar2", "el2"), "s", "c", "block")
+    by_block = lambda df: dealt(df.join(blocks, ["s", "c"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))), "s", "c", "block")
     found = F.array_compact(F.array(F.when(F.col("ar") > 1.05 * F.col("ar2"), "area_order"), F.when(F.col("el") < F.col("el2") - 10, "elevation_order")))
-    order = met.join(other, ["s", "c"]).filter("i <> j").select("s", F.col("i").alias("a"), F.col("j").alias("b"), F.explode(found).alias("conflict"))
-    shared = e.join(other, ["s", "c"]).filter("i < j").select("s", F.col("i").alias("a"), F.col("j").alias("b"), F.lit("same_cell").alias("conflict"))
+    order = by_block(met).join(other, ["s", "c", "block"]).filter("i <> j").select("s", F.col("i").alias("a"), F.col("j").alias("b"), F.explode(found).alias("conflict"))
+    shared = by_block(e).join(other, ["s", "c", "block"]).filter("i < j").select("s", F.col("i").alias("a"), F.col("j").alias("b"), F.lit("same_cell").alias("conflict"))
     return order.union(shared).withColumnRenamed("s", site)
 
 
