@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowfeat.sources.shared import cut
+
 CLASSES = ["LOW", "MEDIUM", "HIGH"]
 
 
@@ -253,7 +255,8 @@ def fit_and_score(train: DataFrame, test: DataFrame, families: dict[str, list[st
     from pyspark.ml.feature import VectorAssembler
 
     index = class_index(label)
-    train, test = (df.filter(index.isNotNull()) for df in (train, test))
+    needed = list(dict.fromkeys([label, *[c for v in variants for f in VARIANTS[v] for c in families.get(f, [])]]))
+    train, test = (cut(df.filter(index.isNotNull()).select(*needed), "forest-rows") for df in (train, test))  # every variant reads them several times
     out = None
     for v in variants:
         cols = [c for f in VARIANTS[v] for c in families.get(f, [])]
