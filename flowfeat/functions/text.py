@@ -96,10 +96,16 @@ def clean_text(c: Column) -> Column:
 
 
 def unique_non_blank(items: Column) -> Column:
-    """H6: cleaned non-empty items, first spelling of each kept in order."""
+    """H6: cleaned non-empty items, first spelling of each kept in order.
+
+    Equal ones lie side by side once sorted, so each is compared with the one before alone. What a lambda takes from outside is worked out anew for every item, so the
+    sorted list is passed as the one item of a list.
+    """
     clean = F.filter(F.transform(items, clean_text), lambda x: x.isNotNull())
-    lows = F.transform(clean, F.lower)
-    return F.filter(clean, lambda x, i: F.array_position(lows, F.lower(x)) == i + 1)
+    placed = F.array_sort(F.transform(clean, lambda x, i: F.struct(F.lower(x).alias("low"), i.alias("at"), x.alias("item"))))
+    first = lambda before, x: F.when(x.isNotNull() & (before.isNull() | (before["low"] != x["low"])), F.struct(x["at"].alias("at"), x["item"].alias("item")))
+    firsts = F.transform(F.array(placed), lambda s: F.zip_with(F.concat(F.array(F.lit(None)), s), s, first))
+    return F.transform(F.array_sort(F.array_compact(F.get(firsts, F.lit(0)))), lambda x: x["item"])
 
 
 def stable_id(prefix: str, *parts: Column) -> Column:

@@ -187,3 +187,63 @@ def test_few_rows_that_make_many_are_dealt_over_tasks(spark):
     boxes = p.select(F.col("id").alias("fid"), F.col("lon").alias("x0"), F.col("lat").alias("y0"), (F.col("lon") + 2).alias("x1"), (F.col("lat") + 2).alias("y1"))
     for out in (near_pairs(p, p, 900.0, "id"), weighted_cells(rings, "id", "ring", 0.5), overlay_features(rings.withColumnRenamed("id", "bid"), boxes, 4.0)):
         assert out.select(F.spark_partition_id().alias("t")).distinct().count() > 1
+
+
+def test_many_lines_are_told_apart_by_sorting(spark):
+    import time
+
+    from flowfeat.functions.text import unique_non_blank
+
+    lines = [f"Line  {i}" for i in range(8_000)] + ["b", "A", " a ", "", None, "B"] + [f"line {i}" for i in range(8_000)]
+    df = spark.createDataFrame([(lines,), ([],), (None,), (["", None],)], "items array<string>")
+    start = time.time()
+    got = [r["u"] for r in df.select(unique_non_blank(F.col("items")).alias("u")).collect()]
+    assert got == [[f"Line {i}" for i in range(8_000)] + ["b", "A"], [], None, []]
+    assert time.time() - start < 30  # a search in all lines for each takes minutes
+
+
+def test_forests_read_their_rows_once(spark):
+    from flowfeat.operators.evaluate import fit_and_score
+
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    rows = spark.range(300).select((F.col("id") % 7).cast("double").alias("x"), F.element_at(F.array(*map(F.lit, ("LOW", "MEDIUM", "HIGH"))), (F.col("id") % 3 + 1).cast("int")).alias("bucket"))
+    rows = rows.mapInPandas(counted, rows.schema)
+    assert fit_and_score(rows, rows.limit(10), {"weather": ["x"], "physical": ["x"]}, "bucket", ["weather_only", "physical_only"], 2, 2).count() == 2
+    assert 300 <= read.value <= 600
+
+
+def test_a_cell_with_many_entries_is_paired_in_blocks(spark, monkeypatch):
+    from flowfeat.operators import catalog
+
+    monkeypatch.setattr(catalog, "PAIRED", 5)
+    e = spark.range(60).coalesce(1).select(F.lit(1).alias("site"), F.col("id"), (F.col("id") % 2).alias("cell"), (F.col("id") * 7 % 50 + 50.0).alias("area"), (F.col("id") * 11 % 60 + 0.0).alias("elevation"))
+    links = spark.createDataFrame([(1, 1, 0), (1, 0, None)], "site int, cell long, to long")
+    out = catalog.entry_conflicts(e, links, "site", "id", "cell", "area", "elevation")
+    v = [(r["id"], r["cell"], r["area"], r["elevation"]) for r in e.collect()]
+    want = [(a[0], b[0], k) for a in v for b in v if a[0] != b[0] and a[1] >= b[1] for k, ok in (("area_order", a[2] > 1.05 * b[2]), ("elevation_order", a[3] < b[3] - 10), ("same_cell", a[1] == b[1] and a[0] < b[0])) if ok]
+    assert sorted((r["a"], r["b"], r["conflict"]) for r in out.collect()) == sorted(want)
+    assert out.filter("conflict = 'same_cell'").select(F.spark_partition_id().alias("t")).distinct().count() > 1
+
+
+def test_the_way_down_takes_one_shuffle(spark):
+    import random as rnd
+
+    from flowfeat.operators.basin import downstream_links
+    from flowfeat.sources.shared import cut
+
+    rng = rnd.Random(5)
+    cells = {(b, r, c): rng.choice([None, *range(8)]) for b in (1, 2) for r in range(9) for c in range(9) if rng.random() < 0.7}
+    df = cut(spark.createDataFrame([(*k, None if z is None else float(z), k[1]) for k, z in cells.items()], "basin long, row long, col int, elevation double, code long"), "cells")
+    out = downstream_links(df, "basin")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+    assert out.columns == ["basin", "row", "col", "elevation", "code", "down"]
+    for x in out.collect():
+        near = [(cells[k], k[1], k[2]) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if (k := (x["basin"], x["row"] + dr, x["col"] + dc)) in cells and cells[k] is not None]
+        lower = [n for n in near if x["elevation"] is not None and n[0] < x["elevation"]]
+        assert (x["down"] and tuple(x["down"])) == (min(lower)[1:] if lower else None) and x["code"] == x["row"]
