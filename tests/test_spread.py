@@ -247,3 +247,13 @@ def test_the_way_down_takes_one_shuffle(spark):
         near = [(cells[k], k[1], k[2]) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if (k := (x["basin"], x["row"] + dr, x["col"] + dc)) in cells and cells[k] is not None]
         lower = [n for n in near if x["elevation"] is not None and n[0] < x["elevation"]]
         assert (x["down"] and tuple(x["down"])) == (min(lower)[1:] if lower else None) and x["code"] == x["row"]
+
+
+def test_heights_on_a_tie_are_rounded_as_binary_numbers(spark, duck):
+    from flowfeat.operators.basin import topographic_indices
+
+    xs = [x for i in range(40) for x in [math.nextafter(19.2645 + i / 1000, 0)] if x * 1000 % 1 == 0.5]
+    assert xs
+    df = spark.createDataFrame([(i, 100.0, 5.0, x) for i, x in enumerate(xs)], "basin int, elevation double, slope double, hand double")
+    got = {r["basin"]: r["hand_median"] for r in topographic_indices(df, "basin", F.lit(1.0), F.col("hand"), F.lit(True), 30.0).collect()}
+    assert got == {i: duck.sql(f"SELECT round({x!r}::DOUBLE, 3)").fetchall()[0][0] for i, x in enumerate(xs)}
