@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowfeat.functions import geo, text
-from flowfeat.operators.spread import dealt
+from flowfeat.operators.spread import dealt, ranked
 from flowfeat.sources.shared import cut, drop
 
 
@@ -349,42 +352,122 @@ def match_by_name(reports: DataFrame, catalog: DataFrame, ident: str, name: str,
     return j.select(ident, how.alias("how"), F.when(how == "unique_name", F.col("__one")).when(how == "name_region", F.col("__here")).alias("match"))
 
 
+def first_two(left: np.ndarray, right: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Places of each left row's first two pairs by score, the largest first, then by the right row; in order of the left rows."""
+    order = np.lexsort((right, -score, left))
+    at = left[order]
+    third = np.zeros(len(at), bool)
+    third[2:] = at[2:] == at[:-2]
+    return order[~third]
+
+
+def best_overlaps(rows: pa.Table, least: float, bonus: float) -> pa.Table:
+    """(l, r, score): of all pairs of a cell's left and right rows (``__side`` 0 and 1), each left row's first two of those that score ``least`` or more, by score, then by id.
+
+    A few left rows meet a few thousand right ones at a time. Words that many rows on both sides hold are counted by a product of 0/1 matrices, the others by lists
+    of the right rows that hold them: what is held at once doesn't grow with the cell's pairs.
+    """
+    side, n = rows.column("__side").to_numpy(), rows.column("__n").to_numpy().astype(np.float64)
+    lists = rows.column("__o").combine_chunks()
+    flat, word = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    size = lists.value_lengths().to_numpy().astype(np.int64)
+    start = np.cumsum(size) - size
+    dep = rows.column("__dep").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy().astype(np.int64)
+    dep = np.where(dep < 0, -1 - np.arange(len(dep)), dep)  # a null equals no other
+    place = np.empty(len(dep), np.int64)
+    place[pc.sort_indices(rows.column("__rep")).to_numpy()] = np.arange(len(dep))
+    left, right = (at[np.argsort(dep[at], kind="stable")] for at in (np.flatnonzero(side == k) for k in (0, 1)))
+
+    def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+    def words_of(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat(np.arange(len(at)), size[at]), word[spread(start[at], size[at])]
+
+    held = [np.bincount(words_of(at)[1], minlength=len(flat)) for at in (left, right)]
+    often = np.flatnonzero(held[0] * held[1] > len(left) * len(right) * OFTEN)
+    column = np.full(len(flat), -1)
+    column[often] = np.arange(len(often))
+
+    def parts(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row, w = words_of(at)
+        many = column[w] >= 0
+        matrix = np.zeros((len(at), len(often)), np.float32)
+        matrix[row[many], column[w[many]]] = 1
+        return matrix, row[~many], w[~many]
+
+    rough, longest = n.astype(np.float32), n.max(initial=1)
+    floor = np.full(len(dep), least)
+    best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    for j in range(0, len(right), TILE):
+        r = right[j : j + TILE]
+        r_matrix, r_row, r_word = parts(r)
+        by_word = np.argsort(r_word, kind="stable")
+        r_row, held_by, got = r_row[by_word], np.bincount(r_word, minlength=len(flat)), [best]
+        listed = np.cumsum(held_by) - held_by
+        for i in range(0, len(left), CHUNK):
+            l = left[i : i + CHUNK]
+            l_matrix, l_row, l_word = parts(l)
+            shared = l_matrix @ r_matrix.T
+            first, count = listed[l_word], held_by[l_word]
+            steps = np.searchsorted(np.cumsum(count), np.arange(0, count.sum(), MEETINGS))
+            for a, b in zip(steps.tolist(), [*steps[1:].tolist(), len(count)]):
+                np.add.at(shared.reshape(-1), np.repeat(l_row[a:b] * len(r), count[a:b]) + r_row[spread(first[a:b], count[a:b])], np.float32(1))
+            need = np.add.outer(rough[l], rough[r])
+            need *= (floor[l] / 2).astype(np.float32)[:, None]
+            for d in np.unique(dep[l]):
+                (a, b), (x, y) = (np.searchsorted(dep[at], [d, d + 1]) for at in (l, r))
+                need[a:b, x:y] -= np.add.outer(rough[l[a:b]], rough[r[x:y]]) * np.float32(bonus / 2)
+            need -= np.float32(1e-5 * longest)  # somewhat too many pairs: their scores are told in double precision
+            hit = np.flatnonzero((shared >= need) & (shared > 0))
+            hl, hr = l[hit // len(r)], r[hit % len(r)]
+            score = 2.0 * shared.reshape(-1)[hit].astype(np.float64) / (n[hl] + n[hr]) + np.where(dep[hl] == dep[hr], bonus, 0.0)
+            some = first_two(hl, place[hr], score)
+            got.append([hl[some], hr[some], score[some]])
+        best = [np.concatenate(c) for c in zip(*got)]
+        some = first_two(best[0], place[best[1]], best[2])
+        best = [c[some] for c in best]
+        second = np.flatnonzero(best[0][1:] == best[0][:-1]) + 1
+        floor[best[0][second]] = np.maximum(least, best[2][second])
+    rep = rows.column("__rep").combine_chunks()
+    return pa.table({"l": rep.take(pa.array(best[0])), "r": rep.take(pa.array(best[1])), "score": best[2]})
+
+
+#: Share of a cell's pairs from which a word is counted by matrices, rows met at once on both sides, and entries of lists met at once.
+OFTEN, CHUNK, TILE, MEETINGS = 1 / 1000, 256, 8_192, 4_000_000
+#: Words that a block holds at most, on average; blocks of each side that are made for the sake of tasks, and the least rows of one.
+BLOCK_WORDS, BLOCKS, BLOCK_ROWS = 8_000_000, 8, 4_096
+
+
 def match_by_tokens(left: DataFrame, right: DataFrame, ident: str, tokens: str, department: str, least: float = 0.45, margin: float = 0.05, bonus: float = 0.25) -> DataFrame:
     """For each left row the right row with the largest Dice overlap of distinct words (a bonus within the department), if high enough and clearly ahead.
 
-    Only scores from least - margin on can decide, so words are put in order of their number of rows, rarest first, and rows meet by the first
-    words that any pair of such a score must share: two texts with an overlap of t share one of their first n - ceil(t n / (2 - t)) + 1 words,
-    whatever the other's length. What is left after the last shared word bounds a pair's overlap; the few pairs that may reach it
-    are compared whole. Rows of one side with the same words and department are compared once.
+    Texts share their commonest words most, so rows that meet by words are most of all pairs, many times over. Here every pair is compared but none is shuffled: each
+    side is dealt into blocks, every left block meets every right one in a cell, and a left row's best two of a cell come out, with scores from
+    least - margin on, as others don't decide. So what is written is a copy of the rows for each block of the other side; blocks are 8 until they would
+    hold over 8 million words. The comparisons themselves grow with the product of both sides. Rows of one side with the same words and department are compared once.
     """
     dep, words, sides, every = "__dep", "__t", [], []
     for side, df in enumerate((left, right)):
         rows = df.select(F.col(ident).alias("__id"), F.col(department).alias(dep), F.array_sort(F.array_distinct(tokens)).alias(words)).filter(F.size(words) > 0)
         every.append(cut(rows, "worded"))
         sides.append(cut(every[side].groupBy(dep, words).agg(F.min("__id").alias("__rep"), F.count("*").alias("__many")).withColumn("__side", F.lit(side)), "worded-once"))
-    both = sides[0].union(sides[1])
-    each = both.select("__side", "__rep", dep, F.size(words).alias("__n"), F.explode(words).alias("w"))
-    rare = each.join(each.groupBy("w").agg(F.count("*").alias("__f")), "w").groupBy("__side", "__rep", dep, "__n").agg(F.array_sort(F.collect_list(F.struct("__f", "w"))).alias("__o"))
-    rare = cut(rare, "rare-words")
-
-    def pairs(t: float, within: bool) -> DataFrame:
-        first = F.col("__n") - F.greatest(F.lit(1), F.ceil(F.lit(t) * F.col("__n") / F.lit(2 - t) - F.lit(1e-9))) + 1
-        some = rare.select("__side", "__rep", dep, "__n", F.posexplode(F.slice("__o", F.lit(1), first.cast("int"))).alias("__k", "__x"))
-        l, r = (some.filter(F.col("__side") == k).select(F.col("__rep").alias(p), F.col(dep).alias(f"{p}_dep"), F.col("__n").alias(f"{p}_n"), F.col("__k").alias(f"{p}_k"), F.col("__x.w").alias(f"{p}_w")) for k, p in ((0, "l"), (1, "r")))
-        here = F.col("l_dep").eqNullSafe(F.col("r_dep"))
-        fit = (2 * F.least("l_n", "r_n") >= (F.lit(t) - 1e-9) * (F.col("l_n") + F.col("r_n"))) & (here if within else ~here)
-        met = l.join(r, (F.col("l_w") == F.col("r_w")) & fit).groupBy("l", "r", "l_n", "r_n").agg(F.count("*").alias("c"), F.max("l_k").alias("i"), F.max("r_k").alias("j"))
-        most = F.col("c") + F.least(F.col("l_n") - 1 - F.col("i"), F.col("r_n") - 1 - F.col("j"))
-        return met.filter(2 * most >= (F.lit(t) - 1e-9) * (F.col("l_n") + F.col("r_n"))).select("l", "r", F.lit(bonus if within else 0.0).alias("plus"))
-
-    found = cut(pairs(least - margin, False).union(pairs(max(least - margin - bonus, 0.0), True)), "worded-pairs")
-    words_of = lambda k, p: sides[k].select(F.col("__rep").alias(p), F.col(words).alias(f"{p}_t"), F.col("__many").alias(f"{p}_many"))
-    whole = found.join(words_of(0, "l"), "l").join(words_of(1, "r"), "r")
-    score = 2.0 * F.size(F.array_intersect("l_t", "r_t")) / (F.size("l_t") + F.size("r_t")) + F.col("plus")
+    each = sides[0].union(sides[1]).select("__side", "__rep", dep, F.size(words).alias("__n"), F.explode(words).alias("w"))
+    both = each.groupBy("w").agg(F.count("*").alias("__f"), F.min("__side").alias("__a"), F.max("__side").alias("__b")).filter("__a < __b").select("w", (-F.col("__f")).alias("__less"))
+    known = ranked(both, [], ["__less", "w"], "number").select("w", F.col("number").cast("int"))  # a word as a number, small for a frequent one
+    numbered = cut(each.join(known, "w").groupBy("__side", "__rep", dep, "__n").agg(F.collect_list("number").alias("__o")), "worded-numbers")
+    totals = {r["__side"]: max(-(-r["words"] // BLOCK_WORDS), min(BLOCKS, -(-r["rows"] // BLOCK_ROWS))) for r in numbered.groupBy("__side").agg(F.count("*").alias("rows"), F.sum(F.size("__o")).alias("words")).collect()}
+    n_left, n_right = totals.get(0, 1), totals.get(1, 1)
+    on_left = F.col("__side") == 0
+    block = F.pmod(F.xxhash64("__rep"), F.when(on_left, F.lit(n_left)).otherwise(F.lit(n_right)))
+    cells = F.when(on_left, F.transform(F.sequence(F.lit(0), F.lit(n_right - 1)), lambda k: block * n_right + k)).otherwise(F.transform(F.sequence(F.lit(0), F.lit(n_left - 1)), lambda k: k * n_right + block))
+    met = numbered.withColumn("__cell", F.explode(cells.cast("array<int>"))).repartitionById(n_left * n_right, F.col("__cell"))
+    kind = numbered.schema["__rep"].dataType.simpleString()
+    found = cut(met.groupBy("__cell").applyInArrow(lambda t: best_overlaps(t, least - margin, bonus), f"l {kind}, r {kind}, score double"), "worded-pairs")
     w = Window.partitionBy("l").orderBy(F.desc("score"), "r")
-    ranked = whole.select("l", "r", "r_many", score.alias("score")).withColumns({"k": F.row_number().over(w), "next": F.lead("score").over(w)})
+    ahead = found.join(sides[1].select(F.col("__rep").alias("r"), F.col("__many").alias("r_many")), "r").withColumns({"k": F.row_number().over(w), "next": F.lead("score").over(w)})
     next_ = F.when(F.col("r_many") > 1, F.col("score")).otherwise(F.col("next"))  # a right row with the same words is as good
-    best = ranked.filter((F.col("k") == 1) & (F.col("score") >= least) & (next_.isNull() | (F.col("score") - next_ >= margin)))
+    best = ahead.filter((F.col("k") == 1) & (F.col("score") >= least) & (next_.isNull() | (F.col("score") - next_ >= margin)))
     told = sides[0].join(best, F.col("__rep") == F.col("l")).select(F.col(dep).alias("d"), F.col(words).alias("t"), "r", "score")
     return every[0].join(told, F.col(dep).eqNullSafe(F.col("d")) & (F.col(words) == F.col("t"))).select(F.col("__id").alias(ident), F.col("r").alias("match"), F.round("score", 6).alias("score"))
 

@@ -344,3 +344,67 @@ def test_curvatures_of_a_surface(spark):
     plan, profile = (q * q * r - 2 * p * q * s + p * p * t) / (g * np.sqrt(1 + g)), (p * p * r + 2 * p * q * s + q * q * t) / (g * (1 + g) ** 1.5)
     got = B.curvatures(df, "basin").first()
     assert abs(got["plan_curvature"] - np.nanmean(plan)) < 1e-6 and abs(got["profile_curvature"] - np.nanmean(profile)) < 1e-6
+
+
+def worded_rows(rng, n, vocabulary, most, first):
+    rows = [(first + i, None if i % 9 == 0 else int(rng.integers(3)), [f"w{int(k)}" for k in np.unique((vocabulary * rng.random(int(rng.integers(0, most))) ** 2).astype(int))]) for i in range(n)]
+    return rows + [(first + 1000 + i, d, w) for i, d, w in ((i, *rows[i % n][1:]) for i in range(0, n, 7))]  # some again
+
+
+def plain_matches(left, right, least=0.45, margin=0.05, bonus=0.25):
+    out = []
+    for i, d, w in left:
+        found = sorted((-(2.0 * len(both) / (len(w) + len(v)) + (bonus if d is not None and d == e else 0)), j) for j, e, v in right if (both := set(w) & set(v)))
+        if found and -found[0][0] >= least and (len(found) == 1 or found[1][0] - found[0][0] >= margin):
+            out.append((i, found[0][1], round(-found[0][0], 6)))
+    return sorted(out)
+
+
+def test_token_matches_are_those_of_all_pairs(spark, monkeypatch):
+    """With copies on both sides, rows without words, ties, and departments that are null, which are no department."""
+    monkeypatch.setattr(C, "BLOCK_ROWS", 16, raising=False)
+    rng = np.random.default_rng(5)
+    left, right = worded_rows(rng, 120, 60, 9, 0), worded_rows(rng, 90, 60, 9, 5000)
+    schema = "id long, dep int, t array<string>"
+    got = C.match_by_tokens(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), "id", "t", "dep").collect()
+    assert sorted((r["id"], r["match"], r["score"]) for r in got) == plain_matches(left, right) and len(got) > 20
+
+
+def shuffled(spark):
+    """Records written by the shuffles of each stage so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    no = sc._jvm.java.util.ArrayList()
+    found = sc._jsc.sc().statusStore().stageList(no, False, False, sc._gateway.new_array(sc._jvm.double, 0), no)
+    return {found.apply(i).stageId(): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+
+
+def test_token_matches_shuffle_rows_not_pairs(spark):
+    """Rows that all share common words are a few rows written for each word of a row, however many pairs meet."""
+    rng = np.random.default_rng(6)
+    rows = [[(first + i, i % 7, [f"w{k}" for k in rng.permutation(40)[:20].tolist()]) for i in range(400)] for first in (0, 1000)]
+    schema = "id long, dep int, t array<string>"
+    before = shuffled(spark)
+    C.match_by_tokens(*[spark.createDataFrame(r, schema) for r in rows], "id", "t", "dep").collect()
+    written = [n for stage, n in shuffled(spark).items() if stage not in before]
+    assert 800 <= sum(written) < 800 * 20
+
+
+def test_cells_in_small_steps(monkeypatch):
+    """Tiles, chunks and lists of any size give the same best two of each row."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    words = [np.unique((50 * rng.random(12) ** 2).astype(np.int32)) for _ in range(130)]
+    rows = pa.table({"__side": [i % 2 for i in range(130)], "__rep": [f"{i * 37 % 131:03}" for i in range(130)], "__dep": [None if i % 5 == 0 else i % 3 for i in range(130)], "__n": [len(w) + i % 3 for i, w in enumerate(words)], "__o": words})
+    seen = []
+    for often, chunk, tile, meetings in ((1.0, 256, 8192, 4_000_000), (0.0, 7, 11, 1), (0.05, 13, 5, 40)):
+        for name, value in zip(("OFTEN", "CHUNK", "TILE", "MEETINGS"), (often, chunk, tile, meetings)):
+            monkeypatch.setattr(C, name, value)
+        seen.append(sorted(zip(*C.best_overlaps(rows, 0.4, 0.25).to_pydict().values())))
+    want = []
+    for i in range(0, 130, 2):
+        a, n, d = set(words[i].tolist()), *(rows.column(c)[i].as_py() for c in ("__n", "__dep"))
+        each = [(-(2.0 * len(a & set(words[j].tolist())) / (n + rows.column("__n")[j].as_py()) + (0.25 if d is not None and d == rows.column("__dep")[j].as_py() else 0)), rows.column("__rep")[j].as_py()) for j in range(1, 130, 2) if a & set(words[j].tolist())]
+        want += [(rows.column("__rep")[i].as_py(), r, -s) for s, r in sorted(each)[:2] if -s >= 0.4]
+    assert seen[0] == seen[1] == seen[2] == sorted(want) and len(want) > 50
