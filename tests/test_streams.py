@@ -132,3 +132,24 @@ def test_state_that_stays_is_not_written():
     step.seen, step.seeded = Held([("m1",), ("m2",)]), Held([(0,)])
     assert not list(step.handleInputRows(("u",), iter([pd.DataFrame({"marker": ["m2", "m1"], "ts": pd.to_datetime(["2024-01-02", "2024-01-01"])})]), None))
     assert step.seen.calls == step.seeded.calls == 0
+
+
+def test_stores_go_by_cores_and_no_empty_batch_follows(spark):
+    """64 shuffle partitions are not 64 stores to write in each batch, and what comes out at once needs no batch after the last."""
+    from pathlib import Path
+
+    from flowfeat.plans.streams import replayed, run
+    from flowfeat.sources.shared import shared_dir
+
+    e = spark.createDataFrame([(i % 30, dt.datetime(2024, 1, 1 + i % 20)) for i in range(90)], "marker long, ts timestamp_ntz")
+    home, partitions = Path(shared_dir(spark).removeprefix("file://")), spark.conf.get("spark.sql.shuffle.partitions")
+    old = set(home.glob("few-state-*"))
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        got = run(spark, A.once_across(replayed(spark, e), "marker", delay="60 days"), "few", closing=False)
+        assert sorted(r["marker"] for r in got.collect()) == list(range(30)) and spark.conf.get("spark.sql.shuffle.partitions") == "64"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    (work,) = set(home.glob("few-state-*")) - old
+    assert len([p for p in (work / "state/0").iterdir() if p.name.isdigit()]) == 16
+    assert len([p for p in (work / "commits").iterdir() if p.name.isdigit()]) == 4
