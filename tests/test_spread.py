@@ -257,3 +257,29 @@ def test_heights_on_a_tie_are_rounded_as_binary_numbers(spark, duck):
     df = spark.createDataFrame([(i, 100.0, 5.0, x) for i, x in enumerate(xs)], "basin int, elevation double, slope double, hand double")
     got = {r["basin"]: r["hand_median"] for r in topographic_indices(df, "basin", F.lit(1.0), F.col("hand"), F.lit(True), 30.0).collect()}
     assert got == {i: duck.sql(f"SELECT round({x!r}::DOUBLE, 3)").fetchall()[0][0] for i, x in enumerate(xs)}
+
+
+def test_pairs_of_polygons_are_made_once_and_not_shuffled(spark, monkeypatch):
+    from flowfeat.operators import basin, spread
+
+    rng = random.Random(21)
+
+    def polygon(x, y):
+        return [[[x + s * math.cos(t), y + s * math.sin(t)] for k in range(9) for t, s in [(2 * math.pi * k / 9, rng.uniform(1, 3))]], [[x, y], [x + 0.4, y + 0.1], [x + 0.2, y + 0.5]]]
+
+    kind = "array<array<array<array<double>>>>"
+    shapes = [[[polygon(rng.uniform(-9, 9), rng.uniform(-9, 9))] for _ in range(15)] for _ in range(2)]
+    shapes[1][3] = [[[[x, y] for x, y in ((-4.0, -4.0), (4.0, -4.0), (4.0, 4.0), (-4.0, 4.0))]]]  # another number of edges
+    b, f = (spark.createDataFrame([(i * 100 + k, s) for i, s in enumerate(side) for k in range(4)] + [(9999, None)], f"{n} long, polygons {kind}") for side, n in zip(shapes, ("bid", "fid")))
+    rows = lambda out=None: {(r["bid"], r["fid"]): r["area"] for r in (out or basin.overlay_polygons(b, f, 1.5)).collect()}
+    out = basin.overlay_polygons(b, f, 1.5)
+    assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()  # sums of pairs would be shuffled
+    whole = rows(out)
+    assert len(whole) > 400 and all(whole[i // 100 * 100, j // 100 * 100] == a for (i, j), a in whole.items())
+    monkeypatch.setattr(spread, "ALIKE", 2)
+    monkeypatch.setattr(spread, "PAIRED", 5)
+    monkeypatch.setattr(basin, "TOLD", 3)
+    assert rows() == pytest.approx(whole, abs=1e-9)
+    monkeypatch.setattr(basin, "POINTS", 8)  # the square alone meets whole
+    assert rows() == pytest.approx(whole, abs=1e-9)
+    assert basin.overlay_polygons(b.limit(0), f, 1.5).count() == 0
