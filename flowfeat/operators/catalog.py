@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowfeat.functions import geo, text
-from flowfeat.operators.spread import dealt, ranked
+from flowfeat.operators.spread import alike, dealt, expanded, paired, ranked, rounded
 from flowfeat.sources.shared import cut, drop
 
 
@@ -281,26 +281,29 @@ def nearby(catalog: DataFrame, lat: float, lon: float, km: float) -> DataFrame:
     return catalog.filter(box).withColumn("km", geo.haversine(F.col("lat"), F.col("lon"), F.lit(lat), F.lit(lon))).filter(F.col("km") <= km)
 
 
-def near_pairs(a: DataFrame, b: DataFrame, km: float, ident: str) -> DataFrame:
-    """C15 of two tables: pairs within a distance, all around the globe. Points meet by cells of the distance's height; the second table goes to all cells that the circle around a point may touch.
+def near_pairs(a: DataFrame, b: DataFrame, km: float, ident: str, digits: int | None = None) -> DataFrame:
+    """C15 of two tables: pairs within a distance (rounded to ``digits``), all around the globe. Points meet by cells of the distance's height; the second table goes to all cells that the circle around a point may touch.
 
     Each row of cells is cut into as many as are at least as wide as the distance at its edge towards the pole, so they wrap at the
     180th meridian, and the rows at the poles have few. A circle's longitudes are bounded by the sine rule; one with a pole in it has all.
+    Points of the same place are one row with a list of ids: its distances are worked out once, and its pairs come last, one after another.
     """
     step, turn = km / 111.0, km / geo.EARTH_KM
     row = lambda lat: F.floor(F.col(lat) / step)
     edge = F.least(F.lit(90.0), F.greatest(F.abs(F.col("cy") * step), F.abs((F.col("cy") + 1) * step)))
     around = F.greatest(F.lit(1), F.floor(360.0 / step * F.cos(F.radians(edge)))).cast("long")
     at = lambda lon: F.floor((lon + 180) / 360 * F.col("n"))
-    left = dealt(a, ident).select(F.col(ident).alias("a"), F.col("lat").alias("alat"), F.col("lon").alias("alon"), row("lat").alias("cy")).withColumn("n", around).withColumn("cx", F.pmod(at(F.col("alon")), F.col("n"))).drop("n")
-    near_pole = F.radians(F.abs(F.col("blat"))) + turn >= 1.5707
-    wide = F.when(near_pole, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.lit(min(turn, 1.5707))) / F.cos(F.radians("blat"))))) * 1.0001 + 1e-9)
-    right = dealt(b, ident).select(F.col(ident).alias("b"), F.col("lat").alias("blat"), F.col("lon").alias("blon"), F.explode(F.sequence(row("lat") - 1, row("lat") + 1)).alias("cy"))
-    right = right.withColumns({"n": around, "wide": wide}).withColumns({"west": at(F.col("blon") - F.col("wide")), "east": at(F.col("blon") + F.col("wide"))})
+    left = alike(a, ["lat", "lon"], ident).withColumn("cy", row("lat")).withColumn("n", around).withColumn("cx", F.pmod(at(F.col("lon")), F.col("n"))).drop("n")
+    near_pole = F.radians(F.abs(F.col("lat"))) + turn >= 1.5707
+    wide = F.when(near_pole, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.lit(min(turn, 1.5707))) / F.cos(F.radians("lat"))))) * 1.0001 + 1e-9)
+    right = alike(b, ["lat", "lon"], ident).withColumn("cy", F.explode(F.sequence(row("lat") - 1, row("lat") + 1)))
+    right = right.withColumns({"n": around, "wide": wide}).withColumns({"west": at(F.col("lon") - F.col("wide")), "east": at(F.col("lon") + F.col("wide"))})
     cells = F.when(F.col("east") - F.col("west") + 1 >= F.col("n"), F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).otherwise(F.sequence("west", "east"))
-    right = right.select("b", "blat", "blon", "cy", "n", F.explode(cells).alias("x")).select("b", "blat", "blon", "cy", F.pmod("x", F.col("n")).alias("cx"))
-    out = dealt(left, "cy", "cx").join(dealt(right, "cy", "cx"), ["cy", "cx"]).withColumn("km", geo.haversine(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon")))
-    return out.filter(F.col("km") <= km).select("a", "b", "km")
+    right = right.select("ids", "lat", "lon", "cy", "n", F.explode(cells).alias("x")).select("ids", "lat", "lon", "cy", F.pmod("x", F.col("n")).alias("cx"))
+    left, right, keys = paired(left, right, ["cy", "cx"])
+    right = right.select(*keys, F.col("ids").alias("other"), F.col("lat").alias("to_lat"), F.col("lon").alias("to_lon"))
+    out = left.join(right, keys).withColumn("km", geo.haversine(F.col("lat"), F.col("lon"), F.col("to_lat"), F.col("to_lon"))).filter(F.col("km") <= km)
+    return expanded(out.select("ids", "other", rounded(F.col("km"), digits).alias("km")), "a", "b", "km")
 
 
 def representative_point(points: DataFrame, site: str, kind: str, order: list[str], label: str) -> DataFrame:

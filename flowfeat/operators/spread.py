@@ -13,7 +13,7 @@ MOST = 1_000_000  # rows of a key that one window takes; a key with more is cut
 BLOCK = 100_000
 LISTED = 4_096  # values that an interval may hold to be sorted in one list
 ALIKE = 256  # ids that one row lists of those with the same key
-PAIRED = 16_384  # ids that a block of a cell holds, about, on either side
+PAIRED = 4_096  # ids that a block of a cell holds, about, on either side
 
 
 def dealt(df: DataFrame, *cols: str) -> DataFrame:
@@ -36,13 +36,13 @@ def alike(df: DataFrame, key: list[str], ident: str, most: int | None = None) ->
     return cut(dealt(rows, *by).groupBy(*by).agg(F.array_sort(F.collect_list("__id")).alias("ids")).drop("__list"), "alike")
 
 
-def paired(left: DataFrame, right: DataFrame, cell: list[str], most: int | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
+def paired(left: DataFrame, right: DataFrame, cell: list[str], times: int = 1) -> tuple[DataFrame, DataFrame, list[str]]:
     """(left, right, keys): rows of ``alike`` with columns ``cell``, dealt for a join over ``keys`` in which each left row meets each right row of its cell once.
 
-    A cell with over ``most`` ids on a side is cut into blocks by hashes, and every left block meets every right one in a part of its own: a cell's pairs are made in many tasks,
+    A cell with over ``PAIRED`` ids on a side (some ``times`` as many, where rows are large) is cut into blocks by hashes, and every left block meets every right one in a part of its own: a cell's pairs are made in many tasks,
     and a task holds a few blocks. Rows are copied once for each block of the other side of their cell; those whose cell has none go.
     """
-    blocks = lambda df, n: df.groupBy(*cell).agg(F.ceil(F.sum(F.size("ids")) / (most or PAIRED)).alias(n))
+    blocks = lambda df, n: df.groupBy(*cell).agg(F.ceil(F.sum(F.size("ids")) / (times * PAIRED)).alias(n))
     n = cut(blocks(left, "__nl").join(blocks(right, "__nr"), cell), "blocks")
     own = lambda n: F.pmod(F.xxhash64(F.get("ids", 0)), F.col(n))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))

@@ -248,7 +248,7 @@ def c15(spark, d):
 @query("c15_near_pairs", f"WITH {CAT}, c AS (SELECT id, lat, lon FROM cat), k AS (SELECT a.id AS a, b.id AS b, 12742.0 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) AS km FROM c a, c b WHERE a.id % 2 = 0 AND b.id % 2 = 1) SELECT a, b, round(km, 4) AS km FROM k WHERE km <= 400")
 def c15b(spark, d):
     c = cat(spark, d)
-    return C.near_pairs(c.filter("id % 2 = 0"), c.filter("id % 2 = 1"), 400.0, "id").withColumn("km", F.round("km", 4))
+    return C.near_pairs(c.filter("id % 2 = 0"), c.filter("id % 2 = 1"), 400.0, "id", 4)
 
 
 @query("c16_priority", "WITH r AS (SELECT o_custkey AS site, o_orderkey AS run, o_orderstatus = 'F' AS resolved, o_orderkey % 97 * 100000 + o_orderkey AS priority FROM orders), k AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY NOT resolved, priority) AS k FROM r) SELECT site, run, resolved, NOT resolved AS unresolved FROM k WHERE k = 1")

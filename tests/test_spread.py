@@ -313,3 +313,33 @@ def test_the_area_of_the_same_boxes_is_worked_out_once(spark, monkeypatch):
     monkeypatch.setattr(basin, "expanded", counted)
     basin.overlay_features(bs.filter("bid < 9000"), fs.filter("fid < 9000"), 4.0)
     assert 0 < worked.value * 36 <= len(want) + 36
+
+
+def test_points_of_one_place_are_paired_once_and_in_many_tasks(spark, monkeypatch):
+    from flowfeat.operators import catalog, spread
+
+    rng = random.Random(17)
+    at = [(rng.uniform(86, 90), rng.uniform(-180, 180)) for _ in range(20)] + [(rng.uniform(-30, 30), rng.uniform(-15, 15)) for _ in range(20)]
+    rows = [(i * 100 + k, *p) for i, p in enumerate(at) for k in range(5)] + [(9001, None, 3.0), (9002, 4.0, None)]
+    p = spark.createDataFrame(rows, "id long, lat double, lon double")
+
+    def km(a, b):
+        y, v = math.radians(a[0]), math.radians(b[0])
+        return 12742.0 * math.asin(math.sqrt(min(1.0, math.sin((v - y) / 2) ** 2 + math.cos(y) * math.cos(v) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2)))
+
+    want = {(a[0], b[0]): round(d, 4) for a in rows[:-2] for b in rows[:-2] if (d := km(a[1:], b[1:])) <= 400.0}
+    lists, only = [], catalog.expanded
+
+    def kept(pairs, *names):
+        lists.append(pairs)
+        return only(pairs, *names)
+
+    monkeypatch.setattr(catalog, "expanded", kept)
+    for alike, paired in ((256, 4_096), (2, 10)):
+        monkeypatch.setattr(spread, "ALIKE", alike)
+        monkeypatch.setattr(spread, "PAIRED", paired)
+        out = catalog.near_pairs(p, p, 400.0, "id", 4)
+        got = {(r["a"], r["b"]): r["km"] for r in out.collect()}
+        assert out.count() == len(got) and got == pytest.approx(want, abs=1e-4 + 1e-9)
+    assert lists[0].count() * 25 == len(want)
+    assert out.filter("a < 2000").select(F.spark_partition_id().alias("t")).distinct().count() > 1  # around the pole there is one cell
